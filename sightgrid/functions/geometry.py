@@ -15,6 +15,11 @@ MIN_DET = 1e-12
 ON_EDGE = 1e-9
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` computed once (inside array functions, where columns cannot be staged)."""
+    return F.transform(F.array(value), then)[0]
+
+
 def is_finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
 
@@ -92,15 +97,12 @@ def resolution_distance(aw: Column, ah: Column, bw: Column, bh: Column) -> Colum
 
 def edges_of(polygon: Column) -> Column:
     """Closed edge list of a polygon."""
-    n = F.size(polygon)
-    return F.transform(
-        polygon,
-        lambda p, i: F.struct(
-            p["x"].alias("ax"), p["y"].alias("ay"),
-            F.element_at(polygon, ((i + 1) % n) + 1)["x"].alias("bx"),
-            F.element_at(polygon, ((i + 1) % n) + 1)["y"].alias("by"),
-        ),
-    )
+    def edges(pts: Column) -> Column:
+        following = F.concat(F.slice(pts, 2, F.size(pts)), F.slice(pts, 1, 1))
+        return F.zip_with(pts, following, lambda p, q: F.struct(
+            p["x"].alias("ax"), p["y"].alias("ay"), q["x"].alias("bx"), q["y"].alias("by")))
+
+    return let(polygon, edges)
 
 
 def _on_edge(e: Column, x: Column, y: Column) -> Column:
@@ -151,15 +153,15 @@ def rescale_points(polygon: Column, sx: Column, sy: Column) -> Column:
 
 def project_polygon(h: Column, polygon: Column, digits: int | None = 2) -> Column:
     """Polygon through a homography; points that cannot be projected are dropped."""
-    def point(p: Column) -> Column:
-        q = apply_homography(h, p["x"], p["y"])
+    def rounded(q: Column) -> Column:
         if digits is None:
             return q
         return F.when(
             q.isNotNull(), F.struct(F.round(q["x"], digits).alias("x"), F.round(q["y"], digits).alias("y"))
         )
 
-    return F.filter(F.transform(polygon, point), lambda p: p.isNotNull())
+    points = F.transform(polygon, lambda p: let(apply_homography(h, p["x"], p["y"]), rounded))
+    return F.filter(points, lambda p: p.isNotNull())
 
 
 def metres_to_plan(x: Column, y: Column, scale: float, ox: float = 0.0, oy: float = 0.0) -> Column:

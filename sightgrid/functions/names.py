@@ -220,5 +220,6 @@ def alert_log_line(alert: dict[str, Column]) -> Column:
     return F.format_string(
         "Alert[%s] %s:%s%s gid=%d pos=(%.2fm,%.2fm) cams=%s conf=%.2f",
         alert["alert_id"], alert["alert_type"], alert["alert_level"], zone, alert["global_id"],
-        alert["x_m"], alert["y_m"], F.concat_ws("+", alert["cameras"]), alert["confidence"],
+        F.bround(alert["x_m"], 2), F.bround(alert["y_m"], 2), F.concat_ws("+", alert["cameras"]),
+        F.bround(alert["confidence"], 2),
     )

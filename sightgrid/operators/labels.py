@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightgrid.functions import names
+from sightgrid.functions.geometry import bbox_to_label
 from sightgrid.operators.ordered import split_ordinal
 
 
@@ -22,11 +23,9 @@ def unknown_classes(annotations: DataFrame) -> DataFrame:
 
 def label_lines(boxes: DataFrame, key: list[str]) -> DataFrame:
     """Label text per box: class and normalised centre box with six decimals."""
-    from sightgrid.functions.geometry import bbox_to_label
-
     b = bbox_to_label(*[F.col(c) for c in ("x", "y", "w", "h", "img_w", "img_h")])
     return boxes.withColumn("_b", b).select(*key, F.format_string(
-        "%d %.6f %.6f %.6f %.6f", F.col("label_id"), F.col("_b.xc"), F.col("_b.yc"), F.col("_b.w"), F.col("_b.h")
+        "%d %.6f %.6f %.6f %.6f", F.col("label_id"), *[F.bround(f"_b.{f}", 6) for f in ("xc", "yc", "w", "h")]
     ).alias("line"))
 
 
@@ -62,23 +61,20 @@ def image_sequence(frames: DataFrame, width: int = 4096) -> DataFrame:
         "stem", F.format_string("%s_obj_%04d", "cam_id", "seq"))
 
 
-def unique_stems(incoming: DataFrame, existing: DataFrame) -> DataFrame:
+def unique_stems(incoming: DataFrame, existing: DataFrame, width: int = 4096) -> DataFrame:
     """Stem each incoming file gets: its own if free, else the first free ``__rfN``.
 
-    The k-th file that needs a suffix takes the k-th number not yet used with that stem; stems that collide are few,
-    so only they are numbered.
+    The k-th file of a stem takes the k-th number not in use with it, number 0 standing for the bare stem.
     """
-    taken = existing.select(
-        F.regexp_replace("stem", r"__rf\d+$", "").alias("base"),
-        F.coalesce(F.nullif(F.regexp_extract("stem", r"__rf(\d+)$", 1), F.lit("")).cast("bigint"), F.lit(0)).alias("n"),
-    ).distinct()
-    first_free = taken.groupBy("base").agg(F.array_sort(F.collect_set("n")).alias("used"))
-    order = Window.partitionBy("stem").orderBy("file_ord")
-    ranked = incoming.withColumn("_k", F.row_number().over(order)).join(
-        first_free, F.col("stem") == F.col("base"), "left")
-    used = F.coalesce("used", F.array().cast("array<bigint>"))
-    # numbers 0.. that are free; k-th file takes the k-th of them (0 stands for the bare stem)
-    free = F.array_except(F.sequence(F.lit(0).cast("bigint"), F.size(used) + F.col("_k").cast("bigint")), used)
-    n = F.element_at(free, F.col("_k"))
-    return ranked.select(
-        "file_ord", "stem", F.when(n == 0, F.col("stem")).otherwise(F.concat("stem", F.lit("__rf"), n)).alias("final_stem"))
+    suffix = r"__rf(\d+)$"
+    taken = existing.select(F.col("stem").alias("base"), F.lit(0).cast("bigint").alias("n")).union(
+        existing.where(F.col("stem").rlike(suffix)).select(
+            F.regexp_replace("stem", suffix, ""), F.regexp_extract("stem", suffix, 1).cast("bigint")))
+    used = taken.groupBy("base").agg(F.array_sort(F.collect_set("n")).alias("used"))
+    placed = split_ordinal(incoming.withColumn("_b", F.floor(F.col("file_ord") / width).cast("bigint")), ["stem"],
+                           ["file_ord"], "_b", "_k")
+    joined = placed.join(used, F.col("stem") == F.col("base"), "left")
+    n = F.aggregate(F.coalesce("used", F.array().cast("array<bigint>")), F.col("_k"),
+                    lambda at, u: F.when(u <= at, at + 1).otherwise(at))
+    return joined.withColumn("_n", n).select("file_ord", "stem", F.when(F.col("_n") == 0, F.col("stem")).otherwise(
+        F.concat("stem", F.lit("__rf"), F.col("_n"))).alias("final_stem"))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sightgrid.operators.ordered import gap_sessions, split_ordinal, split_running, time_bucket
 
 COMPARISON = ["precision", "recall", "f1", "n_faux_positifs", "far_per_hour", "fps", "latency_mean_ms"]
 
@@ -51,12 +56,13 @@ def event_camera_summary(annotations: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def leaderboard(scores: DataFrame, key: str = "model", metric: str = "f1") -> DataFrame:
-    """Mean score over cameras with its rank (models are few, so one ordered pass ranks them)."""
+    """Mean score over cameras with its rank (one more than the number of better ones)."""
     means = scores.groupBy(key).agg(F.round(F.avg(metric), 6).alias(f"mean_{metric}"))
-    board = means.groupBy().agg(F.collect_list(F.struct(F.col(f"mean_{metric}").alias("m"), F.col(key).alias("k"))).alias("all"))
-    return board.select(F.explode("all").alias("r"), "all").select(
-        F.col("r.k").alias(key), F.col("r.m").alias(f"mean_{metric}"),
-        (F.size(F.filter("all", lambda o: o["m"] > F.col("r.m"))) + 1).cast("bigint").alias("rank"))
+    values = means.groupBy((-F.col(f"mean_{metric}")).alias("_s")).agg(F.count(F.lit(1)).alias("_n")).withColumns(
+        {"_all": F.lit(0), "_b": F.floor(F.col("_s") * 100)})
+    upto = split_running(values, ["_all"], ["_s"], "_b", F.col("_n"), "sum", "_upto")
+    ranks = upto.select((-F.col("_s")).alias(f"mean_{metric}"), (F.col("_upto") - F.col("_n") + 1).alias("rank"))
+    return means.join(ranks, f"mean_{metric}").select(key, f"mean_{metric}", "rank")
 
 
 def recent_alerts(alerts: DataFrame, limit: int = 80) -> DataFrame:
@@ -77,12 +83,6 @@ def group_truth_events(annotations: DataFrame, rooms: dict[str, int], window_ms:
     Items more than the window apart cannot share a group, so the timeline is cut at such gaps and only the islands
     are walked in order.
     """
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql import types as T
-
-    from sightgrid.operators.ordered import gap_sessions, split_ordinal, time_bucket
-
     room = F.create_map(*[F.lit(x) for kv in rooms.items() for x in kv])
     placed = annotations.withColumn("room", F.try_element_at(room, F.col("cam_id")).cast("bigint")).withColumn(
         "t_ms", F.col("t_ms").cast("double"))

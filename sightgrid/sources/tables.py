@@ -95,7 +95,7 @@ DEMO_SITE = Site(
 
 def _quoted(values) -> str:
     return ", ".join("(" + ", ".join(
-        "NULL" if v is None else f"'{v}'" if isinstance(v, str) else repr(float(v)) + "E0"
+        "NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v:.10f}E0"
         if isinstance(v, float) else str(v) for v in row) + ")" for row in values)
 
 
@@ -103,25 +103,25 @@ def _edges(site: Site):
     for i, z in enumerate(site.zones):
         n = len(z.polygon)
         for k in range(n):
-            (ax, ay), (bx, by) = z.polygon[k], z.polygon[(k + 1) % n]
-            yield z.zone_id, i, k, float(ax), float(ay), float(bx), float(by)
+            (ax, ay), (bx, by_) = z.polygon[k], z.polygon[(k + 1) % n]
+            yield z.zone_id, i, k, float(ax), float(ay), float(bx), float(by_)
 
 
 ZONE_SQL = (
-    "zone_edges(zone_id, zone_ord, edge_ord, ax, ay, bx, by) AS (VALUES " + _quoted(_edges(DEMO_SITE)) + "), "
+    "zone_edges(zone_id, zone_ord, edge_ord, ax, ay, bx, by_) AS (VALUES " + _quoted(_edges(DEMO_SITE)) + "), "
     "zone_cams(zone_id, cam_id) AS (VALUES " + _quoted((z.zone_id, c) for z in DEMO_SITE.zones for c in z.cameras)
     + ")"
 )
 CAM_SQL = "cams(cam_id, h00, h01, h02, h10, h11, h12, h20, h21, h22, mean_error_cm, max_error_cm, cw, ch) AS (VALUES " \
     + _quoted((c.cam_id, *c.matrix, c.mean_error_cm, c.max_error_cm, *c.resolution) for c in DEMO_SITE.cameras) + ")"
-OVERLAP_SQL = "overlaps(room_id, cam_a, cam_b) AS (VALUES " + _quoted(DEMO_SITE.overlaps) + ")"
+OVERLAP_SQL = "cam_overlaps(room_id, cam_a, cam_b) AS (VALUES " + _quoted(DEMO_SITE.overlaps) + ")"
 
 ON_EDGE_SQL = (
-    "(abs((bx - ax) * (y_m - ay) - (by - ay) * (x_m - ax)) <= 1e-9 AND x_m BETWEEN least(ax, bx) AND greatest(ax, bx)"
-    " AND y_m BETWEEN least(ay, by) AND greatest(ay, by))"
+    "(abs((bx - ax) * (y_m - ay) - (by_ - ay) * (x_m - ax)) <= 1e-9 AND x_m BETWEEN least(ax, bx) AND greatest(ax, bx)"
+    " AND y_m BETWEEN least(ay, by_) AND greatest(ay, by_))"
 )
 CROSS_SQL = (
-    "((ay > y_m) <> (by > y_m) AND x_m < (bx - ax) * (y_m - ay) / nullif(by - ay, 0) + ax)"
+    "((ay > y_m) <> (by_ > y_m) AND x_m < (bx - ax) * (y_m - ay) / nullif(by_ - ay, 0) + ax)"
 )
 # (det row, zone) pairs with the point inside or on the border
 HITS_SQL = DET_SQL + ", " + ZONE_SQL + f""", hits AS (
