@@ -117,3 +117,15 @@ def group_truth_events(annotations: DataFrame, rooms: dict[str, int], window_ms:
         "room", "head", "t_ref", (F.col("_n") + 1).alias("event_id"))
     return rows.withColumn("head", F.col("founder.ann_ord")).drop("founder").join(numbered, ["room", "head"]).select(
         "room", "class_name", "ann_ord", "cam_id", "t_ms", "t_ref", "event_id")
+
+
+def missing_inputs(present: DataFrame, expected: list[str], column: str) -> DataFrame:
+    """Expected names that have no row."""
+    spine = present.sparkSession.createDataFrame([(e,) for e in expected], f"{column} string")
+    return spine.join(present.select(column).distinct(), column, "left_anti")
+
+
+def map_truth_cameras(truth: DataFrame, bridge: dict[str, str]) -> DataFrame:
+    """Truth rows with the pipeline's camera id (``gt_camera`` is the annotated id); unmapped ids drop out."""
+    table = F.create_map(*[F.lit(x) for kv in bridge.items() for x in kv])
+    return truth.withColumn("cam_id", F.try_element_at(table, F.col("gt_camera"))).where(F.col("cam_id").isNotNull())

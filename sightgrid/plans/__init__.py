@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("alerting", "scalars", "fusion")
+MODULES = ("alerting", "scalars", "fusion", "evaluation")
 
 
 def registry() -> dict:
