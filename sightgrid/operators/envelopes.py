@@ -131,14 +131,13 @@ def validate_envelopes(facts: DataFrame) -> DataFrame:
         F.count(F.when(F.col("incomplete"), 1)).alias("missing_envelope"),
         F.sum("missing_detection").alias("missing_detection"), F.sum("missing_alert").alias("missing_alert"))
     steps = publish_intervals(facts)
-    backwards = steps.groupBy("file").agg(F.count(F.when(F.col("backwards"), 1)).alias("frame_backwards"),
-                                          F.avg("interval_ms").alias("_i_mean"))
+    backwards = steps.groupBy("file").agg(F.count(F.when(F.col("backwards"), 1)).alias("frame_backwards"))
     lags = facts.where((F.col("newest_ts") > 0) & F.col("created_s").isNotNull()).select(
         "file", ((F.col("created_s") - F.col("newest_ts")) * 1000.0).alias("lag_ms"))
-    out = counts.join(backwards, "file", "left").join(
-        exact_percentiles(steps, ["file"], F.col("interval_ms"), {"_i_p95": (0.95, "nearest")}).drop("n"), "file", "left"
-    ).join(lags.groupBy("file").agg(F.avg("lag_ms").alias("_l_mean")), "file", "left").join(
-        exact_percentiles(lags, ["file"], F.col("lag_ms"), {"_l_p95": (0.95, "nearest")}).drop("n"), "file", "left")
+    out = counts.join(backwards, "file", "left")
+    for df, value, tag in ((steps, "interval_ms", "_i"), (lags, "lag_ms", "_l")):
+        p95 = exact_percentiles(df, ["file"], F.col(value), {f"{tag}_p95": (0.95, "nearest")})
+        out = out.join(p95.select("file", f"{tag}_p95", F.col("mean").alias(f"{tag}_mean")), "file", "left")
     for column in ("cameras", "classes", "alert_types"):
         out = out.join(_names(facts, column), "file", "left")
     return out.fillna(0).fillna("").select(

@@ -64,10 +64,9 @@ def stage_latency(trace: DataFrame, keys: list[str]) -> DataFrame:
     long = trace.unpivot(keys, [F.col(c).alias(c) for c in STAGES.values()], "stage_column", "ms")
     by = [*keys, "stage_column"]
     pct = exact_percentiles(long, by, F.col("ms"), {"_p95": (0.95, "linear")})
-    mean = long.groupBy(*by).agg(F.avg("ms").alias("_mean"))
     label = F.create_map(*[F.lit(x) for k, v in STAGES.items() for x in (v, k)])
-    return pct.join(mean, by).select(
-        *keys, F.try_element_at(label, F.col("stage_column")).alias("stage"), F.round("_mean", 6).alias("mean_ms"),
+    return pct.select(
+        *keys, F.try_element_at(label, F.col("stage_column")).alias("stage"), F.round("mean", 6).alias("mean_ms"),
         F.round("_p95", 6).alias("p95_ms"))
 
 

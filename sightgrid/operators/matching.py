@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from sightgrid.functions import names
 from sightgrid.operators.ordered import frame_bucket, gap_sessions, split_running, time_bucket
 from sightgrid.operators.quantiles import exact_percentiles
+from sightgrid.session import cut_lineage
 
 TOLERANCE_S = 10.0
 MERGE_GAP_S = 3.0
@@ -143,7 +144,8 @@ def match_events(
     ).unionByName(near.select(*keys, F.col("alert_t").cast("double").alias("t"), F.struct(
         F.col("alert_ord").alias("ord"), F.col("alert_t").cast("double").alias("t"), "copies").alias("alert")
     ), allowMissingColumns=True)
-    islands = gap_sessions(line, keys, "t", tolerance, "_island", width).groupBy(*keys, "_island").agg(
+    # what is left is only the truth events and the alerts next to them; cutting here keeps the later passes on that
+    islands = gap_sessions(cut_lineage(line), keys, "t", tolerance, "_island", width).groupBy(*keys, "_island").agg(
         F.array_sort(F.collect_list("truth")).alias("ts"), F.array_sort(F.collect_list("alert")).alias("as"))
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -202,21 +204,19 @@ def delay_stats(matches: DataFrame, keys: list[str]) -> DataFrame:
     """Median, p95, mean, min and max of the matched delays (keys without a match do not appear)."""
     hit = matches.where(F.col("delay").isNotNull())
     pct = exact_percentiles(hit, keys, F.col("delay"), {"_p50": (0.5, "linear"), "_p95": (0.95, "linear")})
-    flat = hit.groupBy(*keys).agg(F.avg("delay").alias("_mean"), F.min("delay").alias("_min"),
-                                  F.max("delay").alias("_max"))
-    return pct.join(flat, keys).select(
+    return pct.select(
         *keys, F.round("_p50", 3).alias("delay_median"), F.round("_p95", 3).alias("delay_p95"),
-        F.round("_mean", 3).alias("delay_mean"), F.round("_min", 3).alias("delay_min"),
-        F.round("_max", 3).alias("delay_max"),
+        F.round("mean", 3).alias("delay_mean"), F.round("min", 3).alias("delay_min"), F.round("max", 3).alias("delay_max"),
     )
 
 
 def score_events(truth: DataFrame, alerts: DataFrame, keys: list[str], merge_gap: float = 0.0,
                  tolerance: float = TOLERANCE_S) -> DataFrame:
     """Event score per key: matches in truth order, false positives raw or merged, precision, recall, F1, delays."""
-    matches = match_events(truth, alerts, keys, "truth_order", tolerance)
+    matches = cut_lineage(match_events(truth, alerts, keys, "truth_order", tolerance))
     left = unmatched_instants(alerts, matches, keys)
     if merge_gap > 0:
+        left = cut_lineage(left)
         fp = gap_sessions(left, keys, "alert_t", merge_gap, "_s").groupBy(*keys, "_s").count().groupBy(*keys).agg(
             F.count(F.lit(1)).alias("fp"))
     else:

@@ -15,7 +15,7 @@ MARGIN = 5.0 / ACCURACY
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: Column, ps: dict[str, tuple[float, str]]) -> DataFrame:
-    """Columns ``keys + ["n"] + list(ps)``.
+    """Columns ``keys + ["n", "mean", "min", "max"] + list(ps)``.
 
     ``ps`` maps an output name to (fraction, method); the method is ``linear`` (interpolated) or ``nearest``
     (rank rounded half to even).
@@ -29,7 +29,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: Column, ps: dict[st
     probes = [x for p, _ in ps.values() for x in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
     sketch = base.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", probes, ACCURACY).alias("_q"),
-        F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+        F.min("_v").alias("min"), F.max("_v").alias("max"), F.avg("_v").alias("mean"),
     )
     counts = base.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
 
@@ -52,16 +52,16 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: Column, ps: dict[st
         holds = (below <= low_rank) & (high_rank < below + inside)
         specs.append(F.struct(
             F.lit(i).alias("i"),
-            F.when(holds, F.col("_q")[2 * i]).otherwise(F.col("_min")).alias("low"),
-            F.when(holds, F.col("_q")[2 * i + 1]).otherwise(F.col("_max")).alias("high"),
+            F.when(holds, F.col("_q")[2 * i]).otherwise(F.col("min")).alias("low"),
+            F.when(holds, F.col("_q")[2 * i + 1]).otherwise(F.col("max")).alias("high"),
             F.when(holds, below).otherwise(F.lit(0)).cast("bigint").alias("below"),
             low_rank.alias("r0"), high_rank.alias("r1"),
             (at - F.floor(at)).alias("frac"),
         ))
-    plan = sketch.join(tally, by).select(*by, "n", F.array(*specs).alias("_specs"))
+    plan = sketch.join(tally, by).select(*by, "n", "mean", "min", "max", F.array(*specs).alias("_specs"))
 
     hits = counts.join(plan, by).select(
-        *by, "n", "_v", "_c",
+        *by, "n", "mean", "min", "max", "_v", "_c",
         F.explode(F.filter("_specs", lambda s: F.col("_v").between(s["low"], s["high"]))).alias("_s"),
     )
     upto = Window.partitionBy(*by, "_s.i").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -71,7 +71,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: Column, ps: dict[st
         return (F.col("_cum") > F.col(rank)) & (F.col("_cum") - F.col("_c") <= F.col(rank))
 
     picked = ranked.where(holds_rank("_s.r0") | holds_rank("_s.r1")).groupBy(*by).agg(
-        F.max("n").alias("n"),
+        *[F.max(x).alias(x) for x in ("n", "mean", "min", "max")],
         *[
             agg.alias(alias)
             for i in range(len(ps))
@@ -87,7 +87,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: Column, ps: dict[st
          else F.col(f"_v0_{i}") + (F.col(f"_v1_{i}") - F.col(f"_v0_{i}")) * F.col(f"_f_{i}")).alias(name)
         for i, (name, (_, method)) in enumerate(ps.items())
     ]
-    return picked.select(*keys, "n", *outs)
+    return picked.select(*keys, "n", "mean", "min", "max", *outs)
 
 
 def latency_stats(df: DataFrame, keys: list[str], ms: Column, digits: int = 3, p95: str = "linear",
@@ -96,9 +96,8 @@ def latency_stats(df: DataFrame, keys: list[str], ms: Column, digits: int = 3, p
     by = keys or ["_all"]
     named = df.withColumn("_all", F.lit(0)).select(*by, ms.cast("double").alias("_ms")).where(F.col("_ms").isNotNull())
     pct = exact_percentiles(named, by, F.col("_ms"), {"_p50": (0.5, "linear"), "_p95": (0.95, p95)})
-    flat = named.groupBy(*by).agg(F.avg("_ms").alias("_mean"), F.max("_ms").alias("_max"))
-    return pct.join(flat, by).select(
+    return pct.select(
         *keys, "n",
-        F.round("_mean", digits).alias(f"{prefix}_mean_ms"), F.round("_p50", digits).alias(f"{prefix}_median_ms"),
-        F.round("_p95", digits).alias(f"{prefix}_p95_ms"), F.round("_max", digits).alias(f"{prefix}_max_ms"),
+        F.round("mean", digits).alias(f"{prefix}_mean_ms"), F.round("_p50", digits).alias(f"{prefix}_median_ms"),
+        F.round("_p95", digits).alias(f"{prefix}_p95_ms"), F.round("max", digits).alias(f"{prefix}_max_ms"),
     )

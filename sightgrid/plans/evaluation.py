@@ -191,8 +191,8 @@ def grouped_truth_events(spark, sf):
 
 def _model_scores(spark, sf):
     d = raw_detections(spark, sf)
-    pct = exact_percentiles(d, ["model"], c("value"), {"delay_median": (0.5, "linear")}).drop("n")
-    return pct.join(d.groupBy("model").agg(F.round(1000.0 / F.avg("value"), 6).alias("fps")), "model")
+    pct = exact_percentiles(d, ["model"], c("value"), {"delay_median": (0.5, "linear")})
+    return pct.withColumn("fps", F.round(1000.0 / c("mean"), 6))
 
 
 def best_model(spark, sf):
