@@ -1,6 +1,7 @@
 """Registered queries: matching alerts with truth events, windows, association truth, scores.
 
-Truth events are every 97th event; the tolerance is wide because the view has minutes between events.
+Events with an outstanding value stand for the annotated ones, all others for alerts; the tolerance is wide because the
+view has minutes between events.
 """
 
 from __future__ import annotations
@@ -15,24 +16,25 @@ from sightgrid.sources.tables import DEMO_SITE, DET_SQL, RAW_SQL, detections, ra
 
 c = F.col
 TOL = 900.0
+ANNOTATED = 220.0
 KEYS = ["run_id", "cam_id"]
 
 
 def _truth(spark, sf):
     """Appearance frame: the event's second, at one frame per second from the epoch."""
-    return raw_detections(spark, sf).where(c("det_id") % 97 == 0).select(
+    return raw_detections(spark, sf).where(c("value") >= ANNOTATED).select(
         "run_id", "cam_id", "class_name", c("det_id").alias("truth_ord"), c("ts_s").alias("truth_t"), "frame",
         c("frame").alias("appear_frame"))
 
 
 def _alerts(spark, sf):
-    return raw_detections(spark, sf).where((c("det_id") % 97 != 0) & (c("det_id") % 3 == 0)).select(
+    return raw_detections(spark, sf).where(c("value") < ANNOTATED).select(
         "run_id", "cam_id", c("det_id").alias("alert_ord"), c("ts_s").alias("alert_t"), "ts_s", "class_name", "confidence",
         "det_ord", "frame")
 
 
 TRUTH_SQL = RAW_SQL + """, t AS (SELECT *, row_number() OVER (PARTITION BY cam_id ORDER BY det_id) AS i FROM raw_det
- WHERE det_id % 97 = 0), a AS (SELECT * FROM raw_det WHERE det_id % 97 <> 0 AND det_id % 3 = 0)"""
+ WHERE value >= 220), a AS (SELECT * FROM raw_det WHERE value < 220)"""
 
 
 def _walk(choice: str) -> str:
@@ -141,7 +143,7 @@ def _links(spark, sf):
 
 def _truth_links(spark, sf):
     other = F.when(c("cam_id") == "cam_07", "cam_02").otherwise("cam_07")
-    return detections(spark, sf).where(c("det_id") % 13 == 0).select(
+    return detections(spark, sf).select(
         c("det_id").alias("truth_ord"), "frame",
         names.canonical_pair(c("cam_id"), c("track_id"), other, c("track_id")).alias("pair"),
         (c("det_id") % 2 == 0).alias("expected_same"))
@@ -161,7 +163,7 @@ LINK_SQL = f"""{GID_SQL}, links AS (SELECT a.frame, a.cam_id || '|' || a.track_i
   printf('%010d %04d %s %s %04d %04d', a.frame, a.global_id, a.cam_id, b.cam_id, a.track_id, b.track_id) AS po
   FROM gdet a JOIN gdet b ON a.frame = b.frame AND a.global_id = b.global_id AND a.cam_id < b.cam_id),
  tl AS (SELECT det_id AS truth_ord, frame, CASE WHEN cam_id = 'cam_07' THEN 'cam_02|' || track_id || '|cam_07|' || track_id
-  ELSE cam_id || '|' || track_id || '|cam_07|' || track_id END AS pair, det_id % 2 = 0 AS expected_same FROM det WHERE det_id % 13 = 0),
+  ELSE cam_id || '|' || track_id || '|cam_07|' || track_id END AS pair, det_id % 2 = 0 AS expected_same FROM det),
  judged AS (SELECT truth_ord, any_value(tl.frame) AS frame, any_value(expected_same) AS expected_same, count(po) > 0 AS predicted_same,
   arg_min(links.frame, po) AS matched_frame, min(po) AS matched_ord FROM tl LEFT JOIN links ON links.pair = tl.pair
   AND abs(links.frame - tl.frame) <= 3 GROUP BY truth_ord),
@@ -183,7 +185,7 @@ def mapped_truth(spark, sf):
 
 def grouped_truth_events(spark, sf):
     """Annotations of one event over the cameras of a room, 15 min apart at most (the view's time scale)."""
-    ann = raw_detections(spark, sf).where(c("det_id") % 7 == 0).select(
+    ann = raw_detections(spark, sf).select(
         "cam_id", "class_name", c("det_id").alias("ann_ord"), (c("ts_s") * 1000.0).alias("t_ms"))
     return reports.group_truth_events(ann, {"cam_03": 1, "cam_05": 1, "cam_07": 1, "cam_02": 2}, 900_000.0).select(
         "room", "class_name", "ann_ord", "event_id")
@@ -248,7 +250,7 @@ QUERIES = {
       GROUP BY cam_id) {SCORE_TAIL}"""),
     "intrusion_scores": (intrusion_scores, None),
     "object_scores": (object_scores, None),
-    "first_detections": (first_detections, f"""WITH {DET_SQL}, t AS (SELECT * FROM raw_det WHERE det_id % 97 = 0)
+    "first_detections": (first_detections, f"""WITH {DET_SQL}, t AS (SELECT * FROM raw_det WHERE value >= 220)
       SELECT truth_ord, appear_frame, alert_frame, alert_frame - appear_frame AS delay_frames,
       round((alert_frame - appear_frame) / 25.0E0, 3) AS delay_s FROM (SELECT t.det_id AS truth_ord, any_value(t.frame) AS
       appear_frame, min(d.frame) AS alert_frame FROM t LEFT JOIN det d ON d.cam_id = t.cam_id AND d.class_name = t.class_name
@@ -264,7 +266,7 @@ QUERIES = {
       end_time, round(max(ts_s) - min(ts_s), 3) AS duration_s, count(*) AS n_detections, arg_min(class_name, (ts_s, det_ord)) AS
       class_name, round(avg(confidence), 4) AS avg_confidence FROM s GROUP BY cam_id, g"""),
     "nearest_annotations": (nearest_annotations, f"""WITH {DET_SQL}, t AS (SELECT cam_id, frame, det_id FROM raw_det WHERE
-      det_id % 97 = 0) SELECT d.det_id, arg_min(t.det_id, (abs(t.frame - d.frame), t.det_id)) AS truth_ord,
+      value >= 220) SELECT d.det_id, arg_min(t.det_id, (abs(t.frame - d.frame), t.det_id)) AS truth_ord,
       min(abs(t.frame - d.frame)) AS gap FROM det d LEFT JOIN t ON t.cam_id = d.cam_id GROUP BY d.det_id"""),
     "truth_link_join": (truth_link_join, f"""WITH {LINK_SQL} SELECT truth_ord, frame, expected_same, predicted_same,
       matched_frame, result FROM res"""),

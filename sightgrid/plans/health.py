@@ -170,9 +170,9 @@ def resampled(spark, sf):
 
 
 def snapshot_staleness(spark, sf):
-    """Age of the camera's last inference (every fifth event) at each other event; fresh within 20 minutes here."""
-    d = raw_detections(spark, sf).select("run_id", "cam_id", "det_id", "ts_s")
-    return health.snapshot_staleness(d.where("det_id % 5 <> 0"), d.where("det_id % 5 = 0"), ["run_id", "cam_id"], 1_200_000.0) \
+    """Age of the camera's last inference (a view event) at each other event; fresh within 20 minutes here."""
+    d = raw_detections(spark, sf).select("run_id", "cam_id", "det_id", "ts_s", "event_type")
+    return health.snapshot_staleness(d.where("event_type <> 'view'"), d.where("event_type = 'view'").drop("event_type"), ["run_id", "cam_id"], 1_200_000.0) \
         .select("det_id", "age_ms", "fresh")
 
 
@@ -189,7 +189,7 @@ def overlay_lookup(spark, sf):
 
 def camera_freshness(spark, sf):
     """State of every camera at the end of each day (limits in hours here instead of seconds)."""
-    d = raw_detections(spark, sf).where(c("det_id") % 5 != 0)
+    d = raw_detections(spark, sf)
     day = F.floor(c("ts_s") / 86400).cast("bigint")
     last = d.groupBy("cam_id", day.alias("day")).agg(F.max("ts_s").alias("last_s"))
     return last.select("cam_id", "day", health.camera_freshness(
@@ -300,14 +300,14 @@ QUERIES = {
       SELECT cam_id, unnest(range(k, coalesce(nk, k + 1))) AS tick, o[2] AS det_ord,
       unnest(range(k, coalesce(nk, k + 1))) > k AS duplicated FROM n"""),
     "snapshot_staleness": (snapshot_staleness, f"""WITH {RAW_SQL} SELECT det_id, age_ms, coalesce(age_ms <= 1200000, false) AS fresh
-      FROM (SELECT a.det_id, round((a.ts_s - b.ts_s) * 1000.0E0, 3) AS age_ms FROM (SELECT * FROM raw_det WHERE det_id % 5 <> 0) a
-      ASOF LEFT JOIN (SELECT * FROM raw_det WHERE det_id % 5 = 0) b ON a.cam_id = b.cam_id AND a.ts_s >= b.ts_s) q"""),
+      FROM (SELECT a.det_id, round((a.ts_s - b.ts_s) * 1000.0E0, 3) AS age_ms FROM (SELECT * FROM raw_det WHERE event_type <> 'view') a
+      ASOF LEFT JOIN (SELECT * FROM raw_det WHERE event_type = 'view') b ON a.cam_id = b.cam_id AND a.ts_s >= b.ts_s) q"""),
     "overlay_lookup": (overlay_lookup, f"""WITH {DET_SQL}, e AS (SELECT frame, max(ts_s) * 1000.0E0 AS s FROM det GROUP BY frame)
       SELECT det_id, e.frame AS overlay_frame FROM (SELECT det_id, ts_s * 1000.0E0 - 7200000.0E0 AS t FROM raw_det) r
       ASOF LEFT JOIN e ON r.t >= e.s"""),
     "camera_freshness": (camera_freshness, f"""WITH {RAW_SQL} SELECT cam_id, day, CASE WHEN a < 2200 THEN 'live' WHEN a < 7000 THEN
       'stale' ELSE 'off' END AS state FROM (SELECT cam_id, CAST(floor(ts_s / 86400) AS BIGINT) AS day,
-      (CAST(floor(any_value(ts_s) / 86400) AS BIGINT) + 1) * 86400.0E0 - max(ts_s) AS a FROM raw_det WHERE det_id % 5 <> 0
+      (CAST(floor(any_value(ts_s) / 86400) AS BIGINT) + 1) * 86400.0E0 - max(ts_s) AS a FROM raw_det
       GROUP BY cam_id, CAST(floor(ts_s / 86400) AS BIGINT)) q"""),
     "envelope_counts": (envelope_counts, f"""WITH {GID_SQL} SELECT frame, round((max(ts_s) * 1000.0E0 + frame * 37 % 500) / 1000.0E0, 3)
       AS created_s, count(*) AS detections, round(sum(x_m), 3) AS sum_x FROM gdet WHERE frame % 3 = 0 GROUP BY frame"""),

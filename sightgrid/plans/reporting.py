@@ -86,7 +86,7 @@ REPROJECTION_SQL = f"""WITH {RAW_SQL}, e AS (SELECT cam_id, sqrt(power((det_id %
 
 
 def reference_points(spark, sf):
-    d = raw_detections(spark, sf).where(c("det_id") % 50 < 4).select(
+    d = raw_detections(spark, sf).select(
         F.concat_ws("_", "cam_id", "event_type").alias("cam_id"), F.floor("x_m").cast("double").alias("x_m"),
         F.when(c("event_type") == "error", 0.0).otherwise(F.floor("y_m") % 2).cast("double").alias("y_m"))
     return audit.reference_point_checks(d)
@@ -134,8 +134,8 @@ def excluded_labels(spark, sf):
 
 
 def label_reconcile(spark, sf):
-    d = raw_detections(spark, sf).select(F.concat_ws("_", "cam_id", "frame").alias("stem"), "det_id", "track_id")
-    return labels.label_set_report(d.where(c("track_id") < 8), d.where(c("det_id") % 5 == 0))
+    d = raw_detections(spark, sf).select(F.concat_ws("_", "cam_id", "frame").alias("stem"), "event_type")
+    return labels.label_set_report(d.where("event_type = 'signup'"), d.where("event_type <> 'signup'"))
 
 
 def image_sequence(spark, sf):
@@ -144,16 +144,16 @@ def image_sequence(spark, sf):
 
 def unique_stems(spark, sf):
     d = raw_detections(spark, sf)
-    incoming = d.where(c("det_id") % 3 == 0).select(c("det_id").alias("file_ord"), F.concat_ws("_", "cam_id", "track_id").alias("stem"))
-    existing = d.where(c("det_id") % 7 == 0).select(F.concat("cam_id", F.lit("_"), c("track_id"), F.when(
+    incoming = d.where("event_type <> 'error'").select(c("det_id").alias("file_ord"), F.concat_ws("_", "cam_id", "track_id").alias("stem"))
+    existing = d.where("event_type = 'error'").select(F.concat("cam_id", F.lit("_"), c("track_id"), F.when(
         c("det_id") % 2 == 0, "").otherwise(F.concat(F.lit("__rf"), (c("det_id") % 4 + 1).cast("string")))).alias("stem"))
     return labels.unique_stems(incoming, existing)
 
 
 STEMS_SQL = f"""WITH {RAW_SQL}, inc AS (SELECT det_id AS file_ord, cam_id || '_' || track_id AS stem, row_number() OVER (PARTITION BY
-  cam_id, track_id ORDER BY det_id) AS k FROM raw_det WHERE det_id % 3 = 0),
+  cam_id, track_id ORDER BY det_id) AS k FROM raw_det WHERE event_type <> 'error'),
  ex AS (SELECT DISTINCT cam_id || '_' || track_id AS stem, CASE WHEN det_id % 2 = 0 THEN 0 ELSE det_id % 4 + 1 END AS n FROM raw_det
-  WHERE det_id % 7 = 0),
+  WHERE event_type = 'error'),
  free AS (SELECT stem, n, row_number() OVER (PARTITION BY stem ORDER BY n) AS k FROM (SELECT DISTINCT stem, unnest(range(0, 4000)) AS n
   FROM inc) r WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.stem = r.stem AND ex.n = r.n))
  SELECT file_ord, inc.stem, CASE WHEN n = 0 THEN inc.stem ELSE inc.stem || '__rf' || n END AS final_stem
@@ -209,7 +209,7 @@ def run_paths(spark, sf):
 
 def ordered_truth(spark, sf):
     """Truth events in frame order (the order matters to readers, the check compares the rows)."""
-    return raw_detections(spark, sf).where(c("det_id") % 97 == 0).select("cam_id", "frame", "det_id").orderBy("frame", "det_id")
+    return raw_detections(spark, sf).where(c("value") >= 220.0).select("cam_id", "frame", "det_id").orderBy("frame", "det_id")
 
 
 QUERIES = {
@@ -228,7 +228,7 @@ QUERIES = {
     "worst_calibration": (worst_calibration, f"""WITH {AUDIT_SQL} SELECT alert_key, worst_mean_error_cm, worst_max_error_cm FROM au"""),
     "reprojection_report": (reprojection_report, REPROJECTION_SQL),
     "reference_points": (reference_points, f"""WITH {RAW_SQL}, p AS (SELECT cam_id || '_' || event_type AS cam_id, floor(x_m) AS x,
-      CASE WHEN event_type = 'error' THEN 0 ELSE CAST(floor(y_m) AS BIGINT) % 2 END AS y FROM raw_det WHERE det_id % 50 < 4)
+      CASE WHEN event_type = 'error' THEN 0 ELSE CAST(floor(y_m) AS BIGINT) % 2 END AS y FROM raw_det)
       SELECT cam_id, count(*) AS n_points, count(DISTINCT (x, y)) AS distinct_points, count(DISTINCT (x, y)) >= 4 AND
       max(greatest(abs(x), abs(y))) > 1e-8 AS usable FROM p GROUP BY cam_id"""),
     "parsed_alert_log": (parsed_alert_log, f"""WITH {DET_SQL} SELECT det_id AS line_no, printf('%08d', det_id) AS alert_id,
@@ -243,8 +243,8 @@ QUERIES = {
       (0, 2, 5)) AS mapped, count(*) FILTER (WHERE det_id % 8 NOT IN (0, 2, 5)) AS removed FROM raw_det GROUP BY cam_id"""),
     "excluded_labels": (excluded_labels, f"""WITH {RAW_SQL} SELECT cam_id, count(*) AS kept, CAST(5 AS BIGINT) AS classes FROM raw_det
       WHERE det_id % 7 NOT IN (3, 6) GROUP BY cam_id"""),
-    "label_reconcile": (label_reconcile, f"""WITH {RAW_SQL}, s AS (SELECT cam_id || '_' || frame AS stem, det_id, track_id FROM raw_det),
-      l AS (SELECT DISTINCT stem FROM s WHERE track_id < 8), i AS (SELECT DISTINCT stem FROM s WHERE det_id % 5 = 0)
+    "label_reconcile": (label_reconcile, f"""WITH {RAW_SQL}, s AS (SELECT cam_id || '_' || frame AS stem, event_type FROM raw_det),
+      l AS (SELECT DISTINCT stem FROM s WHERE event_type = 'signup'), i AS (SELECT DISTINCT stem FROM s WHERE event_type <> 'signup')
       SELECT stem, 'label_without_image' AS problem FROM l WHERE stem NOT IN (SELECT stem FROM i) UNION ALL
       SELECT stem, 'image_without_label' FROM i WHERE stem NOT IN (SELECT stem FROM l)"""),
     "image_sequence": (image_sequence, f"""WITH {DET_SQL} SELECT cam_id, frame, seq, printf('%s_obj_%04d', cam_id, seq) AS stem FROM (
@@ -269,5 +269,5 @@ QUERIES = {
     "run_paths": (run_paths, f"""WITH {RAW_SQL} SELECT det_id, CASE WHEN det_id % 3 = 0 THEN '' ELSE 'fp32_engine' END AS format,
       CASE WHEN det_id % 3 = 0 THEN '' ELSE cam_id END AS camera, CASE WHEN det_id % 3 <> 0 AND det_id % 2 = 0 THEN model ELSE '' END
       AS model_hint FROM raw_det"""),
-    "ordered_truth": (ordered_truth, f"""WITH {RAW_SQL} SELECT cam_id, frame, det_id FROM raw_det WHERE det_id % 97 = 0"""),
+    "ordered_truth": (ordered_truth, f"""WITH {RAW_SQL} SELECT cam_id, frame, det_id FROM raw_det WHERE value >= 220"""),
 }
