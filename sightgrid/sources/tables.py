@@ -17,8 +17,18 @@ def epoch_seconds(ts: str = "ts"):
     return F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1e6)
 
 
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``events`` table as a file stream."""
+    batch = table(spark, sf_dir, "events")
+    return spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
 def raw_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a detection of one of four cameras (no de-duplication)."""
+    return as_detections(table(spark, sf_dir, "events"))
+
+
+def as_detections(events: DataFrame) -> DataFrame:
     e, uid = F.col("event_id"), F.col("user_id")
     person = F.col("event_type").isin("click", "view")
     cams = [(0, "cam_02"), (1, "cam_03"), (2, "cam_05")]
@@ -27,7 +37,7 @@ def raw_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
         cam = cam.when(e % 4 == k, name)
     box_w, box_h = (20 + e % 60).cast("double"), (40 + e % 90).cast("double")
     x1, y1 = ((e * 13) % 700).cast("double"), ((e * 29) % 480).cast("double")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.lit("session_1").alias("run_id"), F.concat(F.lit("model_"), (uid % 3).cast("string")).alias("model"),
         e.alias("det_id"), F.floor(epoch_seconds() / 3600).cast("bigint").alias("frame"),
         epoch_seconds().alias("ts_s"), cam.otherwise("cam_07").alias("cam_id"), (uid % 40).alias("track_id"),
@@ -37,7 +47,8 @@ def raw_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
         x1.alias("x1"), y1.alias("y1"), (x1 + box_w).alias("x2"), (y1 + box_h).alias("y2"),
         (4.0 + (F.round(F.col("value") * 100).cast("bigint") % 500).cast("double") / 100).alias("x_m"),
         (2.0 + ((e * 37) % 500).cast("double") / 100).alias("y_m"),
-        F.col("event_type"), F.col("value"), ((e % 4) * F.lit(10**12) + e).alias("det_ord"),
+        F.col("event_type"), F.col("value"), F.col("ts").cast("timestamp").alias("event_time"),
+        ((e % 4) * F.lit(10**12) + e).alias("det_ord"),
     )
 
 
