@@ -164,27 +164,34 @@ def gate(links: DataFrame, max_distance: float) -> DataFrame:
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
-def _components(ends_a: pd.Series, ends_b: pd.Series, sizes: pd.Series) -> pd.Series:
-    """Smallest connected node index for every node, for all frames of the batch together."""
-    sizes = sizes.to_numpy()
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
-    counts = ends_a.map(len).to_numpy()
-    shift = np.repeat(offsets[:-1], counts)
-    a = np.concatenate([*(np.asarray(e, dtype=np.int64) for e in ends_a), np.empty(0, np.int64)]) + shift
-    b = np.concatenate([*(np.asarray(e, dtype=np.int64) for e in ends_b), np.empty(0, np.int64)]) + shift
-    label = np.arange(offsets[-1])
+def _components(cams: pd.Series, tracks: pd.Series, classes: pd.Series) -> pd.Series:
+    """Flat (node, component) positions per frame, all frames of the batch together.
+
+    A frame lists the left ends of its links and then, in the same order, the right ends; a position points into that
+    list. A component is represented by its smallest node.
+    """
+    counts = cams.map(len).to_numpy()
+    frame = np.repeat(np.arange(len(counts)), counts)
+    within = np.concatenate([np.arange(n) for n in counts])
+    ends = pd.DataFrame({"frame": frame, "cam": np.concatenate(cams.tolist()), "track": np.concatenate(tracks.tolist()),
+                         "cls": np.concatenate(classes.tolist())})
+    code = ends.groupby(["frame", "cam", "track", "cls"], sort=True).ngroup().to_numpy()
+    left = within < np.repeat(counts // 2, counts)
+    a, b = code[left], code[~left]
+    label = np.arange(code.max() + 1)
     while True:
         low = np.minimum(label[a], label[b])
         new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
+        for at in (label[a], label[b], a, b):
+            np.minimum.at(new, at, low)
         new = new[new]
         if np.array_equal(new, label):
             break
         label = new
-    return pd.Series([label[s:e] - s for s, e in zip(offsets[:-1], offsets[1:])])
+    where, first = np.unique(code, return_index=True)
+    flat = np.column_stack([within[first], within[first[label[where]]]])
+    bounds = np.cumsum(np.bincount(frame[first], minlength=len(counts)))
+    return pd.Series([part.ravel() for part in np.split(flat, bounds[:-1])])
 
 
 def frame_components(links: DataFrame) -> DataFrame:
@@ -197,27 +204,20 @@ def frame_components(links: DataFrame) -> DataFrame:
                       F.col("class_key_a").alias("class_key"))
     node_b = F.struct(F.col("cam_b").alias("cam_id"), F.col("track_id_b").alias("track_id"),
                       F.col("class_key_b").alias("class_key"))
-    frames = (
-        links.select("run_id", "frame", F.struct(node_a.alias("a"), node_b.alias("b")).alias("e"))
-        .groupBy("run_id", "frame").agg(F.collect_list("e").alias("edges"))
-        .withColumn("nodes", F.array_sort(F.array_union(
-            F.transform("edges", lambda e: e["a"]), F.transform("edges", lambda e: e["b"]))))
-    )
-
-    def index(side: str) -> Column:
-        return F.transform("edges", lambda e: F.array_position("nodes", e[side]) - 1)
-
-    labelled = frames.withColumn("_label", _components(index("a"), index("b"), F.size("nodes").cast("bigint")))
-    return (
-        labelled.select("run_id", "frame", "nodes", F.posexplode("_label").alias("_i", "_l"))
-        .select("run_id", "frame", F.element_at("nodes", F.col("_i") + 1).alias("n"),
-                F.element_at("nodes", (F.col("_l") + 1).cast("int")).alias("c"))
-        .select(
-            "run_id", "frame", F.col("n.cam_id").alias("cam_id"), F.col("n.track_id").alias("track_id"),
-            F.col("n.class_key").alias("class_key"), F.col("c.cam_id").alias("comp_cam"),
-            F.col("c.track_id").alias("comp_track"), F.col("c.class_key").alias("comp_class"),
-        )
-    )
+    frames = links.groupBy("run_id", "frame").agg(F.collect_list(F.struct(node_a.alias("a"), node_b.alias("b"))).alias("e"))
+    ends = frames.select("run_id", "frame", F.concat(
+        F.transform("e", lambda e: e["a"]), F.transform("e", lambda e: e["b"])).alias("ends"))
+
+    def field(name: str) -> Column:
+        return F.transform("ends", lambda n: n[name])
+
+    labelled = ends.withColumn("_flat", _components(field("cam_id"), field("track_id"), field("class_key")))
+    at = F.transform(F.sequence(F.lit(0), (F.size("_flat") / 2).cast("int") - 1), lambda k: F.struct(
+        F.col("ends")[F.col("_flat")[k * 2].cast("int")].alias("n"),
+        F.col("ends")[F.col("_flat")[k * 2 + 1].cast("int")].alias("c")))
+    return labelled.select("run_id", "frame", F.explode(at).alias("r")).select(
+        "run_id", "frame", "r.n.*", F.col("r.c.cam_id").alias("comp_cam"), F.col("r.c.track_id").alias("comp_track"),
+        F.col("r.c.class_key").alias("comp_class"))
 
 
 def fusion_links(fused: DataFrame) -> DataFrame:
