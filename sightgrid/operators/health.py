@@ -232,3 +232,8 @@ def visible_e2e_ms(max_video_lag: Column, ai_path: Column, delivery: Column, ove
 def camera_freshness(last_seen_ms: Column, now_ms: Column) -> Column:
     age = now_ms - last_seen_ms
     return F.when(last_seen_ms.isNull(), "off").when(age < 2200, "live").when(age < 7000, "stale").otherwise("off")
+
+
+def with_manifest(summary: DataFrame, manifests: DataFrame) -> DataFrame:
+    """Run rows with the parameters of their manifest, empty where there is none."""
+    return summary.join(manifests, "run_id", "left").fillna("")
