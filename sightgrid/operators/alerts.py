@@ -1,7 +1,7 @@
 """Zone intrusions and forbidden objects: votes per frame, then edges between consecutive processed frames.
 
-State that a sequential detector keeps between frames is expressed as an equi-join of the frame table with itself
-shifted by one ordinal, so no window ever holds a whole entity.
+State that a sequential detector keeps between frames is expressed by letting each row meet its neighbour of the next
+processed frame, so no window ever holds a whole entity.
 """
 
 from __future__ import annotations
@@ -97,15 +97,27 @@ def object_presence(fused: DataFrame, rules: AlertRules = AlertRules()) -> DataF
     )
 
 
+def _beside_neighbour(here: DataFrame, keys: list[str], shift: int, neighbour: Column) -> DataFrame:
+    """``_neighbour``: ``neighbour`` of the row with the same keys one processed frame before (``shift`` 1) or after (-1).
+
+    Each row also leaves a marker at the frame it is the neighbour of; rows and markers of one (keys, frame) meet in a
+    group of at most two, so one shuffle answers the question and no key is ever gathered.
+    """
+    both = here.withColumn("_neighbour", neighbour).withColumn("_m", F.explode(F.array(F.lit(0), F.lit(shift)))).withColumn(
+        "_at", F.col("ord") + F.col("_m"))
+    spot = Window.partitionBy(*keys, "_at")
+    return both.withColumn("_neighbour", F.max(F.when(F.col("_m") != 0, F.col("_neighbour"))).over(spot)).where(
+        "_m = 0").drop("_m", "_at")
+
+
 def consecutive_difference(active: DataFrame, spine: DataFrame, keys: list[str], forward: bool = True) -> DataFrame:
     """Rows of ``active`` whose key is not active in the previous (or next) processed frame.
 
     ``spine`` lists every processed frame of a run with its ordinal, also those with nothing active.
     """
     here = active.join(spine, ["run_id", "frame"])
-    shift = 1 if forward else -1
-    other = here.select(*keys, (F.col("ord") + shift).alias("ord"))
-    return here.join(other, [*keys, "ord"], "left_anti")
+    return _beside_neighbour(here, keys, 1 if forward else -1, F.lit(True)).where(F.col("_neighbour").isNull()).drop(
+        "_neighbour")
 
 
 def zone_entries(voted: DataFrame, spine: DataFrame) -> DataFrame:
@@ -124,10 +136,9 @@ def object_escalations(presence: DataFrame, spine: DataFrame) -> DataFrame:
     """Rows whose level differs from the previous processed frame's, unless that one was already confirmed."""
     keys = ["run_id", "global_id", "object_key"]
     here = presence.where(F.col("alert_level").isNotNull()).join(spine, ["run_id", "frame"])
-    before = here.select(*keys, (F.col("ord") + 1).alias("ord"), F.col("alert_level").alias("_before"))
-    return here.join(before, [*keys, "ord"], "left").where(
-        F.col("_before").isNull() | ((F.col("_before") != F.col("alert_level")) & (F.col("_before") != "confirmed"))
-    ).drop("_before")
+    before = F.col("_neighbour")
+    return _beside_neighbour(here, keys, 1, F.col("alert_level")).where(
+        before.isNull() | ((before != F.col("alert_level")) & (before != "confirmed"))).drop("_neighbour")
 
 
 ALERT_COLUMNS = ["run_id", "frame", "ts_s", "alert_id", "alert_type", "alert_level", "global_id", "zone_id",

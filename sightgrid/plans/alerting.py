@@ -8,7 +8,7 @@ from sightgrid.operators import alerts as A
 from sightgrid.operators import reports
 from sightgrid.operators.ordered import frame_ordinals
 from sightgrid.plans.fusion import GID_SQL, numbered
-from sightgrid.sources.tables import CROSS_SQL, DEMO_SITE, ON_EDGE_SQL, ZONE_SQL, detections
+from sightgrid.sources.tables import CROSS_SQL, DEMO_SITE, ON_EDGE_SQL, ZONE_SQL, detections, raw_detections
 
 c = F.col
 RULES = A.AlertRules(person_ids=(11,), zone_min_votes=1, zone_min_ratio=0.3)
@@ -19,7 +19,7 @@ def _presence(spark, sf):
 
 
 def _spine(spark, sf):
-    return frame_ordinals(detections(spark, sf), ["run_id"])
+    return frame_ordinals(raw_detections(spark, sf), ["run_id"])
 
 
 def zone_presence(spark, sf):
