@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sightgrid import schemas
 from sightgrid.functions import names
+from sightgrid.operators.ordered import split_ordinal
 
 # Fixed value: shape of an alert inside a log line.
 ALERT_PATTERN = (
@@ -46,10 +47,15 @@ def read_envelopes(spark: SparkSession, path: str | list[str], strict: bool = Fa
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``file, line_no, value`` of small text files (one log or one stream dump each)."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("i", "value")).select(
-        "file", (F.col("i") + 1).cast("bigint").alias("line_no"), "value")
+    """``file, line_no, value`` of text files of any size.
+
+    Files are read in blocks; a line's number is its place in its block plus the lines of the earlier blocks.
+    """
+    raw = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"), "value")
+    return split_ordinal(raw, ["file"], ["_id"], "_block", "_n").select(
+        "file", (F.col("_n") + 1).alias("line_no"), "value")
 
 
 def read_ground_truth(spark: SparkSession, path: str | list[str], camera: str | None = None) -> DataFrame:
