@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sightgrid.functions import names
-from sightgrid.operators.ordered import frame_bucket, gap_sessions, split_running, time_bucket
+from sightgrid.operators.ordered import (
+    frame_bucket, gap_sessions, interval_islands, split_ordinal, split_running, time_bucket,
+)
 from sightgrid.operators.quantiles import exact_percentiles
 from sightgrid.session import cut_lineage
 
 TOLERANCE_S = 10.0
 MERGE_GAP_S = 3.0
 ACTIVE_S = 30.0
+SLACK_S = 1e-5
 
 
 # ---- timeline look-ups: a running extreme over a merged timeline replaces a range join
@@ -121,6 +124,30 @@ def _distance_order(t: np.ndarray, a: np.ndarray, n: np.ndarray, tol: float) ->
 _RULES = {"truth_order": _truth_order, "first_free": _first_free, "distance_order": _distance_order}
 
 
+def _reach(truth: DataFrame, instants: DataFrame, keys: list[str], tolerance: float, width: float) -> DataFrame:
+    """``_r``: how far a truth event can have to go for the nearest free alert.
+
+    Only truth events within twice the tolerance can take an alert away. With ``k`` events there, counting itself, one of
+    the ``k`` nearest alerts is always free; the k-th alert on the nearer side bounds them. Where alerts are dense this is
+    far below the tolerance, so islands stay small without leaving anything out.
+    """
+    placed = cut_lineage(split_ordinal(instants.withColumn("_b", time_bucket(F.col("alert_t"), width)), keys, ["alert_t"],
+                                       "_b", "_pos").select(*keys, "alert_t", "_pos"))
+    numbered = split_ordinal(truth.withColumn("_b", time_bucket(F.col("truth_t"), width)), keys, ["truth_t", "truth_ord"],
+                             "_b", "_pos").drop("_b")
+    span = 2 * tolerance + 1e-6
+    out = truth.withColumns({"_lo": F.col("truth_t") - span, "_hi": F.col("truth_t") + span})
+    out = latest_not_after(out, numbered, keys, "_lo", "truth_t", F.col("_pos"), "_p0", width)
+    out = latest_not_after(out, numbered, keys, "_hi", "truth_t", F.col("_pos"), "_p1", width)
+    out = latest_not_after(out, placed, keys, "truth_t", "alert_t", F.col("_pos"), "_pa", width)
+    k = F.col("_p1") - F.coalesce("_p0", F.lit(-1))
+    out = out.withColumns({"_up": F.coalesce("_pa", F.lit(-1)) + k, "_down": F.coalesce("_pa", F.lit(-1)) + 1 - k})
+    for side in ("_up", "_down"):
+        out = out.join(placed.select(*keys, F.col("_pos").alias(side), F.col("alert_t").alias(f"{side}_t")), [*keys, side], "left")
+    return out.withColumn("_r", F.least(F.lit(float(tolerance)), F.col("_up_t") - F.col("truth_t"),
+                                        F.col("truth_t") - F.col("_down_t"))).select(*keys, "truth_ord", "truth_t", "_r")
+
+
 def match_events(
     truth: DataFrame, alerts: DataFrame, keys: list[str], rule: str = "truth_order", tolerance: float = TOLERANCE_S,
     width: float = 3600.0,
@@ -128,24 +155,27 @@ def match_events(
     """One row per truth event (``keys, truth_ord, truth_t``) with ``alert_t, alert_ord, delay`` (NULL if missed).
 
     ``truth`` has ``truth_ord, truth_t``; ``alerts`` has ``alert_ord, alert_t``. Alerts of one instant are counted
-    together, alerts out of reach of every truth event are left out, and the rest falls apart into islands: stretches
-    of the timeline without a gap longer than the tolerance. No pair crosses an island, so a camera's day is spread
-    over as many groups as it has islands.
+    together. Truth events whose reaches overlap form an island; alerts outside every reach are left out. No pair that
+    can be chosen crosses an island, so a camera's day is spread over as many groups as it has islands.
     """
     decide = _RULES[rule]
-    instants = alerts.groupBy(*keys, "alert_t").agg(
+    instants = alerts.groupBy(*keys, F.col("alert_t").cast("double").alias("alert_t")).agg(
         F.min("alert_ord").alias("alert_ord"), F.count(F.lit(1)).alias("copies"))
-    reach = truth.select(*keys, (F.col("truth_t") - tolerance).alias("start_s"),
-                         (F.col("truth_t") + tolerance).alias("end_s"))
-    near = latest_not_after(instants, reach, keys, "alert_t", "start_s", F.col("end_s"), "_reach", width).where(
-        F.col("_reach") >= F.col("alert_t"))
-    line = truth.select(*keys, F.col("truth_t").cast("double").alias("t"), F.struct(
-        F.col("truth_ord").alias("ord"), F.col("truth_t").cast("double").alias("t")).alias("truth")
-    ).unionByName(near.select(*keys, F.col("alert_t").cast("double").alias("t"), F.struct(
-        F.col("alert_ord").alias("ord"), F.col("alert_t").cast("double").alias("t"), "copies").alias("alert")
-    ), allowMissingColumns=True)
-    # what is left is only the truth events and the alerts next to them; cutting here keeps the later passes on that
-    islands = gap_sessions(cut_lineage(line), keys, "t", tolerance, "_island", width).groupBy(*keys, "_island").agg(
+    events = truth.select(*keys, "truth_ord", F.col("truth_t").cast("double").alias("truth_t"))
+    if rule == "first_free":
+        events = events.withColumn("_r", F.lit(float(tolerance)))  # the first in order may lie anywhere in the tolerance
+    else:
+        events = _reach(events, instants, keys, tolerance, width)
+    # a hair of slack so that rounding of t +- r never drops the alert at exactly that distance
+    events = events.withColumns({"_s": F.col("truth_t") - F.col("_r") - SLACK_S, "_e": F.col("truth_t") + F.col("_r") + SLACK_S})
+    events = cut_lineage(interval_islands(cut_lineage(events), keys, "_s", "_e", width))
+    spans = events.groupBy(*keys, "island").agg(F.max("_e").alias("_e"))
+    near = latest_not_after(instants, spans, keys, "alert_t", "island", F.struct("island", "_e"), "_in", width).where(
+        F.col("_in._e") >= F.col("alert_t")).select(*keys, F.col("_in.island").alias("island"), F.struct(
+            F.col("alert_ord").alias("ord"), F.col("alert_t").alias("t"), "copies").alias("alert"))
+    line = events.select(*keys, "island", F.struct(F.col("truth_ord").alias("ord"), F.col("truth_t").alias("t")).alias(
+        "truth")).unionByName(near, allowMissingColumns=True)
+    islands = line.groupBy(*keys, "island").agg(
         F.array_sort(F.collect_list("truth")).alias("ts"), F.array_sort(F.collect_list("alert")).alias("as"))
 
     @F.pandas_udf(T.ArrayType(T.LongType()))

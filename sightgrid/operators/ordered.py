@@ -98,3 +98,14 @@ def gap_sessions(
     work = split_lag(work, keys, [time], "_b", F.col(time), "_prev")
     opens = F.when(F.col("_prev").isNull() | (F.col(time) - F.col("_prev") > F.lit(gap)), F.col(time))
     return split_running(work, keys, [time], "_b", opens, "max", start).drop("_b", "_prev")
+
+
+def interval_islands(df: DataFrame, keys: list[str], start: str, end: str, width: float = TIME_BUCKET_S) -> DataFrame:
+    """``island``: start of the stretch of overlapping (or touching) intervals a row belongs to."""
+    work = df.withColumn("_b", time_bucket(F.col(start), width))
+    work = carry_in(work, keys, "_b", {"_reach_carry": (F.max(end), F.max)})
+    inside = Window.partitionBy(*keys, "_b").orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.greatest(F.max(end).over(inside), F.col("_reach_carry"))
+    work = work.withColumn("_reached", reached)
+    opens = F.when(F.col("_reached").isNull() | (F.col(start) > F.col("_reached")), F.col(start))
+    return split_running(work.drop("_reach_carry"), keys, [start], "_b", opens, "max", "island").drop("_b", "_reached")

@@ -84,6 +84,19 @@ def test_matchers_equal_brute_force(spark, rule):
     assert {(r.cam_id, r.truth_ord): r.alert_t for r in m if r.alert_t is not None} == want
 
 
+@pytest.mark.parametrize("rule", ["truth_order", "distance_order"])
+def test_dense_truth_falls_apart_into_small_islands(spark, rule):
+    rng = random.Random(3)
+    truth = [round(rng.uniform(0, 60), 2) for _ in range(30)]  # two events per second against a tolerance of 10 s
+    alerts = [i / 25 for i in range(1500)]
+    t = spark.createDataFrame([("c", i, x) for i, x in enumerate(truth)], "cam_id string, truth_ord bigint, truth_t double")
+    a = spark.createDataFrame([("c", j, x) for j, x in enumerate(alerts)], "cam_id string, alert_ord bigint, alert_t double")
+    got = {r.truth_ord: r.alert_t for r in matching.match_events(t, a, ["cam_id"], rule, 10.0, width=20.0).collect()}
+    assert got == brute_match(truth, alerts, 10.0, rule)
+    reach = matching._reach(t, a.withColumn("copies", F.lit(1)), ["cam_id"], 10.0, 20.0).collect()
+    assert len(reach) == 30 and max(r["_r"] for r in reach) < 1.5
+
+
 def test_scores_and_object_rules(spark):
     truth = spark.createDataFrame([("r", "cam_02", 0, 10.0, "téléphone"), ("r", "cam_02", 1, 100.0, "scie")],
                                   "run_id string, cam_id string, truth_ord bigint, truth_t double, class_name string")
