@@ -5,25 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightgrid.functions.geometry import apply_homography, distance, distance_to_polygon, edges_of, point_in_polygon
+from sightgrid.functions.geometry import apply_homography, distance, distance_to_polygon, point_in_polygon
 from sightgrid.sources.site import Site
 
 
 def zone_literals(site: Site, min_points: int = 3) -> Column:
-    """The configured zones as one literal array: every alert is compared with all of them, without a join."""
+    """The configured zones with their edges as one literal array: an alert is compared with all of them, without a join."""
     zones = [z for z in site.zones if len(z.polygon) >= min_points]
+
+    def edges(polygon) -> Column:
+        return F.array(*[
+            F.struct(F.lit(float(ax)).alias("ax"), F.lit(float(ay)).alias("ay"), F.lit(float(bx)).alias("bx"),
+                     F.lit(float(by)).alias("by"))
+            for (ax, ay), (bx, by) in zip(polygon, polygon[1:] + polygon[:1])])
+
     return F.array(*[
-        F.struct(
-            F.lit(i).cast("bigint").alias("zone_ord"), F.lit(z.zone_id).alias("zone_id"),
-            F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in z.polygon]).alias("p"),
-        ) for i, z in enumerate(zones)
+        F.struct(F.lit(i).cast("bigint").alias("zone_ord"), F.lit(z.zone_id).alias("zone_id"), edges(list(z.polygon)).alias("e"))
+        for i, z in enumerate(zones)
     ])
 
 
 def nearest_zone(df: DataFrame, site: Site) -> DataFrame:
     """``nearest_zone`` and its distance (0 inside); the first declared zone on equal distance."""
     best = F.array_min(F.transform(zone_literals(site), lambda z: F.struct(
-        distance_to_polygon(edges_of(z["p"]), F.col("x_m"), F.col("y_m")).alias("d"), z["zone_ord"].alias("o"),
+        distance_to_polygon(z["e"], F.col("x_m"), F.col("y_m")).alias("d"), z["zone_ord"].alias("o"),
         z["zone_id"].alias("zone_id"))))
     return df.withColumn("_best", best).withColumns({
         "nearest_zone": F.col("_best.zone_id"), "distance_to_nearest_zone_m": F.round("_best.d", 4)}).drop("_best")
@@ -46,7 +51,7 @@ def audit_alerts(alerts: DataFrame, site: Site, dedupe: bool = False) -> DataFra
     if dedupe:
         first = alerts.groupBy("alert_id").agg(F.min("alert_key").alias("alert_key"))
         alerts = alerts.join(first, ["alert_id", "alert_key"], "left_semi")
-    inside = F.filter(zone_literals(site), lambda z: point_in_polygon(edges_of(z["p"]), F.col("x_m"), F.col("y_m")))
+    inside = F.filter(zone_literals(site), lambda z: point_in_polygon(z["e"], F.col("x_m"), F.col("y_m")))
     checked = alerts.withColumn("_in", F.transform(inside, lambda z: z["zone_id"])).withColumns({
         "inside_zones": F.concat_ws("+", F.col("_in")), "inside_any_zone": F.size("_in") > 0,
         "expected_zone_ok": F.when(
