@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,19 @@ DEFAULTS = {
 }
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application (they need not have it installed)."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        here = os.path.dirname(os.path.abspath(__file__))
+        target = os.path.join(tempfile.mkdtemp(prefix="spark-"), "sightgrid")
+        sc.addPyFile(shutil.make_archive(target, "zip", os.path.dirname(here), os.path.basename(here)))
+        _shipped.add(sc.applicationId)
+
+
 def build_session(master: str | None = None, app: str = "sightgrid", **conf: str) -> SparkSession:
     """A session with the engine's defaults; a cluster's own settings win where they are given."""
     builder = SparkSession.builder.appName(app)
@@ -25,7 +39,9 @@ def build_session(master: str | None = None, app: str = "sightgrid", **conf: str
         builder = builder.master(master)
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
