@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import shutil
+import sys
 import tempfile
 
+from pyspark.cloudpickle.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -23,7 +25,11 @@ _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application (they need not have it installed)."""
+    """Send this package to the Python workers, once per application (they need not have it installed).
+
+    The functions themselves travel by value, because the worker that prepares a stateful stream sees no shipped files.
+    """
+    register_pickle_by_value(sys.modules["sightgrid"])
     sc = spark.sparkContext
     if sc.applicationId not in _shipped:
         here = os.path.dirname(os.path.abspath(__file__))
