@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightgrid.llm import mixing, packing, token_files
+from sightgrid.llm import chat, mixing, packing, pii, quality, token_files
 from sightgrid.llm.common import documents
 from sightgrid.session import fresh_folder
+from sightgrid.sources.tables import table
 
 END_ID = 2
 
@@ -24,17 +25,35 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(table(spark, sf_dir, "conversations"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), END_ID)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.assess(documents(spark, sf_dir), ["doc_id"])
+    return rows.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                       "perplexity", "low", "high")
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.personal_data(documents(spark, sf_dir), ["doc_id"])
+    return rows.select("row.doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES = {
     "op1_token_files": (op1_token_files, None),
+    "op5_chat": (op5_chat, None),
     "op6_packing": (op6_packing, None),
+    "op7_quality": (op7_quality, None),
+    "op9_pii": (op9_pii, None),
     "op10_mixing": (op10_mixing, mixing.ORACLE),
 }
