@@ -35,7 +35,12 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.cut = _cutting(spec)
+        self.cut, self.joint = _cutting(spec)
+        if self.cut is not None:
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.units = np.zeros(max(vocabulary.values()) + 1, np.int64)  # what a token adds to the units of its part
+            for token, i in vocabulary.items():
+                self.units[i] = token.endswith("</w>") if self.joint else len(token)
         self._clear()
 
     def _clear(self):
@@ -59,6 +64,28 @@ class Encoder:
         total = int(counts.sum())
         return np.fromiter((i for ids in flat for i in ids), self.dtype, total), counts
 
+    def _part_ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, number of each part, place of its first), for parts of texts: most are encoded as one long text, whose ids are told apart by counting units.
+
+        The unit of a byte-level part is a byte, that of a part between white space an end of a word.
+        """
+        units = np.fromiter(map(_word_units if self.joint else _byte_units, parts), np.int64, len(parts))
+        alone, many = np.flatnonzero(units < 0), np.flatnonzero(units >= 0)
+        counts, pieces, at = np.zeros(len(parts), np.int64), [], 0
+        while at < len(many):
+            some = many[at:at + 8192]
+            at += len(some)
+            ids = np.array(self.tokenizer.encode_batch_fast([self.joint.join(parts[k] for k in some)], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.searchsorted(np.cumsum(self.units[ids]), np.cumsum(units[some])) + 1
+            counts[some] = np.diff(ends, prepend=0)
+            pieces.append(ids)
+        flat, n = self._ids([parts[k] for k in alone])
+        counts[alone] = n
+        order = np.concatenate([many, alone])
+        starts = np.empty(len(parts), np.int64)
+        starts[order] = np.cumsum(counts[order]) - counts[order]
+        return np.concatenate([*pieces, flat]), counts, starts
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, first id of each text and the end) of non-null large strings."""
         import pyarrow.compute as pc
@@ -80,8 +107,7 @@ class Encoder:
         pool = self.pool
         if len(new):
             strings = [distinct[k] for k in new]
-            flat, counts = self._ids(strings)
-            starts = np.cumsum(counts) - counts
+            flat, counts, starts = self._part_ids(strings)
             pool = np.concatenate([self.pool[:self.used], flat])
             first[new], length[new] = self.used + starts, counts
             self._keep(strings, flat, starts, counts)
@@ -120,17 +146,32 @@ class Encoder:
         return np.concatenate(pieces), np.concatenate([[0], np.cumsum(sizes)])
 
 
+def _byte_units(part: str) -> int:
+    """Bytes of a part that begins with white space and ends with none; others are encoded alone."""
+    return len(part.encode()) if part[:1] in _SPACE and part[-1:] not in _SPACE and "<|" not in part else -1
+
+
+def _word_units(part: str) -> int:
+    """Words of a plain Latin part, with one sign after it or none; others are encoded alone."""
+    sign = part[-1:] in ".,;:!?"
+    word = part[:-1] if sign else part
+    return 1 + sign if word.isalpha() and max(word) < "\u0250" and "\u0130" not in word else -1
+
+
+_SPACE = frozenset(" \t\n\f\r")
+
+
 def _cutting(spec: dict):
-    """The rule for cutting texts that this tokenizer allows, or None."""
+    """(rule for cutting texts that this tokenizer allows or None, what joins parts)."""
     import pyarrow.compute as pc
 
     pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
     if norm == {} and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
-        return lambda t: pc.split_pattern(pc.replace_substring_regex(t, r"([\t\n\f\r ]+)", "\x00\\1"), "\x00")
+        return lambda t: pc.split_pattern(pc.replace_substring_regex(t, r"([\t\n\f\r ]+)", "\x00\\1"), "\x00"), ""
     steps = [x for x in norm.get("normalizers", [])]
     drops = any(x.get("type") == "Replace" and x.get("pattern") == {"Regex": r"\s+"} and x.get("content") == " " for x in steps)
     plain = all(x.get("type") in ("NFC", "Replace", "Lowercase") for x in steps)
     split = (pre.get("pretokenizers") or [{}])[0]
     if drops and plain and split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert"):
-        return pc.ascii_split_whitespace
-    return None
+        return pc.ascii_split_whitespace, " "
+    return None, ""
