@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightgrid.llm import chat, jaccard_join, mixing, packing, pii, quality, token_files
+from sightgrid.llm import chat, jaccard_join, mixing, packing, pii, quality, token_files, topk
 from sightgrid.llm.common import documents
 from sightgrid.session import fresh_folder
 from sightgrid.sources.tables import table
@@ -29,6 +29,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_groups(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "class")
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), 100).withColumnRenamed("id", "vec_id")
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted(table(spark, sf_dir, "conversations"))
 
@@ -56,6 +60,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": (op1_token_files, None),
     "op2_jaccard_join": (op2_jaccard_join, None),
+    "op4_topk": (op4_topk, topk.ORACLE),
     "op5_chat": (op5_chat, None),
     "op6_packing": (op6_packing, None),
     "op7_quality": (op7_quality, None),
