@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightgrid.llm import chat, jaccard_join, mixing, packing, pii, quality, token_files, topk
+from sightgrid.llm import chat, jaccard_join, lm_scoring, mixing, packing, pii, quality, token_files, topk, toxicity
 from sightgrid.llm.common import documents
 from sightgrid.session import fresh_folder
 from sightgrid.sources.tables import table
 
 END_ID = 2
+#: In the order of the chain: a poor text is known first, and its probability is read when toxicity is judged.
+CATEGORIES = {"poor": "quality = 0", "toxic": "toxic = 1"}
 
 
 def vocabulary(name: str) -> str:
@@ -29,6 +31,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_groups(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "class")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scored(documents(spark, sf_dir))
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), 100).withColumnRenamed("id", "vec_id")
 
@@ -48,6 +54,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "perplexity", "low", "high")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = toxicity.scored(documents(spark, sf_dir), table(spark, sf_dir, "labels"), CATEGORIES, ["doc_id"])
+    return rows.select("row.doc_id", "p_poor", "poor", "p_toxic", "toxic")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pii.personal_data(documents(spark, sf_dir), ["doc_id"])
     return rows.select("row.doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
@@ -60,10 +71,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": (op1_token_files, None),
     "op2_jaccard_join": (op2_jaccard_join, None),
+    "op3_lm_scoring": (op3_lm_scoring, None),
     "op4_topk": (op4_topk, topk.ORACLE),
     "op5_chat": (op5_chat, None),
     "op6_packing": (op6_packing, None),
     "op7_quality": (op7_quality, None),
+    "op8_toxicity": (op8_toxicity, None),
     "op9_pii": (op9_pii, None),
     "op10_mixing": (op10_mixing, mixing.ORACLE),
 }
