@@ -191,7 +191,7 @@ def _trainer(categories: list[str]):
                 labels.append(np.column_stack([np.asarray(part.column(f"label_{k}"), dtype=np.float64) for k in range(len(categories))]))
                 folds.append(np.asarray(part.column("fold"), dtype=np.int64))
         if not places:
-            places, sizes, labels, folds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, len(categories)))], [np.zeros(0, np.int64)]
+            return
         bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         for k, (model, threshold) in enumerate(fit_chain(np.concatenate(places), bounds, np.concatenate(labels), np.concatenate(folds))):
             used = np.flatnonzero(model.weights)
@@ -215,6 +215,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str]) -> lis
         weights = np.zeros(DIMS, np.float32)
         weights[np.frombuffer(r["places"], "<i4")] = np.frombuffer(r["weights"], "<f4")
         chain.append((Model(weights, np.frombuffer(r["dense"], np.float64), r["bias"]), r["threshold"]))
+    if not chain:  # no labelled text at all
+        chain = [(Model(np.zeros(DIMS, np.float32), np.zeros(k), float(_odds(np.zeros(1))[0])), 0.5) for k in range(len(categories))]
     return chain
 
 
