@@ -157,7 +157,7 @@ def project_polygon(h: Column, polygon: Column, digits: int | None = 2) -> Colum
         if digits is None:
             return q
         return F.when(
-            q.isNotNull(), F.struct(F.round(q["x"], digits).alias("x"), F.round(q["y"], digits).alias("y"))
+            q.isNotNull(), F.struct(F.bround(q["x"], digits).alias("x"), F.bround(q["y"], digits).alias("y"))
         )
 
     points = F.transform(polygon, lambda p: let(apply_homography(h, p["x"], p["y"]), rounded))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+import sys
 import unicodedata
 
 from pyspark.sql import Column
@@ -30,40 +33,58 @@ FALSE_WORDS = ["0", "false", "no", "n", "non", "different", "incorrect"]
 TRUTH_COLUMNS = ["expected_same", "same_person", "same_object", "is_correct", "correct", "same"]
 
 
-def _decompositions() -> tuple[str, str, dict[str, str]]:
-    """Compatibility decompositions of the Basic Multilingual Plane down to ASCII.
+def _decompositions(keep) -> tuple[str, str, str]:
+    """Compatibility decompositions of all of Unicode, of each only the characters that ``keep`` accepts.
 
-    Characters that become one ASCII letter go to a ``translate`` table; Latin characters that become several go to a
-    replacement map. Both come from the Unicode tables, none is typed in.
+    Characters that become one are a ``translate`` table (its second part is shorter by those that become none), those that
+    become several a text that ``str_to_map`` reads. All come from the Unicode tables, none is typed in.
     """
-    single_from, single_to, several = [], [], {}
-    for code in list(range(0xA0, 0x2100)) + list(range(0xFB00, 0xFB07)) + list(range(0xFF01, 0xFF5F)):
+    one, none, several = [], [], []
+    for code in itertools.chain(range(0x80, 0xD800), range(0xE000, sys.maxunicode + 1)):
         char = chr(code)
-        text = unicodedata.normalize("NFKD", char)
-        plain = text.encode("ascii", "ignore").decode("ascii")
-        if len(plain) == 1:
-            single_from.append(char)
-            single_to.append(plain)
-        elif len(plain) > 1 and (code < 0x250 or code >= 0xFB00):
-            several[char] = plain
-    return "".join(single_from), "".join(single_to), several
+        text = "".join(x for x in unicodedata.normalize("NFKD", char) if keep(x))
+        if not text:
+            none.append(char)
+        elif len(text) > 1:
+            several.append(f"{char}\x02{text}")
+        elif text != char:
+            one.append((char, text))
+    return "".join(c for c, _ in one) + "".join(none), "".join(t for _, t in one), "\x01".join(several)
 
 
-_FROM, _TO, _SEVERAL = _decompositions()
+@functools.cache
+def _ascii_tables() -> tuple[str, str, str]:
+    """Without the characters that become nothing: what is not ASCII in the end is removed by its range."""
+    source, target, several = _decompositions(str.isascii)
+    return source[:len(target)], target, several
 
 
-def _marks_removed(c: Column) -> Column:
-    return F.regexp_replace(c, r"\p{M}+", "")
+@functools.cache
+def _mark_tables() -> tuple[str, str, str]:
+    return _decompositions(lambda x: not unicodedata.combining(x))
+
+
+def _folded(c: Column, tables: tuple[str, str, str]) -> Column:
+    """Each character's decomposition; a text is taken apart only if it has characters that become several."""
+    source, target, several = tables
+    wide = F.str_to_map(F.lit(several), F.lit("\x01"), F.lit("\x02"))
+    single = F.translate(c, source, target)
+    spelled = F.array_join(F.transform(F.split(single, ""), lambda ch: F.when(
+        ch.rlike(r"[^\x00-\x7F]"), F.coalesce(F.try_element_at(wide, ch), ch)).otherwise(ch)), "")
+    return F.when(single.rlike(r"[^\x00-\x7F]"), spelled).otherwise(single)
 
 
 def to_ascii(c: Column) -> Column:
     """Compatibility-decompose and drop what is not ASCII; plain ASCII text skips the work."""
-    wide = F.create_map(*[F.lit(x) for kv in _SEVERAL.items() for x in kv])
-    spelled = F.array_join(F.transform(F.split(c, ""), lambda ch: F.coalesce(F.try_element_at(wide, ch), ch)), "")
-    folded = F.regexp_replace(F.translate(spelled, _FROM, _TO), r"[^\x00-\x7F]", "")
+    folded = F.regexp_replace(_folded(c, _ascii_tables()), r"[^\x00-\x7F]", "")
     return F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(c)
 
 
+def strip(c: Column) -> Column:
+    """Without white space at either end (all of Unicode's, and the four separators 1C to 1F)."""
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def _let(value: Column, then) -> Column:
     """``then(value)`` with ``value`` computed once."""
     return F.transform(F.array(value), then)[0]
@@ -71,7 +92,7 @@ def _let(value: Column, then) -> Column:
 
 def strip_accents(c: Column) -> Column:
     """Drop combining marks after decomposition, keep every other character."""
-    folded = _marks_removed(F.translate(c, _FROM, _TO))
+    folded = _folded(c, _mark_tables())
     return F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(c)
 
 
@@ -89,12 +110,12 @@ def class_key(name: Column, class_id: Column) -> Column:
 
 def normalize_class(name: Column) -> Column:
     """Class key of the evaluation steps: accents dropped, lower case, trimmed."""
-    return F.trim(F.lower(strip_accents(name)))
+    return strip(F.lower(strip_accents(name)))
 
 
 def alert_class_key(name: Column) -> Column:
-    """Class key of the alert step: trimmed and lower case only."""
-    return F.lower(F.trim(name))
+    """Class key of the alert step: white space at the ends dropped, lower case."""
+    return F.lower(strip(name))
 
 
 def is_person(class_id: Column, name: Column, person_ids: list[int]) -> Column:
@@ -128,7 +149,7 @@ def label_class_id(name: Column) -> Column:
 def truth_flag(columns: list[Column]) -> Column:
     """First non-empty annotation among ``columns`` as a boolean; NULL if unannotated, error if unreadable."""
     raw = F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])
-    word = F.lower(F.trim(raw))
+    word = F.lower(strip(raw))
     return (
         F.when(raw.isNull(), F.lit(None).cast("boolean"))
         .when(word.isin(TRUE_WORDS), True)
@@ -139,8 +160,8 @@ def truth_flag(columns: list[Column]) -> Column:
 
 def canonical_pair(cam_a: Column, track_a: Column, cam_b: Column, track_b: Column) -> Column:
     """Unordered pair of (camera, track) sides as one struct, smaller side first (text order)."""
-    left = F.struct(F.trim(cam_a).alias("cam"), F.trim(track_a.cast("string")).alias("track"))
-    right = F.struct(F.trim(cam_b).alias("cam"), F.trim(track_b.cast("string")).alias("track"))
+    left = F.struct(strip(cam_a).alias("cam"), strip(track_a.cast("string")).alias("track"))
+    right = F.struct(strip(cam_b).alias("cam"), strip(track_b.cast("string")).alias("track"))
     low, high = F.least(left, right), F.greatest(left, right)
     return F.struct(
         low["cam"].alias("cam_a"), low["track"].alias("track_a"),
@@ -153,6 +174,7 @@ def _cam_number(digits: Column) -> Column:
     return F.concat(F.lit("cam_"), F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number))
 
 
+# Fixed value: the accepted form of a camera name.
 _CAM = r"[Cc]am(?:era)?[\s_]*(\d+)"
 
 

@@ -31,15 +31,15 @@ def nearest_zone(df: DataFrame, site: Site) -> DataFrame:
         distance_to_polygon(z["e"], F.col("x_m"), F.col("y_m")).alias("d"), z["zone_ord"].alias("o"),
         z["zone_id"].alias("zone_id"))))
     return df.withColumn("_best", best).withColumns({
-        "nearest_zone": F.col("_best.zone_id"), "distance_to_nearest_zone_m": F.round("_best.d", 4)}).drop("_best")
+        "nearest_zone": F.col("_best.zone_id"), "distance_to_nearest_zone_m": F.bround("_best.d", 4)}).drop("_best")
 
 
 def worst_calibration_error(alerts: DataFrame, site: Site) -> DataFrame:
     """Largest mean and largest maximum error among the cameras of each alert."""
     dim = site.camera_dim(alerts.sparkSession).select("cam_id", "mean_error_cm", "max_error_cm")
     worst = alerts.select("alert_key", F.explode("cameras").alias("cam_id")).join(dim, "cam_id").groupBy(
-        "alert_key").agg(F.round(F.max("mean_error_cm"), 2).alias("worst_mean_error_cm"),
-                         F.round(F.max("max_error_cm"), 2).alias("worst_max_error_cm"))
+        "alert_key").agg(F.bround(F.max("mean_error_cm"), 2).alias("worst_mean_error_cm"),
+                         F.bround(F.max("max_error_cm"), 2).alias("worst_max_error_cm"))
     return alerts.join(worst, "alert_key", "left")
 
 
@@ -86,15 +86,15 @@ def reprojection_report(points: DataFrame, site: Site) -> DataFrame:
         "_e", distance(F.col("_p.x"), F.col("_p.y"), F.col("x_m"), F.col("y_m")) * 100)
     mean = F.avg("_e")
     return err.groupBy("cam_id").agg(
-        F.count("_e").alias("n_points"), F.round(mean, 4).alias("mean_error_cm"),
-        F.round(F.max("_e"), 4).alias("max_error_cm"),
+        F.count("_e").alias("n_points"), F.bround(mean, 4).alias("mean_error_cm"),
+        F.bround(F.max("_e"), 4).alias("max_error_cm"),
         F.when(mean < 5, "EXCELLENT").when(mean < 10, "BON").when(mean < 20, "MOYEN").otherwise("MAUVAIS").alias("verdict"))
 
 
 def reference_point_checks(points: DataFrame, min_points: int = 4) -> DataFrame:
     """Per camera: enough distinct points (6 decimals), not all at the origin."""
     # distinct first: a hot camera is reduced before it is counted
-    distinct = points.groupBy("cam_id", F.round("x_m", 6).alias("x"), F.round("y_m", 6).alias("y")).agg(
+    distinct = points.groupBy("cam_id", F.bround("x_m", 6).alias("x"), F.bround("y_m", 6).alias("y")).agg(
         F.count(F.lit(1)).alias("n"), F.max(F.greatest(F.abs("x_m"), F.abs("y_m"))).alias("far"))
     return distinct.groupBy("cam_id").agg(
         F.sum("n").alias("n_points"), F.count(F.lit(1)).alias("distinct_points"),

@@ -19,26 +19,26 @@ ALERT_FIELDS = ["alert_id", "alert_type", "alert_level", "global_id", "zone_id",
 
 
 def _pair(a: str, b: str, digits: int) -> Column:
-    return F.when(F.col(a).isNotNull(), F.array(F.round(a, digits), F.round(b, digits)))
+    return F.when(F.col(a).isNotNull(), F.array(F.bround(a, digits), F.bround(b, digits)))
 
 
 def detection_doc() -> Column:
     return F.struct(
         F.col("cam_id").alias("camera_id"), "track_id", "global_id", "class_id", "class_name",
-        F.round("confidence", 4).alias("confidence"),
-        F.array(*[F.round(c, 2) for c in ("x1", "y1", "x2", "y2")]).alias("bbox_px"),
-        F.array(F.round((F.col("x1") + F.col("x2")) / 2, 2), F.round("y2", 2)).alias("foot_point_px"),
+        F.bround("confidence", 4).alias("confidence"),
+        F.array(*[F.bround(c, 2) for c in ("x1", "y1", "x2", "y2")]).alias("bbox_px"),
+        F.array(F.bround((F.col("x1") + F.col("x2")) / 2, 2), F.bround("y2", 2)).alias("foot_point_px"),
         _pair("x_m", "y_m", 3).alias("position_m"),
         F.filter(F.split("inside_zones", r"\+"), lambda z: z != "").alias("zones"),
-        F.round("ts_s", 6).alias("timestamp"),
+        F.bround("ts_s", 6).alias("timestamp"),
     )
 
 
 def alert_doc() -> Column:
     return F.struct(
         "alert_id", "alert_type", "alert_level", "global_id", "zone_id", "class_name",
-        _pair("x_m", "y_m", 3).alias("position_m"), "cameras", F.round("confidence", 4).alias("confidence"),
-        F.round("ts_s", 6).alias("timestamp"),
+        _pair("x_m", "y_m", 3).alias("position_m"), "cameras", F.bround("confidence", 4).alias("confidence"),
+        F.bround("ts_s", 6).alias("timestamp"),
     )
 
 
@@ -57,7 +57,7 @@ def build_envelopes(frames: DataFrame, dets: DataFrame, alerts: DataFrame, every
         frames.where(kept).join(d, ["run_id", "frame"], "left").join(a, ["run_id", "frame"], "left")
         .select(
             F.lit(SCHEMA_NAME).alias("schema"), "created_epoch_ms",
-            F.round(F.col("created_epoch_ms") / 1000.0, 6).alias("created_epoch_s"), "frame",
+            F.bround(F.col("created_epoch_ms") / 1000.0, 6).alias("created_epoch_s"), "frame",
             F.col("run_id").alias("run_label"), "model_version", "model", "format",
             F.coalesce(F.transform("_d", lambda x: x["doc"]), F.array()).alias("detections"),
             F.coalesce(F.transform("_a", lambda x: x["doc"]), F.array()).alias("alerts"),
@@ -143,8 +143,8 @@ def validate_envelopes(facts: DataFrame) -> DataFrame:
     return out.fillna(0).fillna("").select(
         "file", "envelopes", "detections", "alerts", "cameras", "classes", "alert_types", "bbox_ok", "global_ids",
         "missing_envelope", "missing_detection", "missing_alert", "frame_backwards",
-        F.round("_i_mean", 3).alias("publish_interval_mean_ms"), F.round("_i_p95", 3).alias("publish_interval_p95_ms"),
-        F.round("_l_mean", 3).alias("metadata_lag_mean_ms"), F.round("_l_p95", 3).alias("metadata_lag_p95_ms"))
+        F.bround("_i_mean", 3).alias("publish_interval_mean_ms"), F.bround("_i_p95", 3).alias("publish_interval_p95_ms"),
+        F.bround("_l_mean", 3).alias("metadata_lag_mean_ms"), F.bround("_l_p95", 3).alias("metadata_lag_p95_ms"))
 
 
 def first_example(facts: DataFrame) -> DataFrame:

@@ -231,7 +231,7 @@ def fusion_links(fused: DataFrame) -> DataFrame:
                     F.col("y_m").alias("yb"))
     j = a.join(b, ["run_id", "frame", "global_id"]).where(F.col("cam_a") < F.col("cam_b"))
     return j.select(
-        "run_id", "frame", F.round("ts_a", 6).alias("timestamp"), "global_id", "cam_a", "track_a", "class_a",
-        "cam_b", "track_b", "class_b", F.round(F.abs(F.col("ts_a") - F.col("ts_b")) * 1000.0, 3).alias("time_delta_ms"),
-        F.round(distance(F.col("xa"), F.col("ya"), F.col("xb"), F.col("yb")), 6).alias("distance_m"),
+        "run_id", "frame", F.bround("ts_a", 6).alias("timestamp"), "global_id", "cam_a", "track_a", "class_a",
+        "cam_b", "track_b", "class_b", F.bround(F.abs(F.col("ts_a") - F.col("ts_b")) * 1000.0, 3).alias("time_delta_ms"),
+        F.bround(distance(F.col("xa"), F.col("ya"), F.col("xb"), F.col("yb")), 6).alias("distance_m"),
     )

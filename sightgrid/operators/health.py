@@ -47,12 +47,12 @@ def frame_timing(trace: DataFrame) -> DataFrame:
     )
 
     def ms(c: Column) -> Column:
-        return F.round(F.coalesce(c, F.lit(0.0)), 3)
+        return F.bround(F.coalesce(c, F.lit(0.0)), 3)
 
     return agg.select(
         "run_id", "frame", "camera_count", ms(F.col("_read_mean")).alias("capture_read_ms_mean"),
-        ms(F.col("_read_max")).alias("capture_read_ms_max"), F.round("_end_min", 6).alias("capture_read_end_epoch_min"),
-        F.round("_end_max", 6).alias("capture_read_end_epoch_max"), ms(F.col("_inf_mean")).alias("inference_ms_mean"),
+        ms(F.col("_read_max")).alias("capture_read_ms_max"), F.bround("_end_min", 6).alias("capture_read_end_epoch_min"),
+        F.bround("_end_max", 6).alias("capture_read_end_epoch_max"), ms(F.col("_inf_mean")).alias("inference_ms_mean"),
         ms(F.col("_inf_max")).alias("inference_ms_max"),
         ms((F.col("_meta") - F.col("_end_min")) * 1000.0).alias("capture_to_metadata_ms_worst"),
         ms((F.col("_meta") - F.col("_end_max")) * 1000.0).alias("capture_to_metadata_ms_latest"),
@@ -66,8 +66,8 @@ def stage_latency(trace: DataFrame, keys: list[str]) -> DataFrame:
     pct = exact_percentiles(long, by, F.col("ms"), {"_p95": (0.95, "linear")})
     label = F.create_map(*[F.lit(x) for k, v in STAGES.items() for x in (v, k)])
     return pct.select(
-        *keys, F.try_element_at(label, F.col("stage_column")).alias("stage"), F.round("mean", 6).alias("mean_ms"),
-        F.round("_p95", 6).alias("p95_ms"))
+        *keys, F.try_element_at(label, F.col("stage_column")).alias("stage"), F.bround("mean", 6).alias("mean_ms"),
+        F.bround("_p95", 6).alias("p95_ms"))
 
 
 def fusion_link_stats(links: DataFrame, order: Column) -> DataFrame:
@@ -123,13 +123,13 @@ def run_health(summary: DataFrame, sync_stats: DataFrame, link_stats: DataFrame)
     duration = F.coalesce("_last", zero) - F.coalesce("_first", zero)
     frames_fused = F.coalesce("frames_with_fusion", zero)
     return j.select(
-        "run_id", "frames", F.round(duration, 3).alias("duration_s"),
-        F.round(F.when(duration > 0, F.col("frames") / duration).otherwise(0.0), 3).alias("effective_fps"),
+        "run_id", "frames", F.bround(duration, 3).alias("duration_s"),
+        F.bround(F.when(duration > 0, F.col("frames") / duration).otherwise(0.0), 3).alias("effective_fps"),
         "detections", "latency_mean_ms", "latency_p95_ms", "latency_max_ms", "fusion_links",
         frames_fused.alias("frames_with_fusion"),
-        F.round(names.safe_div(frames_fused, F.col("frames")) * 100, 3).alias("fusion_frame_rate_pct"),
-        F.round(names.safe_div(F.col("fusion_links"), F.col("frames")), 6).alias("fusion_links_per_frame"),
-        F.round(names.safe_div(F.col("fusion_links"), F.col("detections")) * 1000, 3).alias(
+        F.bround(names.safe_div(frames_fused, F.col("frames")) * 100, 3).alias("fusion_frame_rate_pct"),
+        F.bround(names.safe_div(F.col("fusion_links"), F.col("frames")), 6).alias("fusion_links_per_frame"),
+        F.bround(names.safe_div(F.col("fusion_links"), F.col("detections")) * 1000, 3).alias(
             "fusion_links_per_1000_detections"),
         F.coalesce("camera_pairs", zero).alias("fusion_camera_pairs"),
         F.coalesce("top_pair", F.lit("")).alias("top_fusion_pair"),
@@ -143,30 +143,30 @@ def run_health(summary: DataFrame, sync_stats: DataFrame, link_stats: DataFrame)
 def compare_runs(health: DataFrame) -> DataFrame:
     return health.agg(
         F.count(F.lit(1)).cast("double").alias("runs"),
-        F.round(F.coalesce(F.avg("effective_fps"), F.lit(0.0)), 6).alias("mean_effective_fps"),
-        F.round(F.coalesce(F.avg("latency_p95_ms"), F.lit(0.0)), 6).alias("mean_latency_p95_ms"),
-        F.round(names.safe_div(F.sum("dropped_count"), F.sum("camera_count")), 6).alias("drop_rate"),
-        F.round(F.coalesce(F.avg((F.col("fusion_links") > 0).cast("double")), F.lit(0.0)), 6).alias(
+        F.bround(F.coalesce(F.avg("effective_fps"), F.lit(0.0)), 6).alias("mean_effective_fps"),
+        F.bround(F.coalesce(F.avg("latency_p95_ms"), F.lit(0.0)), 6).alias("mean_latency_p95_ms"),
+        F.bround(names.safe_div(F.sum("dropped_count"), F.sum("camera_count")), 6).alias("drop_rate"),
+        F.bround(F.coalesce(F.avg((F.col("fusion_links") > 0).cast("double")), F.lit(0.0)), 6).alias(
             "fusion_enabled_rate"))
 
 
 def camera_scaling(summary: DataFrame) -> DataFrame:
     """Frames per second of each configuration from its frame count and known duration."""
-    return summary.withColumn("fps", F.round(names.safe_div(F.col("frames"), F.col("duration_s")), 6))
+    return summary.withColumn("fps", F.bround(names.safe_div(F.col("frames"), F.col("duration_s")), 6))
 
 
 def inference_rate(df: DataFrame, keys: list[str], seconds: Column) -> DataFrame:
     """Jitter (population standard deviation, ms) and frames per second of pure inference."""
     return df.groupBy(*keys).agg(
-        F.round(F.stddev_pop(seconds * 1000.0), 1).alias("latency_jitter_ms"),
-        F.round(names.safe_div(F.lit(1.0), F.avg(seconds)), 1).alias("fps_inference"))
+        F.bround(F.stddev_pop(seconds * 1000.0), 1).alias("latency_jitter_ms"),
+        F.bround(names.safe_div(F.lit(1.0), F.avg(seconds)), 1).alias("fps_inference"))
 
 
 def sync_skew(captures: DataFrame, keys: list[str], tolerance_ms: float = 200.0) -> DataFrame:
     """Spread of the capture times of a tick; a tick with two or more cameras passes within the tolerance."""
     agg = captures.groupBy(*keys).agg(
         F.countDistinct("cam_id").alias("cameras"),
-        F.round((F.max("ts_s") - F.min("ts_s")) * 1000.0, 3).alias("_skew"))
+        F.bround((F.max("ts_s") - F.min("ts_s")) * 1000.0, 3).alias("_skew"))
     return agg.select(*keys, "cameras", F.when(F.col("cameras") >= 2, F.col("_skew")).otherwise(0.0).alias("skew_ms"),
                       ((F.col("cameras") < 2) | (F.col("_skew") <= tolerance_ms)).alias("released"))
 
@@ -174,7 +174,7 @@ def sync_skew(captures: DataFrame, keys: list[str], tolerance_ms: float = 200.0)
 def latency_report(df: DataFrame, keys: list[str], period_s: float) -> DataFrame:
     """Average and maximum latency per report period."""
     return df.groupBy(*keys, time_bucket(F.col("ts_s"), period_s).alias("period")).agg(
-        F.round(F.avg("latency_ms"), 3).alias("avg_ms"), F.round(F.max("latency_ms"), 3).alias("max_ms"))
+        F.bround(F.avg("latency_ms"), 3).alias("avg_ms"), F.bround(F.max("latency_ms"), 3).alias("max_ms"))
 
 
 def resample_fixed_rate(obs: DataFrame, keys: list[str], fps: float = 25.0) -> DataFrame:
@@ -203,7 +203,7 @@ def resample_fixed_rate(obs: DataFrame, keys: list[str], fps: float = 25.0) -> D
 def snapshot_staleness(ticks: DataFrame, inferences: DataFrame, keys: list[str], max_age_ms: float = 800.0) -> DataFrame:
     """Age of the last inference at each tick and whether it is still fresh."""
     found = latest_not_after(ticks, inferences, keys, "ts_s", "ts_s", F.col("ts_s"), "_last")
-    age = F.round((F.col("ts_s") - F.col("_last")) * 1000.0, 3)
+    age = F.bround((F.col("ts_s") - F.col("_last")) * 1000.0, 3)
     return found.withColumn("age_ms", age).withColumn(
         "fresh", F.coalesce(F.col("age_ms") <= max_age_ms, F.lit(False))).drop("_last")
 

@@ -30,13 +30,19 @@ def label_lines(boxes: DataFrame, key: list[str]) -> DataFrame:
 
 
 def remap_labels(labels: DataFrame, mapping: dict[int, int], key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(remapped label rows, per-key counts seen / mapped / removed); classes outside the mapping are dropped."""
+    """(remapped label rows, per-key counts seen / mapped / removed).
+
+    Rows with an unreadable (null) class count as seen; they and classes outside the mapping are dropped. Where the rows hold
+    the text after the class (``rest``), the rewritten ``line`` keeps all of it.
+    """
     table = F.create_map(*[F.lit(int(x)).cast("bigint") for kv in mapping.items() for x in kv])
     tagged = labels.withColumn("new_class", F.try_element_at(table, F.col("class_id")))
     report = tagged.groupBy(*key).agg(
         F.count(F.lit(1)).alias("seen"), F.count("new_class").alias("mapped"),
         F.count(F.when(F.col("new_class").isNull(), 1)).alias("removed"))
     kept = tagged.where(F.col("new_class").isNotNull()).withColumn("class_id", F.col("new_class")).drop("new_class")
+    if "rest" in labels.columns:
+        kept = kept.withColumn("line", F.concat_ws(" ", "class_id", "rest"))
     return kept, report
 
 

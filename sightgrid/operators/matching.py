@@ -211,10 +211,10 @@ def unmatched_instants(alerts: DataFrame, matches: DataFrame, keys: list[str]) -
 def cluster_alerts(alerts: DataFrame, keys: list[str], time: str = "ts_s", gap: float = MERGE_GAP_S) -> DataFrame:
     """Alerts merged into sessions: a gap longer than ``gap`` seconds opens a new one."""
     return gap_sessions(alerts, keys, time, gap).groupBy(*keys, "session_start").agg(
-        F.round(F.min(time), 3).alias("start_time"), F.round(F.max(time), 3).alias("end_time"),
-        F.round(F.max(time) - F.min(time), 3).alias("duration_s"), F.count(F.lit(1)).alias("n_detections"),
+        F.bround(F.min(time), 3).alias("start_time"), F.bround(F.max(time), 3).alias("end_time"),
+        F.bround(F.max(time) - F.min(time), 3).alias("duration_s"), F.count(F.lit(1)).alias("n_detections"),
         F.min_by("class_name", F.struct(time, "det_ord")).alias("class_name"),
-        F.round(F.avg("confidence"), 4).alias("avg_confidence"),
+        F.bround(F.avg("confidence"), 4).alias("avg_confidence"),
     ).drop("session_start")
 
 
@@ -224,9 +224,9 @@ def event_metrics(counts: DataFrame, hours: Column | None = None) -> DataFrame:
     r = names.safe_div(F.col("tp"), F.col("tp") + F.col("fn"))
     out = counts.withColumn("_p", p).withColumn("_r", r).withColumn(
         "_f", names.safe_div(2 * F.col("_p") * F.col("_r"), F.col("_p") + F.col("_r")))
-    out = out.withColumns({"precision": F.round("_p", 4), "recall": F.round("_r", 4), "f1": F.round("_f", 4)})
+    out = out.withColumns({"precision": F.bround("_p", 4), "recall": F.bround("_r", 4), "f1": F.bround("_f", 4)})
     if hours is not None:
-        out = out.withColumn("far_per_hour", F.round(names.safe_div(F.col("fp"), hours), 2))
+        out = out.withColumn("far_per_hour", F.bround(names.safe_div(F.col("fp"), hours), 2))
     return out.drop("_p", "_r", "_f")
 
 
@@ -235,8 +235,8 @@ def delay_stats(matches: DataFrame, keys: list[str]) -> DataFrame:
     hit = matches.where(F.col("delay").isNotNull())
     pct = exact_percentiles(hit, keys, F.col("delay"), {"_p50": (0.5, "linear"), "_p95": (0.95, "linear")})
     return pct.select(
-        *keys, F.round("_p50", 3).alias("delay_median"), F.round("_p95", 3).alias("delay_p95"),
-        F.round("mean", 3).alias("delay_mean"), F.round("min", 3).alias("delay_min"), F.round("max", 3).alias("delay_max"),
+        *keys, F.bround("_p50", 3).alias("delay_median"), F.bround("_p95", 3).alias("delay_p95"),
+        F.bround("mean", 3).alias("delay_mean"), F.bround("min", 3).alias("delay_min"), F.bround("max", 3).alias("delay_max"),
     )
 
 
@@ -310,7 +310,7 @@ def association_quality(judged: DataFrame, predicted: DataFrame) -> DataFrame:
     total = predicted.agg(F.count(F.lit(1)).alias("predicted_links")).withColumn("_one", F.lit(1))
     return event_metrics(sums.join(total, "_one").drop("_one")).withColumn(
         "ignored_predictions", F.col("predicted_links") - F.col("evaluated_predictions")
-    ).withColumn("accuracy", F.round(names.safe_div(F.col("tp") + F.col("tn"), F.col("truth_rows")), 4))
+    ).withColumn("accuracy", F.bround(names.safe_div(F.col("tp") + F.col("tn"), F.col("truth_rows")), 4))
 
 
 def pair_counts(fused: DataFrame, keys: list[str]) -> DataFrame:

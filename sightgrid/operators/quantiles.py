@@ -98,6 +98,6 @@ def latency_stats(df: DataFrame, keys: list[str], ms: Column, digits: int = 3, p
     pct = exact_percentiles(named, by, F.col("_ms"), {"_p50": (0.5, "linear"), "_p95": (0.95, p95)})
     return pct.select(
         *keys, "n",
-        F.round("mean", digits).alias(f"{prefix}_mean_ms"), F.round("_p50", digits).alias(f"{prefix}_median_ms"),
-        F.round("_p95", digits).alias(f"{prefix}_p95_ms"), F.round("max", digits).alias(f"{prefix}_max_ms"),
+        F.bround("mean", digits).alias(f"{prefix}_mean_ms"), F.bround("_p50", digits).alias(f"{prefix}_median_ms"),
+        F.bround("_p95", digits).alias(f"{prefix}_p95_ms"), F.bround("max", digits).alias(f"{prefix}_max_ms"),
     )

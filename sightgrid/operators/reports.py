@@ -28,7 +28,7 @@ def phase_comparison(parts: list[DataFrame]) -> DataFrame:
 def phase_means(comparison: DataFrame) -> DataFrame:
     """Mean of every metric by (phase, task), missing values skipped."""
     present = [c for c in COMPARISON if c in comparison.columns]
-    return comparison.groupBy("phase", "task").agg(*[F.round(F.avg(c), 6).alias(c) for c in present])
+    return comparison.groupBy("phase", "task").agg(*[F.bround(F.avg(c), 6).alias(c) for c in present])
 
 
 def best_model(scores: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def best_model(scores: DataFrame) -> DataFrame:
 def detection_mix(dets: DataFrame) -> DataFrame:
     """Detections by class, by camera, and in total."""
     return dets.groupingSets([["class_name"], ["cam_id"], []], "class_name", "cam_id").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("avg_confidence")
+        F.count(F.lit(1)).alias("n"), F.bround(F.avg("confidence"), 6).alias("avg_confidence")
     ).select(F.coalesce("class_name", F.lit("*")).alias("class_name"), F.coalesce("cam_id", F.lit("*")).alias("cam_id"),
              "n", "avg_confidence")
 
@@ -57,7 +57,7 @@ def event_camera_summary(annotations: DataFrame, keys: list[str]) -> DataFrame:
 
 def leaderboard(scores: DataFrame, key: str = "model", metric: str = "f1") -> DataFrame:
     """Mean score over cameras with its rank (one more than the number of better ones)."""
-    means = scores.groupBy(key).agg(F.round(F.avg(metric), 6).alias(f"mean_{metric}"))
+    means = scores.groupBy(key).agg(F.bround(F.avg(metric), 6).alias(f"mean_{metric}"))
     values = means.groupBy((-F.col(f"mean_{metric}")).alias("_s")).agg(F.count(F.lit(1)).alias("_n")).withColumns(
         {"_all": F.lit(0), "_b": F.floor(F.col("_s") * 100)})
     upto = split_running(values, ["_all"], ["_s"], "_b", F.col("_n"), "sum", "_upto")
@@ -70,21 +70,24 @@ def recent_alerts(alerts: DataFrame, limit: int = 80) -> DataFrame:
     return alerts.orderBy(F.desc("ts_s"), "alert_id").limit(limit)
 
 
-def dedupe_alerts(alerts: DataFrame, fallback: list[Column]) -> DataFrame:
-    """One row per alert id; rows without id are told apart by the fallback columns."""
+def dedupe_alerts(alerts: DataFrame, fallback: list[Column], order: list[str]) -> DataFrame:
+    """The first row, by ``order``, of each alert id; rows without id are told apart by the fallback columns."""
     key = F.coalesce(F.nullif("alert_id", F.lit("")), F.concat_ws("-", *fallback))
-    return alerts.withColumn("alert_key", key).dropDuplicates(["alert_key"])
+    first = F.min_by(F.struct(*alerts.columns), F.struct(*order))
+    return alerts.groupBy(key.alias("alert_key")).agg(first.alias("_first")).select("_first.*", "alert_key")
 
 
 def group_truth_events(annotations: DataFrame, rooms: dict[str, int], window_ms: float = 5000.0) -> DataFrame:
     """Annotations of one real event over cameras: same room and class, within the window of the group's first item,
-    each camera at most once; groups numbered per room in creation order.
+    each camera at most once; groups numbered per room in creation order. A camera without a room is an error.
 
     Items more than the window apart cannot share a group, so the timeline is cut at such gaps and only the islands
     are walked in order.
     """
     room = F.create_map(*[F.lit(x) for kv in rooms.items() for x in kv])
-    placed = annotations.withColumn("room", F.try_element_at(room, F.col("cam_id")).cast("bigint")).withColumn(
+    known = F.coalesce(F.try_element_at(room, F.col("cam_id")), F.raise_error(
+        F.concat(F.lit("camera without a room: "), F.coalesce("cam_id", F.lit("NULL")))))
+    placed = annotations.withColumn("room", known.cast("bigint")).withColumn(
         "t_ms", F.col("t_ms").cast("double"))
     keys = ["room", "class_name"]
     islands = gap_sessions(placed, keys, "t_ms", window_ms, "_island", width=3_600_000.0).groupBy(*keys, "_island").agg(

@@ -42,8 +42,8 @@ def sweep_with_truth(dets: DataFrame, site: Site, thresholds: tuple[int, ...] =
         F.countDistinct("frame").alias("frames"), F.countDistinct("global_id").alias("unique_global_ids"))
     scored = event_metrics(pair_counts(fused, ["run_id"]))
     rate = {
-        "false_match_rate": F.round(names.safe_div(F.col("fp"), F.col("fp") + F.col("tn")), 4),
-        "missed_match_rate": F.round(names.safe_div(F.col("fn"), F.col("tp") + F.col("fn")), 4),
+        "false_match_rate": F.bround(names.safe_div(F.col("fp"), F.col("fp") + F.col("tn")), 4),
+        "missed_match_rate": F.bround(names.safe_div(F.col("fn"), F.col("tp") + F.col("fn")), 4),
     }
     return _split_run(scored.withColumns(rate).join(ids, "run_id"))
 

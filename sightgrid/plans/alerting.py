@@ -71,11 +71,11 @@ def zone_alert_counts(spark, sf):
     voted = A.enough_votes(_presence(spark, sf), RULES)
     return A.zone_entries(voted, _spine(spark, sf)).groupBy("zone_id", F.size("cameras").cast("bigint").alias("votes")).agg(
         F.count(F.lit(1)).alias("n_alerts"), F.countDistinct("global_id").alias("n_entities"),
-        F.round(F.avg("confidence"), 6).alias("avg_confidence"))
+        F.bround(F.avg("confidence"), 6).alias("avg_confidence"))
 
 
 def recent_alerts(spark, sf):
-    return reports.recent_alerts(_alerts(spark, sf)).select("alert_id", "alert_type", F.round("ts_s", 3).alias("ts"))
+    return reports.recent_alerts(_alerts(spark, sf)).select("alert_id", "alert_type", F.bround("ts_s", 3).alias("ts"))
 
 
 def persistence(spark, sf):
@@ -132,7 +132,7 @@ ALERTS_SQL = f"""{PRESENCE_SQL}, {OBJECT_SQL.replace(GID_SQL + ', ' + SPINE_SQL
 
 QUERIES = {
     "zone_alert_counts": (zone_alert_counts, f"""WITH {PRESENCE_SQL} SELECT zone_id, votes, count(*) AS n_alerts,
-      count(DISTINCT global_id) AS n_entities, round(avg(confidence), 6) AS avg_confidence FROM edges WHERE {ENTRY}
+      count(DISTINCT global_id) AS n_entities, round_even(avg(confidence), 6) AS avg_confidence FROM edges WHERE {ENTRY}
       GROUP BY zone_id, votes"""),
     "zone_presence": (zone_presence, f"""WITH {PRESENCE_SQL} SELECT frame, global_id, zone_id, x_m, y_m, confidence, cameras
       FROM presence"""),
@@ -148,7 +148,7 @@ QUERIES = {
       x_m, y_m, cameras, confidence FROM all_alerts"""),
     "alert_counts": (alert_counts, f"""WITH {ALERTS_SQL} SELECT alert_type, alert_level, count(*) AS n FROM all_alerts
       GROUP BY 1, 2"""),
-    "recent_alerts": (recent_alerts, f"""WITH {ALERTS_SQL} SELECT alert_id, alert_type, round(ts_s, 3) AS ts FROM all_alerts
+    "recent_alerts": (recent_alerts, f"""WITH {ALERTS_SQL} SELECT alert_id, alert_type, round_even(ts_s, 3) AS ts FROM all_alerts
       ORDER BY ts_s DESC, alert_id LIMIT 80"""),
     "persistence": (persistence, f"""WITH {PRESENCE_SQL}, pos AS (SELECT DISTINCT cam_id, frame, ord FROM det JOIN hits
       USING (det_id) JOIN spine USING (frame) WHERE class_name = 'personne' AND zone_id = 'zone_1'),

@@ -66,7 +66,7 @@ COLUMNS = ["cam_id", "truth_ord", "alert_ord", "delay"]
 def _match(rule):
     def run(spark, sf):
         m = matching.match_events(_truth(spark, sf), _alerts(spark, sf), KEYS, rule, TOL)
-        return m.select("cam_id", "truth_ord", "alert_ord", F.round("delay", 3).alias("delay"))
+        return m.select("cam_id", "truth_ord", "alert_ord", F.bround("delay", 3).alias("delay"))
     return run
 
 
@@ -74,12 +74,12 @@ def event_scores(spark, sf):
     return matching.score_events(_truth(spark, sf), _alerts(spark, sf), KEYS, tolerance=TOL).drop("run_id")
 
 
-SCORE_TAIL = """SELECT cam_id, n_gt_events, tp, fp, n_gt_events - tp AS fn, round(tp/CAST(tp+fp AS DOUBLE), 4) AS "precision",
- round(tp/CAST(n_gt_events AS DOUBLE), 4) AS recall,
- round(2.0E0*tp/CAST(tp+fp+n_gt_events AS DOUBLE), 4) AS f1, delay_median, delay_p95, delay_mean, delay_min, delay_max FROM (
+SCORE_TAIL = """SELECT cam_id, n_gt_events, tp, fp, n_gt_events - tp AS fn, round_even(tp/CAST(tp+fp AS DOUBLE), 4) AS "precision",
+ round_even(tp/CAST(n_gt_events AS DOUBLE), 4) AS recall,
+ round_even(2.0E0*tp/CAST(tp+fp+n_gt_events AS DOUBLE), 4) AS f1, delay_median, delay_p95, delay_mean, delay_min, delay_max FROM (
  SELECT cam_id, count(*) AS n_gt_events, count(alert_ord) AS tp, any_value(fp) AS fp,
- round(quantile_cont(delay, 0.5), 3) AS delay_median, round(quantile_cont(delay, 0.95), 3) AS delay_p95,
- round(avg(delay), 3) AS delay_mean, round(min(delay), 3) AS delay_min, round(max(delay), 3) AS delay_max
+ round_even(quantile_cont(delay, 0.5), 3) AS delay_median, round_even(quantile_cont(delay, 0.95), 3) AS delay_p95,
+ round_even(avg(delay), 3) AS delay_mean, round_even(min(delay), 3) AS delay_min, round_even(max(delay), 3) AS delay_max
  FROM matches JOIN fps USING (cam_id) GROUP BY cam_id) s"""
 
 
@@ -109,7 +109,7 @@ def first_detections(spark, sf):
     d = detections(spark, sf).withColumn("class_norm", names.normalize_class(c("class_name")))
     found = matching.first_detection_after(t, d, ["run_id", "cam_id", "class_norm"])
     return found.select("truth_ord", "appear_frame", "alert_frame", (c("alert_frame") - c("appear_frame")).alias("delay_frames"),
-                        F.round((c("alert_frame") - c("appear_frame")) / 25.0, 3).alias("delay_s"))
+                        F.bround((c("alert_frame") - c("appear_frame")) / 25.0, 3).alias("delay_s"))
 
 
 def outside_intrusions(spark, sf):
@@ -194,7 +194,7 @@ def grouped_truth_events(spark, sf):
 def _model_scores(spark, sf):
     d = raw_detections(spark, sf)
     pct = exact_percentiles(d, ["model"], c("value"), {"delay_median": (0.5, "linear")})
-    return pct.withColumn("fps", F.round(1000.0 / c("mean"), 6))
+    return pct.withColumn("fps", F.bround(1000.0 / c("mean"), 6))
 
 
 def best_model(spark, sf):
@@ -222,8 +222,8 @@ def model_leaderboard(spark, sf):
 SCORES_SQL = f"""{RAW_SQL}, sc AS (SELECT model, cam_id, count(*) FILTER (WHERE confidence >= 0.8) AS tp,
   count(*) FILTER (WHERE confidence < 0.6) AS fp, count(*) FILTER (WHERE confidence >= 0.6 AND confidence < 0.8) AS fn,
   (max(ts_s) - min(ts_s)) / 3600.0E0 AS hours FROM raw_det GROUP BY model, cam_id),
- ms AS (SELECT model, cam_id, tp, fp, fn, round(tp/CAST(tp+fp AS DOUBLE), 4) AS "precision", round(tp/CAST(tp+fn AS DOUBLE), 4)
-  AS recall, round(2.0E0*tp/CAST(2*tp+fp+fn AS DOUBLE), 4) AS f1, round(fp/hours, 2) AS far_per_hour FROM sc)"""
+ ms AS (SELECT model, cam_id, tp, fp, fn, round_even(tp/CAST(tp+fp AS DOUBLE), 4) AS "precision", round_even(tp/CAST(tp+fn AS DOUBLE), 4)
+  AS recall, round_even(2.0E0*tp/CAST(2*tp+fp+fn AS DOUBLE), 4) AS f1, round_even(fp/hours, 2) AS far_per_hour FROM sc)"""
 
 
 def phase_comparison(spark, sf):
@@ -236,11 +236,11 @@ def phase_comparison(spark, sf):
 
 QUERIES = {
     "match_truth_order": (_match("truth_order"), f"""WITH RECURSIVE {_walk(NEAREST)} SELECT cam_id, truth_ord, alert_ord,
-      round(delay, 3) AS delay FROM matches"""),
+      round_even(delay, 3) AS delay FROM matches"""),
     "match_first_free": (_match("first_free"), f"""WITH RECURSIVE {_walk('min(a.det_id)')} SELECT cam_id, truth_ord, alert_ord,
-      round(delay, 3) AS delay FROM matches"""),
+      round_even(delay, 3) AS delay FROM matches"""),
     "match_by_distance": (_match("distance_order"), f"""WITH RECURSIVE {CLOSEST_SQL} SELECT t.cam_id, t.det_id AS truth_ord,
-      a.det_id AS alert_ord, round(a.ts_s - t.ts_s, 3) AS delay FROM t LEFT JOIN walk w ON w.pt = t.det_id LEFT JOIN a ON
+      a.det_id AS alert_ord, round_even(a.ts_s - t.ts_s, 3) AS delay FROM t LEFT JOIN walk w ON w.pt = t.det_id LEFT JOIN a ON
       a.det_id = w.pa"""),
     "event_scores": (event_scores, f"""WITH RECURSIVE {_walk(NEAREST)}, fps AS (SELECT cam_id, count(*) AS fp FROM a WHERE
       det_id NOT IN (SELECT alert_ord FROM matches WHERE alert_ord IS NOT NULL) GROUP BY cam_id) {SCORE_TAIL}"""),
@@ -252,7 +252,7 @@ QUERIES = {
     "object_scores": (object_scores, None),
     "first_detections": (first_detections, f"""WITH {DET_SQL}, t AS (SELECT * FROM raw_det WHERE value >= 220)
       SELECT truth_ord, appear_frame, alert_frame, alert_frame - appear_frame AS delay_frames,
-      round((alert_frame - appear_frame) / 25.0E0, 3) AS delay_s FROM (SELECT t.det_id AS truth_ord, any_value(t.frame) AS
+      round_even((alert_frame - appear_frame) / 25.0E0, 3) AS delay_s FROM (SELECT t.det_id AS truth_ord, any_value(t.frame) AS
       appear_frame, min(d.frame) AS alert_frame FROM t LEFT JOIN det d ON d.cam_id = t.cam_id AND d.class_name = t.class_name
       AND d.frame >= t.frame GROUP BY t.det_id) q"""),
     "outside_intrusions": (outside_intrusions, f"""WITH {TRUTH_SQL} SELECT cam_id, det_id AS alert_ord FROM a WHERE NOT EXISTS (
@@ -262,9 +262,9 @@ QUERIES = {
       SELECT 1 FROM t WHERE t.cam_id = a.cam_id AND t.class_name = a.class_name AND abs(a.ts_s - t.ts_s) <= {TOL})"""),
     "false_positive_sessions": (false_positive_sessions, f"""WITH {TRUTH_SQL}, l AS (SELECT *, lag(ts_s) OVER (PARTITION BY
       cam_id ORDER BY ts_s) AS p FROM a), s AS (SELECT *, sum(CASE WHEN p IS NULL OR ts_s - p > 600 THEN 1 ELSE 0 END) OVER
-      (PARTITION BY cam_id ORDER BY ts_s) AS g FROM l) SELECT cam_id, round(min(ts_s), 3) AS start_time, round(max(ts_s), 3) AS
-      end_time, round(max(ts_s) - min(ts_s), 3) AS duration_s, count(*) AS n_detections, arg_min(class_name, (ts_s, det_ord)) AS
-      class_name, round(avg(confidence), 4) AS avg_confidence FROM s GROUP BY cam_id, g"""),
+      (PARTITION BY cam_id ORDER BY ts_s) AS g FROM l) SELECT cam_id, round_even(min(ts_s), 3) AS start_time, round_even(max(ts_s), 3) AS
+      end_time, round_even(max(ts_s) - min(ts_s), 3) AS duration_s, count(*) AS n_detections, arg_min(class_name, (ts_s, det_ord)) AS
+      class_name, round_even(avg(confidence), 4) AS avg_confidence FROM s GROUP BY cam_id, g"""),
     "nearest_annotations": (nearest_annotations, f"""WITH {DET_SQL}, t AS (SELECT cam_id, frame, det_id FROM raw_det WHERE
       value >= 220) SELECT d.det_id, arg_min(t.det_id, (abs(t.frame - d.frame), t.det_id)) AS truth_ord,
       min(abs(t.frame - d.frame)) AS gap FROM det d LEFT JOIN t ON t.cam_id = d.cam_id GROUP BY d.det_id"""),
@@ -274,23 +274,23 @@ QUERIES = {
       count(DISTINCT matched_ord) AS evaluated_predictions, count(*) FILTER (WHERE result = 'tp') AS tp,
       count(*) FILTER (WHERE result = 'fp') AS fp, count(*) FILTER (WHERE result = 'fn') AS fn,
       count(*) FILTER (WHERE result = 'tn') AS tn, (SELECT count(*) FROM links) AS predicted_links FROM res)
-      SELECT *, round(tp/CAST(tp+fp AS DOUBLE), 4) AS "precision", round(tp/CAST(tp+fn AS DOUBLE), 4) AS recall,
-      round(2.0E0*tp/CAST(2*tp+fp+fn AS DOUBLE), 4) AS f1, predicted_links - evaluated_predictions AS ignored_predictions,
-      round((tp+tn)/CAST(truth_rows AS DOUBLE), 4) AS accuracy FROM s"""),
+      SELECT *, round_even(tp/CAST(tp+fp AS DOUBLE), 4) AS "precision", round_even(tp/CAST(tp+fn AS DOUBLE), 4) AS recall,
+      round_even(2.0E0*tp/CAST(2*tp+fp+fn AS DOUBLE), 4) AS f1, predicted_links - evaluated_predictions AS ignored_predictions,
+      round_even((tp+tn)/CAST(truth_rows AS DOUBLE), 4) AS accuracy FROM s"""),
     "missing_inputs": (missing_inputs, f"""WITH {TRUTH_SQL} SELECT cam_id FROM (VALUES ('cam_01'),('cam_02'),('cam_03'),('cam_05'),
       ('cam_07'),('cam_09')) v(cam_id) WHERE cam_id NOT IN (SELECT cam_id FROM t)"""),
     "mapped_truth": (mapped_truth, f"""WITH {TRUTH_SQL} SELECT cam_id, cam_id || '_20260506_131002' AS gt_camera, count(*) AS n
       FROM t GROUP BY 1, 2"""),
     "grouped_truth_events": (grouped_truth_events, None),
     "best_model": (best_model, f"""WITH {RAW_SQL}, m AS (SELECT model, quantile_cont(value, 0.5) AS d,
-      round(1000.0E0 / avg(value), 6) AS fps FROM raw_det GROUP BY model) SELECT arg_min(model, (d, model)) AS best_delay_model,
+      round_even(1000.0E0 / avg(value), 6) AS fps FROM raw_det GROUP BY model) SELECT arg_min(model, (d, model)) AS best_delay_model,
       min(d) AS best_delay, arg_min(model, (-fps, model)) AS fastest_model, max(fps) AS fastest_fps FROM m"""),
     "event_metrics": (event_metrics, f"WITH {SCORES_SQL} SELECT * FROM ms"),
-    "model_leaderboard": (model_leaderboard, f"""WITH {SCORES_SQL}, m AS (SELECT model, round(avg(f1), 6) AS mean_f1 FROM ms
+    "model_leaderboard": (model_leaderboard, f"""WITH {SCORES_SQL}, m AS (SELECT model, round_even(avg(f1), 6) AS mean_f1 FROM ms
       GROUP BY model) SELECT model, mean_f1, rank() OVER (ORDER BY mean_f1 DESC) AS rank FROM m"""),
     "phase_comparison": (phase_comparison, f"""WITH {SCORES_SQL}, u AS (SELECT 'phase2' AS phase, CASE WHEN cam_id < 'cam_04' THEN
       'tad' ELSE 'trd' END AS task, "precision" AS p, recall AS r, f1 AS f, far_per_hour AS h, CAST(NULL AS BIGINT) AS n FROM ms
-      UNION ALL SELECT 'phase3', 'trd', "precision", recall, f1, NULL, fp FROM ms) SELECT phase, task, round(avg(p), 6) AS
-      "precision", round(avg(r), 6) AS recall, round(avg(f), 6) AS f1, round(avg(n), 6) AS n_faux_positifs,
-      round(avg(h), 6) AS far_per_hour FROM u GROUP BY phase, task"""),
+      UNION ALL SELECT 'phase3', 'trd', "precision", recall, f1, NULL, fp FROM ms) SELECT phase, task, round_even(avg(p), 6) AS
+      "precision", round_even(avg(r), 6) AS recall, round_even(avg(f), 6) AS f1, round_even(avg(n), 6) AS n_faux_positifs,
+      round_even(avg(h), 6) AS far_per_hour FROM u GROUP BY phase, task"""),
 }

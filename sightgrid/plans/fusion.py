@@ -20,7 +20,7 @@ def _pairs(spark, sf, limit=1.0):
 
 
 def candidate_pairs(spark, sf):
-    return _pairs(spark, sf).select("frame", "det_ord_a", "det_ord_b", F.round("distance_m", 6).alias("distance_m"))
+    return _pairs(spark, sf).select("frame", "det_ord_a", "det_ord_b", F.bround("distance_m", 6).alias("distance_m"))
 
 
 def optimal_links(spark, sf):
@@ -30,7 +30,7 @@ def optimal_links(spark, sf):
 
 def mutual_nearest_links(spark, sf):
     return fusion.mutual_nearest_links(_pairs(spark, sf)).select(
-        "frame", "det_ord_a", "det_ord_b", F.round("distance_m", 6).alias("distance_m"))
+        "frame", "det_ord_a", "det_ord_b", F.bround("distance_m", 6).alias("distance_m"))
 
 
 def frame_components(spark, sf):
@@ -79,6 +79,9 @@ def pair_quality(spark, sf):
     return matching.event_metrics(matching.pair_counts(d, ["run_id"])).drop("run_id")
 
 
+SWEEP_LIMITS = (50, 100, 150, 200)  # cm
+
+
 def threshold_sweep_truth(spark, sf):
     return sweep.sweep_with_truth(labelled(spark, sf), DEMO_SITE, window_s=WIDE).drop("run_id")
 
@@ -90,7 +93,7 @@ def threshold_sweep_operational(spark, sf):
 def threshold_sweep_mutual(spark, sf):
     """Operational sweep on mutual-nearest links and session-wide components (the order-free variant)."""
     d = detections(spark, sf).where(c("class_name") == "personne")
-    limits = (50, 100)
+    limits = SWEEP_LIMITS
     links = None
     for t in limits:
         part = fusion.mutual_nearest_links(fusion.candidate_pairs(d, DEMO_SITE, t / 100.0, WIDE)).withColumn(
@@ -146,7 +149,7 @@ TRANSITIVE_SQL = f"""WITH RECURSIVE {BASE}, {pairs_sql('0.5')}, {MUTUAL_SQL},
 
 def _mutual_sweep_sql() -> str:
     ctes, selects = [], []
-    for t in (50, 100):
+    for t in SWEEP_LIMITS:
         ctes.append(f"cand{t} AS (SELECT * FROM cand WHERE d < {t / 100.0})")
         ctes.append(MUTUAL_SQL.replace("mutual AS", f"mutual{t} AS").replace("FROM cand)", f"FROM cand{t})"))
         ctes.append(f"e{t} AS (SELECT {_node('cam_a', 'ta')} AS u, {_node('cam_b', 'tb')} AS v FROM mutual{t} UNION "
@@ -158,23 +161,23 @@ def _mutual_sweep_sql() -> str:
         selects.append(f"SELECT CAST({t} AS BIGINT) AS threshold_cm, count(DISTINCT frame) AS frames, (SELECT count(*) FROM "
                        f"(SELECT frame, gid FROM g{t} GROUP BY frame, gid HAVING count(DISTINCT cam_id) >= 2) x) AS "
                        f"predicted_links, count(DISTINCT gid) AS unique_global_ids FROM g{t}")
-    pairs = pairs_sql("1.0", "AND a.class_name = 'personne'")
+    pairs = pairs_sql("2.0", "AND a.class_name = 'personne'")
     return f"WITH RECURSIVE {BASE}, {pairs}, " + ", ".join(ctes) + " " + " UNION ALL ".join(selects)
 
 
 QUERIES = {
     "candidate_pairs": (candidate_pairs, f"""WITH {BASE}, {pairs_sql('1.0')} SELECT frame, det_ord_a, det_ord_b,
-      round(d, 6) AS distance_m FROM cand"""),
+      round_even(d, 6) AS distance_m FROM cand"""),
     "optimal_links": (optimal_links, None),
     "mutual_nearest_links": (mutual_nearest_links, f"""WITH {BASE}, {pairs_sql('1.0')}, {MUTUAL_SQL}
-      SELECT frame, det_ord_a, det_ord_b, round(d, 6) AS distance_m FROM mutual"""),
+      SELECT frame, det_ord_a, det_ord_b, round_even(d, 6) AS distance_m FROM mutual"""),
     "frame_components": (frame_components, COMPONENT_SQL),
     "global_ids": (global_ids, None),
     "transitive_ids": (transitive_ids, TRANSITIVE_SQL),
     "fusion_links": (fusion_links, f"""WITH {GID_SQL} SELECT a.frame, a.global_id, a.cam_id AS cam_a, a.track_id AS track_a,
       a.class_name AS class_a, b.cam_id AS cam_b, b.track_id AS track_b, b.class_name AS class_b,
-      round(abs(a.ts_s-b.ts_s)*1000.0E0, 3) AS time_delta_ms,
-      round(sqrt((a.x_m-b.x_m)*(a.x_m-b.x_m)+(a.y_m-b.y_m)*(a.y_m-b.y_m)), 6) AS distance_m
+      round_even(abs(a.ts_s-b.ts_s)*1000.0E0, 3) AS time_delta_ms,
+      round_even(sqrt((a.x_m-b.x_m)*(a.x_m-b.x_m)+(a.y_m-b.y_m)*(a.y_m-b.y_m)), 6) AS distance_m
       FROM gdet a JOIN gdet b ON a.frame = b.frame AND a.global_id = b.global_id AND a.cam_id < b.cam_id"""),
     "track_stability": (track_stability, f"""WITH {GID_SQL}, l AS (SELECT *, lag(global_id) OVER (PARTITION BY cam_id,
       track_id ORDER BY frame, det_ord) AS p FROM gdet) SELECT cam_id, track_id, min(frame) AS first_frame, max(frame) AS
@@ -189,8 +192,8 @@ QUERIES = {
       s AS (SELECT count(*) FILTER (WHERE pl) AS predicted_links, count(*) FILTER (WHERE tl) AS truth_links,
        count(*) FILTER (WHERE pl AND tl) AS tp, count(*) FILTER (WHERE pl AND NOT tl) AS fp,
        count(*) FILTER (WHERE NOT pl AND tl) AS fn, count(*) FILTER (WHERE NOT pl AND NOT tl) AS tn FROM q)
-      SELECT *, round(tp/CAST(tp+fp AS DOUBLE), 4) AS "precision", round(tp/CAST(tp+fn AS DOUBLE), 4) AS recall,
-       round(2.0E0*tp/CAST(2*tp+fp+fn AS DOUBLE), 4) AS f1 FROM s"""),
+      SELECT *, round_even(tp/CAST(tp+fp AS DOUBLE), 4) AS "precision", round_even(tp/CAST(tp+fn AS DOUBLE), 4) AS recall,
+       round_even(2.0E0*tp/CAST(2*tp+fp+fn AS DOUBLE), 4) AS f1 FROM s"""),
     "threshold_sweep_truth": (threshold_sweep_truth, None),
     "threshold_sweep_operational": (threshold_sweep_operational, None),
     "threshold_sweep_mutual": (threshold_sweep_mutual, _mutual_sweep_sql()),

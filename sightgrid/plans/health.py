@@ -12,7 +12,8 @@ from sightgrid.operators.quantiles import exact_percentiles, latency_stats
 from sightgrid.plans.alerting import RULES
 from sightgrid.plans.fusion import GID_SQL, numbered
 from sightgrid.session import cut_lineage
-from sightgrid.sources.tables import DEMO_SITE, DET_SQL, RAW_SQL, detections, raw_detections
+from sightgrid.sources.tables import (
+    CROSS_SQL, DEMO_SITE, DET_SQL, ON_EDGE_SQL, RAW_SQL, ZONE_SQL, detections, raw_detections)
 
 c = F.col
 FRAME0 = 473352  # frame number of the view's first hour
@@ -90,7 +91,7 @@ SYNC_SQL = DET_SQL + f""", sync AS (SELECT DISTINCT model AS run_id, frame - {FR
 
 
 def camera_sync(spark, sf):
-    return health.camera_sync_stats(_sync(spark, sf)).withColumn("effective_fps", F.round("effective_fps", 6))
+    return health.camera_sync_stats(_sync(spark, sf)).withColumn("effective_fps", F.bround("effective_fps", 6))
 
 
 EXPECTED = ["cam_02", "cam_03", "cam_05", "cam_07", "cam_08"]
@@ -109,16 +110,32 @@ def _summary(spark, sf):
 
 
 def run_summary(spark, sf):
-    return _summary(spark, sf).drop("alerts")
-
-
-SUMMARY_SQL = GID_SQL + """, g AS (SELECT *, lag(global_id) OVER (PARTITION BY model, cam_id, track_id ORDER BY frame, det_ord) AS p
+    return _summary(spark, sf)
+
+
+RUN_ALERTS_SQL = f""", {ZONE_SQL}, spine AS (SELECT model, frame, row_number() OVER (PARTITION BY model ORDER BY frame) - 1 AS ord
+  FROM (SELECT DISTINCT model, frame FROM det) f),
+ hits AS (SELECT det_id, zone_id FROM det, zone_edges GROUP BY det_id, zone_id
+  HAVING bool_or({ON_EDGE_SQL}) OR count(*) FILTER (WHERE {CROSS_SQL}) % 2 = 1),
+ presence AS (SELECT model, frame, global_id, zone_id, count(DISTINCT zc.cam_id) AS votes FROM gdet JOIN hits USING (det_id)
+  LEFT JOIN zone_cams zc USING (zone_id, cam_id) WHERE class_id = 11 GROUP BY model, frame, global_id, zone_id),
+ entered AS (SELECT model, ord, lag(ord) OVER (PARTITION BY model, global_id, zone_id ORDER BY ord) AS before
+  FROM presence p JOIN spine USING (model, frame) WHERE votes >= (SELECT greatest(1, CAST(ceil(count(*)*0.3E0) AS BIGINT))
+  FROM zone_cams z WHERE z.zone_id = p.zone_id)),
+ objects AS (SELECT model, frame, global_id, lower(trim(class_name)) AS object_key, count(DISTINCT cam_id) >= 2 AS sure
+  FROM gdet WHERE class_id <> 11 GROUP BY model, frame, global_id, lower(trim(class_name))),
+ levels AS (SELECT model, ord, sure, lag(ord) OVER w AS p_ord, lag(sure) OVER w AS p_sure FROM objects JOIN spine USING (model, frame)
+  WINDOW w AS (PARTITION BY model, global_id, object_key ORDER BY ord)),
+ al AS (SELECT model FROM entered WHERE before IS NULL OR before <> ord - 1 UNION ALL
+  SELECT model FROM levels WHERE p_ord IS NULL OR p_ord <> ord - 1 OR (p_sure <> sure AND NOT p_sure))"""
+SUMMARY_SQL = GID_SQL + RUN_ALERTS_SQL + """, g AS (SELECT *, lag(global_id) OVER (PARTITION BY model, cam_id, track_id ORDER BY frame, det_ord) AS p
   FROM gdet), lk AS (SELECT a.model AS run_id, a.frame, a.cam_id || '+' || b.cam_id AS pair, a.global_id, a.cam_id AS ca, b.cam_id AS cb
   FROM gdet a JOIN gdet b ON a.model = b.model AND a.frame = b.frame AND a.global_id = b.global_id AND a.cam_id < b.cam_id),
- summ AS (SELECT model AS run_id, count(DISTINCT frame) AS frames, count(*) AS detections, count(DISTINCT global_id) AS unique_global_ids,
+ summ AS (SELECT model AS run_id, count(DISTINCT frame) AS frames, count(*) AS detections,
+  (SELECT count(*) FROM al WHERE al.model = g.model) AS alerts, count(DISTINCT global_id) AS unique_global_ids,
   (SELECT count(*) FROM lk WHERE lk.run_id = g.model) AS fusion_links, count(*) FILTER (WHERE p <> global_id) AS global_id_switches,
-  round(avg(value), 3) AS latency_mean_ms, round(quantile_cont(value, 0.5), 3) AS latency_median_ms,
-  round(quantile_cont(value, 0.95), 3) AS latency_p95_ms, round(max(value), 3) AS latency_max_ms FROM g GROUP BY model),
+  round_even(avg(value), 3) AS latency_mean_ms, round_even(quantile_cont(value, 0.5), 3) AS latency_median_ms,
+  round_even(quantile_cont(value, 0.95), 3) AS latency_p95_ms, round_even(max(value), 3) AS latency_max_ms FROM g GROUP BY model),
  pr AS (SELECT run_id, pair, count(*) AS n, min((frame, global_id, ca, cb)) AS first FROM lk GROUP BY run_id, pair),
  ls AS (SELECT run_id, (SELECT count(DISTINCT frame) FROM lk WHERE lk.run_id = pr.run_id) AS frames_with_fusion,
   count(*) AS camera_pairs, arg_min(pair, (-n, first)) AS top_pair, max(n) AS top_pair_links FROM pr GROUP BY run_id)"""
@@ -129,7 +146,7 @@ def _health(spark, sf):
 
 
 def run_health(spark, sf):
-    return _health(spark, sf).drop("alerts")
+    return _health(spark, sf)
 
 
 def compare_runs(spark, sf):
@@ -139,11 +156,11 @@ def compare_runs(spark, sf):
 HEALTH_SQL = SUMMARY_SQL + SYNC_SQL.replace(DET_SQL, "") + """, cam AS (SELECT run_id, max(last_elapsed_s) - min(first_elapsed_s) AS dur,
   count(*) AS camera_count, count(*) FILTER (WHERE dropped_early) AS dropped_count,
   coalesce(string_agg(CASE WHEN dropped_early THEN cam_id END, ',' ORDER BY cam_id), '') AS dropped_cameras FROM cs GROUP BY run_id),
- hl AS (SELECT run_id, frames, round(dur, 3) AS duration_s, round(frames / dur, 3) AS effective_fps, detections, latency_mean_ms,
+ hl AS (SELECT run_id, frames, round_even(dur, 3) AS duration_s, round_even(frames / dur, 3) AS effective_fps, detections, alerts, latency_mean_ms,
   latency_p95_ms, latency_max_ms, fusion_links, coalesce(frames_with_fusion, 0) AS frames_with_fusion,
-  round(coalesce(frames_with_fusion, 0) / CAST(frames AS DOUBLE) * 100, 3) AS fusion_frame_rate_pct,
-  round(fusion_links / CAST(frames AS DOUBLE), 6) AS fusion_links_per_frame,
-  round(fusion_links / CAST(detections AS DOUBLE) * 1000, 3) AS fusion_links_per_1000_detections,
+  round_even(coalesce(frames_with_fusion, 0) / CAST(frames AS DOUBLE) * 100, 3) AS fusion_frame_rate_pct,
+  round_even(fusion_links / CAST(frames AS DOUBLE), 6) AS fusion_links_per_frame,
+  round_even(fusion_links / CAST(detections AS DOUBLE) * 1000, 3) AS fusion_links_per_1000_detections,
   coalesce(camera_pairs, 0) AS fusion_camera_pairs, coalesce(top_pair, '') AS top_fusion_pair,
   coalesce(top_pair_links, 0) AS top_fusion_pair_links, CAST(fusion_links > 0 AS BIGINT) AS fusion_active, dropped_cameras,
   dropped_count, camera_count FROM summ JOIN cam USING (run_id) LEFT JOIN ls USING (run_id))"""
@@ -151,7 +168,7 @@ HEALTH_SQL = SUMMARY_SQL + SYNC_SQL.replace(DET_SQL, "") + """, cam AS (SELECT r
 
 def camera_scaling(spark, sf):
     runs = detections(spark, sf).groupBy("model").agg(
-        F.countDistinct("frame").alias("frames"), F.round(F.max("ts_s") - F.min("ts_s"), 3).alias("duration_s"))
+        F.countDistinct("frame").alias("frames"), F.bround(F.max("ts_s") - F.min("ts_s"), 3).alias("duration_s"))
     return health.camera_scaling(runs)
 
 
@@ -210,8 +227,8 @@ def envelope_counts(spark, sf):
 
     e = _envelopes(spark, sf)
     return e.where(c("schema") == SCHEMA_NAME).select(
-        "frame", F.round("created_epoch_s", 3).alias("created_s"), F.size("detections").cast("bigint").alias("detections"),
-        F.round(F.aggregate("detections", F.lit(0.0), lambda s, x: s + x["position_m"][0]), 3).alias("sum_x"))
+        "frame", F.bround("created_epoch_s", 3).alias("created_s"), F.size("detections").cast("bigint").alias("detections"),
+        F.bround(F.aggregate("detections", F.lit(0.0), lambda s, x: s + x["position_m"][0]), 3).alias("sum_x"))
 
 
 def _lines(spark, sf):
@@ -238,7 +255,7 @@ def validate_envelopes(spark, sf):
 
 def publish_intervals(spark, sf):
     return E.publish_intervals(cut_lineage(E.envelope_facts(_lines(spark, sf)))).select(
-        "line_no", "frame", F.round("interval_ms", 3).alias("interval_ms"), "backwards")
+        "line_no", "frame", F.bround("interval_ms", 3).alias("interval_ms"), "backwards")
 
 
 def first_examples(spark, sf):
@@ -247,14 +264,14 @@ def first_examples(spark, sf):
 
 ENVELOPE_SQL = GID_SQL + f""", env AS (SELECT *, k + CASE WHEN (k // 2) % 20 = 0 THEN CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END ELSE 0 END
   AS line_no FROM (SELECT frame, frame - {FRAME0} AS k, max(ts_s) * 1000.0E0 + frame * 37 % 500 AS created_ms, count(*) AS n,
-  round(max(ts_s), 6) AS newest FROM gdet GROUP BY frame) q),
+  round_even(max(ts_s), 6) AS newest FROM gdet GROUP BY frame) q),
  step AS (SELECT *, created_ms - lag(created_ms) OVER (ORDER BY line_no) AS interval_ms,
   coalesce(frame < lag(frame) OVER (ORDER BY line_no), false) AS backwards,
-  (round(created_ms / 1000.0E0, 6) - newest) * 1000.0E0 AS lag_ms FROM env)"""
+  (round_even(created_ms / 1000.0E0, 6) - newest) * 1000.0E0 AS lag_ms FROM env)"""
 P95_NEAREST = "list_sort(list({0}) FILTER (WHERE {0} IS NOT NULL))[CAST(round_even(0.95E0 * (count({0}) - 1), 0) AS BIGINT) + 1]"
 
-STATS = """count(*) AS n, round(avg(value), 6) AS latency_mean_ms, round(quantile_cont(value, 0.5), 6) AS latency_median_ms,
- round({p95}, 6) AS latency_p95_ms, round(max(value), 6) AS latency_max_ms"""
+STATS = """count(*) AS n, round_even(avg(value), 6) AS latency_mean_ms, round_even(quantile_cont(value, 0.5), 6) AS latency_median_ms,
+ round_even({p95}, 6) AS latency_p95_ms, round_even(max(value), 6) AS latency_max_ms"""
 
 QUERIES = {
     "latency_by_stage": (latency_by_stage, f"""WITH {RAW_SQL} SELECT event_type, {STATS.format(p95='quantile_cont(value, 0.95)')}
@@ -262,45 +279,45 @@ QUERIES = {
     "latency_nearest_rank": (latency_nearest_rank, f"""WITH {RAW_SQL} SELECT event_type, cam_id,
       {STATS.format(p95=P95_NEAREST.format('value'))} FROM raw_det GROUP BY event_type, cam_id"""),
     "latency_overall": (latency_overall, f"WITH {RAW_SQL} SELECT {STATS.format(p95='quantile_cont(value, 0.95)')} FROM raw_det"),
-    "inference_rate": (inference_rate, f"""WITH {RAW_SQL} SELECT model, round(stddev_pop(value), 1) AS latency_jitter_ms,
-      round(1.0E0 / avg(value / 1000.0E0), 1) AS fps_inference FROM raw_det GROUP BY model"""),
+    "inference_rate": (inference_rate, f"""WITH {RAW_SQL} SELECT model, round_even(stddev_pop(value), 1) AS latency_jitter_ms,
+      round_even(1.0E0 / avg(value / 1000.0E0), 1) AS fps_inference FROM raw_det GROUP BY model"""),
     "frame_timing": (frame_timing, f"""WITH {TRACE_SQL} SELECT frame, count(DISTINCT cam_id) AS camera_count,
-      round(coalesce(avg(capture_read_ms) FILTER (WHERE ok), 0), 3) AS capture_read_ms_mean,
-      round(coalesce(max(capture_read_ms) FILTER (WHERE ok), 0), 3) AS capture_read_ms_max,
-      round(min(e) FILTER (WHERE ok), 6) AS capture_read_end_epoch_min, round(max(e) FILTER (WHERE ok), 6) AS
-      capture_read_end_epoch_max, round(avg(inference_tracking_ms), 3) AS inference_ms_mean,
-      round(max(inference_tracking_ms), 3) AS inference_ms_max,
-      round(coalesce((max(metadata_start_epoch) - min(e) FILTER (WHERE ok)) * 1000.0E0, 0), 3) AS capture_to_metadata_ms_worst,
-      round(coalesce((max(metadata_start_epoch) - max(e) FILTER (WHERE ok)) * 1000.0E0, 0), 3) AS capture_to_metadata_ms_latest
+      round_even(coalesce(avg(capture_read_ms) FILTER (WHERE ok), 0), 3) AS capture_read_ms_mean,
+      round_even(coalesce(max(capture_read_ms) FILTER (WHERE ok), 0), 3) AS capture_read_ms_max,
+      round_even(min(e) FILTER (WHERE ok), 6) AS capture_read_end_epoch_min, round_even(max(e) FILTER (WHERE ok), 6) AS
+      capture_read_end_epoch_max, round_even(avg(inference_tracking_ms), 3) AS inference_ms_mean,
+      round_even(max(inference_tracking_ms), 3) AS inference_ms_max,
+      round_even(coalesce((max(metadata_start_epoch) - min(e) FILTER (WHERE ok)) * 1000.0E0, 0), 3) AS capture_to_metadata_ms_worst,
+      round_even(coalesce((max(metadata_start_epoch) - max(e) FILTER (WHERE ok)) * 1000.0E0, 0), 3) AS capture_to_metadata_ms_latest
       FROM trace GROUP BY frame"""),
     "stage_latency": (stage_latency, f"WITH {TRACE_SQL} " + " UNION ALL ".join(
-        f"SELECT cam_id, '{k}' AS stage, round(avg({v}), 6) AS mean_ms, round(quantile_cont({v}, 0.95), 6) AS p95_ms FROM trace "
+        f"SELECT cam_id, '{k}' AS stage, round_even(avg({v}), 6) AS mean_ms, round_even(quantile_cont({v}, 0.95), 6) AS p95_ms FROM trace "
         "GROUP BY cam_id" for k, v in health.STAGES.items())),
     "fusion_link_stats": (fusion_link_stats, f"WITH {SUMMARY_SQL} SELECT * FROM ls"),
-    "camera_sync": (camera_sync, f"WITH {SYNC_SQL} SELECT * EXCLUDE (fps), round(fps, 6) AS effective_fps FROM cs"),
+    "camera_sync": (camera_sync, f"WITH {SYNC_SQL} SELECT * EXCLUDE (fps), round_even(fps, 6) AS effective_fps FROM cs"),
     "expected_cameras": (expected_cameras, f"""WITH {SYNC_SQL} SELECT run_id, cam_id, coalesce(frames, 0) AS frames,
       coalesce(missing_campaign_frames, total) AS missing_campaign_frames, coalesce(dropped_early, true) AS dropped_early
       FROM (SELECT run_id, total, unnest({EXPECTED}) AS cam_id FROM runs) r LEFT JOIN cs USING (run_id, cam_id)"""),
     "run_summary": (run_summary, f"WITH {SUMMARY_SQL} SELECT * FROM summ"),
     "run_health": (run_health, f"WITH {HEALTH_SQL} SELECT * FROM hl"),
-    "compare_runs": (compare_runs, f"""WITH {HEALTH_SQL} SELECT CAST(count(*) AS DOUBLE) AS runs, round(avg(effective_fps), 6) AS
-      mean_effective_fps, round(avg(latency_p95_ms), 6) AS mean_latency_p95_ms,
-      round(sum(dropped_count) / CAST(sum(camera_count) AS DOUBLE), 6) AS drop_rate,
-      round(avg(CAST(fusion_links > 0 AS DOUBLE)), 6) AS fusion_enabled_rate FROM hl"""),
-    "camera_scaling": (camera_scaling, f"""WITH {DET_SQL} SELECT *, round(frames / duration_s, 6) AS fps FROM (SELECT model,
-      count(DISTINCT frame) AS frames, round(max(ts_s) - min(ts_s), 3) AS duration_s FROM det GROUP BY model) q"""),
+    "compare_runs": (compare_runs, f"""WITH {HEALTH_SQL} SELECT CAST(count(*) AS DOUBLE) AS runs, round_even(avg(effective_fps), 6) AS
+      mean_effective_fps, round_even(avg(latency_p95_ms), 6) AS mean_latency_p95_ms,
+      round_even(sum(dropped_count) / CAST(sum(camera_count) AS DOUBLE), 6) AS drop_rate,
+      round_even(avg(CAST(fusion_links > 0 AS DOUBLE)), 6) AS fusion_enabled_rate FROM hl"""),
+    "camera_scaling": (camera_scaling, f"""WITH {DET_SQL} SELECT *, round_even(frames / duration_s, 6) AS fps FROM (SELECT model,
+      count(DISTINCT frame) AS frames, round_even(max(ts_s) - min(ts_s), 3) AS duration_s FROM det GROUP BY model) q"""),
     "sync_skew": (sync_skew, f"""WITH {DET_SQL} SELECT frame, cameras, CASE WHEN cameras >= 2 THEN s ELSE 0 END AS skew_ms,
       cameras < 2 OR s <= 3000000 AS released FROM (SELECT frame, count(DISTINCT cam_id) AS cameras,
-      round((max(ts_s) - min(ts_s)) * 1000.0E0, 3) AS s FROM det GROUP BY frame) q"""),
+      round_even((max(ts_s) - min(ts_s)) * 1000.0E0, 3) AS s FROM det GROUP BY frame) q"""),
     "latency_report": (latency_report, f"""WITH {RAW_SQL} SELECT cam_id, CAST(floor(ts_s / 86400) AS BIGINT) AS period,
-      round(avg(value), 3) AS avg_ms, round(max(value), 3) AS max_ms FROM raw_det GROUP BY 1, 2"""),
+      round_even(avg(value), 3) AS avg_ms, round_even(max(value), 3) AS max_ms FROM raw_det GROUP BY 1, 2"""),
     "resampled": (resampled, f"""WITH {RAW_SQL}, o AS (SELECT *, min(ts_s) OVER (PARTITION BY cam_id) AS t0 FROM raw_det),
       tk AS (SELECT cam_id, CAST(ceil((ts_s - t0) * (1.0E0/600.0E0)) AS BIGINT) AS k, max((ts_s, det_ord)) AS o FROM o GROUP BY 1, 2),
       n AS (SELECT *, lead(k) OVER (PARTITION BY cam_id ORDER BY k) AS nk FROM tk)
       SELECT cam_id, unnest(range(k, coalesce(nk, k + 1))) AS tick, o[2] AS det_ord,
       unnest(range(k, coalesce(nk, k + 1))) > k AS duplicated FROM n"""),
     "snapshot_staleness": (snapshot_staleness, f"""WITH {RAW_SQL} SELECT det_id, age_ms, coalesce(age_ms <= 1200000, false) AS fresh
-      FROM (SELECT a.det_id, round((a.ts_s - b.ts_s) * 1000.0E0, 3) AS age_ms FROM (SELECT * FROM raw_det WHERE event_type <> 'view') a
+      FROM (SELECT a.det_id, round_even((a.ts_s - b.ts_s) * 1000.0E0, 3) AS age_ms FROM (SELECT * FROM raw_det WHERE event_type <> 'view') a
       ASOF LEFT JOIN (SELECT * FROM raw_det WHERE event_type = 'view') b ON a.cam_id = b.cam_id AND a.ts_s >= b.ts_s) q"""),
     "overlay_lookup": (overlay_lookup, f"""WITH {DET_SQL}, e AS (SELECT frame, max(ts_s) * 1000.0E0 AS s FROM det GROUP BY frame)
       SELECT det_id, e.frame AS overlay_frame FROM (SELECT det_id, ts_s * 1000.0E0 - 7200000.0E0 AS t FROM raw_det) r
@@ -309,17 +326,17 @@ QUERIES = {
       'stale' ELSE 'off' END AS state FROM (SELECT cam_id, CAST(floor(ts_s / 86400) AS BIGINT) AS day,
       (CAST(floor(any_value(ts_s) / 86400) AS BIGINT) + 1) * 86400.0E0 - max(ts_s) AS a FROM raw_det
       GROUP BY cam_id, CAST(floor(ts_s / 86400) AS BIGINT)) q"""),
-    "envelope_counts": (envelope_counts, f"""WITH {GID_SQL} SELECT frame, round((max(ts_s) * 1000.0E0 + frame * 37 % 500) / 1000.0E0, 3)
-      AS created_s, count(*) AS detections, round(sum(x_m), 3) AS sum_x FROM gdet WHERE frame % 3 = 0 GROUP BY frame"""),
+    "envelope_counts": (envelope_counts, f"""WITH {GID_SQL} SELECT frame, round_even((max(ts_s) * 1000.0E0 + frame * 37 % 500) / 1000.0E0, 3)
+      AS created_s, count(*) AS detections, round_even(sum(x_m), 3) AS sum_x FROM gdet WHERE frame % 3 = 0 GROUP BY frame"""),
     "validate_envelopes": (validate_envelopes, f"""WITH {ENVELOPE_SQL} SELECT count(*) AS envelopes, CAST(sum(n) AS BIGINT) AS
       detections, CAST(0 AS BIGINT) AS alerts, 'cam_02, cam_03, cam_05, cam_07' AS cameras,
       (SELECT string_agg(class_name, ', ' ORDER BY class_name) FROM (SELECT DISTINCT class_name FROM gdet) z) AS classes,
       '' AS alert_types, CAST(sum(n) AS BIGINT) AS bbox_ok, CAST(sum(n) AS BIGINT) AS global_ids,
       count(*) FILTER (WHERE frame % 5 = 0) AS missing_envelope, CAST(0 AS BIGINT) AS missing_detection, CAST(0 AS BIGINT) AS
-      missing_alert, count(*) FILTER (WHERE backwards) AS frame_backwards, round(avg(interval_ms), 3) AS publish_interval_mean_ms,
-      round({P95_NEAREST.format('interval_ms')}, 3) AS publish_interval_p95_ms, round(avg(lag_ms), 3) AS metadata_lag_mean_ms,
-      round({P95_NEAREST.format('lag_ms')}, 3) AS metadata_lag_p95_ms FROM step"""),
-    "publish_intervals": (publish_intervals, f"""WITH {ENVELOPE_SQL} SELECT line_no, frame, round(interval_ms, 3) AS interval_ms,
+      missing_alert, count(*) FILTER (WHERE backwards) AS frame_backwards, round_even(avg(interval_ms), 3) AS publish_interval_mean_ms,
+      round_even({P95_NEAREST.format('interval_ms')}, 3) AS publish_interval_p95_ms, round_even(avg(lag_ms), 3) AS metadata_lag_mean_ms,
+      round_even({P95_NEAREST.format('lag_ms')}, 3) AS metadata_lag_p95_ms FROM step"""),
+    "publish_intervals": (publish_intervals, f"""WITH {ENVELOPE_SQL} SELECT line_no, frame, round_even(interval_ms, 3) AS interval_ms,
       backwards FROM step"""),
     "first_examples": (first_examples, f"""WITH {ENVELOPE_SQL} SELECT min(line_no) AS with_detection, CAST(NULL AS BIGINT) AS
       with_alert FROM env"""),

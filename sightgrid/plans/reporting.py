@@ -56,10 +56,10 @@ AUDIT_SQL = DIST_SQL + ", " + CAM_SQL + """, al AS (SELECT det_id AS alert_key,
   WHEN det_id % 2 = 0 THEN 'zone_1' ELSE 'zone_2' END AS declared_zone, x_m, y_m,
   list_distinct(CASE WHEN det_id % 3 = 0 THEN [cam_id, 'cam_07'] ELSE [cam_id] END) AS cams FROM det),
  ins AS (SELECT det_id AS alert_key, string_agg(zone_id, '+' ORDER BY zone_ord) AS z, list(zone_id) AS zl FROM hits GROUP BY det_id),
- nz AS (SELECT det_id AS alert_key, arg_min(zone_id, (d, zone_ord)) AS nearest_zone, round(min(d), 4) AS distance_to_nearest_zone_m
+ nz AS (SELECT det_id AS alert_key, arg_min(zone_id, (d, zone_ord)) AS nearest_zone, round_even(min(d), 4) AS distance_to_nearest_zone_m
   FROM zdist GROUP BY det_id),
  ex AS (SELECT alert_key, unnest(cams) AS cam_id FROM al),
- wc AS (SELECT alert_key, round(max(mean_error_cm), 2) AS worst_mean_error_cm, round(max(max_error_cm), 2) AS worst_max_error_cm
+ wc AS (SELECT alert_key, round_even(max(mean_error_cm), 2) AS worst_mean_error_cm, round_even(max(max_error_cm), 2) AS worst_max_error_cm
   FROM ex JOIN cams USING (cam_id) GROUP BY alert_key),
  au AS (SELECT al.*, coalesce(z, '') AS inside_zones, z IS NOT NULL AS inside_any_zone, CASE WHEN alert_type = 'zone_violation_person'
   THEN declared_zone <> '' AND coalesce(list_contains(zl, declared_zone), false) ELSE true END AS expected_zone_ok,
@@ -80,7 +80,7 @@ def reprojection_report(spark, sf):
 
 
 REPROJECTION_SQL = f"""WITH {RAW_SQL}, e AS (SELECT cam_id, sqrt(power((det_id % 10)/100.0E0, 2) + power((det_id % 7)/100.0E0, 2)) * 100
-  AS e FROM raw_det) SELECT cam_id, count(*) AS n_points, round(avg(e), 4) AS mean_error_cm, round(max(e), 4) AS max_error_cm,
+  AS e FROM raw_det) SELECT cam_id, count(*) AS n_points, round_even(avg(e), 4) AS mean_error_cm, round_even(max(e), 4) AS max_error_cm,
   CASE WHEN avg(e) < 5 THEN 'EXCELLENT' WHEN avg(e) < 10 THEN 'BON' WHEN avg(e) < 20 THEN 'MOYEN' ELSE 'MAUVAIS' END AS verdict
   FROM e GROUP BY cam_id"""
 
@@ -112,7 +112,7 @@ def label_rows(spark, sf):
     text = F.when(c("det_id") % 11 == 0, "3 0.1 0.2").when(c("det_id") % 13 == 0, "x 0.1 0.2 0.3 0.4").otherwise(
         F.concat((c("det_id") % 9).cast("string"), F.lit("  0.5 0.25 0.125 0."), (c("det_id") % 7 + 1).cast("string")))
     return run_files.parse_label_lines(d.select("det_id", text.alias("value"))).groupBy("class_id").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("h"), 6).alias("sum_h"))
+        F.count(F.lit(1)).alias("n"), F.bround(F.sum("h"), 6).alias("sum_h"))
 
 
 def unknown_classes(spark, sf):
@@ -122,9 +122,21 @@ def unknown_classes(spark, sf):
 MAPPING = {0: 6, 2: 1, 5: 5}
 
 
+def _label_text(spark, sf):
+    """Label lines of five to seven fields, some with a class that cannot be read."""
+    d = raw_detections(spark, sf)
+    name = F.when(c("det_id") % 13 == 0, "x").otherwise((c("det_id") % 8).cast("string"))
+    more = F.when(c("det_id") % 3 == 0, " 0.6 0.7").when(c("det_id") % 3 == 1, " 0.6").otherwise("")
+    return run_files.label_line_parts(d.select("det_id", "cam_id", F.concat(name, F.lit("  0.5 0.25 0.125 0.5"), more).alias("value")))
+
+
 def remapped_labels(spark, sf):
-    d = raw_detections(spark, sf).select("cam_id", (c("det_id") % 8).alias("class_id"))
-    return labels.remap_labels(d, MAPPING, ["cam_id"])[1]
+    return labels.remap_labels(_label_text(spark, sf), MAPPING, ["cam_id"])[1]
+
+
+def remapped_lines(spark, sf):
+    """The rewritten lines, whole."""
+    return labels.remap_labels(_label_text(spark, sf), MAPPING, ["cam_id"])[0].select("det_id", "line")
 
 
 def excluded_labels(spark, sf):
@@ -171,22 +183,22 @@ def event_cameras(spark, sf):
 def deduplicated_alerts(spark, sf):
     d = raw_detections(spark, sf).select(
         F.when(c("det_id") % 6 == 0, "").otherwise((c("det_id") - c("det_id") % 3).cast("string")).alias("alert_id"), "event_type",
-        "cam_id", "frame")
-    return reports.dedupe_alerts(d, [c("event_type"), c("cam_id"), c("frame").cast("string")]).select("alert_key")
+        "cam_id", "frame", "det_id", "value")
+    return reports.dedupe_alerts(d, [c("event_type"), c("cam_id"), c("frame").cast("string")], ["det_id"])
 
 
 def union_of_runs(spark, sf):
     """Runs with different headers under one ordered header, missing cells empty."""
     d = raw_detections(spark, sf)
     a = d.groupBy("model", "cam_id").agg(F.count(F.lit(1)).alias("detections"))
-    b = d.groupBy("model").agg(F.count(F.lit(1)).alias("frames"), F.round(F.max("value"), 3).alias("latency_max_ms"))
+    b = d.groupBy("model").agg(F.count(F.lit(1)).alias("frames"), F.bround(F.max("value"), 3).alias("latency_max_ms"))
     return run_files.concat_runs([a, b])
 
 
 def union_header(spark, sf):
     d = raw_detections(spark, sf)
     a = d.groupBy(c("model").alias("run_dir")).agg(F.count(F.lit(1)).alias("events"))
-    b = d.groupBy(c("cam_id").alias("run_dir")).agg(F.round(F.avg("value"), 6).alias("mean_value"))
+    b = d.groupBy(c("cam_id").alias("run_dir")).agg(F.bround(F.avg("value"), 6).alias("mean_value"))
     return sinks.union_header([a, b])
 
 
@@ -233,14 +245,18 @@ QUERIES = {
       max(greatest(abs(x), abs(y))) > 1e-8 AS usable FROM p GROUP BY cam_id"""),
     "parsed_alert_log": (parsed_alert_log, f"""WITH {DET_SQL} SELECT det_id AS line_no, printf('%08d', det_id) AS alert_id,
       CASE WHEN det_id % 5 = 0 THEN 'confirmed' ELSE 'weak' END AS alert_level, CASE WHEN det_id % 4 = 0 THEN '' ELSE 'zone_1' END AS
-      declared_zone, track_id AS global_id, round(x_m, 2) AS x_m, round(y_m, 2) AS y_m, cam_id || '+cam_09' AS cameras,
+      declared_zone, track_id AS global_id, round_even(x_m, 2) AS x_m, round_even(y_m, 2) AS y_m, cam_id || '+cam_09' AS cameras,
       confidence FROM det WHERE det_id % 9 <> 0"""),
     "label_rows": (label_rows, f"""WITH {RAW_SQL} SELECT det_id % 9 AS class_id, count(*) AS n,
-      round(sum((det_id % 7 + 1) / 10.0E0), 6) AS sum_h FROM raw_det WHERE det_id % 11 <> 0 AND det_id % 13 <> 0 GROUP BY 1"""),
+      round_even(sum((det_id % 7 + 1) / 10.0E0), 6) AS sum_h FROM raw_det WHERE det_id % 11 <> 0 AND det_id % 13 <> 0 GROUP BY 1"""),
     "unknown_classes": (unknown_classes, f"""SELECT l AS class_fixed, count(*) AS n FROM (SELECT {LABELS_SQL} AS l FROM events) e
       WHERE l = 'inconnu' GROUP BY l"""),
-    "remapped_labels": (remapped_labels, f"""WITH {RAW_SQL} SELECT cam_id, count(*) AS seen, count(*) FILTER (WHERE det_id % 8 IN
-      (0, 2, 5)) AS mapped, count(*) FILTER (WHERE det_id % 8 NOT IN (0, 2, 5)) AS removed FROM raw_det GROUP BY cam_id"""),
+    "remapped_labels": (remapped_labels, f"""WITH {RAW_SQL}, l AS (SELECT cam_id, CASE WHEN det_id % 13 <> 0 THEN det_id % 8 END AS k
+      FROM raw_det) SELECT cam_id, count(*) AS seen, count(*) FILTER (WHERE k IN (0, 2, 5)) AS mapped,
+      count(*) FILTER (WHERE k IS NULL OR k NOT IN (0, 2, 5)) AS removed FROM l GROUP BY cam_id"""),
+    "remapped_lines": (remapped_lines, f"""WITH {RAW_SQL} SELECT det_id, CASE det_id % 8 WHEN 0 THEN '6' WHEN 2 THEN '1' ELSE '5' END ||
+      ' 0.5 0.25 0.125 0.5' || CASE det_id % 3 WHEN 0 THEN ' 0.6 0.7' WHEN 1 THEN ' 0.6' ELSE '' END AS line
+      FROM raw_det WHERE det_id % 13 <> 0 AND det_id % 8 IN (0, 2, 5)"""),
     "excluded_labels": (excluded_labels, f"""WITH {RAW_SQL} SELECT cam_id, count(*) AS kept, CAST(5 AS BIGINT) AS classes FROM raw_det
       WHERE det_id % 7 NOT IN (3, 6) GROUP BY cam_id"""),
     "label_reconcile": (label_reconcile, f"""WITH {RAW_SQL}, s AS (SELECT cam_id || '_' || frame AS stem, event_type FROM raw_det),
@@ -252,20 +268,22 @@ QUERIES = {
       WHERE class_id = 5) d) q"""),
     "unique_stems": (unique_stems, STEMS_SQL),
     "detection_mix": (detection_mix, f"""WITH {DET_SQL} SELECT coalesce(class_name, '*') AS class_name, coalesce(cam_id, '*') AS
-      cam_id, count(*) AS n, round(avg(confidence), 6) AS avg_confidence FROM det GROUP BY GROUPING SETS ((class_name), (cam_id), ())"""),
+      cam_id, count(*) AS n, round_even(avg(confidence), 6) AS avg_confidence FROM det GROUP BY GROUPING SETS ((class_name), (cam_id), ())"""),
     "event_cameras": (event_cameras, f"""WITH {RAW_SQL} SELECT frame, class_name, array_to_string(list_sort(list(DISTINCT cam_id)), '+')
       AS cameras, count(DISTINCT cam_id) AS n_cameras, count(*) AS n_annotations FROM raw_det GROUP BY frame, class_name"""),
-    "deduplicated_alerts": (deduplicated_alerts, f"""WITH {RAW_SQL} SELECT DISTINCT CASE WHEN det_id % 6 = 0 THEN event_type || '-' ||
-      cam_id || '-' || frame ELSE CAST(det_id - det_id % 3 AS VARCHAR) END AS alert_key FROM raw_det"""),
+    "deduplicated_alerts": (deduplicated_alerts, f"""WITH {RAW_SQL}, a AS (SELECT CASE WHEN det_id % 6 = 0 THEN '' ELSE
+      CAST(det_id - det_id % 3 AS VARCHAR) END AS alert_id, event_type, cam_id, frame, det_id, value FROM raw_det),
+      k AS (SELECT *, CASE WHEN alert_id = '' THEN event_type || '-' || cam_id || '-' || frame ELSE alert_id END AS alert_key FROM a)
+      SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY alert_key ORDER BY det_id) = 1"""),
     "union_of_runs": (union_of_runs, f"""WITH {RAW_SQL} SELECT model, cam_id, count(*) AS detections, CAST(NULL AS BIGINT) AS frames,
       CAST(NULL AS DOUBLE) AS latency_max_ms FROM raw_det GROUP BY model, cam_id UNION ALL SELECT model, NULL, NULL, count(*),
-      round(max(value), 3) FROM raw_det GROUP BY model"""),
+      round_even(max(value), 3) FROM raw_det GROUP BY model"""),
     "union_header": (union_header, f"""WITH {RAW_SQL} SELECT model AS run_dir, count(*) AS events, CAST(NULL AS DOUBLE) AS mean_value
-      FROM raw_det GROUP BY model UNION ALL SELECT cam_id, NULL, round(avg(value), 6) FROM raw_det GROUP BY cam_id"""),
+      FROM raw_det GROUP BY model UNION ALL SELECT cam_id, NULL, round_even(avg(value), 6) FROM raw_det GROUP BY cam_id"""),
     "transport_latency": (transport_latency, f"""WITH {RAW_SQL}, v AS (SELECT CASE WHEN det_id % 4 <> 0 THEN event_type ELSE cam_id END
-      AS transport, value FROM raw_det WHERE det_id % 10 <> 0) SELECT transport, count(*) AS n, round(avg(value), 6) AS
-      latency_mean_ms, round(quantile_cont(value, 0.5), 6) AS latency_median_ms, round(list_sort(list(value))[CAST(round_even(0.95E0 *
-      (count(*) - 1), 0) AS BIGINT) + 1], 6) AS latency_p95_ms, round(max(value), 6) AS latency_max_ms FROM v GROUP BY transport"""),
+      AS transport, value FROM raw_det WHERE det_id % 10 <> 0) SELECT transport, count(*) AS n, round_even(avg(value), 6) AS
+      latency_mean_ms, round_even(quantile_cont(value, 0.5), 6) AS latency_median_ms, round_even(list_sort(list(value))[CAST(round_even(0.95E0 *
+      (count(*) - 1), 0) AS BIGINT) + 1], 6) AS latency_p95_ms, round_even(max(value), 6) AS latency_max_ms FROM v GROUP BY transport"""),
     "run_paths": (run_paths, f"""WITH {RAW_SQL} SELECT det_id, CASE WHEN det_id % 3 = 0 THEN '' ELSE 'fp32_engine' END AS format,
       CASE WHEN det_id % 3 = 0 THEN '' ELSE cam_id END AS camera, CASE WHEN det_id % 3 <> 0 AND det_id % 2 = 0 THEN model ELSE '' END
       AS model_hint FROM raw_det"""),

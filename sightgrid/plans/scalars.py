@@ -81,14 +81,14 @@ def _with_camera(spark, df):
 def project_to_floor(spark, sf):
     d = _with_camera(spark, detections(spark, sf)).withColumn(
         "_p", G.apply_homography(c("h"), (c("x1") + c("x2")) / 2, c("y2")))
-    return d.select("det_id", "cam_id", F.round("_p.x", 6).alias("floor_x"), F.round("_p.y", 6).alias("floor_y"))
+    return d.select("det_id", "cam_id", F.bround("_p.x", 6).alias("floor_x"), F.bround("_p.y", 6).alias("floor_y"))
 
 
 def floor_to_pixels(spark, sf):
     inverse = DEMO_SITE.camera_dim(spark).select("cam_id", G.invert_homography(c("h")).alias("inv"))
     d = detections(spark, sf).join(DEMO_SITE.hint(inverse, len(DEMO_SITE.cameras)), "cam_id", "left").withColumn(
         "_p", G.apply_homography(c("inv"), c("x_m"), c("y_m")))
-    return d.select("det_id", "cam_id", F.round("_p.x", 2).alias("u"), F.round("_p.y", 2).alias("v"))
+    return d.select("det_id", "cam_id", F.bround("_p.x", 2).alias("u"), F.bround("_p.y", 2).alias("v"))
 
 
 INV_SQL = """inv AS (
@@ -109,9 +109,9 @@ def pixel_zone_hits(spark, sf):
 
 
 PIXEL_SQL = f"""WITH {DET_SQL}, {ZONE_SQL}, {CAM_SQL}, {INV_SQL}, px AS (
- SELECT zone_id, cam_id, round((i00*ax+i01*ay+i02)/(i20*ax+i21*ay+i22), 2) AS ax,
-  round((i10*ax+i11*ay+i12)/(i20*ax+i21*ay+i22), 2) AS ay,
-  round((i00*bx+i01*by_+i02)/(i20*bx+i21*by_+i22), 2) AS bx, round((i10*bx+i11*by_+i12)/(i20*bx+i21*by_+i22), 2) AS by_
+ SELECT zone_id, cam_id, round_even((i00*ax+i01*ay+i02)/(i20*ax+i21*ay+i22), 2) AS ax,
+  round_even((i10*ax+i11*ay+i12)/(i20*ax+i21*ay+i22), 2) AS ay,
+  round_even((i00*bx+i01*by_+i02)/(i20*bx+i21*by_+i22), 2) AS bx, round_even((i10*bx+i11*by_+i12)/(i20*bx+i21*by_+i22), 2) AS by_
  FROM zone_edges JOIN zone_cams USING (zone_id) JOIN inv USING (cam_id)),
  feet AS (SELECT det_id, cam_id, (x1+x2)/2 AS x_m, y2 AS y_m FROM det)
  SELECT det_id, cam_id, zone_id FROM feet JOIN px USING (cam_id) GROUP BY ALL
@@ -125,17 +125,17 @@ def rescaled_projection(spark, sf):
     d = _with_camera(spark, detections(spark, sf)).withColumn("w", w).withColumn("hh", hgt)
     d = d.withColumn("_h", G.rescale_homography(c("h"), c("calib_w"), c("calib_h"), c("w"), c("hh"))).withColumn(
         "_p", G.apply_homography(c("_h"), (c("x1") + c("x2")) / 2, c("y2")))
-    return d.select("det_id", F.round("_p.x", 6).alias("floor_x"), F.round("_p.y", 6).alias("floor_y"),
-                    F.round(G.resolution_distance(c("w"), c("hh"), c("calib_w"), c("calib_h")), 6).alias("res_distance"))
+    return d.select("det_id", F.bround("_p.x", 6).alias("floor_x"), F.bround("_p.y", 6).alias("floor_y"),
+                    F.bround(G.resolution_distance(c("w"), c("hh"), c("calib_w"), c("calib_h")), 6).alias("res_distance"))
 
 
 RESCALE_SQL = f"""WITH {DET_SQL}, {CAM_SQL}, r AS (
  SELECT *, CASE det_id % 3 WHEN 0 THEN 768.0E0 WHEN 1 THEN 704.0E0 ELSE 1280.0E0 END AS w,
   CASE det_id % 3 WHEN 2 THEN 720.0E0 ELSE 576.0E0 END AS hh FROM det JOIN cams USING (cam_id)),
  s AS (SELECT *, cw / w AS sx, ch / hh AS sy, (x1 + x2) / 2 AS u, y2 AS v FROM r)
- SELECT det_id, round((h00*sx*u+h01*sy*v+h02)/(h20*sx*u+h21*sy*v+h22), 6) AS floor_x,
-  round((h10*sx*u+h11*sy*v+h12)/(h20*sx*u+h21*sy*v+h22), 6) AS floor_y,
-  round(abs(ln(w/cw)) + abs(ln(hh/ch)), 6) AS res_distance FROM s"""
+ SELECT det_id, round_even((h00*sx*u+h01*sy*v+h02)/(h20*sx*u+h21*sy*v+h22), 6) AS floor_x,
+  round_even((h10*sx*u+h11*sy*v+h12)/(h20*sx*u+h21*sy*v+h22), 6) AS floor_y,
+  round_even(abs(ln(w/cw)) + abs(ln(hh/ch)), 6) AS res_distance FROM s"""
 
 
 def aspect_corrected_boxes(spark, sf):
@@ -155,7 +155,7 @@ def distance_to_zone(spark, sf):
     zone = DEMO_SITE.zones[1]
     poly = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in zone.polygon])
     return detections(spark, sf).select(
-        "det_id", F.round(G.distance_to_polygon(G.edges_of(poly), c("x_m"), c("y_m")), 6).alias("distance_m"))
+        "det_id", F.bround(G.distance_to_polygon(G.edges_of(poly), c("x_m"), c("y_m")), 6).alias("distance_m"))
 
 
 SEGMENT_SQL = """sqrt(power(x_m - (ax + t*(bx-ax)), 2) + power(y_m - (ay + t*(by_-ay)), 2))"""
@@ -220,7 +220,7 @@ FILES_SQL = f"""WITH {RAW_SQL}, s AS (SELECT det_id, CASE det_id % 5
 def clock_text(spark, sf):
     ms = (c("det_id") * 137 % 7_200_000).cast("double")
     return raw_detections(spark, sf).select(
-        "det_id", N.clock_text(ms).alias("clock"), F.round(N.frame_to_seconds(c("det_id")), 3).alias("seconds"),
+        "det_id", N.clock_text(ms).alias("clock"), F.bround(N.frame_to_seconds(c("det_id")), 3).alias("seconds"),
         N.seconds_to_frame(ms / 1000.0).alias("frame_no"))
 
 
@@ -266,8 +266,8 @@ def safe_values(spark, sf):
     text = F.when(c("det_id") % 4 == 0, "").when(c("det_id") % 4 == 1, "n/a").otherwise(c("value").cast("string"))
     return raw_detections(spark, sf).groupBy("cam_id").agg(
         F.count(N.safe_double(text)).alias("readable"),
-        F.round(N.safe_div(F.sum(N.safe_double(text)), F.count(N.safe_double(text))), 6).alias("mean_value"),
-        F.round(N.safe_div(F.sum("value"), F.count(F.when(c("track_id") < 0, 1))), 6).alias("no_denominator"))
+        F.bround(N.safe_div(F.sum(N.safe_double(text)), F.count(N.safe_double(text))), 6).alias("mean_value"),
+        F.bround(N.safe_div(F.sum("value"), F.count(F.when(c("track_id") < 0, 1))), 6).alias("no_denominator"))
 
 
 def neighbour_transfer(spark, sf):
@@ -277,15 +277,15 @@ def neighbour_transfer(spark, sf):
     others = DEMO_SITE.camera_dim(spark).select(c("cam_id").alias("other_cam"), G.invert_homography(c("h")).alias("inv"))
     j = d.join(DEMO_SITE.neighbours(spark), "cam_id").join(DEMO_SITE.hint(others, 100), "other_cam")
     return j.withColumn("_p", G.apply_homography(c("inv"), c("m.x"), c("m.y"))).select(
-        "det_id", "other_cam", F.round("_p.x", 2).alias("u"), F.round("_p.y", 2).alias("v"))
+        "det_id", "other_cam", F.bround("_p.x", 2).alias("u"), F.bround("_p.y", 2).alias("v"))
 
 
 TRANSFER_SQL = f"""WITH {DET_SQL}, {CAM_SQL}, {INV_SQL}, {OVERLAP_SQL}, m AS (
  SELECT det_id, cam_id, (h00*u+h01*y2+h02)/(h20*u+h21*y2+h22) AS x, (h10*u+h11*y2+h12)/(h20*u+h21*y2+h22) AS y
  FROM (SELECT *, (x1+x2)/2 AS u FROM det) d JOIN cams USING (cam_id)),
  nb AS (SELECT cam_a AS cam_id, cam_b AS other_cam FROM cam_overlaps UNION SELECT cam_b, cam_a FROM cam_overlaps)
- SELECT det_id, other_cam, round((i00*x+i01*y+i02)/(i20*x+i21*y+i22), 2) + 0.0E0 AS u,
-  round((i10*x+i11*y+i12)/(i20*x+i21*y+i22), 2) + 0.0E0 AS v
+ SELECT det_id, other_cam, round_even((i00*x+i01*y+i02)/(i20*x+i21*y+i22), 2) + 0.0E0 AS u,
+  round_even((i10*x+i11*y+i12)/(i20*x+i21*y+i22), 2) + 0.0E0 AS v
  FROM m JOIN nb USING (cam_id) JOIN inv ON inv.cam_id = other_cam"""
 
 
@@ -307,7 +307,7 @@ LOG_SQL = f"""WITH {HITS_SQL} SELECT det_id, zone_id, 'Alert[' || substr(sha256(
 
 def end_to_end_latency(spark, sf):
     scene = F.when(c("det_id") % 3 != 0, c("ts_s") - (c("det_id") % 900) / 1000.0)
-    return raw_detections(spark, sf).select("det_id", F.round((c("ts_s") - scene) * 1000.0, 3).alias("e2e_ms"))
+    return raw_detections(spark, sf).select("det_id", F.bround((c("ts_s") - scene) * 1000.0, 3).alias("e2e_ms"))
 
 
 def visible_e2e(spark, sf):
@@ -317,7 +317,7 @@ def visible_e2e(spark, sf):
         F.max((c("det_id") * 31 % 1500).cast("double")).alias("video"), F.max(c("value")).alias("ai"),
         F.max((c("det_id") % 90).cast("double")).alias("delivery"))
     overlay = overlay_delay_ms(c("video"), 400.0, 20.0, 50.0)
-    return per.select("frame", F.round(overlay, 3).alias("overlay_ms"), F.round(
+    return per.select("frame", F.bround(overlay, 3).alias("overlay_ms"), F.bround(
         visible_e2e_ms(c("video"), c("ai"), c("delivery"), overlay), 3).alias("visible_ms"))
 
 
@@ -349,11 +349,11 @@ QUERIES = {
     "bbox_center_size": (bbox_center_size, f"""WITH {RAW_SQL} SELECT det_id, (x1+x2)/2 AS cu, (y1+y2)/2 AS cv,
       x2-x1 AS w, y2-y1 AS h FROM raw_det"""),
     "project_to_floor": (project_to_floor, f"""WITH {DET_SQL}, {CAM_SQL} SELECT det_id, cam_id,
-      round((h00*u+h01*v+h02)/{_H}, 6) AS floor_x, round((h10*u+h11*v+h12)/{_H}, 6) AS floor_y
+      round_even((h00*u+h01*v+h02)/{_H}, 6) AS floor_x, round_even((h10*u+h11*v+h12)/{_H}, 6) AS floor_y
       FROM (SELECT *, (x1+x2)/2 AS u, y2 AS v FROM det) d JOIN cams USING (cam_id)"""),
     "floor_to_pixels": (floor_to_pixels, f"""WITH {DET_SQL}, {CAM_SQL}, {INV_SQL} SELECT det_id, cam_id,
-      round((i00*x_m+i01*y_m+i02)/(i20*x_m+i21*y_m+i22), 2) AS u,
-      round((i10*x_m+i11*y_m+i12)/(i20*x_m+i21*y_m+i22), 2) AS v FROM det JOIN inv USING (cam_id)"""),
+      round_even((i00*x_m+i01*y_m+i02)/(i20*x_m+i21*y_m+i22), 2) AS u,
+      round_even((i10*x_m+i11*y_m+i12)/(i20*x_m+i21*y_m+i22), 2) AS v FROM det JOIN inv USING (cam_id)"""),
     "pixel_zone_hits": (pixel_zone_hits, PIXEL_SQL),
     "rescaled_projection": (rescaled_projection, RESCALE_SQL),
     "aspect_corrected_boxes": (aspect_corrected_boxes, f"""WITH {RAW_SQL} SELECT det_id,
@@ -361,12 +361,12 @@ QUERIES = {
       CAST(round_even(x2*sx, 0) AS BIGINT) AS px2, CAST(y2 AS BIGINT) AS py2 FROM (SELECT *,
       CASE WHEN cam_id IN ('cam_02','cam_05') THEN 768.0E0/704.0E0 ELSE 1.0E0 END AS sx FROM raw_det) r"""),
     "zone_hits": (zone_hits, f"WITH {HITS_SQL} SELECT det_id, zone_id, x_m, y_m FROM hits JOIN det USING (det_id)"),
-    "distance_to_zone": (distance_to_zone, f"""WITH {DIST_SQL} SELECT det_id, round(d, 6) AS distance_m FROM zdist
+    "distance_to_zone": (distance_to_zone, f"""WITH {DIST_SQL} SELECT det_id, round_even(d, 6) AS distance_m FROM zdist
       WHERE zone_id = 'zone_2'"""),
     "inside_zones": (inside_zones, f"""WITH {HITS_SQL} SELECT det_id, coalesce(z, '') AS inside_zones FROM det LEFT JOIN (
       SELECT det_id, string_agg(zone_id, '+' ORDER BY zone_ord) AS z FROM hits GROUP BY det_id) h USING (det_id)"""),
     "nearest_zone": (nearest_zone, f"""WITH {DIST_SQL} SELECT det_id, arg_min(zone_id, (d, zone_ord)) AS nearest_zone,
-      round(min(d), 4) AS distance_to_nearest_zone_m FROM zdist GROUP BY det_id"""),
+      round_even(min(d), 4) AS distance_to_nearest_zone_m FROM zdist GROUP BY det_id"""),
     "plan_pixels": (plan_pixels, f"""WITH {DET_SQL} SELECT det_id, CAST(trunc(x_m*42.3E0) AS BIGINT) AS px,
       CAST(trunc(y_m*42.3E0) AS BIGINT) AS py FROM det"""),
     "coordinate_unit": (coordinate_unit, f"""WITH {RAW_SQL} SELECT cam_id, 'position' AS "set", CASE WHEN
@@ -375,7 +375,7 @@ QUERIES = {
       FROM raw_det GROUP BY cam_id"""),
     "camera_ids_from_files": (camera_ids_from_files, FILES_SQL),
     "clock_text": (clock_text, """SELECT event_id AS det_id,
-      printf('%02d:%02d.%03d', ms // 60000, (ms // 1000) % 60, ms % 1000) AS clock, round(event_id / 25.0E0, 3) AS seconds,
+      printf('%02d:%02d.%03d', ms // 60000, (ms // 1000) % 60, ms % 1000) AS clock, round_even(event_id / 25.0E0, 3) AS seconds,
       CAST(floor(ms / 1000.0E0 * 25.0E0) AS BIGINT) AS frame_no
       FROM (SELECT event_id, event_id * 137 % 7200000 AS ms FROM events) e"""),
     "label_boxes": (label_boxes, f"""WITH {RAW_SQL} SELECT det_id, printf('%d %.6f %.6f %.6f %.6f', det_id % 7,
@@ -394,14 +394,14 @@ QUERIES = {
     "subsampled_frames": (subsampled_frames, f"""WITH {DET_SQL} SELECT frame, count(*) AS detections FROM det
       WHERE frame % 5 = 0 GROUP BY frame"""),
     "safe_values": (safe_values, f"""WITH {RAW_SQL} SELECT cam_id, count(v) AS readable,
-      round(coalesce(sum(v) / nullif(count(v), 0), 0.0E0), 6) AS mean_value, 0.0E0 AS no_denominator FROM (
+      round_even(coalesce(sum(v) / nullif(count(v), 0), 0.0E0), 6) AS mean_value, 0.0E0 AS no_denominator FROM (
       SELECT cam_id, CASE WHEN det_id % 4 IN (0, 1) THEN NULL ELSE value END AS v FROM raw_det) q GROUP BY cam_id"""),
     "neighbour_transfer": (neighbour_transfer, TRANSFER_SQL),
     "alert_log_lines": (alert_log_lines, LOG_SQL),
     "end_to_end_latency": (end_to_end_latency, f"""WITH {RAW_SQL} SELECT det_id, CASE WHEN det_id % 3 <> 0 THEN
-      round((ts_s - (ts_s - (det_id % 900)/1000.0E0)) * 1000.0E0, 3) END AS e2e_ms FROM raw_det"""),
-    "visible_e2e": (visible_e2e, f"""WITH {DET_SQL} SELECT frame, round(o, 3) AS overlay_ms,
-      round(greatest(video, ai + delivery, o), 3) AS visible_ms FROM (SELECT *, CASE WHEN video > 0 THEN video + 70.0E0
+      round_even((ts_s - (ts_s - (det_id % 900)/1000.0E0)) * 1000.0E0, 3) END AS e2e_ms FROM raw_det"""),
+    "visible_e2e": (visible_e2e, f"""WITH {DET_SQL} SELECT frame, round_even(o, 3) AS overlay_ms,
+      round_even(greatest(video, ai + delivery, o), 3) AS visible_ms FROM (SELECT *, CASE WHEN video > 0 THEN video + 70.0E0
       ELSE 400.0E0 END AS o FROM (SELECT frame, max(CAST(det_id*31 % 1500 AS DOUBLE)) AS video, max(value) AS ai,
       max(CAST(det_id % 90 AS DOUBLE)) AS delivery FROM det GROUP BY frame) a) b"""),
 }

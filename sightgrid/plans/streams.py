@@ -24,7 +24,7 @@ def stream_delivery_latency(spark, sf):
     d = _stream(spark, sf)
     created = c("ts_s") * 1000.0
     received = created + (c("det_id") % 500) - 50.0
-    return S.run_available(d.select("det_id", F.round(S.delivery_latency_ms(received, created), 3).alias("latency_ms")))
+    return S.run_available(d.select("det_id", F.bround(S.delivery_latency_ms(received, created), 3).alias("latency_ms")))
 
 
 def stream_alert_dedupe(spark, sf):
@@ -85,15 +85,15 @@ PERSIST_SQL = f"""WITH {RAW_SQL}, pos AS (SELECT cam_id, det_id // 4 AS ord FROM
   SELECT cam_id, ord, n = 3 AS episode_start FROM run WHERE n >= 3"""
 
 QUERIES = {
-    "stream_delivery_latency": (stream_delivery_latency, f"""WITH {RAW_SQL} SELECT det_id, round(greatest(0.0E0,
+    "stream_delivery_latency": (stream_delivery_latency, f"""WITH {RAW_SQL} SELECT det_id, round_even(greatest(0.0E0,
       (ts_s * 1000.0E0 + det_id % 500 - 50.0E0) - ts_s * 1000.0E0), 3) AS latency_ms FROM raw_det"""),
     "stream_alert_dedupe": (stream_alert_dedupe, f"""WITH {RAW_SQL} SELECT DISTINCT CAST(det_id - det_id % 3 AS VARCHAR) AS alert_id
       FROM raw_det"""),
     "stream_stage_monitor": (stream_stage_monitor, f"""WITH {RAW_SQL} SELECT cam_id, CAST(floor(ts_s / 21600) AS BIGINT) * 21600 AS
-      period_start, round(avg(value), 3) AS avg_ms, round(max(value), 3) AS max_ms, count(*) AS n FROM raw_det
+      period_start, round_even(avg(value), 3) AS avg_ms, round_even(max(value), 3) AS max_ms, count(*) AS n FROM raw_det
       WHERE (floor(ts_s / 21600) + 1) * 21600 <= {CLOSED} GROUP BY 1, 2"""),
     "stream_released_ticks": (stream_released_ticks, f"""WITH {RAW_SQL}, k AS (SELECT CAST(floor(ts_s / 600) AS BIGINT) * 600 AS
-      tick_start, count(DISTINCT cam_id) AS n, round((max(ts_s) - min(ts_s)) * 1000.0E0, 3) AS skew_ms FROM raw_det GROUP BY 1)
+      tick_start, count(DISTINCT cam_id) AS n, round_even((max(ts_s) - min(ts_s)) * 1000.0E0, 3) AS skew_ms FROM raw_det GROUP BY 1)
       SELECT tick_start, skew_ms FROM k WHERE (n < 2 OR skew_ms <= 300000) AND tick_start + 600 <= {CLOSED}"""),
     "stream_alert_sessions": (stream_alert_sessions, f"""WITH {RAW_SQL}, e AS (SELECT cam_id, epoch_us(ts) AS us FROM events JOIN
       (SELECT det_id, cam_id FROM raw_det) r ON r.det_id = event_id), l AS (SELECT *, lag(us) OVER (PARTITION BY cam_id ORDER BY us)

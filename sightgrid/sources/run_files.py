@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sightgrid import schemas
 from sightgrid.functions import names
+from sightgrid.functions.names import strip
 from sightgrid.operators.ordered import split_ordinal
 
 # Fixed value: shape of an alert inside a log line.
@@ -121,13 +122,18 @@ def path_context(path: Column, task: str) -> list[Column]:
     ]
 
 
-def parse_label_lines(lines: DataFrame) -> DataFrame:
-    """Training labels ``class xc yc w h`` of text lines; short lines and unreadable classes are dropped."""
+def label_line_parts(lines: DataFrame) -> DataFrame:
+    """Every label line of at least five fields: class (NULL if unreadable), box and ``rest``, all fields after the class."""
     keep = [c for c in lines.columns if c != "value"]
-    parts = F.split(F.trim("value"), r"\s+")
-    df = lines.where(F.size(parts) >= 5).select(*keep, F.get(parts, F.lit(0)).try_cast("bigint").alias("class_id"), *[
-        F.get(parts, F.lit(i + 1)).try_cast("double").alias(n) for i, n in enumerate(("xc", "yc", "w", "h"))])
-    return df.where(F.col("class_id").isNotNull())
+    parts = F.split(strip(F.col("value")), r"\s+")
+    return lines.where(F.size(parts) >= 5).select(*keep, F.get(parts, F.lit(0)).try_cast("bigint").alias("class_id"), *[
+        F.get(parts, F.lit(i + 1)).try_cast("double").alias(n) for i, n in enumerate(("xc", "yc", "w", "h"))],
+        F.array_join(F.slice(parts, F.lit(2), F.size(parts)), " ").alias("rest"))
+
+
+def parse_label_lines(lines: DataFrame) -> DataFrame:
+    """Training labels ``class xc yc w h ...`` of text lines; short lines and unreadable classes are dropped."""
+    return label_line_parts(lines).where(F.col("class_id").isNotNull())
 
 
 def read_label_files(spark: SparkSession, path: str | list[str]) -> DataFrame:

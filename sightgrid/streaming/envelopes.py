@@ -58,7 +58,7 @@ def released_ticks(captures: DataFrame, tick: str, tolerance_ms: float, watermar
     """Ticks whose cameras were captured within the tolerance of each other; the watermark closes a tick."""
     agg = captures.withWatermark(time, watermark).groupBy("run_id", F.window(time, tick).alias("w")).agg(
         (F.min("cam_id") == F.max("cam_id")).alias("_alone"), F.min("ts_s").alias("_lo"), F.max("ts_s").alias("_hi"))
-    skew = F.round((F.col("_hi") - F.col("_lo")) * 1000.0, 3)
+    skew = F.bround((F.col("_hi") - F.col("_lo")) * 1000.0, 3)
     return agg.where(F.col("_alone") | (skew <= tolerance_ms)).select(
         "run_id", F.col("w.start").alias("tick_start"), skew.alias("skew_ms"))
 
@@ -67,7 +67,7 @@ def latency_monitor(latencies: DataFrame, keys: list[str], period: str, watermar
                     time: str = "event_time") -> DataFrame:
     """Average and maximum latency per key and report period."""
     return latencies.withWatermark(time, watermark).groupBy(*keys, F.window(time, period).alias("w")).agg(
-        F.round(F.avg("latency_ms"), 3).alias("avg_ms"), F.round(F.max("latency_ms"), 3).alias("max_ms"),
+        F.bround(F.avg("latency_ms"), 3).alias("avg_ms"), F.bround(F.max("latency_ms"), 3).alias("max_ms"),
         F.count(F.lit(1)).alias("n")).select(*keys, F.col("w.start").alias("period_start"), "avg_ms", "max_ms", "n")
 
 
@@ -82,7 +82,8 @@ def false_positive_sessions(alerts: DataFrame, keys: list[str], gap: str = "3 se
 def run_available(stream: DataFrame, mode: str = "append", through: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Run a stream over what is there now into the shared folder and return the result as a table.
 
-    Append mode uses the exactly-once file sink; the other modes keep the last state of each micro-batch.
+    Append mode uses the exactly-once file sink. The other modes write each micro-batch to a folder of its own (complete mode:
+    to one folder), so a batch that is tried again replaces what its first try left.
     """
     spark = stream.sparkSession
     out, state = fresh_folder(spark, "stream-out"), fresh_folder(spark, "stream-state")
@@ -90,10 +91,10 @@ def run_available(stream: DataFrame, mode: str = "append", through: Callable[[Da
     if mode == "append":
         query = writer.format("parquet").option("path", out).start()
     else:
-        def store(batch: DataFrame, _: int) -> None:
-            batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        def store(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{out}/micro_batch={0 if mode == 'complete' else number}")
 
         query = writer.foreachBatch(store).start()
     query.awaitTermination()
-    result = spark.read.schema(stream.schema).parquet(out)
+    result = spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
     return through(result) if through else result
