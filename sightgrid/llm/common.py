@@ -29,6 +29,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def hinted(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """``df`` (a stored table of narrow rows) for broadcast if it has few rows, else as it is: then the join is shuffled."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def ready(df: DataFrame) -> DataFrame:
     """Make sure that Python workers of ``df``'s session can import this package."""
     ship_package(df.sparkSession)

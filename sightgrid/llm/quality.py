@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sightgrid.llm.common import map_file, mix, per_row, ready, stored, text_slices, words_of, write_file
+from sightgrid.llm.common import hinted, map_file, mix, per_row, ready, stored, text_slices, words_of, write_file
 from sightgrid.session import fresh_folder
 
 ORDER, HASH_BITS = 4, 26
 END, LOWEST, HIGHEST = 1, 2, 0xFFFF  # end mark; characters are held in 16 bits, those that do not fit as one
-SLICE = 32 << 20
+SLICE = 12 << 20
 SYMBOLS = "[#*$%&|<>]"
 SCORES = [("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()),
           ("n_repeat_words", T.LongType()), ("log_prob", T.DoubleType()), ("log_prob_sq", T.DoubleType()), ("chars", T.LongType())]
@@ -279,9 +279,10 @@ def assess(docs: DataFrame, keep: list[str], z: float = 6.0) -> DataFrame:
     lang = F.coalesce(F.col("lang"), F.lit("\x00"))
     spread = F.sqrt(F.greatest(F.lit(0.0), F.sum("log_prob_sq") / F.sum("chars") - F.pow(F.sum("log_prob") / F.sum("chars"), 2)))
     middle = good.groupBy(lang.alias("l")).agg(F.percentile_approx("score", 0.5, 10000).alias("median"), spread.alias("spread"))
+    middle = hinted(stored(middle, "middle"))  # one row for each language
     off = (good.join(middle.withColumnRenamed("l", "m"), lang == F.col("m")).groupBy(F.col("m").alias("l"))
            .agg(F.percentile_approx(F.abs(F.col("score") - F.col("median")), 0.5, 10000).alias("mad")))
-    band = middle.join(off, "l").withColumnRenamed("l", "m")
+    band = hinted(stored(middle.join(off, "l").withColumnRenamed("l", "m"), "bands"))
     half = z * (1.4826 * F.col("mad") + F.col("spread") / F.sqrt("chars"))
     low, high = F.exp(F.col("median") - half), F.exp(F.col("median") + half)
     out = rows.join(band, lang == F.col("m"), "left").withColumns({"perplexity": F.exp("score"), "low": low, "high": high})
