@@ -7,11 +7,12 @@ hash. Two sets link when 100 * intersection >= 80 * union. Nothing is approximat
 2. A class stays a candidate if enough of its prefix (its first hashes) is shared with other classes: sets that link share at
    least ``least`` hashes of their extended prefixes. Hashes are exchanged packed, once for each slice and hash, so a hash that
    very many documents have is a few entries; no pair is formed here.
-3. Candidates are ordered anew, the hashes that very many of them have last, and indexed by prefix. Those whose first hash is
-   the same are compared with one of them, the pivot; what links becomes its cluster, with known distances.
-4. Index lists hold one entry for each cluster with the range of sizes and the best position (entries after the prefix's hash);
-   lists are ordered by size and read in blocks, and blocks whose sizes or positions rule out a link are skipped. What is
-   left are pairs of clusters, and their pivots are compared.
+3. Candidates with the same least hash, under one of ``KEYS`` orders, are compared with one of them: the one whose hashes are
+   the most frequent, so an original rather than an edited copy. Of those that a candidate links with, the nearest is its
+   pivot, and the candidates of one pivot are a cluster with known distances.
+4. Candidates are ordered anew, the hashes that very many of them have last, and indexed by prefix. Index lists hold one entry for each cluster with the range of sizes and the best position (entries after the prefix's hash);
+   lists are ordered by size and read in blocks, and blocks whose sizes or positions rule out a link are skipped, as are
+   clusters that are connected already. What is left are pairs of clusters, and their pivots are compared.
 5. The members' answers derive from their pivots': the Jaccard distance is a metric, so members x and y of clusters whose
    pivots are D apart can link only if D <= 0.2 + d(x) + d(y). Only such pairs, of clusters not yet connected, are compared.
 
@@ -31,7 +32,7 @@ from sightgrid.llm.common import components, mix, ready, stored, text_slices, wo
 
 WIDTH, NEED, OF = 5, 80, 100  # NEED / OF: the least similarity
 HEAVY, HEAVY_HERE = 1 << 16, 8  # hashes put last in the order (an order only; any order is exact), and the least count in a batch
-SLICE, BLOCK = 32 << 20, 64
+SLICE, BLOCK, KEYS = 12 << 20, 64, 4
 LIMIT = 1 - NEED / OF + 1e-9
 
 
@@ -176,7 +177,7 @@ def _index_entries(heavy: np.ndarray, rank: np.ndarray):
     """``heavy``: sorted hashes; ``rank``: their places in the order, the most frequent last."""
 
     def run(batches):
-        schema = pa.schema([("hash", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("rest", pa.int64()), ("first", pa.bool_())])
+        schema = pa.schema([("hash", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("rest", pa.int64())])
         for batch in batches:
             for c, n, b in zip(*(batch.column(k).to_pylist() for k in ("class", "n", "members"))):
                 s = np.frombuffer(b, np.uint64)
@@ -187,7 +188,26 @@ def _index_entries(heavy: np.ndarray, rank: np.ndarray):
                 k = n - smallest(n) + 1
                 yield pa.RecordBatch.from_arrays([
                     pa.array(s[:k].view(np.int64)), pa.array([c] * k, pa.int64()), pa.array([n] * k, pa.int64()),
-                    pa.array(n - np.arange(k)), pa.array([True] + [False] * (k - 1))], schema=schema)
+                    pa.array(n - np.arange(k))], schema=schema)
+
+    return run
+
+
+def _keys(heavy: np.ndarray, count: np.ndarray):
+    """The least hash of each candidate under each order, and how frequent its hashes are on the whole."""
+
+    def run(batches):
+        schema = pa.schema([("order", pa.int32()), ("key", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("weight", pa.float64())])
+        for batch in batches:
+            rows = []
+            for c, n, b in zip(*(batch.column(k).to_pylist() for k in ("class", "n", "members"))):
+                s, weight = np.frombuffer(b, np.uint64), 0.0
+                if len(heavy):
+                    at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
+                    weight = float(np.log(count[at[heavy[at] == s]]).sum() / n)
+                rows += [(k, int(mix(s ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))).min().astype(np.int64)), c, n, weight) for k in range(KEYS)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     return run
 
@@ -232,7 +252,7 @@ def _cluster_pairs(batches):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     seen: set = set()
     for rows in _lists(batches):
-        pivot, low, high, rest = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3, 4))
+        pivot, joint, low, high, rest = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3, 4, 5))
         for at in range(1, len(pivot)):
             start = 0
             while start < at:  # by blocks of the list before this entry: of sizes that fit, and positions that leave enough
@@ -241,7 +261,7 @@ def _cluster_pairs(batches):
                 if high[start:end].max() * OF >= low[at] * NEED and min(rest[start:end].max(), rest[at]) * (OF + NEED) >= NEED * (low[start:end].min() + low[at]):
                     fit = ((high[start:end] * OF >= low[at] * NEED) & (high[at] * OF >= low[start:end] * NEED)
                            & (np.minimum(rest[start:end], rest[at]) * (OF + NEED) >= NEED * (low[start:end] + low[at])))
-                    for k in np.flatnonzero(fit) + start:
+                    for k in np.flatnonzero(fit & (joint[start:end] != joint[at])) + start:
                         if pivot[k] != pivot[at]:
                             seen.add((int(min(pivot[k], pivot[at])), int(max(pivot[k], pivot[at]))))
                 start = end
@@ -255,7 +275,7 @@ def _cluster_pairs(batches):
 def _lists(batches):
     now, rows = None, []
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("hash", "pivot", "low", "high", "rest"))):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("hash", "pivot", "component", "low", "high", "rest"))):
             if row[0] != now:
                 if len(rows) > 1:
                     yield rows
@@ -289,19 +309,21 @@ def links(sets: DataFrame) -> DataFrame:
     often = sets.mapInArrow(_frequent, "hash long, count long").groupBy("hash").agg(F.sum("count").alias("count"))
     top = often.orderBy(F.desc("count"), "hash").limit(HEAVY).collect()  # HEAVY rows at most
     by_hash = sorted((int(np.int64(r["hash"]).view(np.uint64)), r["count"]) for r in top)
-    heavy = np.array([h for h, _ in by_hash], np.uint64)
-    rank = np.argsort(np.lexsort((heavy, [c for _, c in by_hash]))) if by_hash else np.zeros(0, np.int64)
-    index = stored(sets.mapInArrow(_joined_batches(_index_entries(heavy, rank)), "hash long, class long, n long, rest long, first boolean"), "index")
-    # pivots: the middle of those with one first hash would be best, any will do
-    firsts = index.where("first").select("hash", "class", "n")
-    lead = firsts.groupBy("hash").agg(F.max(F.struct("n", "class")).alias("lead"))
-    tries = firsts.join(lead, "hash").select(F.col("class").alias("a"), F.col("lead.class").alias("b"), "n", F.col("lead.n").alias("m"))
-    tries = tries.where((F.col("a") != F.col("b")) & (F.col("n") * OF >= F.col("m") * NEED)).select("a", "b")
-    to_pivot = compared(tries, sets).where("link")
-    cluster = to_pivot.select(F.col("a").alias("class"), F.col("b").alias("pivot"), "distance")
-    placed = stored(index.drop("first").join(cluster, "class", "left").withColumns({
-        "pivot": F.coalesce("pivot", "class"), "distance": F.coalesce("distance", F.lit(0.0))}), "placed")
-    lists = placed.groupBy("hash", "pivot").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"))
+    heavy, count = np.array([h for h, _ in by_hash], np.uint64), np.array([c for _, c in by_hash], np.int64)
+    rank = np.argsort(np.lexsort((heavy, count)))
+    heads = stored(sets.mapInArrow(_keys(heavy, count), "order int, key long, class long, n long, weight double"), "keys")
+    lead = heads.groupBy("order", "key").agg(F.max(F.struct("weight", "n", "class")).alias("lead"))
+    tries = heads.join(lead, ["order", "key"]).select(F.col("class").alias("a"), F.col("lead.class").alias("b"), "n", F.col("lead.n").alias("m"))
+    tries = tries.where((F.col("a") != F.col("b")) & (F.col("n") * OF >= F.col("m") * NEED) & (F.col("m") * OF >= F.col("n") * NEED))
+    to_pivot = compared(tries.select("a", "b").distinct(), sets).where("link")
+    cluster = stored(to_pivot.groupBy(F.col("a").alias("class")).agg(F.min(F.struct("distance", "b")).alias("near")).select(
+        "class", F.col("near.b").alias("pivot"), "near.distance"), "clusters")
+    joint = components(to_pivot.select("a", "b")).withColumnRenamed("node", "class")
+    index = sets.mapInArrow(_joined_batches(_index_entries(heavy, rank)), "hash long, class long, n long, rest long")
+    placed = stored(index.join(cluster, "class", "left").join(joint, "class", "left").withColumns({
+        "pivot": F.coalesce("pivot", "class"), "distance": F.coalesce("distance", F.lit(0.0)),
+        "component": F.coalesce("component", "class")}), "index")
+    lists = placed.groupBy("hash", "pivot", "component").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"))
     ordered = lists.repartition("hash").sortWithinPartitions("hash", "low")
     pairs = ordered.mapInArrow(_cluster_pairs, "a long, b long").distinct()
     between = compared(pairs, sets)

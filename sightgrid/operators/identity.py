@@ -10,7 +10,7 @@ from sightgrid.operators.fusion import NODE, frame_components, with_class_key
 from sightgrid.operators.ordered import frame_bucket, split_lag, split_ordinal, split_running
 from sightgrid.session import cut_lineage
 
-CHUNK_FRAMES = 1024
+CHUNK_ROWS = 4096  # rows that one task replays at a time, beside those of a frame that crosses the border
 COMP = ["comp_cam", "comp_track", "comp_class"]
 
 
@@ -23,18 +23,23 @@ def _replay(pdf: pd.DataFrame, want: str) -> pd.DataFrame:
 
     Rows with frame -1 bring the ids held before the chunk.
     """
-    held: dict[str, float] = {}
-    rows = pdf.sort_values("frame", kind="stable")
-    before = rows["frame"] < 0
-    held.update(zip(rows.loc[before, "node"], rows.loc[before, "gid"]))
-    found = []
-    for (frame, comp), part in rows.loc[~before].groupby(["frame", "comp"], sort=True):
-        nodes = part["node"].tolist()
-        known = [held[n] for n in nodes if n in held] + part["gid"].dropna().tolist()
+    held: dict[str, int] = {}
+    rows = pdf.sort_values(["frame", "comp"], kind="stable")
+    before = int((rows["frame"] < 0).sum())
+    nodes, gids = rows["node"].tolist(), rows["gid"].tolist()
+    held.update(zip(nodes[:before], gids[:before]))
+    frames, comps, n, at, found = rows["frame"].tolist(), rows["comp"].tolist(), len(rows), before, []
+    while at < n:
+        end = at + 1
+        while end < n and frames[end] == frames[at] and comps[end] == comps[at]:
+            end += 1
+        known = [held[x] for x in nodes[at:end] if x in held] + [g for g in gids[at:end] if g == g]
         if known:
             gid = min(known)
-            held.update(dict.fromkeys(nodes, gid))
-            found.append((frame, comp, gid))
+            for x in nodes[at:end]:
+                held[x] = gid
+            found.append((frames[at], comps[at], gid))
+        at = end
     run, chunk = pdf["run_id"].iloc[0], pdf["chunk"].iloc[0]
     if want == "comps":
         return pd.DataFrame({
@@ -49,7 +54,7 @@ def _replay(pdf: pd.DataFrame, want: str) -> pd.DataFrame:
     })
 
 
-def assign_global_ids(dets: DataFrame, links: DataFrame, chunk_frames: int = CHUNK_FRAMES) -> DataFrame:
+def assign_global_ids(dets: DataFrame, links: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``dets`` with ``global_id``: sticky ids in frame order, exactly as a sequential registry would give them.
 
     A component whose members are all new gets the next number, in (frame, first detection) order; otherwise it takes
@@ -57,7 +62,7 @@ def assign_global_ids(dets: DataFrame, links: DataFrame, chunk_frames: int = CHU
     that reaches a track through the past, which does not need one task per run:
 
     * births are found by comparing each track's first frame with its component, and numbered with a split rank;
-    * chunks of ``chunk_frames`` frames are replayed side by side, given what each track held before the chunk;
+    * chunks of whole frames, some ``chunk_rows`` rows each, are replayed side by side, given what each track held before;
     * what a track held is the minimum over all earlier chunks; chunks are replayed again until that stops changing.
 
     Only linked components and first sightings are replayed; every other detection just keeps its track's number.
@@ -87,8 +92,11 @@ def assign_global_ids(dets: DataFrame, links: DataFrame, chunk_frames: int = CHU
     )
     events = rows.join(births, ["run_id", "frame", "comp"], "left").where(
         F.col("linked") | F.col("gid").isNotNull()
-    ).select("run_id", frame_bucket(F.col("frame"), chunk_frames).alias("chunk"), "frame", "node", "comp", "gid")
-    events = cut_lineage(events)
+    ).select("run_id", "frame", "node", "comp", "gid")
+    rows_of = events.groupBy("run_id", "frame").count().withColumn("_b", frame_bucket(F.col("frame")))
+    upto = split_running(rows_of, ["run_id"], ["frame"], "_b", F.col("count"), "sum", "_upto")
+    chunk_of = upto.select("run_id", "frame", F.floor((F.col("_upto") - F.col("count")) / chunk_rows).alias("chunk"))
+    events = cut_lineage(events.join(chunk_of, ["run_id", "frame"]).select("run_id", "chunk", "frame", "node", "comp", "gid"))
 
     ends_schema = "run_id string, chunk bigint, node string, gid bigint"
     comps_schema = "run_id string, frame bigint, comp string, gid bigint"

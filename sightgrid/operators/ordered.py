@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FRAME_BUCKET = 4096
+FRAME_BUCKET = 128  # frames; what a bucket holds of a key is as many frames' rows
 TIME_BUCKET_S = 3600.0
 
 

@@ -43,6 +43,19 @@ def global_ids(spark, sf):
     return identity.assign_global_ids(d, links).select("frame", "cam_id", "track_id", "class_key", "global_id")
 
 
+IDS_CHUNK = 1000  # rows; small, so that the registered tables are replayed in many chunks
+
+
+def mutual_identities(spark, sf):
+    """The view with sticky ids over mutual-nearest links."""
+    links = fusion.mutual_nearest_links(_pairs(spark, sf))
+    return identity.assign_global_ids(detections(spark, sf), links, IDS_CHUNK)
+
+
+def global_ids_mutual(spark, sf):
+    return mutual_identities(spark, sf).select("frame", "cam_id", "track_id", "class_key", "global_id")
+
+
 def transitive_ids(spark, sf):
     links = fusion.mutual_nearest_links(_pairs(spark, sf, 0.5))
     return identity.transitive_global_ids(links).drop("run_id")
@@ -139,6 +152,27 @@ COMPONENT_SQL = f"""WITH RECURSIVE {BASE}, {pairs_sql('1.0')}, {MUTUAL_SQL},
  reach AS (SELECT frame, u, u AS v FROM e UNION SELECT r.frame, r.u, e.v FROM reach r JOIN e ON e.frame = r.frame AND e.u = r.v)
  SELECT frame, {_parts('u', ['cam_id', 'track_id', 'class_key'])}, {_parts('m', ['comp_cam', 'comp_track', 'comp_class'])}
  FROM (SELECT frame, u, min(v) AS m FROM reach GROUP BY frame, u) q"""
+# The registry as it is defined: frame by frame, with what every node holds in a map.
+IDS_SQL = f"""{BASE}, {pairs_sql('1.0')}, {MUTUAL_SQL},
+ links AS (SELECT frame, {_node('cam_a', 'ta')} AS u, {_node('cam_b', 'tb')} AS v FROM mutual),
+ e AS (SELECT * FROM links UNION SELECT frame, v, u FROM links),
+ reach AS (SELECT frame, u, u AS v FROM e UNION SELECT r.frame, r.u, e.v FROM reach r JOIN e ON e.frame = r.frame AND e.u = r.v),
+ comp AS (SELECT frame, u, min(v) AS m FROM reach GROUP BY frame, u),
+ kdet AS (SELECT *, replace(class_name, 'personne', 'person') AS k FROM det),
+ node AS (SELECT frame, {_node('cam_id', 'track_id')} AS n, min(det_ord) AS o FROM kdet GROUP BY 1, 2),
+ grp AS (SELECT node.frame, coalesce(m, n) AS c, list(n) AS nodes, min(o) AS o FROM node LEFT JOIN comp
+  ON comp.frame = node.frame AND comp.u = node.n GROUP BY 1, 2),
+ fr AS (SELECT frame, row_number() OVER (ORDER BY frame) AS ord, list(nodes ORDER BY o) AS comps FROM grp GROUP BY frame),
+ walk AS (SELECT CAST(0 AS BIGINT) AS ord, CAST(0 AS BIGINT) AS top, MAP(CAST([] AS VARCHAR[]), CAST([] AS BIGINT[])) AS state,
+  CAST([] AS STRUCT(n VARCHAR, gid BIGINT)[]) AS found
+  UNION ALL SELECT ord + 1, top + len(list_filter(known, lambda x: x IS NULL)), map_concat(state, map_from_entries(list_transform(got,
+   lambda x: struct_pack(k := x.n, v := x.gid)))), got FROM (
+   SELECT *, flatten(list_transform(comps, lambda c, i: list_transform(c, lambda x: struct_pack(n := x, gid := gids[i])))) AS got FROM (
+   SELECT *, list_transform(known, lambda x, i: coalesce(x, top + len(list_filter(known[1:i], lambda y: y IS NULL)))) AS gids FROM (
+   SELECT w.ord, w.top, w.state, f.comps, list_transform(f.comps, lambda c: list_min(list_filter(list_transform(c,
+    lambda x: map_extract_value(w.state, x)), lambda x: x IS NOT NULL))) AS known FROM walk w JOIN fr f ON f.ord = w.ord + 1) a) b) d),
+ ids AS (SELECT frame, x.n AS n, x.gid AS gid FROM (SELECT frame, unnest(found) AS x FROM walk JOIN fr USING (ord)) q),
+ gdet AS (SELECT kdet.*, gid AS global_id FROM kdet JOIN ids ON ids.frame = kdet.frame AND ids.n = {_node('cam_id', 'track_id')})"""
 TRANSITIVE_SQL = f"""WITH RECURSIVE {BASE}, {pairs_sql('0.5')}, {MUTUAL_SQL},
  links AS (SELECT DISTINCT {_node('cam_a', 'ta')} AS u, {_node('cam_b', 'tb')} AS v FROM mutual),
  e AS (SELECT * FROM links UNION SELECT v, u FROM links),
@@ -194,6 +228,7 @@ QUERIES = {
        count(*) FILTER (WHERE NOT pl AND tl) AS fn, count(*) FILTER (WHERE NOT pl AND NOT tl) AS tn FROM q)
       SELECT *, round_even(tp/CAST(tp+fp AS DOUBLE), 4) AS "precision", round_even(tp/CAST(tp+fn AS DOUBLE), 4) AS recall,
        round_even(2.0E0*tp/CAST(2*tp+fp+fn AS DOUBLE), 4) AS f1 FROM s"""),
+    "global_ids_mutual": (global_ids_mutual, f"WITH RECURSIVE {IDS_SQL} SELECT frame, cam_id, track_id, k AS class_key, global_id FROM gdet"),
     "threshold_sweep_truth": (threshold_sweep_truth, None),
     "threshold_sweep_operational": (threshold_sweep_operational, None),
     "threshold_sweep_mutual": (threshold_sweep_mutual, _mutual_sweep_sql()),

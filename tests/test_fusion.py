@@ -96,7 +96,7 @@ def test_solver_matches_brute_force():
 def test_sticky_ids_equal_sequential_registry(spark, seed, chunk):
     rows = random_rows(seed)
     dets = rows_to_df(spark, rows)
-    fused = assign_global_ids(dets, gate(optimal_links(dets, SITE), 1.0), chunk_frames=chunk).collect()
+    fused = assign_global_ids(dets, gate(optimal_links(dets, SITE), 1.0), chunk_rows=chunk).collect()
     got = {(r.frame, r.cam_id, r.track_id, r.class_name): r.global_id for r in fused}
     assert got == sequential_ids(rows, 1.0)
 
