@@ -28,6 +28,13 @@ def optimal_links(spark, sf):
     return links.select("frame", "cam_a", "track_id_a", "cam_b", "track_id_b", "class_key_a", "distance_m")
 
 
+def optimal_link_costs(spark, sf):
+    """Links and total distance of each block's optimal pairing (equal whichever of equally good pairings is taken)."""
+    links = fusion.optimal_links(detections(spark, sf), DEMO_SITE, WIDE)
+    return links.groupBy("frame", "cam_a", "cam_b", c("class_key_a").alias("class_key")).agg(
+        F.count(F.lit(1)).alias("links"), F.bround(F.sum("distance_m"), 6).alias("total_m"))
+
+
 def mutual_nearest_links(spark, sf):
     return fusion.mutual_nearest_links(_pairs(spark, sf)).select(
         "frame", "det_ord_a", "det_ord_b", F.bround("distance_m", 6).alias("distance_m"))
@@ -152,6 +159,17 @@ COMPONENT_SQL = f"""WITH RECURSIVE {BASE}, {pairs_sql('1.0')}, {MUTUAL_SQL},
  reach AS (SELECT frame, u, u AS v FROM e UNION SELECT r.frame, r.u, e.v FROM reach r JOIN e ON e.frame = r.frame AND e.u = r.v)
  SELECT frame, {_parts('u', ['cam_id', 'track_id', 'class_key'])}, {_parts('m', ['comp_cam', 'comp_track', 'comp_class'])}
  FROM (SELECT frame, u, min(v) AS m FROM reach GROUP BY frame, u) q"""
+# Every one-to-one assignment of the smaller side of a block, row by row.
+PAIRING_SQL = f"""{BASE}, p AS (SELECT frame, cam_id, replace(class_name, 'personne', 'person') AS k, x_m, y_m,
+  row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY frame, cam_id, class_name) AS n FROM det
+  WINDOW w AS (PARTITION BY frame, cam_id, class_name ORDER BY det_ord)),
+ e AS (SELECT a.frame, cam_a, cam_b, a.k, least(a.n, b.n) AS n, CASE WHEN a.n <= b.n THEN a.i ELSE b.i END AS r,
+  CASE WHEN a.n <= b.n THEN b.i ELSE a.i END AS col, sqrt((a.x_m-b.x_m)*(a.x_m-b.x_m) + (a.y_m-b.y_m)*(a.y_m-b.y_m)) AS d
+  FROM p a JOIN cam_overlaps o ON a.cam_id = o.cam_a JOIN p b ON b.cam_id = o.cam_b AND a.frame = b.frame AND a.k = b.k),
+ s AS (SELECT DISTINCT frame, cam_a, cam_b, k, n, CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS used, CAST(0 AS DOUBLE) AS cost FROM e
+  UNION ALL SELECT s.frame, s.cam_a, s.cam_b, s.k, s.n, s.r + 1, s.used + (CAST(1 AS BIGINT) << e.col), s.cost + e.d FROM s JOIN e
+  ON s.frame = e.frame AND s.cam_a = e.cam_a AND s.cam_b = e.cam_b AND s.k = e.k AND s.r = e.r
+  WHERE (s.used >> e.col) % 2 = 0)"""
 # The registry as it is defined: frame by frame, with what every node holds in a map.
 IDS_SQL = f"""{BASE}, {pairs_sql('1.0')}, {MUTUAL_SQL},
  links AS (SELECT frame, {_node('cam_a', 'ta')} AS u, {_node('cam_b', 'tb')} AS v FROM mutual),
@@ -228,6 +246,8 @@ QUERIES = {
        count(*) FILTER (WHERE NOT pl AND tl) AS fn, count(*) FILTER (WHERE NOT pl AND NOT tl) AS tn FROM q)
       SELECT *, round_even(tp/CAST(tp+fp AS DOUBLE), 4) AS "precision", round_even(tp/CAST(tp+fn AS DOUBLE), 4) AS recall,
        round_even(2.0E0*tp/CAST(2*tp+fp+fn AS DOUBLE), 4) AS f1 FROM s"""),
+    "optimal_link_costs": (optimal_link_costs, f"""WITH RECURSIVE {PAIRING_SQL} SELECT frame, cam_a, cam_b, k AS class_key, n AS links,
+      round_even(min(cost), 6) AS total_m FROM s WHERE r = n GROUP BY frame, cam_a, cam_b, k, n"""),
     "global_ids_mutual": (global_ids_mutual, f"WITH RECURSIVE {IDS_SQL} SELECT frame, cam_id, track_id, k AS class_key, global_id FROM gdet"),
     "threshold_sweep_truth": (threshold_sweep_truth, None),
     "threshold_sweep_operational": (threshold_sweep_operational, None),
