@@ -12,7 +12,8 @@ from sightgrid.functions import names
 from sightgrid.operators import fusion, matching, reports
 from sightgrid.operators.quantiles import exact_percentiles
 from sightgrid.plans.fusion import GID_SQL, numbered
-from sightgrid.sources.tables import DEMO_SITE, DET_SQL, RAW_SQL, detections, raw_detections
+from sightgrid.sources.tables import (
+    CROSS_SQL, DEMO_SITE, DET_SQL, ON_EDGE_SQL, RAW_SQL, ZONE_SQL, detections, raw_detections)
 
 c = F.col
 TOL = 900.0
@@ -37,14 +38,17 @@ TRUTH_SQL = RAW_SQL + """, t AS (SELECT *, row_number() OVER (PARTITION BY cam_i
  WHERE value >= 220), a AS (SELECT * FROM raw_det WHERE value < 220)"""
 
 
-def _walk(choice: str) -> str:
-    """Recursive walk over the truth events of each camera in order; ``choice`` picks among the free alerts in reach."""
-    return f"""{TRUTH_SQL}, walk(cam_id, i, used, pick) AS (
+def _walk(choice: str, tables: str = TRUTH_SQL, tol: float = TOL) -> str:
+    """Recursive walk over the truth events of each camera in order; ``choice`` picks among the free alerts in reach.
+
+    ``tables`` defines the truth events ``t`` and the alerts ``a``.
+    """
+    return f"""{tables}, walk(cam_id, i, used, pick) AS (
  SELECT DISTINCT cam_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT) FROM t
  UNION ALL SELECT cam_id, i, CASE WHEN p IS NULL THEN used ELSE list_append(used, p) END, p FROM (
   SELECT w.cam_id, w.i + 1 AS i, any_value(w.used) AS used, {choice} AS p FROM walk w
   JOIN t ON t.cam_id = w.cam_id AND t.i = w.i + 1
-  LEFT JOIN a ON a.cam_id = w.cam_id AND abs(a.ts_s - t.ts_s) <= {TOL} AND NOT list_contains(w.used, a.det_id)
+  LEFT JOIN a ON a.cam_id = w.cam_id AND abs(a.ts_s - t.ts_s) <= {tol} AND NOT list_contains(w.used, a.det_id)
   GROUP BY w.cam_id, w.i) s),
  matches AS (SELECT t.cam_id, t.det_id AS truth_ord, t.ts_s AS truth_t, a.det_id AS alert_ord, a.ts_s AS alert_t,
   a.ts_s - t.ts_s AS delay FROM t JOIN walk w ON w.cam_id = t.cam_id AND w.i = t.i LEFT JOIN a ON a.det_id = w.pick)"""
@@ -234,6 +238,29 @@ def phase_comparison(spark, sf):
     return reports.phase_means(reports.phase_comparison([phase2, phase3]))
 
 
+_T_SQL = "t AS (SELECT *, row_number() OVER (PARTITION BY cam_id ORDER BY det_id) AS i FROM raw_det WHERE value >= 220)"
+INTRUSION_TABLES = f"""{DET_SQL}, {ZONE_SQL}, {_T_SQL}, hits AS (SELECT det_id, zone_id FROM det, zone_edges WHERE class_name = 'personne'
+  GROUP BY det_id, zone_id HAVING bool_or({ON_EDGE_SQL}) OR count(*) FILTER (WHERE {CROSS_SQL}) % 2 = 1),
+ a AS (SELECT row_number() OVER (ORDER BY cam_id, ts_s) AS det_id, cam_id, ts_s FROM (SELECT min(ts_s) AS ts_s,
+  unnest(list(DISTINCT cam_id)) AS cam_id FROM det JOIN hits USING (det_id) GROUP BY frame, zone_id, track_id) q)"""
+OBJECT_TABLES = f"""{DET_SQL}, {_T_SQL}, a AS (SELECT row_number() OVER (ORDER BY cam_id, ts_s) AS det_id, cam_id, ts_s FROM (
+  SELECT DISTINCT cam_id, ts_s FROM det WHERE class_id <> 11 AND (cam_id, class_name) IN (SELECT (cam_id, class_name) FROM t)) q)"""
+GROUPS_SQL = f"""{RAW_SQL}, x AS (SELECT CASE WHEN cam_id = 'cam_02' THEN 2 ELSE 1 END AS room, class_name, det_id, cam_id,
+  ts_s * 1000.0E0 AS t FROM raw_det),
+ n AS (SELECT *, row_number() OVER (PARTITION BY room, class_name ORDER BY t, det_id) AS i FROM x),
+ walk AS (SELECT DISTINCT room, class_name, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(t DOUBLE, head BIGINT, cams VARCHAR[])[]) AS open,
+   CAST(NULL AS BIGINT) AS head FROM x
+  UNION ALL SELECT room, class_name, i, CASE WHEN home IS NULL THEN list_append(live, struct_pack(t := t, head := det_id, cams := [cam_id]))
+    ELSE list_transform(live, lambda g: CASE WHEN g.head = home THEN struct_pack(t := g.t, head := g.head, cams :=
+     list_append(g.cams, cam_id)) ELSE g END) END, coalesce(home, det_id) FROM (
+   SELECT *, list_filter(live, lambda g: NOT list_contains(g.cams, cam_id))[1].head AS home FROM (
+    SELECT n.*, list_filter(w.open, lambda g: n.t - g.t <= 900000) AS live FROM walk w JOIN n ON n.room = w.room
+     AND n.class_name = w.class_name AND n.i = w.i + 1) a) b),
+ placed AS (SELECT n.room, n.class_name, n.det_id, w.head FROM n JOIN walk w ON w.room = n.room AND w.class_name = n.class_name AND w.i = n.i),
+ heads AS (SELECT room, det_id AS head, row_number() OVER (PARTITION BY room ORDER BY t, det_id) AS event_id FROM n
+  WHERE det_id IN (SELECT head FROM placed))"""
+_LEFT = "FROM a WHERE det_id NOT IN (SELECT alert_ord FROM matches WHERE alert_ord IS NOT NULL)"
+
 QUERIES = {
     "match_truth_order": (_match("truth_order"), f"""WITH RECURSIVE {_walk(NEAREST)} SELECT cam_id, truth_ord, alert_ord,
       round_even(delay, 3) AS delay FROM matches"""),
@@ -248,8 +275,12 @@ QUERIES = {
       lag(ts_s) OVER (PARTITION BY cam_id ORDER BY ts_s) AS p FROM a WHERE det_id NOT IN (SELECT alert_ord FROM matches WHERE
       alert_ord IS NOT NULL)), fps AS (SELECT cam_id, count(*) FILTER (WHERE p IS NULL OR ts_s - p > 1800) AS fp FROM left_over
       GROUP BY cam_id) {SCORE_TAIL}"""),
-    "intrusion_scores": (intrusion_scores, None),
-    "object_scores": (object_scores, None),
+    "intrusion_scores": (intrusion_scores, f"""WITH RECURSIVE {_walk(NEAREST, INTRUSION_TABLES, matching.TOLERANCE_S)},
+      fps AS (SELECT cam_id, count(*) AS fp {_LEFT} GROUP BY cam_id) {SCORE_TAIL}"""),
+    "object_scores": (object_scores, f"""WITH RECURSIVE {_walk(NEAREST, OBJECT_TABLES, matching.TOLERANCE_S)},
+      left_over AS (SELECT cam_id, ts_s, lag(ts_s) OVER (PARTITION BY cam_id ORDER BY ts_s) AS p {_LEFT}),
+      fps AS (SELECT cam_id, count(*) FILTER (WHERE p IS NULL OR ts_s - p > {matching.MERGE_GAP_S}) AS fp FROM left_over GROUP BY cam_id)
+      {SCORE_TAIL}"""),
     "first_detections": (first_detections, f"""WITH {DET_SQL}, t AS (SELECT * FROM raw_det WHERE value >= 220)
       SELECT truth_ord, appear_frame, alert_frame, alert_frame - appear_frame AS delay_frames,
       round_even((alert_frame - appear_frame) / 25.0E0, 3) AS delay_s FROM (SELECT t.det_id AS truth_ord, any_value(t.frame) AS
@@ -281,7 +312,8 @@ QUERIES = {
       ('cam_07'),('cam_09')) v(cam_id) WHERE cam_id NOT IN (SELECT cam_id FROM t)"""),
     "mapped_truth": (mapped_truth, f"""WITH {TRUTH_SQL} SELECT cam_id, cam_id || '_20260506_131002' AS gt_camera, count(*) AS n
       FROM t GROUP BY 1, 2"""),
-    "grouped_truth_events": (grouped_truth_events, None),
+    "grouped_truth_events": (grouped_truth_events, f"""WITH RECURSIVE {GROUPS_SQL} SELECT CAST(room AS BIGINT) AS room, class_name,
+      det_id AS ann_ord, event_id FROM placed JOIN heads USING (room, head)"""),
     "best_model": (best_model, f"""WITH {RAW_SQL}, m AS (SELECT model, quantile_cont(value, 0.5) AS d,
       round_even(1000.0E0 / avg(value), 6) AS fps FROM raw_det GROUP BY model) SELECT arg_min(model, (d, model)) AS best_delay_model,
       min(d) AS best_delay, arg_min(model, (-fps, model)) AS fastest_model, max(fps) AS fastest_fps FROM m"""),
