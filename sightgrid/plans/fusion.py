@@ -160,37 +160,70 @@ COMPONENT_SQL = f"""WITH RECURSIVE {BASE}, {pairs_sql('1.0')}, {MUTUAL_SQL},
  SELECT frame, {_parts('u', ['cam_id', 'track_id', 'class_key'])}, {_parts('m', ['comp_cam', 'comp_track', 'comp_class'])}
  FROM (SELECT frame, u, min(v) AS m FROM reach GROUP BY frame, u) q"""
 # Every one-to-one assignment of the smaller side of a block, row by row.
-PAIRING_SQL = f"""{BASE}, p AS (SELECT frame, cam_id, replace(class_name, 'personne', 'person') AS k, x_m, y_m,
+PAIRING_SQL = f"""{BASE}, p AS (SELECT frame, cam_id, track_id, replace(class_name, 'personne', 'person') AS k, x_m, y_m,
   row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY frame, cam_id, class_name) AS n FROM det
   WINDOW w AS (PARTITION BY frame, cam_id, class_name ORDER BY det_ord)),
  e AS (SELECT a.frame, cam_a, cam_b, a.k, least(a.n, b.n) AS n, CASE WHEN a.n <= b.n THEN a.i ELSE b.i END AS r,
-  CASE WHEN a.n <= b.n THEN b.i ELSE a.i END AS col, sqrt((a.x_m-b.x_m)*(a.x_m-b.x_m) + (a.y_m-b.y_m)*(a.y_m-b.y_m)) AS d
+  CASE WHEN a.n <= b.n THEN b.i ELSE a.i END AS col, a.n > b.n AS flip, a.track_id AS ta, b.track_id AS tb, sqrt((a.x_m-b.x_m)*(a.x_m-b.x_m) + (a.y_m-b.y_m)*(a.y_m-b.y_m)) AS d
   FROM p a JOIN cam_overlaps o ON a.cam_id = o.cam_a JOIN p b ON b.cam_id = o.cam_b AND a.frame = b.frame AND a.k = b.k),
- s AS (SELECT DISTINCT frame, cam_a, cam_b, k, n, CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS used, CAST(0 AS DOUBLE) AS cost FROM e
-  UNION ALL SELECT s.frame, s.cam_a, s.cam_b, s.k, s.n, s.r + 1, s.used + (CAST(1 AS BIGINT) << e.col), s.cost + e.d FROM s JOIN e
+ s AS (SELECT DISTINCT frame, cam_a, cam_b, k, n, CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS used, CAST(0 AS DOUBLE) AS cost,
+   CAST([] AS BIGINT[]) AS cols FROM e
+  UNION ALL SELECT s.frame, s.cam_a, s.cam_b, s.k, s.n, s.r + 1, s.used + (CAST(1 AS BIGINT) << e.col), s.cost + e.d,
+   list_append(s.cols, e.col) FROM s JOIN e
   ON s.frame = e.frame AND s.cam_a = e.cam_a AND s.cam_b = e.cam_b AND s.k = e.k AND s.r = e.r
   WHERE (s.used >> e.col) % 2 = 0)"""
+BEST_SQL = f"""{PAIRING_SQL}, best AS (SELECT frame, cam_a, cam_b, k, unnest(range(0, n)) AS r, unnest(cols) AS col FROM (
+  SELECT frame, cam_a, cam_b, k, n, arg_min(cols, (cost, cols)) AS cols FROM s WHERE r = n GROUP BY frame, cam_a, cam_b, k, n) q),
+ opt AS (SELECT e.* FROM best JOIN e ON e.frame = best.frame AND e.cam_a = best.cam_a AND e.cam_b = best.cam_b AND e.k = best.k
+  AND e.r = best.r AND e.col = best.col), kdet AS (SELECT *, replace(class_name, 'personne', 'person') AS k FROM det)"""
 # The registry as it is defined: frame by frame, with what every node holds in a map.
-IDS_SQL = f"""{BASE}, {pairs_sql('1.0')}, {MUTUAL_SQL},
- links AS (SELECT frame, {_node('cam_a', 'ta')} AS u, {_node('cam_b', 'tb')} AS v FROM mutual),
- e AS (SELECT * FROM links UNION SELECT frame, v, u FROM links),
- reach AS (SELECT frame, u, u AS v FROM e UNION SELECT r.frame, r.u, e.v FROM reach r JOIN e ON e.frame = r.frame AND e.u = r.v),
- comp AS (SELECT frame, u, min(v) AS m FROM reach GROUP BY frame, u),
- kdet AS (SELECT *, replace(class_name, 'personne', 'person') AS k FROM det),
- node AS (SELECT frame, {_node('cam_id', 'track_id')} AS n, min(det_ord) AS o FROM kdet GROUP BY 1, 2),
- grp AS (SELECT node.frame, coalesce(m, n) AS c, list(n) AS nodes, min(o) AS o FROM node LEFT JOIN comp
-  ON comp.frame = node.frame AND comp.u = node.n GROUP BY 1, 2),
- fr AS (SELECT frame, row_number() OVER (ORDER BY frame) AS ord, list(nodes ORDER BY o) AS comps FROM grp GROUP BY frame),
- walk AS (SELECT CAST(0 AS BIGINT) AS ord, CAST(0 AS BIGINT) AS top, MAP(CAST([] AS VARCHAR[]), CAST([] AS BIGINT[])) AS state,
+
+
+def registry_sql(links: str, dets: str = "kdet", tag: str = "") -> str:
+    """CTEs up to ``gdet{tag}``: the detections ``dets`` with sticky ids over ``links`` (frame, cam_a, ta, cam_b, tb, k)."""
+    return f"""links{tag} AS (SELECT frame, {_node('cam_a', 'ta')} AS u, {_node('cam_b', 'tb')} AS v FROM {links}),
+ edge{tag} AS (SELECT * FROM links{tag} UNION SELECT frame, v, u FROM links{tag}),
+ reach{tag} AS (SELECT frame, u, u AS v FROM edge{tag} UNION SELECT r.frame, r.u, e.v FROM reach{tag} r JOIN edge{tag} e
+  ON e.frame = r.frame AND e.u = r.v),
+ comp{tag} AS (SELECT frame, u, min(v) AS m FROM reach{tag} GROUP BY frame, u),
+ node{tag} AS (SELECT frame, {_node('cam_id', 'track_id')} AS n, min(det_ord) AS o FROM {dets} GROUP BY 1, 2),
+ grp{tag} AS (SELECT node{tag}.frame, coalesce(m, n) AS c, list(n) AS nodes, min(o) AS o FROM node{tag} LEFT JOIN comp{tag}
+  ON comp{tag}.frame = node{tag}.frame AND comp{tag}.u = node{tag}.n GROUP BY 1, 2),
+ fr{tag} AS (SELECT frame, row_number() OVER (ORDER BY frame) AS ord, list(nodes ORDER BY o) AS comps FROM grp{tag} GROUP BY frame),
+ walk{tag} AS (SELECT CAST(0 AS BIGINT) AS ord, CAST(0 AS BIGINT) AS top, MAP(CAST([] AS VARCHAR[]), CAST([] AS BIGINT[])) AS state,
   CAST([] AS STRUCT(n VARCHAR, gid BIGINT)[]) AS found
   UNION ALL SELECT ord + 1, top + len(list_filter(known, lambda x: x IS NULL)), map_concat(state, map_from_entries(list_transform(got,
    lambda x: struct_pack(k := x.n, v := x.gid)))), got FROM (
    SELECT *, flatten(list_transform(comps, lambda c, i: list_transform(c, lambda x: struct_pack(n := x, gid := gids[i])))) AS got FROM (
    SELECT *, list_transform(known, lambda x, i: coalesce(x, top + len(list_filter(known[1:i], lambda y: y IS NULL)))) AS gids FROM (
    SELECT w.ord, w.top, w.state, f.comps, list_transform(f.comps, lambda c: list_min(list_filter(list_transform(c,
-    lambda x: map_extract_value(w.state, x)), lambda x: x IS NOT NULL))) AS known FROM walk w JOIN fr f ON f.ord = w.ord + 1) a) b) d),
- ids AS (SELECT frame, x.n AS n, x.gid AS gid FROM (SELECT frame, unnest(found) AS x FROM walk JOIN fr USING (ord)) q),
- gdet AS (SELECT kdet.*, gid AS global_id FROM kdet JOIN ids ON ids.frame = kdet.frame AND ids.n = {_node('cam_id', 'track_id')})"""
+    lambda x: map_extract_value(w.state, x)), lambda x: x IS NOT NULL))) AS known FROM walk{tag} w JOIN fr{tag} f ON f.ord = w.ord + 1) a) b) d),
+ ids{tag} AS (SELECT frame, x.n AS n, x.gid AS gid FROM (SELECT frame, unnest(found) AS x FROM walk{tag} JOIN fr{tag} USING (ord)) q),
+ gdet{tag} AS (SELECT q.*, gid AS global_id FROM {dets} q JOIN ids{tag} ON ids{tag}.frame = q.frame AND ids{tag}.n = {_node('cam_id', 'track_id')})"""
+
+
+def _sweep_sql(select: str) -> str:
+    """``select`` over ``gdet{t}`` for each threshold, persons only, on the optimal pairing."""
+    ctes = [registry_sql(f"(SELECT * FROM opt WHERE d < {t / 100.0})", "person", str(t)) for t in SWEEP_LIMITS]
+    return f"WITH RECURSIVE {BEST_SQL}, person AS (SELECT * FROM kdet WHERE class_id = 11), " + ", ".join(ctes) + " " + " UNION ALL ".join(
+        select.format(t=t) for t in SWEEP_LIMITS)
+
+
+IDS_SQL = f"""{BASE}, {pairs_sql('1.0')}, {MUTUAL_SQL}, kdet AS (SELECT *, replace(class_name, 'personne', 'person') AS k FROM det),
+ {registry_sql('mutual')}"""
+OPERATIONAL_SQL = """SELECT CAST({t} AS BIGINT) AS threshold_cm, count(DISTINCT frame) AS frames, (SELECT count(*) FROM (SELECT frame, global_id
+ FROM gdet{t} GROUP BY frame, global_id HAVING count(DISTINCT cam_id) >= 2) x) AS predicted_links, count(DISTINCT global_id) AS
+ unique_global_ids FROM gdet{t}"""
+TRUTH_SWEEP_SQL = """SELECT *, round_even(tp/CAST(tp+fp AS DOUBLE), 4) AS "precision", round_even(tp/CAST(tp+fn AS DOUBLE), 4) AS recall,
+ round_even(2.0E0*tp/CAST(2*tp+fp+fn AS DOUBLE), 4) AS f1, round_even(coalesce(fp/nullif(CAST(fp+tn AS DOUBLE), 0), 0), 4) AS false_match_rate,
+ round_even(coalesce(fn/nullif(CAST(tp+fn AS DOUBLE), 0), 0), 4) AS missed_match_rate FROM (
+ SELECT CAST({t} AS BIGINT) AS threshold_cm, (SELECT count(DISTINCT frame) FROM gdet{t}) AS frames,
+ (SELECT count(DISTINCT global_id) FROM gdet{t}) AS unique_global_ids, count(*) FILTER (WHERE pl) AS predicted_links,
+ count(*) FILTER (WHERE tl) AS truth_links, count(*) FILTER (WHERE pl AND tl) AS tp, count(*) FILTER (WHERE pl AND NOT tl) AS fp,
+ count(*) FILTER (WHERE NOT pl AND tl) AS fn, count(*) FILTER (WHERE NOT pl AND NOT tl) AS tn FROM (
+ SELECT a.global_id = b.global_id AS pl, a.t <> '' AND a.t = b.t AS tl FROM (SELECT *, CASE WHEN track_id % 12 = 5 THEN '' ELSE
+ CAST(track_id % 12 AS VARCHAR) END AS t FROM gdet{t}) a JOIN (SELECT *, CASE WHEN track_id % 12 = 5 THEN '' ELSE
+ CAST(track_id % 12 AS VARCHAR) END AS t FROM gdet{t}) b ON a.frame = b.frame AND a.det_ord < b.det_ord AND a.cam_id <> b.cam_id) q) z"""
 TRANSITIVE_SQL = f"""WITH RECURSIVE {BASE}, {pairs_sql('0.5')}, {MUTUAL_SQL},
  links AS (SELECT DISTINCT {_node('cam_a', 'ta')} AS u, {_node('cam_b', 'tb')} AS v FROM mutual),
  e AS (SELECT * FROM links UNION SELECT v, u FROM links),
@@ -220,11 +253,13 @@ def _mutual_sweep_sql() -> str:
 QUERIES = {
     "candidate_pairs": (candidate_pairs, f"""WITH {BASE}, {pairs_sql('1.0')} SELECT frame, det_ord_a, det_ord_b,
       round_even(d, 6) AS distance_m FROM cand"""),
-    "optimal_links": (optimal_links, None),
+    "optimal_links": (optimal_links, f"""WITH RECURSIVE {BEST_SQL} SELECT frame, cam_a, ta AS track_id_a, cam_b, tb AS track_id_b,
+      k AS class_key_a, d AS distance_m FROM opt WHERE d < 1.0"""),
     "mutual_nearest_links": (mutual_nearest_links, f"""WITH {BASE}, {pairs_sql('1.0')}, {MUTUAL_SQL}
       SELECT frame, det_ord_a, det_ord_b, round_even(d, 6) AS distance_m FROM mutual"""),
     "frame_components": (frame_components, COMPONENT_SQL),
-    "global_ids": (global_ids, None),
+    "global_ids": (global_ids, f"""WITH RECURSIVE {BEST_SQL}, {registry_sql('(SELECT * FROM opt WHERE d < 1.0)')}
+      SELECT frame, cam_id, track_id, k AS class_key, global_id FROM gdet"""),
     "transitive_ids": (transitive_ids, TRANSITIVE_SQL),
     "fusion_links": (fusion_links, f"""WITH {GID_SQL} SELECT a.frame, a.global_id, a.cam_id AS cam_a, a.track_id AS track_a,
       a.class_name AS class_a, b.cam_id AS cam_b, b.track_id AS track_b, b.class_name AS class_b,
@@ -249,7 +284,7 @@ QUERIES = {
     "optimal_link_costs": (optimal_link_costs, f"""WITH RECURSIVE {PAIRING_SQL} SELECT frame, cam_a, cam_b, k AS class_key, n AS links,
       round_even(min(cost), 6) AS total_m FROM s WHERE r = n GROUP BY frame, cam_a, cam_b, k, n"""),
     "global_ids_mutual": (global_ids_mutual, f"WITH RECURSIVE {IDS_SQL} SELECT frame, cam_id, track_id, k AS class_key, global_id FROM gdet"),
-    "threshold_sweep_truth": (threshold_sweep_truth, None),
-    "threshold_sweep_operational": (threshold_sweep_operational, None),
+    "threshold_sweep_truth": (threshold_sweep_truth, _sweep_sql(TRUTH_SWEEP_SQL)),
+    "threshold_sweep_operational": (threshold_sweep_operational, _sweep_sql(OPERATIONAL_SQL)),
     "threshold_sweep_mutual": (threshold_sweep_mutual, _mutual_sweep_sql()),
 }
