@@ -14,7 +14,7 @@ from sightgrid.session import cut_lineage, fresh_folder, ship_package
 from sightgrid.sources.tables import table
 
 WORD_CLASS = r"[^\x20\x09-\x0D]"  # a word is a run of these; the rest is white space
-BATCH_BYTES = 8 << 20
+BATCH_BYTES, ARROW_BYTES = 8 << 20, 24 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,8 +35,9 @@ def hinted(df: DataFrame, rows: int = 20_000) -> DataFrame:
 
 
 def ready(df: DataFrame) -> DataFrame:
-    """Make sure that Python workers of ``df``'s session can import this package."""
+    """Make sure that Python workers of ``df``'s session can import this package and get batches of bounded size."""
     ship_package(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return df
 
 
@@ -80,6 +81,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = BATCH_
         before = int(ends[at - 1]) if at else 0
         to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
         yield batch.slice(at, to - at)
+        pa.default_memory_pool().release_unused()
         at = to
 
 

@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from sightgrid.llm.common import file_system, mix, per_row, ready, stored, text_slices, words_of, write_file
 from sightgrid.session import fresh_folder
 
-ALPHA, SLICE = 0.4, 12 << 20
+ALPHA, SLICE = 0.4, 8 << 20
 _SENT = pa.schema([("slice", pa.int64()), ("order", pa.int32()), ("bucket", pa.int32()), ("amount", pa.int64()),
-                   ("hashes", pa.binary()), ("counts", pa.binary())])  # order 0: a slice's head, its words and its stored bytes
+                   ("hashes", pa.binary()), ("counts", pa.binary())])  # order 0: a slice's head with the bytes it was stored from
 _BACK = pa.schema([("slice", pa.int64()), ("order", pa.int32()), ("bucket", pa.int32()), ("amount", pa.int64()), ("totals", pa.binary())])
-_SCORE = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64())])
+_SCORE = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("partial", pa.float64()), ("shares", pa.int64())])
 
 
 def shrink(sorted_hashes: np.ndarray) -> bytes:
@@ -84,7 +84,7 @@ def _sender(folder: str, order: int, buckets: int):
                 data = [np.array([len(ids), len(code), len(words)], "<i8").tobytes(), np.asarray(ids.fill_null(0)).astype("<i8").tobytes(),
                         known.astype("u1").tobytes(), offsets.astype("<i8").tobytes(), of_word.tobytes(), np.ascontiguousarray(narrow).tobytes()]
                 write_file(f"{folder}/{slice_id:016x}", [pa.compress(b"".join(data), "zstd", asbytes=True)], f"try{TaskContext.get().taskAttemptId()}")
-                yield pa.RecordBatch.from_pylist([{"slice": slice_id, "order": 0, "bucket": len(code), "amount": sum(map(len, data)),
+                yield pa.RecordBatch.from_pylist([{"slice": slice_id, "order": 0, "bucket": slice_id % ((1 << 31) - 1), "amount": sum(map(len, data)),
                                                    "hashes": b"", "counts": b""}], schema=_SENT)
                 for k in range(1, order + 1):
                     h, whole = ngrams(of_word, code, offsets, k)
@@ -101,6 +101,8 @@ def _sender(folder: str, order: int, buckets: int):
 
 def _totals(key, table):
     """One bucket of one order's count table: the sum of the counts of each hash, for every entry that was sent."""
+    if key[0].as_py() == 0:  # heads go on to their slices
+        return pa.table([table["slice"], table["order"], table["bucket"], table["amount"], pa.nulls(len(table), pa.binary())], schema=_BACK)
     rows = table.select(["slice", "hashes", "counts"]).to_pylist()
     parts = [(grow(r["hashes"]), grow_counts(r["counts"])) for r in rows]
     hashes, place = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
@@ -112,7 +114,7 @@ def _totals(key, table):
     return pa.Table.from_pylist(out, schema=_BACK)
 
 
-def _scorer(folder: str, order: int, buckets: int, all_words: int):
+def _scorer(folder: str, order: int):
     def run(key, table):
         slice_id = key[0].as_py()
         fs, path = file_system(f"{folder}/{slice_id:016x}")
@@ -132,8 +134,6 @@ def _scorer(folder: str, order: int, buckets: int, all_words: int):
         at += 8 * n_distinct
         code = np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n_words, at).reshape(4, n_words).T).view("<u4").ravel().astype(np.int64)
         doc = np.repeat(np.arange(n_docs), np.diff(offsets))
-        words_here = np.diff(offsets)[doc]
-        rest = np.maximum(1, all_words - words_here).astype(np.float64)
         answers = {}
         for r in rows:
             answers.setdefault(r["order"], []).append((r["bucket"], r["totals"]))
@@ -147,16 +147,16 @@ def _scorer(folder: str, order: int, buckets: int, all_words: int):
             left = np.zeros(n_words, np.int64)
             left[whole] = total[place] - own[where]
             others.append(np.where(whole, left, -1))
-        seen = np.maximum(others[0], 0) / rest
-        score = np.where(others[0] > 0, seen, 1 / rest)
+        # a share of all other words is its count here; the division by their number, which is not known yet, comes last
+        score, shares = np.maximum(others[0], 1).astype(np.float64), np.ones(n_words, np.int64)
         for k in range(2, order + 1):
             before = np.zeros(n_words, np.int64)
             before[1:] = np.maximum(others[k - 2][:-1], 0)  # the context: the shorter n-gram that ends one word earlier
             has = others[k - 1] > 0
             backed = np.where(others[k - 1] < 0, score, ALPHA * score)  # too near the beginning: that context doesn't exist
-            score = np.where(has, others[k - 1] / np.maximum(before, 1), backed)
+            score, shares = np.where(has, others[k - 1] / np.maximum(before, 1), backed), np.where(has, 0, shares)
         total = per_row(offsets, np.log(score)) if n_words else np.zeros(n_docs)
-        return pa.table([pa.array(ids, pa.int64(), mask=~known), pa.array(np.diff(offsets)), pa.array(total)], schema=_SCORE)
+        return pa.table([pa.array(ids, pa.int64(), mask=~known), pa.array(np.diff(offsets)), pa.array(total), pa.array(per_row(offsets, shares))], schema=_SCORE)
 
     return run
 
@@ -166,13 +166,11 @@ def scored(docs: DataFrame, order: int = 2) -> DataFrame:
     spark = ready(docs).sparkSession
     folder = fresh_folder(spark, "slices")
     buckets = 1 << max(4, min(16, (docs.count() >> 11).bit_length()))
-    sent = stored(docs.select("doc_id", "text").mapInArrow(
-        _sender(folder, order, buckets), "slice long, order int, bucket int, amount long, hashes binary, counts binary"), "sent")
-    heads = sent.where("order = 0")  # the head of a slice has its number of words as bucket
-    n = int(heads.agg(F.sum("bucket")).first()[0] or 0)
-    heads = heads.select("slice", "order", "bucket", "amount", F.lit(None).cast("binary").alias("totals"))
-    back = sent.where("order > 0").groupBy("order", "bucket").applyInArrow(
-        _totals, "slice long, order int, bucket int, amount long, totals binary")
-    rows = back.unionByName(heads).groupBy("slice").applyInArrow(
-        _scorer(folder, order, buckets, n), "doc_id long, n_words long, log_score double")
-    return rows.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
+    sent = docs.select("doc_id", "text").mapInArrow(
+        _sender(folder, order, buckets), "slice long, order int, bucket int, amount long, hashes binary, counts binary")
+    back = sent.groupBy("order", "bucket").applyInArrow(_totals, "slice long, order int, bucket int, amount long, totals binary")
+    rows = stored(back.groupBy("slice").applyInArrow(_scorer(folder, order), "doc_id long, n_words long, partial double, shares long"), "scores")
+    n = rows.agg(F.sum("n_words")).first()[0] or 0
+    log_score = F.col("partial") - F.col("shares") * F.log(F.greatest(F.lit(1), F.lit(n) - F.col("n_words")))
+    return rows.select("doc_id", "n_words", log_score.alias("log_score")).withColumn(
+        "mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
