@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sightgrid.functions import names
 from sightgrid.functions.geometry import point_in_polygon
-from sightgrid.operators.ordered import FRAME_BUCKET, frame_ordinals, split_ordinal
+from sightgrid.operators.ordered import FRAME_BUCKET, split_ordinal
 from sightgrid.sources.site import Site
 
 CELL_M = 1.0
@@ -145,10 +145,12 @@ ALERT_COLUMNS = ["run_id", "frame", "ts_s", "alert_id", "alert_type", "alert_lev
                  "class_name", "x_m", "y_m", "cameras", "confidence"]
 
 
-def alerts(fused: DataFrame, site: Site, rules: AlertRules = AlertRules(), spine: DataFrame | None = None) -> DataFrame:
-    """All new alerts of a run: people entering zones and objects appearing or escalating."""
-    if spine is None:
-        spine = frame_ordinals(fused, ["run_id"])
+def alerts(fused: DataFrame, site: Site, rules: AlertRules, spine: DataFrame) -> DataFrame:
+    """All new alerts of a run: people entering zones and objects appearing or escalating.
+
+    ``spine`` numbers the frames that were processed (``frame_ordinals``), those without detections too: who is away in an
+    empty frame enters anew in the next.
+    """
     zone = zone_entries(enough_votes(zone_presence(fused, site, rules), rules), spine).select(
         "*", F.lit("zone_violation_person").alias("alert_type"), F.lit("confirmed").alias("alert_level"),
         F.lit("person").alias("class_name"),

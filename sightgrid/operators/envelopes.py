@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightgrid.operators.ordered import split_lag
+from sightgrid.operators.ordered import carry_in
 from sightgrid.operators.quantiles import exact_percentiles
 
 SCHEMA_NAME = "sightgrid.metadata.v1"
@@ -108,13 +108,19 @@ def envelope_facts(lines: DataFrame) -> DataFrame:
 
 
 def publish_intervals(facts: DataFrame, bucket: int = 100_000) -> DataFrame:
-    """Per line the interval to the previous envelope of the file (ms) and whether the frame number went backwards."""
-    known = facts.where(F.col("created_ms").isNotNull() & F.col("frame").isNotNull()).select(
+    """Per line the interval to the file's last envelope with a creation time (ms), and whether the frame number is below the
+    last one given. The two series are apart: a line that lacks one of the two still counts in the other.
+    """
+    known = facts.where(F.col("created_ms").isNotNull() | F.col("frame").isNotNull()).select(
         "file", "line_no", "frame", "created_ms", F.floor(F.col("line_no") / bucket).alias("_b"))
-    lagged = split_lag(known, ["file"], ["line_no"], "_b", F.struct("frame", "created_ms"), "_p")
-    return lagged.select(
-        "file", "line_no", "frame", (F.col("created_ms") - F.col("_p.created_ms")).alias("interval_ms"),
-        F.coalesce(F.col("frame") < F.col("_p.frame"), F.lit(False)).alias("backwards"))
+    last = lambda c: F.last(c, ignorenulls=True)
+    carried = carry_in(known, ["file"], "_b", {
+        f"_{c}": (F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line_no"))), last) for c in ("frame", "created_ms")})
+    inside = Window.partitionBy("file", "_b").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    before = {c: F.coalesce(last(c).over(inside), F.col(f"_{c}")) for c in ("frame", "created_ms")}
+    return carried.select(
+        "file", "line_no", "frame", (F.col("created_ms") - before["created_ms"]).alias("interval_ms"),
+        F.coalesce(F.col("frame") < before["frame"], F.lit(False)).alias("backwards"))
 
 
 def _names(facts: DataFrame, column: str) -> DataFrame:

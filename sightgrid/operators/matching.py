@@ -241,8 +241,11 @@ def delay_stats(matches: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def score_events(truth: DataFrame, alerts: DataFrame, keys: list[str], merge_gap: float = 0.0,
-                 tolerance: float = TOLERANCE_S) -> DataFrame:
-    """Event score per key: matches in truth order, false positives raw or merged, precision, recall, F1, delays."""
+                 tolerance: float = TOLERANCE_S, spine: DataFrame | None = None) -> DataFrame:
+    """Event score per key: matches in truth order, false positives raw or merged, precision, recall, F1, delays.
+
+    ``spine`` lists keys that get a row even with neither truth nor alert.
+    """
     matches = cut_lineage(match_events(truth, alerts, keys, "truth_order", tolerance))
     left = unmatched_instants(alerts, matches, keys)
     if merge_gap > 0:
@@ -252,7 +255,10 @@ def score_events(truth: DataFrame, alerts: DataFrame, keys: list[str], merge_gap
     else:
         fp = left.groupBy(*keys).agg(F.sum("left_over").alias("fp"))
     base = matches.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_gt_events"), F.count("alert_t").alias("tp"))
-    counts = base.join(fp, keys, "full_outer").fillna(0, ["n_gt_events", "tp", "fp"]).withColumn(
+    counts = base.join(fp, keys, "full_outer")
+    if spine is not None:
+        counts = counts.join(spine.select(*keys).distinct(), keys, "full_outer")
+    counts = counts.fillna(0, ["n_gt_events", "tp", "fp"]).withColumn(
         "fn", F.col("n_gt_events") - F.col("tp"))
     return event_metrics(counts).join(delay_stats(matches, keys), keys, "left")
 
@@ -263,17 +269,27 @@ def intrusion_score_by_camera(truth: DataFrame, alerts: DataFrame, cameras: list
         F.array(*map(F.lit, cameras)))
     per_cam = alerts.where(F.col("alert_type") == "zone_violation_person").select(
         "run_id", F.explode(named).alias("cam_id"), F.col("ts_s").alias("alert_t"), F.col("ts_s").alias("alert_ord"))
-    return score_events(truth.where(F.col("cam_id").isin(cameras)), per_cam, ["run_id", "cam_id"])
+    return score_events(truth.where(F.col("cam_id").isin(cameras)), per_cam, ["run_id", "cam_id"],
+                        spine=_every_camera([truth, alerts], cameras))
+
+
+def _every_camera(parts: list[DataFrame], cameras: list[str]) -> DataFrame:
+    """(run_id, cam_id) of every run met in ``parts`` and every camera."""
+    runs = parts[0].select("run_id")
+    for part in parts[1:]:
+        runs = runs.union(part.select("run_id"))
+    return runs.distinct().select("run_id", F.explode(F.array(*map(F.lit, cameras))).alias("cam_id"))
 
 
-def object_score_by_camera(truth: DataFrame, dets: DataFrame, person_ids: list[int]) -> DataFrame:
+def object_score_by_camera(truth: DataFrame, dets: DataFrame, person_ids: list[int], cameras: list[str] | None = None) -> DataFrame:
     """Object detections as candidates, only classes annotated for the camera, distinct instants, FPs merged (3 s)."""
     classes = truth.select("run_id", "cam_id", names.normalize_class(F.col("class_name")).alias("class_norm")).distinct()
     times = dets.where(~F.col("class_id").isin(person_ids)).withColumn(
         "class_norm", names.normalize_class(F.col("class_name"))
     ).join(classes, ["run_id", "cam_id", "class_norm"], "left_semi").select(
         "run_id", "cam_id", F.col("ts_s").alias("alert_t"), F.col("ts_s").alias("alert_ord")).distinct()
-    return score_events(truth, times, ["run_id", "cam_id"], merge_gap=MERGE_GAP_S)
+    return score_events(truth, times, ["run_id", "cam_id"], merge_gap=MERGE_GAP_S,
+                        spine=_every_camera([truth, dets], cameras) if cameras else None)
 
 
 # ---- association truth

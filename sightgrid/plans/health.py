@@ -9,7 +9,7 @@ from sightgrid.operators import envelopes as E
 from sightgrid.operators import fusion, health, identity
 from sightgrid.operators.ordered import frame_ordinals
 from sightgrid.operators.quantiles import exact_percentiles, latency_stats
-from sightgrid.plans.alerting import RULES
+from sightgrid.plans.alerting import ALERTS_SQL, RULES
 from sightgrid.plans.fusion import GID_SQL, numbered
 from sightgrid.session import cut_lineage
 from sightgrid.sources.tables import (
@@ -232,42 +232,48 @@ def envelope_counts(spark, sf):
 
 
 def _lines(spark, sf):
-    """The view's envelopes as JSON lines; every fifth published frame lacks a field and some neighbours swap places."""
-    d = numbered(spark, sf).withColumn("inside_zones", F.lit(""))
+    """The view's envelopes, alerts included, as JSON lines of two files.
+
+    Every fifth frame lacks a field, every seventh its frame number, and some neighbours swap places.
+    """
+    d = numbered(spark, sf)
+    found = A.alerts(d, DEMO_SITE, RULES, frame_ordinals(d, ["run_id"]))
+    d = d.withColumn("inside_zones", F.lit(""))
     frames = d.groupBy("run_id", "frame").agg(F.max("ts_s").alias("m")).select(
         "run_id", "frame", (c("m") * 1000.0 + c("frame") * 37 % 500).alias("created_epoch_ms"), F.lit("V4").alias("model_version"),
         F.lit("yolov8s").alias("model"), F.lit("pt").alias("format"))
-    nobody = d.where("false").select("run_id", "frame", "track_id", *[
-        F.lit(None).cast(t).alias(n) for n, t in (("alert_id", "string"), ("alert_type", "string"), ("alert_level", "string"),
-                                                  ("zone_id", "string"), ("cameras", "array<string>"))],
-        "global_id", "class_name", "x_m", "y_m", "confidence", "ts_s")
-    e = E.build_envelopes(frames, d, nobody)
+    e = E.build_envelopes(frames, d, found)
     k = c("frame") - FRAME0
-    line_no = k + F.when(F.floor(k / 2) % 20 == 0, F.when(k % 2 == 0, 1).otherwise(-1)).otherwise(0)
+    pair = F.floor(k / 2)
+    line_no = k + F.when(pair % 20 == 0, F.when(k % 2 == 0, 1).otherwise(-1)).otherwise(0)
     text = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
-    return e.select(F.concat(F.lit("part-"), (k % 2 * 0).cast("string")).alias("file"), line_no.cast("bigint").alias("line_no"), F.when(
-        c("frame") % 5 == 0, F.replace(text, F.lit('"format":"pt",'), F.lit(""))).otherwise(text).alias("value"))
+    text = F.when(c("frame") % 5 == 0, F.replace(text, F.lit('"format":"pt",'), F.lit(""))).otherwise(text)
+    text = F.when(c("frame") % 7 == 0, F.replace(text, F.concat(F.lit('"frame":'), c("frame"), F.lit(",")), F.lit(""))).otherwise(text)
+    return e.select(F.concat(F.lit("part-"), (F.floor(pair / 5) % 2).cast("string")).alias("file"), line_no.cast("bigint").alias("line_no"),
+                    text.alias("value"))
 
 
 def validate_envelopes(spark, sf):
-    return E.validate_envelopes(cut_lineage(E.envelope_facts(_lines(spark, sf)))).drop("file")
+    return E.validate_envelopes(cut_lineage(E.envelope_facts(_lines(spark, sf)).drop("value")))
 
 
 def publish_intervals(spark, sf):
-    return E.publish_intervals(cut_lineage(E.envelope_facts(_lines(spark, sf)))).select(
-        "line_no", "frame", F.bround("interval_ms", 3).alias("interval_ms"), "backwards")
+    return E.publish_intervals(cut_lineage(E.envelope_facts(_lines(spark, sf)).drop("value"))).select(
+        "file", "line_no", "frame", F.bround("interval_ms", 3).alias("interval_ms"), "backwards")
 
 
 def first_examples(spark, sf):
-    return E.first_example(E.envelope_facts(_lines(spark, sf))).drop("file")
+    return E.first_example(E.envelope_facts(_lines(spark, sf)))
 
 
-ENVELOPE_SQL = GID_SQL + f""", env AS (SELECT *, k + CASE WHEN (k // 2) % 20 = 0 THEN CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END ELSE 0 END
-  AS line_no FROM (SELECT frame, frame - {FRAME0} AS k, max(ts_s) * 1000.0E0 + frame * 37 % 500 AS created_ms, count(*) AS n,
-  round_even(max(ts_s), 6) AS newest FROM gdet GROUP BY frame) q),
- step AS (SELECT *, created_ms - lag(created_ms) OVER (ORDER BY line_no) AS interval_ms,
-  coalesce(frame < lag(frame) OVER (ORDER BY line_no), false) AS backwards,
-  (round_even(created_ms / 1000.0E0, 6) - newest) * 1000.0E0 AS lag_ms FROM env)"""
+ENVELOPE_SQL = ALERTS_SQL + f""", env AS (SELECT *, 'part-' || (k // 2 // 5) % 2 AS file, CASE WHEN g % 7 <> 0 THEN g END AS frame,
+  k + CASE WHEN (k // 2) % 20 = 0 THEN CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END ELSE 0 END AS line_no FROM (
+  SELECT frame AS g, frame - {FRAME0} AS k, max(ts_s) * 1000.0E0 + frame * 37 % 500 AS created_ms, count(*) AS n, round_even(max(ts_s), 6) AS newest
+  FROM gdet GROUP BY frame) q LEFT JOIN (SELECT frame AS g, count(*) AS na FROM all_alerts GROUP BY frame) al USING (g)),
+ step AS (SELECT *, created_ms - lag(created_ms) OVER (PARTITION BY file ORDER BY line_no) AS interval_ms,
+  coalesce(frame < last_value(frame IGNORE NULLS) OVER (PARTITION BY file ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+   false) AS backwards, (round_even(created_ms / 1000.0E0, 6) - newest) * 1000.0E0 AS lag_ms FROM env),
+ file_of AS (SELECT g AS frame, file FROM env)"""
 P95_NEAREST = "list_sort(list({0}) FILTER (WHERE {0} IS NOT NULL))[CAST(round_even(0.95E0 * (count({0}) - 1), 0) AS BIGINT) + 1]"
 
 STATS = """count(*) AS n, round_even(avg(value), 6) AS latency_mean_ms, round_even(quantile_cont(value, 0.5), 6) AS latency_median_ms,
@@ -328,16 +334,20 @@ QUERIES = {
       GROUP BY cam_id, CAST(floor(ts_s / 86400) AS BIGINT)) q"""),
     "envelope_counts": (envelope_counts, f"""WITH {GID_SQL} SELECT frame, round_even((max(ts_s) * 1000.0E0 + frame * 37 % 500) / 1000.0E0, 3)
       AS created_s, count(*) AS detections, round_even(sum(x_m), 3) AS sum_x FROM gdet WHERE frame % 3 = 0 GROUP BY frame"""),
-    "validate_envelopes": (validate_envelopes, f"""WITH {ENVELOPE_SQL} SELECT count(*) AS envelopes, CAST(sum(n) AS BIGINT) AS
-      detections, CAST(0 AS BIGINT) AS alerts, 'cam_02, cam_03, cam_05, cam_07' AS cameras,
-      (SELECT string_agg(class_name, ', ' ORDER BY class_name) FROM (SELECT DISTINCT class_name FROM gdet) z) AS classes,
-      '' AS alert_types, CAST(sum(n) AS BIGINT) AS bbox_ok, CAST(sum(n) AS BIGINT) AS global_ids,
-      count(*) FILTER (WHERE frame % 5 = 0) AS missing_envelope, CAST(0 AS BIGINT) AS missing_detection, CAST(0 AS BIGINT) AS
+    "validate_envelopes": (validate_envelopes, f"""WITH {ENVELOPE_SQL} SELECT file, count(*) AS envelopes, CAST(sum(n) AS BIGINT) AS
+      detections, CAST(coalesce(sum(na), 0) AS BIGINT) AS alerts,
+      (SELECT string_agg(cam_id, ', ' ORDER BY cam_id) FROM (SELECT DISTINCT cam_id FROM gdet JOIN file_of USING (frame) WHERE
+       file_of.file = step.file) z) AS cameras,
+      (SELECT string_agg(class_name, ', ' ORDER BY class_name) FROM (SELECT DISTINCT class_name FROM gdet JOIN file_of USING (frame) WHERE
+       file_of.file = step.file) z) AS classes,
+      (SELECT string_agg(alert_type, ', ' ORDER BY alert_type) FROM (SELECT DISTINCT alert_type FROM all_alerts JOIN file_of USING (frame)
+       WHERE file_of.file = step.file) z) AS alert_types, CAST(sum(n) AS BIGINT) AS bbox_ok, CAST(sum(n) AS BIGINT) AS global_ids,
+      count(*) FILTER (WHERE g % 5 = 0 OR g % 7 = 0) AS missing_envelope, CAST(0 AS BIGINT) AS missing_detection, CAST(0 AS BIGINT) AS
       missing_alert, count(*) FILTER (WHERE backwards) AS frame_backwards, round_even(avg(interval_ms), 3) AS publish_interval_mean_ms,
       round_even({P95_NEAREST.format('interval_ms')}, 3) AS publish_interval_p95_ms, round_even(avg(lag_ms), 3) AS metadata_lag_mean_ms,
-      round_even({P95_NEAREST.format('lag_ms')}, 3) AS metadata_lag_p95_ms FROM step"""),
-    "publish_intervals": (publish_intervals, f"""WITH {ENVELOPE_SQL} SELECT line_no, frame, round_even(interval_ms, 3) AS interval_ms,
+      round_even({P95_NEAREST.format('lag_ms')}, 3) AS metadata_lag_p95_ms FROM step GROUP BY file"""),
+    "publish_intervals": (publish_intervals, f"""WITH {ENVELOPE_SQL} SELECT file, line_no, frame, round_even(interval_ms, 3) AS interval_ms,
       backwards FROM step"""),
-    "first_examples": (first_examples, f"""WITH {ENVELOPE_SQL} SELECT min(line_no) AS with_detection, CAST(NULL AS BIGINT) AS
-      with_alert FROM env"""),
+    "first_examples": (first_examples, f"""WITH {ENVELOPE_SQL} SELECT file, min(line_no) AS with_detection,
+      min(line_no) FILTER (WHERE na > 0) AS with_alert FROM env GROUP BY file"""),
 }

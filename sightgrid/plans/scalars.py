@@ -103,7 +103,7 @@ def pixel_zone_hits(spark, sf):
     zones = DEMO_SITE.zone_dim(spark).select("zone_id", "polygon", F.explode("zone_cameras").alias("cam_id"))
     inverse = DEMO_SITE.camera_dim(spark).select("cam_id", G.invert_homography(c("h")).alias("inv"))
     px = zones.join(inverse, "cam_id").withColumn("px", G.project_polygon(c("inv"), c("polygon"))).where(F.size("px") >= 3)
-    px = DEMO_SITE.hint(px.select("cam_id", "zone_id", G.edges_of(c("px")).alias("e")), 100)
+    px = DEMO_SITE.hint(px.select("cam_id", "zone_id", G.edges_of(c("px")).alias("e")), len(DEMO_SITE.zones) * len(DEMO_SITE.cameras))
     return detections(spark, sf).join(px, "cam_id").where(
         G.point_in_polygon(c("e"), (c("x1") + c("x2")) / 2, c("y2"))).select("det_id", "cam_id", "zone_id")
 
@@ -275,7 +275,7 @@ def neighbour_transfer(spark, sf):
     d = _with_camera(spark, detections(spark, sf)).select(
         "det_id", "cam_id", G.apply_homography(c("h"), (c("x1") + c("x2")) / 2, c("y2")).alias("m"))
     others = DEMO_SITE.camera_dim(spark).select(c("cam_id").alias("other_cam"), G.invert_homography(c("h")).alias("inv"))
-    j = d.join(DEMO_SITE.neighbours(spark), "cam_id").join(DEMO_SITE.hint(others, 100), "other_cam")
+    j = d.join(DEMO_SITE.neighbours(spark), "cam_id").join(DEMO_SITE.hint(others, len(DEMO_SITE.cameras)), "other_cam")
     return j.withColumn("_p", G.apply_homography(c("inv"), c("m.x"), c("m.y"))).select(
         "det_id", "other_cam", F.bround("_p.x", 2).alias("u"), F.bround("_p.y", 2).alias("v"))
 

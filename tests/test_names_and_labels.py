@@ -55,3 +55,21 @@ def test_a_camera_without_a_room_is_an_error(spark):
     rows = spark.createDataFrame([(1, "cam_01", "verre", 0.0), (2, "cam_99", "verre", 1.0)], "ann_ord long, cam_id string, class_name string, t_ms double")
     with pytest.raises(Exception, match="camera without a room: cam_99"):
         reports.group_truth_events(rows, {"cam_01": 2}).collect()
+
+
+def test_publish_series_are_apart(spark):
+    from sightgrid.operators.envelopes import publish_intervals
+
+    rows = [("f", 0, 5, 1000.0), ("f", 1, None, 1040.0), ("f", 2, 4, 1080.0), ("f", 3, 6, None), ("g", 0, 9, 10.0)]
+    facts = spark.createDataFrame(rows, "file string, line_no long, frame long, created_ms double")
+    for bucket in (100, 2, 1):
+        got = {(r.file, r.line_no): (r.interval_ms, r.backwards) for r in publish_intervals(facts, bucket).collect()}
+        assert got == {("f", 0): (None, False), ("f", 1): (40.0, False), ("f", 2): (40.0, True), ("f", 3): (None, False), ("g", 0): (None, False)}
+
+
+def test_a_silent_camera_has_a_row(spark):
+    truth = spark.createDataFrame([("r", "cam_01", 1, 1.0)], "run_id string, cam_id string, truth_ord long, truth_t double")
+    alerts = spark.createDataFrame([("r", ["cam_01"], "zone_violation_person", 1.5)],
+                                   "run_id string, cameras array<string>, alert_type string, ts_s double")
+    got = {r.cam_id: (r.n_gt_events, r.tp, r.fp, r.f1) for r in matching.intrusion_score_by_camera(truth, alerts, ["cam_01", "cam_02"]).collect()}
+    assert got == {"cam_01": (1, 1, 0, 1.0), "cam_02": (0, 0, 0, 0.0)}
