@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from sightgrid.llm.common import components, mix, ready, stored, text_slices, words_of
 
 WIDTH, NEED, OF = 5, 80, 100  # NEED / OF: the least similarity
-HEAVY, HEAVY_HERE = 1 << 16, 8  # hashes put last in the order (an order only; any order is exact), and the least count in a batch
+HEAVY, HEAVY_HERE = 1 << 19, 3  # hashes put last in the order (an order only; any order is exact), and the least count in a batch
 SLICE, BLOCK, KEYS = 12 << 20, 64, 4
+FILTER_BITS, FILTER_CHUNK = 28, 1 << 19  # most bits (as a power of two) of the filter that finds candidates' texts; bits of a part
 LIMIT = 1 - NEED / OF + 1e-9
 
 
@@ -154,13 +155,41 @@ def _shared_hashes(key, table):
     return pa.table([pa.array(classes, pa.int64()), pa.array(counts.astype(np.int64))], names=["class", "shared"])
 
 
-def _sets(batches):
+def _filter_part(key, table):
+    """One part of the bit field that has the candidates' texts."""
+    bits = np.zeros(FILTER_CHUNK, np.uint8)
+    bits[np.asarray(table["bit"])] = 1
+    return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["part", "bits"])
+
+
+def text_filter(spark, keys: DataFrame, n: int):
+    """A broadcast bit field of at most 2^FILTER_BITS bits that has every key of ``keys`` (text_key): it only saves work, since
+    what it lets through is joined exactly afterwards.
+    """
+    size = max(FILTER_CHUNK, min(1 << FILTER_BITS, 1 << (16 * max(1, n) - 1).bit_length()))
+    at = F.pmod("text_key", F.lit(size))
+    parts = keys.select(F.floor(at / FILTER_CHUNK).alias("part"), (at % FILTER_CHUNK).alias("bit")).groupBy("part").applyInArrow(
+        _filter_part, "part long, bits binary").collect()  # of fixed size, whatever the keys
+    field = np.zeros(size // 8, np.uint8)
+    for r in parts:
+        field[r["part"] * FILTER_CHUNK // 8:(r["part"] + 1) * FILTER_CHUNK // 8] = np.frombuffer(r["bits"], np.uint8)
+    return spark.sparkContext.broadcast(field)
+
+
+def _sets(held):
     schema = pa.schema([("class", pa.int64()), ("n", pa.int64()), ("members", pa.binary())])
-    for batch in batches:
-        for part in text_slices(batch, limit=SLICE):
-            sets = {class_of(s): s for s in shingle_sets(part.column("text")) if len(s)}
-            yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array([len(s) for s in sets.values()], pa.int64()),
-                                              pa.array([s.tobytes() for s in sets.values()], pa.binary())], schema=schema)
+
+    def run(batches):
+        field = held.value
+        for batch in batches:
+            at = np.asarray(batch.column("text_key")) % (8 * len(field))
+            batch = batch.filter(pa.array((field[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+            for part in text_slices(batch, limit=SLICE):
+                sets = {class_of(s): s for s in shingle_sets(part.column("text")) if len(s)}
+                yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array([len(s) for s in sets.values()], pa.int64()),
+                                                  pa.array([s.tobytes() for s in sets.values()], pa.binary())], schema=schema)
+
+    return run
 
 
 def _frequent(batches):
@@ -173,10 +202,11 @@ def _frequent(batches):
             yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n[keep])], schema=schema)
 
 
-def _index_entries(heavy: np.ndarray, rank: np.ndarray):
-    """``heavy``: sorted hashes; ``rank``: their places in the order, the most frequent last."""
+def _index_entries(held):
+    """``held``: sorted frequent hashes, their counts and their places in the order, the most frequent last."""
 
     def run(batches):
+        heavy, _, rank = held.value
         schema = pa.schema([("hash", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("rest", pa.int64())])
         for batch in batches:
             for c, n, b in zip(*(batch.column(k).to_pylist() for k in ("class", "n", "members"))):
@@ -193,10 +223,11 @@ def _index_entries(heavy: np.ndarray, rank: np.ndarray):
     return run
 
 
-def _keys(heavy: np.ndarray, count: np.ndarray):
+def _keys(held):
     """The least hash of each candidate under each order, and how frequent its hashes are on the whole."""
 
     def run(batches):
+        heavy, count, _ = held.value
         schema = pa.schema([("order", pa.int32()), ("key", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("weight", pa.float64())])
         for batch in batches:
             rows = []
@@ -272,10 +303,39 @@ def _cluster_pairs(batches):
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in seen], pa.int64()) for k in (0, 1)], schema=schema)
 
 
-def _lists(batches):
+def _member_pairs(batches):
+    """Members of one hash's list, of clusters not connected, whose sizes and positions leave a link open.
+
+    With their pivots and how far they are from them together; two pivots themselves have been compared.
+    """
+    schema = pa.schema([(c, pa.int64()) for c in ("x", "y", "a", "b")] + [("apart", pa.float64())])
+    seen: dict = {}
+
+    def out():
+        return pa.RecordBatch.from_arrays([*[pa.array([p[k] for p in seen], pa.int64()) for k in range(4)],
+                                           pa.array(list(seen.values()), pa.float64())], schema=schema)
+
+    for rows in _lists(batches, ("hash", "class", "pivot", "component", "n", "rest", "distance")):
+        one, pivot, joint, n, rest = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3, 4, 5))
+        away = np.array([r[6] for r in rows])
+        for at in range(1, len(rows)):
+            start = int(np.searchsorted(n, smallest(int(n[at]))))  # the list is ordered by size
+            fit = (joint[start:at] != joint[at]) & (pivot[start:at] != pivot[at]) & (away[start:at] + away[at] > 0)
+            fit &= np.minimum(rest[start:at], rest[at]) * (OF + NEED) >= NEED * (n[start:at] + n[at])
+            for k in np.flatnonzero(fit) + start:
+                i, j = (k, at) if pivot[k] < pivot[at] else (at, k)
+                seen[int(one[i]), int(one[j]), int(pivot[i]), int(pivot[j])] = float(away[k] + away[at])
+            if len(seen) >= 1 << 16:
+                yield out()
+                seen.clear()
+    if seen:
+        yield out()
+
+
+def _lists(batches, columns=("hash", "pivot", "component", "low", "high", "rest")):
     now, rows = None, []
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("hash", "pivot", "component", "low", "high", "rest"))):
+        for row in zip(*(batch.column(c).to_pylist() for c in columns)):
             if row[0] != now:
                 if len(rows) > 1:
                     yield rows
@@ -294,24 +354,27 @@ def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = packed.groupBy("bucket").applyInArrow(_shared_hashes, "class long, shared long")
     shared = shared.groupBy("class").agg(F.sum("shared").alias("shared"))
     one = rows.where("class is not null").groupBy("class").agg(
-        F.min(F.struct("doc_id", "text_key")).alias("one"), F.min("n_shingles").alias("n"))
+        F.min("text_key").alias("text_key"), F.min("n_shingles").alias("n"))
     # the sum may count a hash once for each slice, never less often than it must: it only lets more through
     need = F.floor(F.ceil(F.col("n") * NEED / OF) / 12) + 1
-    left = stored(one.join(shared, "class").where(F.col("shared") >= need).select("class", "one.doc_id", "one.text_key"), "candidates")
-    k = left.select(F.col("doc_id").alias("k_doc"), F.col("text_key").alias("k_text"))
-    texts = texts.join(k, F.col("doc_id").eqNullSafe(F.col("k_doc")) & (F.col("text_key") == F.col("k_text"))).select("text")
-    sets = texts.mapInArrow(_sets, "class long, n long, members binary").dropDuplicates(["class"])
+    left = stored(one.join(shared, "class").where(F.col("shared") >= need).select("class", "text_key"), "candidates")
+    # the texts are not shuffled: a bit field finds those of candidates, and their sets are joined with the candidates
+    held = text_filter(docs.sparkSession, left.select("text_key"), left.count())
+    sets = texts.select("text", "text_key").mapInArrow(_sets(held), "class long, n long, members binary")
+    sets = sets.join(left.select("class"), "class", "left_semi").dropDuplicates(["class"])
     return rows, stored(sets, "sets")
 
 
 def links(sets: DataFrame) -> DataFrame:
     """(a, b) of linked classes: all that connect the classes, by pivots and what their distances leave open."""
     often = sets.mapInArrow(_frequent, "hash long, count long").groupBy("hash").agg(F.sum("count").alias("count"))
-    top = often.orderBy(F.desc("count"), "hash").limit(HEAVY).collect()  # HEAVY rows at most
-    by_hash = sorted((int(np.int64(r["hash"]).view(np.uint64)), r["count"]) for r in top)
-    heavy, count = np.array([h for h, _ in by_hash], np.uint64), np.array([c for _, c in by_hash], np.int64)
+    top = often.orderBy(F.desc("count"), "hash").limit(HEAVY).toArrow()  # HEAVY rows at most
+    heavy, count = np.asarray(top["hash"], dtype=np.int64).view(np.uint64), np.asarray(top["count"], dtype=np.int64)
+    order = np.argsort(heavy)
+    heavy, count = heavy[order], count[order]
     rank = np.argsort(np.lexsort((heavy, count)))
-    heads = stored(sets.mapInArrow(_keys(heavy, count), "order int, key long, class long, n long, weight double"), "keys")
+    held = sets.sparkSession.sparkContext.broadcast((heavy, count, rank))
+    heads = stored(sets.mapInArrow(_keys(held), "order int, key long, class long, n long, weight double"), "keys")
     lead = heads.groupBy("order", "key").agg(F.max(F.struct("weight", "n", "class")).alias("lead"))
     tries = heads.join(lead, ["order", "key"]).select(F.col("class").alias("a"), F.col("lead.class").alias("b"), "n", F.col("lead.n").alias("m"))
     tries = tries.where((F.col("a") != F.col("b")) & (F.col("n") * OF >= F.col("m") * NEED) & (F.col("m") * OF >= F.col("n") * NEED))
@@ -319,7 +382,7 @@ def links(sets: DataFrame) -> DataFrame:
     cluster = stored(to_pivot.groupBy(F.col("a").alias("class")).agg(F.min(F.struct("distance", "b")).alias("near")).select(
         "class", F.col("near.b").alias("pivot"), "near.distance"), "clusters")
     joint = components(to_pivot.select("a", "b")).withColumnRenamed("node", "class")
-    index = sets.mapInArrow(_joined_batches(_index_entries(heavy, rank)), "hash long, class long, n long, rest long")
+    index = sets.mapInArrow(_joined_batches(_index_entries(held)), "hash long, class long, n long, rest long")
     placed = stored(index.join(cluster, "class", "left").join(joint, "class", "left").withColumns({
         "pivot": F.coalesce("pivot", "class"), "distance": F.coalesce("distance", F.lit(0.0)),
         "component": F.coalesce("component", "class")}), "index")
@@ -340,12 +403,13 @@ def links(sets: DataFrame) -> DataFrame:
     label = components(found)
     for c in ("a", "b"):
         open_pairs = open_pairs.join(label.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")), c, "left")
-    open_pairs = open_pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "distance")
-    one = placed.select("hash", F.col("pivot").alias("a"), F.col("class").alias("x"), F.col("distance").alias("dx"), F.col("n").alias("nx"), F.col("rest").alias("rx"))
-    two = placed.select("hash", F.col("pivot").alias("b"), F.col("class").alias("y"), F.col("distance").alias("dy"), F.col("n").alias("ny"), F.col("rest").alias("ry"))
-    near = one.join(open_pairs, "a").join(two, ["hash", "b"]).where(
-        (F.col("distance") <= LIMIT + F.col("dx") + F.col("dy")) & (F.col("nx") * OF >= F.col("ny") * NEED) & (F.col("ny") * OF >= F.col("nx") * NEED)
-        & (F.least("rx", "ry") * (OF + NEED) >= NEED * (F.col("nx") + F.col("ny"))))
+    open_pairs = stored(open_pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "distance"), "unconnected")
+    wanted = open_pairs.select(F.col("a").alias("pivot")).union(open_pairs.select("b")).distinct()
+    members = placed.drop("component").join(wanted, "pivot", "left_semi").join(label.withColumnRenamed("node", "class"), "class", "left").withColumn(
+        "component", F.coalesce("component", "class"))
+    near = members.repartition("hash").sortWithinPartitions("hash", "n").mapInArrow(
+        _member_pairs, "x long, y long, a long, b long, apart double").distinct()
+    near = near.join(open_pairs, ["a", "b"]).where(F.col("distance") <= LIMIT + F.col("apart"))
     rest = compared(near.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), sets)
     return found.union(rest.where("link").select("a", "b"))
 
