@@ -261,21 +261,26 @@ def _joined_batches(make):
 
 
 def _compare(batches):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("common", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("slack", pa.float64()), ("common", pa.int64())])
     for batch in batches:
         common = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
                   for x, y in zip(batch.column("ma").to_pylist(), batch.column("mb").to_pylist())]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "na", "nb")), pa.array(common, pa.int64())], schema=schema)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "na", "nb", "slack")), pa.array(common, pa.int64())], schema=schema)
 
 
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with distance and whether they link."""
+def compared(pairs: DataFrame, sets: DataFrame, slack="0D") -> DataFrame:
+    """``pairs`` (a, b) with distance and whether they link.
+
+    Pairs whose sizes alone put them farther apart than LIMIT + ``slack`` (an expression over ``pairs``) are left out: sets of m
+    and n >= m hashes are at least 1 - m / n apart. Pairs of pivots need the reach of their clusters as slack.
+    """
     left = sets.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("members").alias("ma"))
     right = sets.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("members").alias("mb"))
-    both = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * OF >= F.greatest("na", "nb") * NEED)
-    out = both.mapInArrow(_compare, "a long, b long, na long, nb long, common long")
+    both = pairs.withColumn("slack", F.expr(slack)).join(left, "a").join(right, "b").where(
+        F.least("na", "nb") >= F.greatest("na", "nb") * (F.lit(1 - LIMIT) - F.col("slack")))
+    out = both.mapInArrow(_compare, "a long, b long, na long, nb long, slack double, common long")
     union = F.col("na") + F.col("nb") - F.col("common")
-    return stored(out.select("a", "b", (F.lit(1.0) - F.col("common") / union).alias("distance"), (F.col("common") * OF >= union * NEED).alias("link")), "compared")
+    return stored(out.select("a", "b", "slack", (F.lit(1.0) - F.col("common") / union).alias("distance"), (F.col("common") * OF >= union * NEED).alias("link")), "compared")
 
 
 def _cluster_pairs(batches):
@@ -389,15 +394,15 @@ def links(sets: DataFrame) -> DataFrame:
     lists = placed.groupBy("hash", "pivot", "component").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"))
     ordered = lists.repartition("hash").sortWithinPartitions("hash", "low")
     pairs = ordered.mapInArrow(_cluster_pairs, "a long, b long").distinct()
-    between = compared(pairs, sets)
+    # how far from its pivot a cluster's members are: pivots of any sizes may be as far apart as that and LIMIT together
+    reach = stored(cluster.groupBy(F.col("pivot").alias("p")).agg(F.max("distance").alias("reach")), "reach")
+    for c in ("a", "b"):
+        pairs = pairs.join(reach.select(F.col("p").alias(c), F.col("reach").alias(f"r{c}")), c, "left")
+    reached = "coalesce(ra, 0D) + coalesce(rb, 0D)"
+    between = compared(pairs, sets, reached)
     found = to_pivot.select("a", "b").union(between.where("link").select("a", "b"))
     # clusters not connected so far whose members' distances leave a link open
-    reach = cluster.groupBy(F.col("pivot").alias("p")).agg(F.max("distance").alias("reach"))
-    open_pairs = between.where("not link")
-    for c in ("a", "b"):
-        open_pairs = open_pairs.join(reach.select(F.col("p").alias(c), F.col("reach").alias(f"r{c}")), c, "left")
-    open_pairs = open_pairs.where(F.col("distance") <= LIMIT + F.coalesce("ra", F.lit(0.0)) + F.coalesce("rb", F.lit(0.0)))
-    open_pairs = stored(open_pairs.select("a", "b", "distance"), "open")
+    open_pairs = stored(between.where("not link").where(F.col("distance") <= LIMIT + F.col("slack")).select("a", "b", "distance"), "open")
     if open_pairs.isEmpty():
         return found
     label = components(found)

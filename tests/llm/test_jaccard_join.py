@@ -69,6 +69,22 @@ def test_edited_copies_and_chains(spark, seed):
     same(spark.createDataFrame(rows, SCHEMA).repartition(5))
 
 
+@pytest.mark.parametrize("step", [(1.18, 1.19, 3), (1.06, 1.24, 8)])
+def test_nested_cuts_and_extensions(spark, step):
+    """Neighbours of a chain of nested texts link; those farther apart do not, by their sizes alone."""
+    pick, rows = random.Random(3), []
+    for g in range(25):
+        n, size = pick.randint(60, 140), []
+        for _ in range(step[2]):
+            size.append(n)
+            n = int(n * pick.uniform(*step[:2]))
+        words = [f"g{g}w{k}" for k in range(size[-1])]
+        at = pick.choice([0, 1])  # cut at the end or on both sides
+        rows += [(len(rows) + k, " ".join(words[at * (size[-1] - m) // 2:][:m]), "en", "s", 0) for k, m in enumerate(size)]
+    pick.shuffle(rows)
+    same(spark.createDataFrame(rows, SCHEMA).repartition(3))
+
+
 def test_awkward_rows(spark):
     docs = documents(spark)
     same(docs)
