@@ -4,7 +4,7 @@ Plain ("base") spans are the leftmost, non-overlapping matches of each kind's ru
 transducer reads the text once and writes a normalised copy: look-alike and full-width characters become ASCII, invisible
 characters go, spelled digits become digits, "(at)" and " dot " become signs. It keeps, for every character written, the
 source characters that it stands for. The same rules then run over the copy, and a hit that rests on a rewritten character is
-mapped back to the source. A disguised span that overlaps a plain one is dropped; plain spans always stay.
+mapped back to the source. A disguised span that a plain one of its kind covers wholly is dropped; plain spans always stay.
 
 A bare " at " counts only where a spelled or bracketed dot and a top-level name follow in the same address, so prose is left alone; spelled digits
 count only within a run that passes the rule of its kind.
@@ -204,7 +204,7 @@ def spans_of(text: str, look: bool = True) -> tuple[list, list]:
     """(plain spans, all spans) of a text; ``look`` says whether it may hold a disguise."""
     base = find(text)
     extra = disguised(text) if look else []
-    extra = [s for s in extra if not any(s[1] < e and b < s[2] for _, b, e in base)]
+    extra = [s for s in extra if not any(k == s[0] and b <= s[1] and s[2] <= e for k, b, e in base)]
     both = sorted(base + extra, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
     return base, both
 

@@ -69,6 +69,17 @@ def test_disguises_map_back_to_the_source(text, kind, part):
     assert (kind, part) in found
 
 
+PARTLY = [("to j\u043ehn.smith@example.com now", "email", "j\u043ehn.smith@example.com"), ("to john@mail.ex\u0430mple.com now", "email", "john@mail.ex\u0430mple.com"),
+          ("on +1 754 555 3087 two one now", "phone", "+1 754 555 3087 two one")]
+
+
+@pytest.mark.parametrize("text,kind,part", PARTLY)
+def test_a_plain_part_does_not_hide_the_whole(text, kind, part):
+    base, both = pii.spans_of(text)
+    assert base and set(base) < set(both) and (kind, part) in [(k, text[s:e]) for k, s, e in both]
+    assert pii.redact(text, both) == text.replace(part, f"[{kind.upper()}]")
+
+
 GATED = [("plus 49 301 234 5678", "phone"), ("+1 (555)\u00a0123-4567", "phone"), ("jane.roe@my\u2011company.com", "email"),
          ("+1 (555)\u2212123-4567", "phone"), ("1.2.3.\u00ad4", "ip"), ("\u017feven four one one 1111 1111 1111 1111", "")]
 
