@@ -5,8 +5,8 @@ each language, counted by Spark over every text. A word is read on its own: it s
 mark. Texts are folded to lower case and decimal digits to 0. Tasks count the distinct words of a slice with their
 frequency, so what is shuffled is the distinct n-grams of a task; the lower orders, their continuation counts and the
 discounts come from that table by grouping. Probabilities and back-off weights are stored in shared files as sorted arrays of
-hashes with a value beside each; a hash has ``HASH_BITS`` bits, which bounds the model's size whatever the input. Workers map
-the files.
+64-bit hashes of (language, order, kind, n-gram) with a value beside each, one pair of files for each range of hashes. Workers
+map the files and look into those whose range has what they ask for.
 
 A text's score is its mean negative log probability of a character (the log of its perplexity). The band of a language is
 median +- z * (1.4826 * MAD + s / sqrt(characters)), where s is the language's spread of a single character: a short text may
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from sightgrid.llm.common import hinted, map_file, mix, per_row, ready, stored, text_slices, words_of, write_file
 from sightgrid.session import fresh_folder
 
-ORDER, HASH_BITS = 4, 26
+ORDER = 4
 END, LOWEST, HIGHEST = 1, 2, 0xFFFF  # end mark; characters are held in 16 bits, those that do not fit as one
 SLICE = 12 << 20
 SYMBOLS = "[#*$%&|<>]"
@@ -126,7 +126,7 @@ def _slots(lang, k: int, kind: str, grams: np.ndarray) -> np.ndarray:
     import hashlib
 
     salt = int.from_bytes(hashlib.blake2b(f"{lang!r} {k} {kind}".encode(), digest_size=8).digest(), "little")
-    return (mix(grams.view(np.uint64) ^ np.uint64(salt)) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+    return mix(grams.view(np.uint64) ^ np.uint64(salt)).view(np.int64)
 
 
 def _hash_entries(batches):
@@ -146,7 +146,7 @@ def _array_writer(folder: str):
         tables = [b for b in batches if b.num_rows]
         if tables:
             shard, attempt = TaskContext.get().partitionId(), f"try{TaskContext.get().taskAttemptId()}"
-            for column, kind in (("slot", "<u4"), ("value", "<f4")):
+            for column, kind in (("slot", "<i8"), ("value", "<f4")):
                 write_file(f"{folder}/{shard:06d}.{column}", [np.asarray(b.column(column)).astype(kind).tobytes() for b in tables], attempt)
             yield pa.RecordBatch.from_pydict({"shard": [shard]}, schema=pa.schema([("shard", pa.int32())]))
 
@@ -165,28 +165,31 @@ def train(docs: DataFrame) -> tuple[str, list[int]]:
     return folder, sorted(r.shard for r in shards.collect())  # one number for each file
 
 
-_models: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+_models: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
 
-def _load(folder: str, shards: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def _load(folder: str, shards: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, values) of every shard, in the order of their ranges."""
     if folder not in _models:
         _models.clear()
-        slot = [map_file(f"{folder}/{s:06d}.slot", "<u4") for s in shards] or [np.zeros(0, "<u4")]
-        value = [map_file(f"{folder}/{s:06d}.value", "<f4") for s in shards] or [np.zeros(0, "<f4")]
-        _models[folder] = tuple(x[0] if len(x) == 1 else np.concatenate(x) for x in (slot, value))
+        _models[folder] = [(map_file(f"{folder}/{s:06d}.slot", "<i8"), map_file(f"{folder}/{s:06d}.value", "<f4")) for s in shards]
     return _models[folder]
 
 
-def log_probs(model: tuple[np.ndarray, np.ndarray], lang, grams: np.ndarray) -> np.ndarray:
+def log_probs(model: list[tuple[np.ndarray, np.ndarray]], lang, grams: np.ndarray) -> np.ndarray:
     """Natural log of the probability of each gram's last character after the others."""
-    slots, values = model
+    firsts = np.array([slots[0] for slots, _ in model], np.int64)
 
     def look(k, kind, codes, default):
-        if not len(slots):
-            return np.full(len(codes), default)
-        want = _slots(lang, k, kind, codes)
-        at = np.minimum(np.searchsorted(slots, want.astype(np.uint32)), len(slots) - 1)
-        return np.where(slots[at] == want, values[at].astype(np.float64), default)
+        want, out = _slots(lang, k, kind, codes), np.full(len(codes), default)
+        shard = np.searchsorted(firsts, want, side="right") - 1
+        for one in np.unique(shard[shard >= 0]):
+            slots, values = model[one]
+            mine = np.flatnonzero(shard == one)
+            at = np.searchsorted(slots, want[mine], side="right") - 1  # the shard's first hash is not above any of these
+            seen = slots[at] == want[mine]
+            out[mine[seen]] = values[at[seen]]
+        return out
 
     grams, where = np.unique(grams, return_inverse=True)
     chance = look(1, "p", grams & np.uint64(0xFFFF), 0.0)

@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from sightgrid.llm import quality, queries
@@ -83,6 +84,19 @@ def test_model_against_its_definition(spark):
         assert of[r.doc_id].log_prob == pytest.approx(sum(lp), rel=2e-3, abs=1e-6)
 
 
+def test_an_unseen_gram_gets_no_foreign_value():
+    pick = np.random.default_rng(4)
+    grams = np.unique(pick.integers(1, 1 << 62, 1 << 20, dtype=np.uint64))
+    known, unseen = grams[::2], grams[1::2]
+    slots = np.unique(quality._slots("en", 4, "p", known))
+    assert len(slots) == len(known)
+    assert not np.isin(quality._slots("en", 4, "p", unseen), slots).any()
+    cut = len(slots) // 3
+    model = [(part, np.full(len(part), 0.5, "<f4")) for part in (slots[:cut], slots[cut:])]
+    assert quality.log_probs(model, "en", known) == pytest.approx(math.log(0.5), abs=1e-5)
+    assert quality.log_probs(model, "en", unseen) == pytest.approx(math.log(1e-6))
+
+
 def test_query_keeps_prose_and_rejects_noise(spark):
     rows = {r.doc_id: r for r in queries.op7_quality(spark, "/root/testdata/sf0.001").collect()}
     for r in given(spark).collect():
