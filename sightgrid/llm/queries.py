@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightgrid.llm import chat, jaccard_join, lm_scoring, mixing, packing, pii, quality, token_files, topk, toxicity
+from sightgrid.llm import bpe, chat, jaccard_join, lm_scoring, merkle, mixing, packing, pii, quality, token_files, topk, toxicity, variants
 from sightgrid.llm.common import documents
 from sightgrid.session import fresh_folder
 from sightgrid.sources.tables import table
@@ -68,6 +68,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.grouped(documents(spark, sf_dir)).select("word", "n", "n_near", "form", "form_n", "root")
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("word_bpe_49k.json")
+    rows = bpe.decoded(bpe.encoded(documents(spark, sf_dir), path), path)
+    return rows.select("row.doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_token_files": (op1_token_files, None),
     "op2_jaccard_join": (op2_jaccard_join, None),
@@ -79,4 +94,7 @@ QUERIES = {
     "op8_toxicity": (op8_toxicity, None),
     "op9_pii": (op9_pii, None),
     "op10_mixing": (op10_mixing, mixing.ORACLE),
+    "op11_spelling_variants": (op11_spelling_variants, variants.ORACLE),
+    "op12_bpe": (op12_bpe, None),
+    "op13_merkle": (op13_merkle, merkle.ORACLE),
 }
