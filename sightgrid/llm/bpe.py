@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from sightgrid.llm.common import ready, text_slices
 from sightgrid.llm.tokens import Encoder, _cutting
 
-SHORT, KEPT_WORDS = 48, 400_000
+SHORT, KEPT_WORDS, SLICE = 48, 100_000, 4 << 20
 NONE = 1 << 60  # the rank of a pair that no merge names
 _PLAIN = re.compile(r"[\x21-\x7e\xa1-\xac\xae-ɏ]*")  # characters whose classes no version of Unicode changes
 _codecs: dict[str, "Codec"] = {}
@@ -200,7 +200,11 @@ class Codec(Encoder):
         return b"".join([self.raw[i] for i in ids.tolist()]).decode("utf-8", "replace")
 
 
-def _encoder(path: str, keep: list[str]):
+def _kept(row: pa.StructArray, keep: list[str]) -> pa.StructArray:
+    return pa.StructArray.from_arrays([row.field(c) for c in keep], fields=[row.type.field(c) for c in keep])
+
+
+def _encoder(path: str, keep: list[str], back: bool):
     def run(batches):
         from sightgrid.llm import bpe
 
@@ -208,48 +212,56 @@ def _encoder(path: str, keep: list[str]):
         for batch in batches:
             row = batch.column(0)
             flat, at = pa.RecordBatch.from_arrays([row.field("text").cast(pa.large_string())], ["text"]), 0
-            for part in text_slices(flat):
-                here = row.slice(at, part.num_rows)
-                at += part.num_rows
+            for part in text_slices(flat, limit=SLICE):
                 ids, bounds = own.encode(part.column("text"))
-                raw = ids.astype("<u4").tobytes()
-                ends = pa.py_buffer((bounds * 4).astype(np.int64).tobytes())
-                column = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, ends, pa.py_buffer(raw)])
-                kept = pa.StructArray.from_arrays([here.field(c) for c in keep], fields=[row.type.field(c) for c in keep])
-                yield pa.RecordBatch.from_arrays([kept, pa.array(np.diff(bounds), pa.int64()), column.cast(pa.binary())],
-                                                 ["row", "n_tokens", "ids"])
+                raw = pa.py_buffer(ids.astype("<u4").tobytes())
+                column = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer((bounds * 4).tobytes()), raw])
+                out = [bpe._kept(row.slice(at, part.num_rows), keep), pa.array(np.diff(bounds), pa.int64()), column.cast(pa.binary())]
+                if back:
+                    out.append(pa.array([own.text_of(ids[a:b]) for a, b in zip(bounds, bounds[1:])], pa.string()))
+                at += part.num_rows
+                yield pa.RecordBatch.from_arrays(out, ["row", "n_tokens", "ids", "decoded"][:len(out)])
 
     return run
 
 
-def _decoder(path: str, step: int = 1 << 21):
+def _decoder(path: str):
     def run(batches):
         from sightgrid.llm import bpe
 
         own = bpe.codec(path)
         for batch in batches:
             ids = batch.column("ids").cast(pa.large_binary())
-            ends = np.cumsum([len(ids[k].as_buffer()) for k in range(len(ids))], dtype=np.int64)
-            at = 0
-            while at < len(ids):  # some 2 MB of ids at a time, which are about as many characters times four
-                to = max(at + 1, int(np.searchsorted(ends, (int(ends[at - 1]) if at else 0) + step, side="right")))
-                texts = [own.text_of(np.frombuffer(ids[k].as_buffer(), "<u4")) for k in range(at, to)]
-                part = batch.slice(at, to - at)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+            sizes = np.fromiter((len(x.as_buffer() or b"") for x in ids), np.int64, len(ids))
+            ends, at = np.cumsum(sizes), 0
+            while at < len(ids):  # texts are longer than their ids, so some ids at a time
+                to = max(at + 1, int(np.searchsorted(ends, (int(ends[at - 1]) if at else 0) + SLICE, side="right")))
+                texts = [own.text_of(np.frombuffer(ids[k].as_buffer() or b"", "<u4")) for k in range(at, to)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, to - at).columns, pa.array(texts, pa.string())],
+                                                 [*batch.schema.names, "decoded"])
                 at = to
 
     return run
 
 
+def _coded(docs: DataFrame, path: str, keep: tuple[str, ...], back: bool) -> DataFrame:
+    schema = T.StructType([T.StructField("row", T.StructType([docs.schema[c] for c in keep])), T.StructField("n_tokens", T.LongType()),
+                           T.StructField("ids", T.BinaryType()), *[T.StructField("decoded", T.StringType())][:back]])
+    need = list(dict.fromkeys([*keep, "text"]))
+    return ready(docs).select(F.struct(*need).alias("row")).mapInArrow(_encoder(path, list(keep), back), schema)
+
+
 def encoded(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``row`` (struct of the columns ``keep``), n_tokens and ids (little-endian unsigned 32-bit) of every text."""
-    schema = T.StructType([T.StructField("row", T.StructType([docs.schema[c] for c in keep])),
-                           T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
-    need = list(dict.fromkeys([*keep, "text"]))
-    return ready(docs).select(F.struct(*need).alias("row")).mapInArrow(_encoder(path, list(keep)), schema)
+    return _coded(docs, path, keep, False)
+
+
+def there_and_back(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``encoded`` and, in the same pass, ``decoded``: the text that the ids stand for."""
+    return _coded(docs, path, keep, True)
 
 
 def decoded(rows: DataFrame, path: str) -> DataFrame:
-    """``rows`` (with a binary column ``ids``) and ``decoded``, the text of their ids."""
+    """``rows`` (with a binary column ``ids``, null for no ids) and ``decoded``, the text of their ids."""
     schema = T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())])
     return ready(rows).mapInArrow(_decoder(path), schema)

@@ -73,8 +73,7 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary("word_bpe_49k.json")
-    rows = bpe.decoded(bpe.encoded(documents(spark, sf_dir), path), path)
+    rows = bpe.there_and_back(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
     return rows.select("row.doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

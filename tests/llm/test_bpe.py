@@ -60,6 +60,8 @@ def test_over_tables(spark, name):
     for df in (documents(spark), given(spark)):
         rows = bpe.decoded(bpe.encoded(df, path, ("doc_id", "text")), path).select("row.*", "n_tokens", "ids", "decoded").collect()
         assert len(rows) == df.count()
+        once = bpe.there_and_back(df, path, ("doc_id", "text")).select("row.*", "n_tokens", "ids", "decoded").collect()
+        assert sorted(map(repr, once)) == sorted(map(repr, rows))
         want = library(name, [r["text"] or "" for r in rows])
         got = [(np.frombuffer(r["ids"], "<u4").tolist(), r["decoded"]) for r in rows]
         assert got == want and all(r["n_tokens"] == len(w[0]) for r, w in zip(rows, want))
@@ -69,3 +71,4 @@ def test_over_tables(spark, name):
 def test_empty_table(spark):
     path = vocabulary(FILES[0])
     assert bpe.decoded(bpe.encoded(spark.createDataFrame([], SCHEMA), path), path).collect() == []
+    assert bpe.there_and_back(spark.createDataFrame([], SCHEMA), path).collect() == []
