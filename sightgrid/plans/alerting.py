@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sightgrid.operators import alerts as A
 from sightgrid.operators import reports
 from sightgrid.operators.ordered import frame_ordinals
-from sightgrid.plans.fusion import GID_SQL, IDS_SQL, mutual_identities, numbered
+from sightgrid.plans.fusion import EXACT_IDS_SQL, GID_SQL, IDS_SQL, exact_identities, mutual_identities, numbered
 from sightgrid.sources.tables import CROSS_SQL, DEMO_SITE, ON_EDGE_SQL, ZONE_SQL, detections, raw_detections
 
 c = F.col
@@ -69,6 +69,13 @@ def campaign_alerts(spark, sf):
                         F.concat_ws("+", "cameras").alias("cameras"), "confidence")
 
 
+def campaign_alerts_exact(spark, sf):
+    """The same way over the optimal pairing."""
+    found = A.alerts(exact_identities(spark, sf), DEMO_SITE, RULES, _spine(spark, sf))
+    return found.select("frame", "alert_id", "alert_type", "alert_level", "global_id", "zone_id", "class_name", "x_m", "y_m",
+                        F.concat_ws("+", "cameras").alias("cameras"), "confidence")
+
+
 def alert_counts(spark, sf):
     return reports.alert_counts(_alerts(spark, sf))
 
@@ -140,6 +147,8 @@ ALERTS_SQL = f"""{PRESENCE_SQL}, {OBJECT_SQL.replace(GID_SQL + ', ' + SPINE_SQL
 QUERIES = {
     "campaign_alerts": (campaign_alerts, f"""WITH RECURSIVE {ALERTS_SQL.replace(GID_SQL, IDS_SQL)} SELECT frame, alert_id, alert_type,
       alert_level, global_id, zone_id, class_name, x_m, y_m, cameras, confidence FROM all_alerts"""),
+    "campaign_alerts_exact": (campaign_alerts_exact, f"""WITH RECURSIVE {ALERTS_SQL.replace(GID_SQL, EXACT_IDS_SQL)} SELECT frame,
+      alert_id, alert_type, alert_level, global_id, zone_id, class_name, x_m, y_m, cameras, confidence FROM all_alerts"""),
     "zone_alert_counts": (zone_alert_counts, f"""WITH {PRESENCE_SQL} SELECT zone_id, votes, count(*) AS n_alerts,
       count(DISTINCT global_id) AS n_entities, round_even(avg(confidence), 6) AS avg_confidence FROM edges WHERE {ENTRY}
       GROUP BY zone_id, votes"""),

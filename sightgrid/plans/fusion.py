@@ -44,10 +44,15 @@ def frame_components(spark, sf):
     return fusion.frame_components(fusion.mutual_nearest_links(_pairs(spark, sf))).drop("run_id")
 
 
-def global_ids(spark, sf):
+def exact_identities(spark, sf):
+    """The view with sticky ids over the optimal pairing."""
     d = detections(spark, sf)
     links = fusion.gate(fusion.optimal_links(d, DEMO_SITE, WIDE), 1.0)
-    return identity.assign_global_ids(d, links).select("frame", "cam_id", "track_id", "class_key", "global_id")
+    return identity.assign_global_ids(d, links)
+
+
+def global_ids(spark, sf):
+    return exact_identities(spark, sf).select("frame", "cam_id", "track_id", "class_key", "global_id")
 
 
 IDS_CHUNK = 1000  # rows; small, so that the registered tables are replayed in many chunks
@@ -211,6 +216,7 @@ def _sweep_sql(select: str) -> str:
 
 IDS_SQL = f"""{BASE}, {pairs_sql('1.0')}, {MUTUAL_SQL}, kdet AS (SELECT *, replace(class_name, 'personne', 'person') AS k FROM det),
  {registry_sql('mutual')}"""
+EXACT_IDS_SQL = f"{BEST_SQL}, {registry_sql('(SELECT * FROM opt WHERE d < 1.0)')}"
 OPERATIONAL_SQL = """SELECT CAST({t} AS BIGINT) AS threshold_cm, count(DISTINCT frame) AS frames, (SELECT count(*) FROM (SELECT frame, global_id
  FROM gdet{t} GROUP BY frame, global_id HAVING count(DISTINCT cam_id) >= 2) x) AS predicted_links, count(DISTINCT global_id) AS
  unique_global_ids FROM gdet{t}"""

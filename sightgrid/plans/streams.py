@@ -8,9 +8,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sightgrid.operators import alerts as A
+from sightgrid.plans.alerting import ALERTS_SQL, ENTRY, RULES
+from sightgrid.plans.fusion import EXACT_IDS_SQL, GID_SQL, WIDE
 from sightgrid.streaming import envelopes as S
-from sightgrid.streaming import stateful
-from sightgrid.sources.tables import RAW_SQL, as_detections, event_stream
+from sightgrid.streaming import live, stateful
+from sightgrid.session import cut_lineage, fresh_folder
+from sightgrid.sources.tables import DEMO_SITE, RAW_SQL, as_detections, detections, event_stream
 
 c = F.col
 
@@ -19,6 +22,38 @@ def _stream(spark, sf):
     return as_detections(event_stream(spark, sf))
 
 
+FILES = 5
+
+
+def filed(spark, sf):
+    """The camera view as a stream of ``FILES`` files in order of time, read one by one; file borders cut frames in two."""
+    folder = fresh_folder(spark, "arrivals")
+    view = cut_lineage(detections(spark, sf).drop("model", "event_type", "value"))
+    cuts = view.select(F.percentile_approx("ts_s", [k / FILES for k in range(1, FILES)]).alias("at")).first()["at"] or []
+    for low, high in zip([None, *cuts], [*cuts, None]):  # one after the other: the file source reads in order of age
+        part = view if low is None else view.where(c("ts_s") > low)
+        (part if high is None else part.where(c("ts_s") <= high)).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(view.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _live_ids(spark, sf):
+    """Identities of the stream: a frame is an hour of the view and complete when the hour is over."""
+    return live.live_ids(filed(spark, sf), DEMO_SITE, F.timestamp_seconds((c("frame") + 1) * 3600.0), 1.0, WIDE, "1 hour", 1e9)
+
+
+def live_global_ids(spark, sf):
+    """Sticky ids of the frames that have closed, from micro-batches that cut frames in two."""
+    found = S.run_available(_live_ids(spark, sf))
+    return found.where("cam_id is not null").select("frame", "cam_id", "track_id", "class_key", "global_id", "ord")
+
+
+def live_alerts(spark, sf):
+    """From raw detections to alerts in one streaming query: barrier, identities, zones, votes and edges; ends of stays too."""
+    found = S.run_available(live.live_edges(_live_ids(spark, sf), DEMO_SITE, RULES))
+    return found.select("kind", "frame", "ord", "global_id", "zone_id", "class_name", "alert_level", "x_m", "y_m",
+                        F.concat_ws("+", "cameras").alias("cameras"), "confidence")
+
+
 def stream_delivery_latency(spark, sf):
     """Delivery latency of every event: created at its own time, received after a transport delay (some clocks ahead)."""
     d = _stream(spark, sf)
@@ -83,8 +118,21 @@ PERSIST_SQL = f"""WITH {RAW_SQL}, pos AS (SELECT cam_id, det_id // 4 AS ord FROM
   isl AS (SELECT *, ord - row_number() OVER (PARTITION BY cam_id ORDER BY ord) AS g FROM pos),
   run AS (SELECT *, row_number() OVER (PARTITION BY cam_id, g ORDER BY ord) AS n FROM isl)
   SELECT cam_id, ord, n = 3 AS episode_start FROM run WHERE n >= 3"""
+# frames that have ended by the last watermark
+ENDED = "(frame + 1) * 3600 <= (SELECT max(ts_s) - 3600.0E0 FROM det)"
+LIVE_SQL = f"""{ALERTS_SQL.replace(GID_SQL, EXACT_IDS_SQL)}, gone AS (SELECT *, max(ord) FILTER (WHERE {ENDED}) OVER () AS closed FROM spine)"""
 
 QUERIES = {
+    "live_global_ids": (live_global_ids, f"""WITH RECURSIVE {EXACT_IDS_SQL} SELECT frame, cam_id, track_id, k AS class_key, global_id,
+      ord FROM gdet JOIN (SELECT frame, row_number() OVER (ORDER BY frame) - 1 AS ord FROM (SELECT DISTINCT frame FROM det) q) s
+      USING (frame) WHERE {ENDED}"""),
+    "live_alerts": (live_alerts, f"""WITH RECURSIVE {LIVE_SQL}
+      SELECT 'zone' AS kind, frame, ord, global_id, zone_id, 'person' AS class_name, 'confirmed' AS alert_level, x_m, y_m, cameras,
+       confidence FROM edges WHERE ({ENTRY}) AND {ENDED}
+      UNION ALL SELECT 'exit', frame, ord + 1, global_id, zone_id, NULL, 'confirmed', NULL, NULL, '', NULL FROM edges
+       WHERE (after IS NULL OR after <> ord + 1) AND ord < (SELECT max(closed) FROM gone)
+      UNION ALL SELECT 'object', frame, ord, global_id, NULL, object_key, alert_level, x_m, y_m, cameras, confidence FROM raised
+       WHERE {ENDED}"""),
     "stream_delivery_latency": (stream_delivery_latency, f"""WITH {RAW_SQL} SELECT det_id, round_even(greatest(0.0E0,
       (ts_s * 1000.0E0 + det_id % 500 - 50.0E0) - ts_s * 1000.0E0), 3) AS latency_ms FROM raw_det"""),
     "stream_alert_dedupe": (stream_alert_dedupe, f"""WITH {RAW_SQL} SELECT DISTINCT CAST(det_id - det_id % 3 AS VARCHAR) AS alert_id

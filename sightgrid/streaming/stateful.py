@@ -1,23 +1,18 @@
-"""Stateful stream operators: camera freshness, live identities, live zone and object alerts, persistence.
+"""Stateful stream operators: camera freshness, edges of presences, persistence.
 
-Each keeps only the little state its key needs (last frame, level, counter, registry) in the RocksDB state store.
+Each keeps only the little state its key needs (last frame, level, counter) in the RocksDB state store.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
-from sightgrid.functions.assignment import solve_batch
-from sightgrid.operators.fusion import OUT_OF_REACH
-from sightgrid.sources.site import Site
-
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -167,73 +162,3 @@ def camera_freshness(seen: DataFrame, watermark: str = "0 seconds") -> DataFrame
     return rows.groupBy("cam_id").transformWithStateInPandas(
         statefulProcessor=_Freshness(), outputStructType=StructType.fromDDL("cam_id string, state string, last_ms bigint"),
         outputMode="Append", timeMode="EventTime")
-
-
-class _Registry(StatefulProcessor):
-    """Sticky identities of one room: links of each frame, then the smallest number the linked tracks hold."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getMapState("held", "node string", "gid bigint")
-        self.counter = handle.getValueState("counter", "next bigint, last_frame bigint")
-
-    def _groups(self, frame: pd.DataFrame) -> list[list[str]]:
-        group = {n: {n} for n in frame["node"]}
-        sides, costs = [], []
-        for cam_a, cam_b in self.pairs.get(frame["room_id"].iloc[0], []):
-            known = frame[frame["x_m"].notna() & frame["y_m"].notna()]
-            for _, block in known[known["cam_id"].isin([cam_a, cam_b])].groupby("class_key"):
-                a, b = block[block["cam_id"] == cam_a], block[block["cam_id"] == cam_b]
-                if len(a) and len(b):
-                    cost = np.hypot(a["x_m"].to_numpy()[:, None] - b["x_m"].to_numpy(),
-                                    a["y_m"].to_numpy()[:, None] - b["y_m"].to_numpy())
-                    late = np.abs(a["ts_s"].to_numpy()[:, None] - b["ts_s"].to_numpy()) > self.window_s
-                    costs.append(np.where(late, OUT_OF_REACH, cost))
-                    sides.append((a["node"].tolist(), b["node"].tolist()))
-        for (a, b), cost, pairs in zip(sides, costs, solve_batch(costs)):
-            for i, j in pairs:
-                if cost[i, j] < self.limit:
-                    merged = group[a[i]] | group[b[j]]
-                    group.update(dict.fromkeys(merged, merged))
-        distinct = {id(g): g for g in map(group.get, frame["node"])}
-        return [list(g) for g in distinct.values()]
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        nxt, last_frame = self.counter.get() if self.counter.exists() else (1, -1)
-        out = []
-        data = _sorted(rows, ["frame", "det_ord"])
-        for frame_no, frame in data.groupby("frame", sort=True):
-            late = frame_no <= last_frame  # a late frame reads ids but never changes them
-            for members in ([[n] for n in frame["node"]] if late else self._groups(frame)):
-                known = [self.held.getValue((m,))[0] for m in members if self.held.containsKey((m,))]
-                gid = min(known) if known else nxt
-                nxt += 0 if known else 1
-                if not (late and known):
-                    for m in members:
-                        self.held.updateValue((m,), (gid,))
-            last_frame = max(last_frame, int(frame_no))
-            out += [(key[0], int(frame_no), n, self.held.getValue((n,))[0]) for n in frame["node"]]
-        self.counter.update((nxt, last_frame))
-        yield _frame(out, self.columns)
-
-    def close(self) -> None:
-        pass
-
-    columns = [("room_id", "text"), ("frame", "int64"), ("node", "text"), ("global_id", "int64")]
-
-
-def live_global_ids(dets: DataFrame, site: Site, max_distance: float = 1.0, window_s: float = 0.5) -> DataFrame:
-    """Sticky ids per room on a stream whose micro-batches carry whole frames.
-
-    ``dets`` has ``frame, det_ord, cam_id, node, class_key, ts_s, x_m, y_m``; ids are local to the room.
-    """
-    spark = dets.sparkSession
-    use_rocksdb(spark)
-    processor = _Registry()
-    processor.limit, processor.window_s, processor.pairs = max_distance, window_s, {}
-    for room, a, b in site.overlaps:
-        processor.pairs.setdefault(room, []).append((a, b))
-    placed = dets.join(site.overlap_rooms(spark), "cam_id")
-    return placed.groupBy("room_id").transformWithStateInPandas(
-        statefulProcessor=processor,
-        outputStructType=StructType.fromDDL("room_id string, frame bigint, node string, global_id bigint"),
-        outputMode="Append", timeMode="None")

@@ -5,12 +5,16 @@ import json
 import os
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sightgrid.operators.fusion import gate, optimal_links
 from sightgrid.operators.identity import assign_global_ids
-from sightgrid.sources.site import Site
+from sightgrid.operators.alerts import AlertRules, alerts, enough_votes, zone_exits, zone_presence
+from sightgrid.operators.ordered import frame_ordinals
+from sightgrid.sources.site import Site, Zone
 from sightgrid.streaming import envelopes as S
+from sightgrid.streaming import live as L
 from sightgrid.streaming import stateful
 from tests.test_fusion import CAMS, SCHEMA, random_rows
 
@@ -30,17 +34,59 @@ def feed(spark, tmp_path, df, parts):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
 
 
-def test_live_ids_equal_batch_ids(spark, tmp_path):
+def moving(rows):
+    """Detections as the live chain takes them: two frames a second, each in reach of the next one's file."""
+    return rows.withColumns({"event_time": F.timestamp_seconds(F.col("frame") * 0.5 + 1_000_000), "class_id": F.when(
+        F.col("class_name") == "person", 0).otherwise(5).cast("bigint"), "confidence": 0.5 + F.col("det_ord") % 7 / 20})
+
+
+def live_input(spark, tmp_path, rows, files):
+    """Rows dealt to files so that borders cut frames in two; a last marker far ahead closes every frame."""
+    dets = moving(spark.createDataFrame(rows, SCHEMA))
+    end = dets.agg(F.max("frame")).first()[0] + 1000
+    n = dets.count()
+    place = F.row_number().over(Window.orderBy("frame", F.xxhash64("cam_id", "det_ord"))) - 1
+    parted = dets.withColumn("part", F.floor(place * files / n))
+    marker = moving(spark.createDataFrame([(rows[0][0], end, *[None] * 8, -1, None)], SCHEMA)).withColumn("part", F.lit(files).cast("long"))
+    return dets, feed(spark, tmp_path, parted.unionByName(marker), range(files + 1)), end
+
+
+def ends():
+    return F.timestamp_seconds(F.col("frame") * 0.5 + 1_000_000.4)
+
+
+def test_live_ids_equal_batch_ids_when_files_cut_frames(spark, tmp_path):
     rows = random_rows(11, frames=9, tracks=3)
-    dets = spark.createDataFrame(rows, SCHEMA)
+    dets, stream, _ = live_input(spark, tmp_path, rows, 5)
     batch = assign_global_ids(dets, gate(optimal_links(dets, SITE), 1.0)).collect()
-    want = {(r.frame, f"{r.cam_id}|{r.track_id}|{r.class_key}"): r.global_id for r in batch}
-    stream_in = dets.select("frame", "det_ord", "cam_id", F.concat_ws("|", "cam_id", "track_id", "class_name").alias("node"),
-                            F.col("class_name").alias("class_key"), "ts_s", "x_m", "y_m",
-                            F.floor(F.col("frame") / 3).alias("part"))
-    live = S.run_available(stateful.live_global_ids(feed(spark, tmp_path, stream_in, range(3)), SITE)).collect()
-    got = {(r.frame, r.node): r.global_id for r in live}
-    assert got == want
+    want = {(r.frame, r.det_ord): r.global_id for r in batch}
+    live = S.run_available(L.live_ids(stream, SITE, ends(), watermark="1 second")).where("cam_id is not null").collect()
+    assert {(r.frame, r.det_ord): r.global_id for r in live} == want
+
+
+def test_live_alerts_equal_batch_alerts(spark, tmp_path):
+    rows = [r for r in random_rows(5, frames=12, tracks=3) if r[1] != 6]  # frame 6 is never seen
+    site = Site([], SITE.overlaps, [Zone("z1", "door", CAMS[:2], [(0, 0), (2, 0), (2, 2), (0, 2)]),
+                                    Zone("z2", "hall", list(CAMS), [(1, 1), (4, 1), (4, 4), (1, 4)])])
+    rules = AlertRules(person_ids=(0,), zone_min_ratio=0.5)
+    dets, stream, end = live_input(spark, tmp_path, rows, 4)
+    spine = frame_ordinals(dets, ["run_id"])
+    fused = assign_global_ids(dets, gate(optimal_links(dets, site), 1.0))
+    want = alerts(fused, site, rules, spine).collect()
+    gone = zone_exits(enough_votes(zone_presence(fused, site, rules), rules), spine).collect()
+    edges = S.run_available(L.live_edges(L.live_ids(stream, site, ends(), watermark="1 second"), site, rules))
+    assert sorted(map(str, L.as_alerts(edges).collect())) == sorted(map(str, want)) and want
+    exits = {(r.frame, r.global_id, r.zone_id, r.ord) for r in edges.where("kind = 'exit'").collect()}
+    last = spine.agg(F.max("ord")).first()[0]
+    assert {x for x in exits if x[3] <= last} == {(r.frame, r.global_id, r.zone_id, r.resolved_ord) for r in gone}
+
+
+def test_tracks_out_of_sight_are_forgotten(spark, tmp_path):
+    rows = [("r", f, f * 0.5, "cam_02", 1, 0, "person", 0.5, 1.0, 1.0, 0, None) for f in (0, 1, 40, 80, 81)]
+    df = moving(spark.createDataFrame(rows, SCHEMA)).withColumn("part", F.col("frame"))
+    live = L.live_ids(feed(spark, tmp_path, df, (0, 1, 40, 80, 81)), SITE, ends(), watermark="0 seconds", forget_s=10.0)
+    got = {r.frame: r.global_id for r in S.run_available(live).where("cam_id is not null").collect()}
+    assert got == {0: 1, 1: 1, 40: 2, 80: 3}
 
 
 def test_escalation_follows_the_previous_frame(spark, tmp_path):
