@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import numpy as np
+import json
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from sightgrid.operators.ordered import gap_sessions, split_ordinal, split_running, time_bucket
+from sightgrid.operators.ordered import split_ordinal, split_running, time_bucket
+from sightgrid.operators.replay import CHUNK_ROWS, in_chunks, replay_chunks
+from sightgrid.session import cut_lineage
 
 COMPARISON = ["precision", "recall", "f1", "n_faux_positifs", "far_per_hour", "fps", "latency_mean_ms"]
 
@@ -77,48 +80,53 @@ def dedupe_alerts(alerts: DataFrame, fallback: list[Column], order: list[str]) -
     return alerts.groupBy(key.alias("alert_key")).agg(first.alias("_first")).select("_first.*", "alert_key")
 
 
-def group_truth_events(annotations: DataFrame, rooms: dict[str, int], window_ms: float = 5000.0) -> DataFrame:
+def _open_groups(window_ms: float):
+    """One chunk of annotations in order, from the groups that are open before it.
+
+    A camera's annotations fill groups in order of their creation, so those it is in are always the first of the open ones:
+    one place for each camera says which comes next, and no group is searched.
+    """
+    def step(chunk: pd.DataFrame, before: str | None) -> tuple[pd.DataFrame, str]:
+        state = json.loads(before) if before else {"groups": [], "next": {}}
+        groups, place, first = state["groups"], state["next"], 0
+        chunk = chunk.sort_values(["t_ms", "ann_ord"], kind="stable")
+        homes, t = [], -math.inf
+        for t, item, cam in zip(chunk["t_ms"].tolist(), chunk["ann_ord"].tolist(), chunk["cam_id"].tolist()):
+            while first < len(groups) and t - groups[first][0] > window_ms:
+                first += 1
+            at = max(place.get(cam, 0), first)
+            if at == len(groups):
+                groups.append([t, item])
+            place[cam] = at + 1
+            homes.append(groups[at])
+        out = chunk.assign(t_ref=[h[0] for h in homes], head=[h[1] for h in homes])
+        left = {cam: n - first for cam, n in place.items() if n > first}
+        return out, json.dumps({"groups": groups[first:], "next": left}, sort_keys=True)
+
+    return step
+
+
+def group_truth_events(annotations: DataFrame, rooms: dict[str, int], window_ms: float = 5000.0,
+                       chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Annotations of one real event over cameras: same room and class, within the window of the group's first item,
     each camera at most once; groups numbered per room in creation order. A camera without a room is an error.
 
-    Items more than the window apart cannot share a group, so the timeline is cut at such gaps and only the islands
-    are walked in order.
+    The timeline of a room and class is replayed in chunks of ``chunk_rows``; what a chunk hands on is the groups that are
+    still open, so no task holds more than a chunk and the annotations of one window.
     """
     room = F.create_map(*[F.lit(x) for kv in rooms.items() for x in kv])
     known = F.coalesce(F.try_element_at(room, F.col("cam_id")), F.raise_error(
         F.concat(F.lit("camera without a room: "), F.coalesce("cam_id", F.lit("NULL")))))
-    placed = annotations.withColumn("room", known.cast("bigint")).withColumn(
-        "t_ms", F.col("t_ms").cast("double"))
+    placed = annotations.select(known.cast("bigint").alias("room"), "class_name", F.col("ann_ord").cast("bigint").alias("ann_ord"),
+                                "cam_id", F.col("t_ms").cast("double").alias("t_ms"))
     keys = ["room", "class_name"]
-    islands = gap_sessions(placed, keys, "t_ms", window_ms, "_island", width=3_600_000.0).groupBy(*keys, "_island").agg(
-        F.array_sort(F.collect_list(F.struct("t_ms", "ann_ord", "cam_id"))).alias("items"))
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def founders(times: pd.Series, cams: pd.Series) -> pd.Series:
-        """For each item the position of the item that founded its group."""
-        out = []
-        for ts, cs in zip(times, cams):
-            groups: list[tuple[float, set, int]] = []
-            picked = []
-            for i, (t, c) in enumerate(zip(np.asarray(ts), cs)):
-                home = next((g for g in groups if t - g[0] <= window_ms and c not in g[1]), None)
-                if home is None:
-                    home = (t, set(), i)
-                    groups.append(home)
-                home[1].add(c)
-                picked.append(home[2])
-            out.append(picked)
-        return pd.Series(out)
-
-    grouped = islands.withColumn("_f", founders(
-        F.transform("items", lambda x: x["t_ms"]), F.transform("items", lambda x: x["cam_id"])))
-    rows = grouped.select(*keys, "items", "_f", F.posexplode("items").alias("_i", "item")).select(
-        *keys, "item.*", F.element_at("items", (F.col("_f")[F.col("_i")] + 1).cast("int")).alias("founder"))
-    heads = rows.select("room", F.col("founder.t_ms").alias("t_ref"), F.col("founder.ann_ord").alias("head")).distinct(
-    ).withColumn("_b", time_bucket(F.col("t_ref"), 3_600_000.0))
+    cut = in_chunks(placed.withColumn("_b", time_bucket(F.col("t_ms"), 3_600_000.0)), keys, ["t_ms", "ann_ord"], "_b", chunk_rows)
+    rows = cut_lineage(replay_chunks(cut, keys, _open_groups(window_ms), "room bigint, class_name string, ann_ord bigint, cam_id string, "
+                                     "t_ms double, t_ref double, head bigint"))
+    heads = rows.select("room", "t_ref", "head").distinct().withColumn("_b", time_bucket(F.col("t_ref"), 3_600_000.0))
     numbered = split_ordinal(heads, ["room"], ["t_ref", "head"], "_b", "_n").select(
         "room", "head", "t_ref", (F.col("_n") + 1).alias("event_id"))
-    return rows.withColumn("head", F.col("founder.ann_ord")).drop("founder").join(numbered, ["room", "head"]).select(
+    return rows.drop("t_ref").join(numbered, ["room", "head"]).select(
         "room", "class_name", "ann_ord", "cam_id", "t_ms", "t_ref", "event_id")
 
 

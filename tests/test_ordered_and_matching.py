@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sightgrid.operators import labels, matching, reports
+from sightgrid.operators import labels, matching, replay, reports
 from sightgrid.operators import alerts as A
 from sightgrid.operators.ordered import gap_sessions, split_lag, split_ordinal, split_running
 from sightgrid.operators.quantiles import exact_percentiles
@@ -132,8 +132,32 @@ def test_truth_grouping_equals_sequential(spark):
         home["cams"].add(cam)
         want[i] = (rooms[cam], home["id"])
     df = spark.createDataFrame(rows, "cam_id string, class_name string, ann_ord bigint, t_ms double")
-    got = {r.ann_ord: (r.room, r.event_id) for r in reports.group_truth_events(df, rooms).collect()}
-    assert got == want
+    for chunk_rows in (4096, 12):  # one chunk each, and chunks far shorter than the window
+        got = {r.ann_ord: (r.room, r.event_id) for r in reports.group_truth_events(df, rooms, chunk_rows=chunk_rows).collect()}
+        assert got == want
+
+
+def test_replay_hands_states_on_over_empty_gaps_and_keys(spark):
+    """A running sum that is reset by a marker: right in every chunk, however long a state lasts."""
+    rng = random.Random(8)
+    rows = [(k, i, 0 if rng.random() < 0.05 else rng.randrange(1, 9)) for k in ("a", "b") for i in range(60)]
+    want, total = {}, {}
+    for k, i, v in rows:
+        total[k] = 0 if v == 0 else total.get(k, 0) + v
+        want[k, i] = total[k]
+
+    def step(chunk, before):
+        out, now = [], int(before or 0)
+        chunk = chunk.sort_values("i")
+        for v in chunk["v"]:
+            now = 0 if v == 0 else now + int(v)
+            out.append(now)
+        return chunk.assign(total=out), str(now)
+
+    df = spark.createDataFrame(rows, "k string, i bigint, v bigint").withColumn("b", F.floor(F.col("i") / 25))
+    cut = replay.in_chunks(df, ["k"], ["i"], "b", 20)
+    got = replay.replay_chunks(cut, ["k"], step, "k string, i bigint, total bigint").collect()
+    assert {(r.k, r.i): r.total for r in got} == want
 
 
 def test_persistence_and_trail_across_buckets(spark):
