@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from sightgrid.llm import mixing, queries
 from tests.llm.helpers import SCHEMA, WORD, documents, given
@@ -47,6 +48,29 @@ def test_awkward_rows(spark):
     assert mixing.mixed(docs.where("false")).count() == 0
 
 
+def test_small_sources_meet_their_targets(spark):
+    rows = [(k, "w " * 3000, "en", "a big one", 0) for k in range(20)]
+    rows += [(100, "w " * 10, "en", "tiny", 0), (101, "w " * 40, "en", "small", 0), (102, "w", "en", "one word", 0)]
+    rows += [(200 + k, "w " * 100, "en", "two thousand", 0) for k in range(20)]
+    taken, target = {}, {}
+    for r in mixing.mixed(spark.createDataFrame(rows, SCHEMA)).collect():
+        taken[r.source], target[r.source] = taken.get(r.source, 0) + r.taken, r.target
+    assert target["tiny"] == 30 and target["small"] == 120
+    for s, t in target.items():
+        assert abs(taken[s] - t) <= 1 + 0.005 * t, (s, taken[s], t)
+
+
+def test_columns_of_any_name(spark):
+    """The names that the operator makes itself, as columns of the input."""
+    docs = spark.createDataFrame([(k, f"some words of text {k}", "en", "ab"[k % 2], k) for k in range(30)], SCHEMA)
+    names = ["copies", "key", "row", "from", "of", "size", "target", "taken", "n", "bucket", "block", "start", "words", "times", "k_copy", "a.b"]
+    wide = docs.select("*", *[F.lit(name).alias(name) for name in names])
+    got, plain = mixing.mixed_documents(wide), mixing.mixed_documents(docs)
+    assert got.columns == wide.columns
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(r["doc_id"] for r in plain.collect())
+    assert all(r[name] == name for r in got.collect() for name in names)
+
+
 def test_copies_follow_the_mix(spark):
     docs = given(spark)
     kept = mixing.mixed_documents(docs)
