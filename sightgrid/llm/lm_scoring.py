@@ -8,11 +8,14 @@ How the counts meet the texts: documents are read in slices. A slice is coded on
 codes) and stored in the shared folder. Each slice sends its distinct n-grams of each order with their counts, packed by hash
 bucket: at most one entry for each slice and n-gram, so a word or pair that every document has is no hot key. A bucket is a
 part of the count tables: it sums the counts of each hash and answers every entry. The answers come back by slice, are joined to
-the slice's n-grams, and sums are made for each document. The text is read once and never shuffled.
+the slice's n-grams, and sums are made for each document. Texts are never shuffled. Hashes, counts and answers travel as
+compressed byte planes; counts have 64 bits from end to end. A bucket stands for ``BUCKET`` bytes of text, however many there
+are, so the part of a table that a task holds does not grow with the input; a slice is at least one text, so a very long text
+is one slice and needs memory in proportion to itself.
 
 Defined results: a null or empty text has no words, score 0 and a null mean; words are runs without white space, in lower
 case; null and repeated doc_ids are rows of their own; copies are other documents and count as evidence; an empty table gives
-no row. Other columns are not read.
+no row. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,30 +29,30 @@ from pyspark.sql import functions as F
 from sightgrid.llm.common import file_system, mix, per_row, ready, stored, text_slices, words_of, write_file
 from sightgrid.session import fresh_folder
 
-ALPHA, SLICE = 0.4, 8 << 20
+ALPHA, ORDER, SLICE, BUCKET = 0.4, 3, 8 << 20, 4 << 20
 _SENT = pa.schema([("slice", pa.int64()), ("order", pa.int32()), ("bucket", pa.int32()), ("amount", pa.int64()),
                    ("hashes", pa.binary()), ("counts", pa.binary())])  # order 0: a slice's head with the bytes it was stored from
 _BACK = pa.schema([("slice", pa.int64()), ("order", pa.int32()), ("bucket", pa.int32()), ("amount", pa.int64()), ("totals", pa.binary())])
 _SCORE = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("partial", pa.float64()), ("shares", pa.int64())])
 
 
-def shrink(sorted_hashes: np.ndarray) -> bytes:
-    """Ascending hashes as the bytes of their differences, lowest bytes of all first: the high ones are zeros, which compress."""
-    gaps = np.diff(sorted_hashes, prepend=np.uint64(0))
-    return np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes()
+def planes(values: np.ndarray) -> bytes:
+    """64-bit values as compressed bytes, lowest bytes of all first: the high ones are zeros and cost nothing."""
+    return pa.compress(np.ascontiguousarray(values.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8).T), "zstd", asbytes=True)
 
 
-def grow(data: bytes) -> np.ndarray:
-    gaps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
-    return np.cumsum(gaps, dtype=np.uint64)
+def from_planes(data: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, n).T).view("<u8").ravel()
 
 
-def shrink_counts(counts: np.ndarray) -> bytes:
-    return np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def shrink(sorted_hashes: np.ndarray) -> bytes:
+    """Ascending hashes by their differences."""
+    return planes(np.diff(sorted_hashes, prepend=np.uint64(0)))
 
 
-def grow_counts(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+def grow(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(from_planes(data, n), dtype=np.uint64)
 
 
 def ngrams(word_hash: np.ndarray, code: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +95,7 @@ def _sender(folder: str, order: int, buckets: int):
                     bucket = _bucket(distinct, buckets)  # by the high bits: a bucket is a stretch of the sorted hashes
                     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
                     rows = [{"slice": slice_id, "order": k, "bucket": int(bucket[a]), "amount": int(b - a), "hashes": shrink(distinct[a:b]),
-                             "counts": shrink_counts(count[a:b])} for a, b in zip(cuts, [*cuts[1:], len(bucket)])]
+                             "counts": planes(count[a:b])} for a, b in zip(cuts, [*cuts[1:], len(bucket)])]
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema=_SENT)
 
@@ -103,14 +106,15 @@ def _totals(key, table):
     """One bucket of one order's count table: the sum of the counts of each hash, for every entry that was sent."""
     if key[0].as_py() == 0:  # heads go on to their slices
         return pa.table([table["slice"], table["order"], table["bucket"], table["amount"], pa.nulls(len(table), pa.binary())], schema=_BACK)
-    rows = table.select(["slice", "hashes", "counts"]).to_pylist()
-    parts = [(grow(r["hashes"]), grow_counts(r["counts"])) for r in rows]
-    hashes, place = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
-    total = np.bincount(place, weights=np.concatenate([c for _, c in parts]), minlength=len(hashes)).astype(np.int64)[place]
+    rows = table.select(["slice", "amount", "hashes", "counts"]).to_pylist()
+    hashes, place = np.unique(np.concatenate([grow(r["hashes"], r["amount"]) for r in rows]), return_inverse=True)
+    total = np.zeros(len(hashes), np.uint64)
+    np.add.at(total, place, np.concatenate([from_planes(r["counts"], r["amount"]) for r in rows]))
     out, at = [], 0
-    for r, (h, _) in zip(rows, parts):
-        out.append({"slice": r["slice"], "order": key[0].as_py(), "bucket": key[1].as_py(), "amount": len(h), "totals": shrink_counts(np.minimum(total[at:at + len(h)], (1 << 32) - 1))})
-        at += len(h)
+    for r in rows:
+        n = r["amount"]
+        out.append({"slice": r["slice"], "order": key[0].as_py(), "bucket": key[1].as_py(), "amount": n, "totals": planes(total[place[at:at + n]])})
+        at += n
     return pa.Table.from_pylist(out, schema=_BACK)
 
 
@@ -136,12 +140,12 @@ def _scorer(folder: str, order: int):
         doc = np.repeat(np.arange(n_docs), np.diff(offsets))
         answers = {}
         for r in rows:
-            answers.setdefault(r["order"], []).append((r["bucket"], r["totals"]))
+            answers.setdefault(r["order"], []).append((r["bucket"], r["totals"], r["amount"]))
         others = []  # others[k]: occurrences, in other documents, of the n-gram of order k + 1 that ends at each word
         for k in range(1, order + 1):
             h, whole = ngrams(of_word, code, offsets, k)
             distinct, place = np.unique(h[whole], return_inverse=True)
-            total = np.concatenate([grow_counts(t) for _, t in sorted(answers.get(k, []))]) if len(distinct) else np.zeros(0, np.int64)
+            total = np.concatenate([from_planes(t, n) for _, t, n in sorted(answers.get(k, []))]).astype(np.int64) if len(distinct) else np.zeros(0, np.int64)
             mine = doc[whole]
             pair, where, own = np.unique(mine * max(1, len(distinct)) + place, return_inverse=True, return_counts=True)
             left = np.zeros(n_words, np.int64)
@@ -161,11 +165,12 @@ def _scorer(folder: str, order: int):
     return run
 
 
-def scored(docs: DataFrame, order: int = 2) -> DataFrame:
+def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, n_words, log_score (natural log, summed over the words) and mean_log_score of every document."""
     spark = ready(docs).sparkSession
     folder = fresh_folder(spark, "slices")
-    buckets = 1 << max(4, min(16, (docs.count() >> 11).bit_length()))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = 1 << max(4, (size // BUCKET).bit_length())
     sent = docs.select("doc_id", "text").mapInArrow(
         _sender(folder, order, buckets), "slice long, order int, bucket int, amount long, hashes binary, counts binary")
     back = sent.groupBy("order", "bucket").applyInArrow(_totals, "slice long, order int, bucket int, amount long, totals binary")
