@@ -6,13 +6,16 @@ characters go, spelled digits become digits, "(at)" and " dot " become signs. It
 source characters that it stands for. The same rules then run over the copy, and a hit that rests on a rewritten character is
 mapped back to the source. A disguised span that a plain one of its kind covers wholly is dropped; plain spans always stay.
 
-A bare " at " counts only where a spelled or bracketed dot and a top-level name follow in the same address, so prose is left alone; spelled digits
-count only within a run that passes the rule of its kind.
+A bare " at " counts only where a spelled or bracketed dot and a top-level name follow in the same address, so prose is left alone:
+any two letters or a common longer name. Names that are also words ("in", "me", "live") count only at the end of a clause, unless
+they are the usual ones of an address ("de", "it"). Spelled digits count only within a run that passes the rule of its kind.
 
-Each rule is linear in the text: an address is sought from its "@", a run of digits is entered at its first digit.
+Each rule is linear in the text: an address is sought from its "@" or " at " and walked label by label, a run of digits is entered
+at its first digit, a run of white space at its first character, and plain words are stepped over whole. Very long texts are
+therefore read whole in time in proportion to their length.
 
 Defined results: a null text is an empty one and has no spans; positions are code points, end exclusive; equal rows have equal
-results; an empty table gives no row. Redaction replaces merged spans; a null text stays null.
+results; an empty table gives no row; rows travel in a struct, so columns of any name may clash with none. Redaction replaces merged spans; a null text stays null.
 """
 
 from __future__ import annotations
@@ -75,18 +78,39 @@ def _fold() -> dict[str, str]:
 FOLD = _fold()
 _AT_RULE, _DOT_RULE = "|".join(_AT), "|".join(_DOT)
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
-_BRACKET_DOT = rf"\s*{_OPEN}\s*(?:{_DOT_RULE}|\.)\s*{_CLOSE}\s*"
-_LABEL = r"[^\s@\[\](){}<>.,;:]+"
-_SEP = rf"(?:\s+(?:{_DOT_RULE})\s+|{_BRACKET_DOT})"
-_TOP = "com|org|net|edu|gov|mil|info|biz|io|dev|app|eu|uk|de|fr|es|it|nl|ch|at|pl|se|ca|au|jp|br|ru|cn|mx|ar|example|test|invalid"
-_ADDRESS = rf"(?=(?:{_LABEL}(?:{_SEP}|\.))*{_LABEL}{_SEP}(?:{_LABEL}(?:{_SEP}|\.))*(?:{_TOP})\b)"  # ends in a known top-level name
+_BRACKET_DOT = rf"(?:(?<!\s)\s++)?{_OPEN}\s*+(?:{_DOT_RULE}|\.)\s*+{_CLOSE}\s*+"
+_LABEL = r"[^\s@\[\](){}<>.,;:]++"
+_STEP = re.compile(rf"{_LABEL}(?:\.|(?P<hidden>\s++(?:{_DOT_RULE})\s++|{_BRACKET_DOT}))", re.IGNORECASE)
+# Top-level names that count anywhere, and those of two letters that are words of the languages of the tables.
+_TOP = ("com|org|net|edu|gov|mil|int|info|biz|mobi|coop|aero|museum|xyz|io|dev|app|eu|uk|de|fr|es|it|nl|ch|at|pl|se|ca|au|jp|br|ru|cn|mx|ar"
+        "|example|test|invalid")
+_WORDS = ("ab|al|am|an|as|au|be|by|ce|da|do|du|el|em|en|er|et|go|ha|he|hi|if|il|im|in|is|ja|je|la|le|lo|ma|me|mi|my|ne|ni|no|ob|of|oh|ok|on|or|os"
+          "|ou|sa|si|so|su|ta|te|to|tu|um|un|up|us|va|we|wo|ya|yo|zu")
+_LATE = f"{_WORDS}|name|pro|jobs|travel|online|site|shop|store|live|news|world|email|cloud|tech|blog"
+_ENDS = re.compile(rf"(?:(?:{_TOP})|(?!(?:{_WORDS})\b)[a-z][a-z]|(?:{_LATE})(?=\s*+(?:\Z|[^\w\s])))\b", re.IGNORECASE)
+_SIGNS = {"at": "@", "bare": "@", "dot": ".", "plus": "+", "gone": ""}
+_PLUS_RULE = rf"(?:{'|'.join(_PLUS)})\s++(?=\w)"
 _DISGUISE = re.compile(
-    rf"(?P<at>\s*{_OPEN}\s*(?:{_AT_RULE}|a|@)\s*{_CLOSE}\s*|\s+(?:{_AT_RULE})\s+{_ADDRESS})"
-    rf"|(?P<dot>{_BRACKET_DOT}|(?<=\w)\s+(?:{_DOT_RULE})\s+(?=\w))"
-    rf"|(?P<plus>\b(?:{'|'.join(_PLUS)})\s+(?=\w))"
-    rf"|\b(?P<digit>{'|'.join(sorted(_SPELLED, key=len, reverse=True))})\b"
+    rf"(?P<run>(?!{_PLUS_RULE})\w++|[\x09-\x0D\x20]++(?!{_OPEN}|{_AT_RULE}|{_DOT_RULE}|\s))"  # a word, or white space before no disguise
+    rf"|(?P<at>(?:(?<!\s)\s++)?{_OPEN}\s*+(?:{_AT_RULE}|a|@)\s*+{_CLOSE}\s*+)"
+    rf"|(?P<bare>(?P<word>(?<!\s)\s++(?:{_AT_RULE}))\s++)"
+    rf"|(?P<dot>{_BRACKET_DOT}|(?<=\w)\s++(?:{_DOT_RULE})\s++(?=\w))"
+    rf"|(?P<plus>{_PLUS_RULE})"
     rf"|(?P<gone>[{_INVISIBLE}])"
-    rf"|(?P<fold>[{re.escape(''.join(sorted(FOLD)))}])", re.IGNORECASE)
+    rf"|(?P<fold>[{re.escape(''.join(sorted(c for c in FOLD if not c.isalnum())))}])"
+    rf"|(?P<rest>[\x09-\x0D\x20]++)", re.IGNORECASE)
+
+
+def _address_follows(text: str, at: int) -> bool:
+    """Whether labels with dots between them start at ``at``, one dot at least in disguise, and after it a top-level name."""
+    hidden = False
+    while not (hidden and _ENDS.match(text, at)):
+        step = _STEP.match(text, at)
+        if not step:
+            return False
+        hidden = hidden or step.lastgroup is not None
+        at = step.end()
+    return True
 
 
 def _hint() -> str:
@@ -157,20 +181,41 @@ def find(text: str) -> list[tuple[str, int, int]]:
 
 def normalise(text: str) -> tuple[str, list[tuple[int, int, int, int]]]:
     """The normalised copy and its rewritten places: (place in the copy, source start, source end, width written), in order."""
-    out, moves, at, size = [], [], 0, 0
-    for m in _DISGUISE.finditer(text):
-        kind = m.lastgroup
-        new = {"at": "@", "dot": ".", "plus": "+", "gone": ""}.get(kind)
-        if kind == "digit":
-            new = _SPELLED.get(m.group().casefold(), m.group())
-        elif kind == "fold":
-            new = FOLD.get(m.group(), m.group())
-        out.append(text[at:m.start()])
-        size += m.start() - at
-        moves.append((size, m.start(), m.end(), len(new)))
-        out.append(new)
+    out, moves, at, size, seek = [], [], 0, 0, 0
+
+    def rewrite(start: int, end: int, new: str) -> None:
+        nonlocal at, size
+        size += start - at
+        moves.append((size, start, end, len(new)))
+        out.extend((text[at:start], new))
         size += len(new)
-        at = m.end()
+        at = end
+
+    def fold(start: int, end: int) -> None:
+        for k in range(start, end):
+            if text[k] in FOLD:
+                rewrite(k, k + 1, FOLD[text[k]])
+
+    while seek < len(text):
+        for m in _DISGUISE.finditer(text, seek):
+            kind = m.lastgroup
+            if kind == "run":
+                run = m.group()
+                digit = _SPELLED.get(run.casefold())
+                if digit:
+                    rewrite(m.start(), m.end(), digit)
+                elif not run.isascii():
+                    fold(m.start(), m.end())
+            elif kind == "bare" and not _address_follows(text, m.end()):
+                fold(m.start(), m.end("word"))
+                seek = m.end("word")  # the white space behind the word may begin a disguise
+                break
+            elif kind == "fold":
+                fold(m.start(), m.end())
+            elif kind != "rest":
+                rewrite(*m.span(), _SIGNS[kind])
+        else:
+            break
     out.append(text[at:])
     return "".join(out), moves
 
@@ -202,9 +247,14 @@ def disguised(text: str) -> list[tuple[str, int, int]]:
 
 def spans_of(text: str, look: bool = True) -> tuple[list, list]:
     """(plain spans, all spans) of a text; ``look`` says whether it may hold a disguise."""
-    base = find(text)
-    extra = disguised(text) if look else []
-    extra = [s for s in extra if not any(k == s[0] and b <= s[1] and s[2] <= e for k, b, e in base)]
+    import bisect
+
+    base, extra = find(text), []
+    of_kind = {kind: [(s, e) for k, s, e in base if k == kind] for kind in KINDS}
+    for kind, start, end in disguised(text) if look else []:
+        before = bisect.bisect_right(of_kind[kind], (start, len(text) + 1)) - 1  # plain spans of a kind don't overlap: one can cover it
+        if before < 0 or of_kind[kind][before][1] < end:
+            extra.append((kind, start, end))
     both = sorted(base + extra, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
     return base, both
 

@@ -56,6 +56,10 @@ HIDDEN = [
     ("card four one one one 1111 1111 one one one one here", "card", "four one one one 1111 1111 one one one one"),
     ("host 192 dot 168 dot 1 dot 20 is up", "ip", "192 dot 168 dot 1 dot 20"),
     ("a​b@c​d.com", "email", "a​b@c​d.com"),
+    ("ask jane dot roe at example dot co for it", "email", "jane dot roe at example dot co"),
+    ("ask jane dot roe at example dot in.", "email", "jane dot roe at example dot in"),
+    ("ask jane at mail dot example dot kr now", "email", "jane at mail dot example dot kr"),
+    ("ask jane at example dot museum now", "email", "jane at example dot museum"),
 ]
 
 
@@ -114,11 +118,50 @@ def test_the_gate_lets_every_disguise_through():
 
 
 @pytest.mark.parametrize("text", ["we met at noon at the dot on the map", "look at example.com or at home", "one two three four five",
-                                  "Ünïcode и русский текст, ок.", "at one dot two", "the seven of us at five dot five"])
+                                  "Ünïcode и русский текст, ок.", "at one dot two", "the seven of us at five dot five",
+                                  "look at the dot in the picture", "stay at point me and wait", "it was at noon dot live music came"])
 def test_clean_texts_stay_clean(text):
     assert pii.spans_of(text)[1] == []
 
 
+LONG = ["a@b.com" + " " * 10**6, "a@b.com" + "\n" * 10**6, "x at " + "a dot " * 170_000, "x at " + "a[dot]" * 170_000, "a@b.com" + "\xa0 " * 500_000,
+        "(\t" * 500_000, "x at " * 200_000, "x at a dot " * 90_000, "x at " + "a" * 10**6, "- dot at dot " * 80_000, "a@b.c j\u043e@x.com " * 60_000]
+
+
+@pytest.mark.parametrize("text", LONG)
+def test_very_long_texts_take_linear_time(text):
+    import time
+
+    def seconds(t):
+        start = time.process_time()
+        pii.spans_of(t)
+        return time.process_time() - start
+
+    assert seconds(text) < 8 * max(seconds(text[:len(text) // 4]), 0.02)  # four times the text; sixteen times were quadratic
+    if text.isascii() and " " * 9 in text or "\n" * 9 in text:
+        assert seconds(text) < 1
+
+
+def addresses_follow(text, at):
+    """The rule by backtracking over all ways to cut the text into labels and dots."""
+    sep = rf"(?:\s+(?:{pii._DOT_RULE})\s+|\s*[\[({{<]\s*(?:{pii._DOT_RULE}|\.)\s*[\])}}>]\s*)"
+    label = r"[^\s@\[\](){}<>.,;:]+"
+    way = rf"(?:{label}(?:{sep}|\.))*{label}{sep}(?:{label}(?:{sep}|\.))*{pii._ENDS.pattern}"
+    return re.compile(way, re.IGNORECASE).match(text, at) is not None
+
+
+def test_the_address_walk_equals_backtracking():
+    import random
+
+    pick, both = random.Random(3), set()
+    for _ in range(20_000):
+        text = "".join(pick.choice(["a", "com", "in", "co", " dot ", "[.]", " ", ".", ",", "dot", " punkt", "at ", "x-", "live"]) for _ in range(pick.randint(1, 12)))
+        got = pii._address_follows(text, 0)
+        both.add(got)
+        assert got == addresses_follow(text, 0), text
+    assert both == {True, False}
+
+
 def test_query_over_the_tables(spark):
     for docs, rows in ((given(spark), queries.op9_pii(spark, "/root/testdata/sf0.001")),
                        (documents(spark), pii.personal_data(documents(spark), ["doc_id"]).select("row.doc_id", "*"))):
