@@ -47,12 +47,15 @@ def from_planes(data: bytes, n: int) -> np.ndarray:
 
 
 def shrink(sorted_hashes: np.ndarray) -> bytes:
-    """Ascending hashes by their differences."""
-    return planes(np.diff(sorted_hashes, prepend=np.uint64(0)))
+    """Ascending hashes by their differences: the five low bytes are random and stay as they are, the high ones are compressed alone."""
+    gaps = np.diff(sorted_hashes, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+    return gaps[:5].tobytes() + pa.compress(gaps[5:].tobytes(), "zstd", asbytes=True)
 
 
 def grow(data: bytes, n: int) -> np.ndarray:
-    return np.cumsum(from_planes(data, n), dtype=np.uint64)
+    high = pa.decompress(data[5 * n:], decompressed_size=3 * n, codec="zstd", asbytes=True)
+    gaps = np.frombuffer(data[:5 * n] + high, np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(gaps.T).view("<u8").ravel(), dtype=np.uint64)
 
 
 def ngrams(word_hash: np.ndarray, code: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
