@@ -14,6 +14,7 @@ STAGES = {  # fixed values: report label and trace column
     "Capture": "capture_read_ms", "Inference + tracking": "inference_tracking_ms", "Fusion": "fusion_ms",
     "Alertes": "alerts_ms", "Metadata": "metadata_ms",
 }
+TICK_STRETCH = 4096  # ticks that one row of a long gap stands for until they are written
 
 
 def run_summary(frames: DataFrame, fused: DataFrame, alerts: DataFrame, links: DataFrame, stability: DataFrame,
@@ -180,7 +181,8 @@ def latency_report(df: DataFrame, keys: list[str], period_s: float) -> DataFrame
 def resample_fixed_rate(obs: DataFrame, keys: list[str], fps: float = 25.0) -> DataFrame:
     """Last observation carried to every tick of a fixed rate; repeats are flagged.
 
-    Each observation itself emits the ticks up to its successor, so no tick table is built.
+    Each observation itself emits the ticks up to its successor, so no tick table is built. A long gap is cut into stretches of
+    ``TICK_STRETCH`` ticks first, which are dealt out by key and stretch, so a camera that was silent for a year is neither one array nor one task.
     """
     origin = obs.groupBy(*keys).agg(F.min("ts_s").alias("_t0"), F.max("ts_s").alias("_t1"))
     tick = F.ceil((F.col("ts_s") - F.col("_t0")) * fps).cast("bigint")
@@ -194,9 +196,11 @@ def resample_fixed_rate(obs: DataFrame, keys: list[str], fps: float = 25.0) -> D
         *keys, F.col("_prev.o").alias("o"), F.col("_prev.tick").alias("first"), (F.col("_tick") - 1).alias("last"))
     tail = work.where(F.col("_o.ts_s") == F.col("_t1")).select(
         *keys, F.col("_o").alias("o"), F.col("_tick").alias("first"), F.col("_tick").alias("last"))
-    return spans.union(tail).select(
+    dealt = spans.union(tail).withColumn(
+        "_from", F.explode(F.sequence("first", "last", F.lit(TICK_STRETCH).cast("bigint")))).repartition(*keys, "_from")
+    return dealt.select(
         *keys, F.col("o.ts_s").alias("source_ts"), F.col("o.det_ord").alias("det_ord"), "first",
-        F.explode(F.sequence("first", "last")).alias("tick"),
+        F.explode(F.sequence("_from", F.least("last", F.col("_from") + TICK_STRETCH - 1))).alias("tick"),
     ).withColumn("duplicated", F.col("tick") > F.col("first")).drop("first")
 
 

@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from sightgrid.functions import names
-from sightgrid.operators.ordered import (
-    frame_bucket, gap_sessions, interval_islands, split_ordinal, split_running, time_bucket,
-)
+from sightgrid.functions import matchers, names
+from sightgrid.functions.matchers import SLACK_S
+from sightgrid.operators import replay
+from sightgrid.operators.ordered import frame_bucket, gap_sessions, split_running, time_bucket
 from sightgrid.operators.quantiles import exact_percentiles
 from sightgrid.session import cut_lineage
 
 TOLERANCE_S = 10.0
 MERGE_GAP_S = 3.0
 ACTIVE_S = 30.0
-SLACK_S = 1e-5
+log = logging.getLogger(__name__)
 
 
 # ---- timeline look-ups: a running extreme over a merged timeline replaces a range join
@@ -84,117 +85,112 @@ def nearest_annotation(queries: DataFrame, truth: DataFrame, keys: list[str]) ->
 
 # ---- one-to-one matching
 
-def _truth_order(t: np.ndarray, a: np.ndarray, n: np.ndarray, tol: float) -> list[int]:
-    """Each truth in order takes the nearest alert still free."""
-    free, out = n.astype(float), []
-    for x in t:
-        gap = np.where(free > 0, np.abs(a - x), np.inf)
-        j = int(gap.argmin()) if len(gap) else -1
-        if j >= 0 and gap[j] <= tol:
-            free[j] -= 1
-            out.append(j)
-        else:
-            out.append(-1)
-    return out
-
-
-def _first_free(t: np.ndarray, a: np.ndarray, n: np.ndarray, tol: float) -> list[int]:
-    """Each truth in order takes the first alert in order still free and near enough."""
-    free, out = n.astype(float), []
-    for x in t:
-        near = np.flatnonzero((free > 0) & (np.abs(a - x) <= tol))
-        out.append(int(near[0]) if near.size else -1)
-        if near.size:
-            free[near[0]] -= 1
-    return out
-
-
-def _distance_order(t: np.ndarray, a: np.ndarray, n: np.ndarray, tol: float) -> list[int]:
-    """All near pairs from the closest on, each side used once; (truth, alert) order on ties."""
-    gap = np.abs(a[None, :] - t[:, None])
-    i, j = np.nonzero(gap <= tol)
-    free, out = n.astype(float), [-1] * len(t)
-    for k in np.argsort(gap[i, j], kind="stable"):
-        if out[i[k]] < 0 and free[j[k]] > 0:
-            out[i[k]] = int(j[k])
-            free[j[k]] -= 1
-    return out
-
-
-_RULES = {"truth_order": _truth_order, "first_free": _first_free, "distance_order": _distance_order}
-
-
-def _reach(truth: DataFrame, instants: DataFrame, keys: list[str], tolerance: float, width: float) -> DataFrame:
-    """``_r``: how far a truth event can have to go for the nearest free alert.
-
-    Only truth events within twice the tolerance can take an alert away. With ``k`` events there, counting itself, one of
-    the ``k`` nearest alerts is always free; the k-th alert on the nearer side bounds them. Where alerts are dense this is
-    far below the tolerance, so islands stay small without leaving anything out.
+RULES = ("truth_order", "first_free", "distance_order")
+
+
+def _chunked_line(truth: DataFrame, instants: DataFrame, keys: list[str], tolerance: float, width: float,
+                  chunk_rows: int) -> DataFrame:
+    """Truth events and alerts in chunks of ``chunk_rows`` consecutive rows; each chunk also holds the alerts its truth can reach.
+
+    ``viewers`` names all chunks that hold an alert where there are several. What a chunk reaches is found from one row per chunk.
     """
-    placed = cut_lineage(split_ordinal(instants.withColumn("_b", time_bucket(F.col("alert_t"), width)), keys, ["alert_t"],
-                                       "_b", "_pos").select(*keys, "alert_t", "_pos"))
-    numbered = split_ordinal(truth.withColumn("_b", time_bucket(F.col("truth_t"), width)), keys, ["truth_t", "truth_ord"],
-                             "_b", "_pos").drop("_b")
-    span = 2 * tolerance + 1e-6
-    out = truth.withColumns({"_lo": F.col("truth_t") - span, "_hi": F.col("truth_t") + span})
-    out = latest_not_after(out, numbered, keys, "_lo", "truth_t", F.col("_pos"), "_p0", width)
-    out = latest_not_after(out, numbered, keys, "_hi", "truth_t", F.col("_pos"), "_p1", width)
-    out = latest_not_after(out, placed, keys, "truth_t", "alert_t", F.col("_pos"), "_pa", width)
-    k = F.col("_p1") - F.coalesce("_p0", F.lit(-1))
-    out = out.withColumns({"_up": F.coalesce("_pa", F.lit(-1)) + k, "_down": F.coalesce("_pa", F.lit(-1)) + 1 - k})
-    for side in ("_up", "_down"):
-        out = out.join(placed.select(*keys, F.col("_pos").alias(side), F.col("alert_t").alias(f"{side}_t")), [*keys, side], "left")
-    return out.withColumn("_r", F.least(F.lit(float(tolerance)), F.col("_up_t") - F.col("truth_t"),
-                                        F.col("truth_t") - F.col("_down_t"))).select(*keys, "truth_ord", "truth_t", "_r")
+    types = {**dict(instants.dtypes), **dict(truth.dtypes)}
+    none = {c: F.lit(0).cast(types[c]) for c in ("truth_ord", "alert_ord", "copies")}
+    line = truth.select(*keys, F.col("truth_t").alias("t"), F.lit(False).alias("is_alert"), "truth_ord",
+                        none["alert_ord"].alias("alert_ord"), none["copies"].alias("copies")).unionByName(
+        instants.select(*keys, F.col("alert_t").alias("t"), F.lit(True).alias("is_alert"), none["truth_ord"].alias("truth_ord"),
+                        "alert_ord", "copies"))
+    line = cut_lineage(replay.in_chunks(line.withColumn("_b", time_bucket(F.col("t"), width)), keys,
+                                        ["t", "is_alert", "truth_ord"], "_b", chunk_rows))
+    reach = tolerance + SLACK_S
+    heads = line.groupBy(*keys, "chunk").agg(
+        F.min("t").alias("head"), (F.min(F.when(~F.col("is_alert"), F.col("t"))) - reach).alias("_s"),
+        (F.max(F.when(~F.col("is_alert"), F.col("t"))) + reach).alias("_e"))
+    heads = cut_lineage(heads)
+    # rows from _s to _e lie in the chunks from the last one that begins before _s to the last one that begins by _e
+    spans = heads.where(F.col("_s").isNotNull()).drop("head").withColumn("_before", F.col("_s") - SLACK_S)
+    for probe, name in (("_before", "_lo"), ("_e", "_hi")):
+        spans = latest_not_after(spans, heads, keys, probe, "head", F.col("chunk"), name, width)
+    homes = spans.select(*keys, F.explode(F.sequence(F.coalesce("_lo", F.lit(0)), "_hi")).alias("home"),
+                         F.struct("chunk", "_s", "_e").alias("_span")).groupBy(*keys, "home").agg(
+        F.collect_list("_span").alias("_spans"))
+    viewers = F.transform(F.filter("_spans", lambda p: F.col("t").between(p["_s"], p["_e"])), lambda p: p["chunk"])
+    seen = line.where("is_alert").withColumnRenamed("chunk", "home").join(homes, [*keys, "home"]).withColumn(
+        "viewers", viewers).drop("_spans", "home")
+    held = seen.withColumn("chunk", F.explode("viewers")).withColumn("viewers", F.when(F.size("viewers") > 1, F.col("viewers")))
+    return line.where(~F.col("is_alert")).unionByName(held, allowMissingColumns=True)
 
 
 def match_events(
     truth: DataFrame, alerts: DataFrame, keys: list[str], rule: str = "truth_order", tolerance: float = TOLERANCE_S,
-    width: float = 3600.0,
+    width: float = 3600.0, chunk_rows: int = replay.CHUNK_ROWS,
 ) -> DataFrame:
     """One row per truth event (``keys, truth_ord, truth_t``) with ``alert_t, alert_ord, delay`` (NULL if missed).
 
     ``truth`` has ``truth_ord, truth_t``; ``alerts`` has ``alert_ord, alert_t``. Alerts of one instant are counted
-    together. Truth events whose reaches overlap form an island; alerts outside every reach are left out. No pair that
-    can be chosen crosses an island, so a camera's day is spread over as many groups as it has islands.
+    together; rows without a time match nothing. The timeline is cut into chunks of ``chunk_rows`` rows at any place, and a chunk
+    also sees the alerts within the tolerance of its truth events. All chunks are matched side by side. Pairs taken on alerts that
+    several chunks see go to the others as claims, and chunks whose claims have changed are matched again. A claim only counts
+    from its own place in the rule's order on, so the first pairs of that order are right after one round and stay so, and
+    once no claim changes the result is that of one pass over everything. Chains of changes seldom cross many borders, so few
+    rounds are needed; they are logged.
     """
-    decide = _RULES[rule]
-    instants = alerts.groupBy(*keys, F.col("alert_t").cast("double").alias("alert_t")).agg(
+    if rule not in RULES:
+        raise ValueError(f"unknown rule {rule}")
+    instants = alerts.where(F.col("alert_t").isNotNull()).groupBy(*keys, F.col("alert_t").cast("double").alias("alert_t")).agg(
         F.min("alert_ord").alias("alert_ord"), F.count(F.lit(1)).alias("copies"))
     events = truth.select(*keys, "truth_ord", F.col("truth_t").cast("double").alias("truth_t"))
-    if rule == "first_free":
-        events = events.withColumn("_r", F.lit(float(tolerance)))  # the first in order may lie anywhere in the tolerance
-    else:
-        events = _reach(events, instants, keys, tolerance, width)
-    # a hair of slack so that rounding of t +- r never drops the alert at exactly that distance
-    events = events.withColumns({"_s": F.col("truth_t") - F.col("_r") - SLACK_S, "_e": F.col("truth_t") + F.col("_r") + SLACK_S})
-    events = cut_lineage(interval_islands(cut_lineage(events), keys, "_s", "_e", width))
-    spans = events.groupBy(*keys, "island").agg(F.max("_e").alias("_e"))
-    near = latest_not_after(instants, spans, keys, "alert_t", "island", F.struct("island", "_e"), "_in", width).where(
-        F.col("_in._e") >= F.col("alert_t")).select(*keys, F.col("_in.island").alias("island"), F.struct(
-            F.col("alert_ord").alias("ord"), F.col("alert_t").alias("t"), "copies").alias("alert"))
-    line = events.select(*keys, "island", F.struct(F.col("truth_ord").alias("ord"), F.col("truth_t").alias("t")).alias(
-        "truth")).unionByName(near, allowMissingColumns=True)
-    islands = line.groupBy(*keys, "island").agg(
-        F.array_sort(F.collect_list("truth")).alias("ts"), F.array_sort(F.collect_list("alert")).alias("as"))
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def pick(t: pd.Series, a: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([decide(np.asarray(x), np.asarray(y), np.asarray(c), tolerance)
-                          for x, y, c in zip(t, a, n)])
-
-    def field(side: str, name: str) -> Column:
-        return F.transform(side, lambda s: s[name])
-
-    picked = islands.withColumn("_pick", pick(field("ts", "t"), field("as", "t"), field("as", "copies")))
-    rows = picked.select(*keys, "as", "_pick", F.posexplode("ts").alias("_i", "truth")).withColumn(
-        "_j", F.col("_pick")[F.col("_i")])
-    hit = F.when(F.col("_j") >= 0, F.element_at("as", (F.col("_j") + 1).cast("int")))
-    return rows.withColumn("_hit", hit).select(
-        *keys, F.col("truth.ord").alias("truth_ord"), F.col("truth.t").alias("truth_t"),
-        F.col("_hit.ord").alias("alert_ord"), F.col("_hit.t").alias("alert_t"),
-        (F.col("_hit.t") - F.col("truth.t")).alias("delay"),
-    )
+    rows = cut_lineage(_chunked_line(events.where(F.col("truth_t").isNotNull()), instants, keys, tolerance, width, chunk_rows))
+    by, types = [*keys, "chunk"], dict(rows.dtypes)
+    out_ddl = ", ".join([*[f"`{k}` {types[k]}" for k in by], f"truth_ord {types['truth_ord']}", "truth_t double",
+                         f"alert_ord {types['alert_ord']}", "alert_t double", "viewers array<bigint>"])
+    mail_ddl = ", ".join([*[f"`{k}` {types[k]}" for k in by], "sender bigint", f"truth_ord {types['truth_ord']}",
+                          "truth_t double", "alert_t double"])
+
+    def matched(key: tuple, part: pd.DataFrame, mail: pd.DataFrame) -> pd.DataFrame:
+        t = part[~part["is_alert"]]
+        a = part[part["is_alert"]].sort_values("t")
+        times = a["t"].to_numpy()
+        claims = list(zip(mail["truth_ord"], mail["truth_t"], mail["sender"], np.searchsorted(times, mail["alert_t"])))
+        found = matchers.pick(rule, tolerance, key[-1], list(zip(t["truth_ord"], t["t"])),
+                              matchers.FreeAlerts(times, a["alert_ord"].to_numpy(), a["copies"].to_numpy()), claims)
+        ords, seen_by = a["alert_ord"].to_numpy(), a["viewers"].to_numpy()
+        out = pd.DataFrame({"truth_ord": t["truth_ord"].to_numpy(), "truth_t": t["t"].to_numpy()})
+        for i, k in enumerate(by):
+            out[k] = pd.Series([key[i]] * len(out), dtype=object)
+        for name, values in (("alert_ord", ords), ("alert_t", times), ("viewers", seen_by)):
+            out[name] = pd.Series([values[j] if j >= 0 else None for j in found], dtype=object)
+        return out[[*by, "truth_ord", "truth_t", "alert_ord", "alert_t", "viewers"]]
+
+    mail = inbox = rows.sparkSession.createDataFrame([], mail_ddl)
+    todo, parts = rows, []
+    while True:
+        picks = cut_lineage(todo.groupBy(*by).cogroup(inbox.groupBy(*by)).applyInPandas(matched, out_ddl).withColumn(
+            "_round", F.lit(len(parts))))
+        parts.append(picks)
+        sent = picks.where(F.col("viewers").isNotNull()).select(
+            *keys, F.explode("viewers").alias("_to"), F.col("chunk").alias("sender"), "truth_ord", "truth_t", "alert_t").where(
+            "_to <> sender").withColumnRenamed("_to", "chunk").select(*mail.columns)
+        matched_now = todo.select(*keys, F.col("chunk").alias("sender")).distinct()
+        fresh = cut_lineage(sent.unionByName(mail.join(matched_now, [*keys, "sender"], "left_anti")))
+        changed = cut_lineage(fresh.withColumn("_w", F.lit(1)).unionByName(mail.withColumn("_w", F.lit(-1))).groupBy(
+            *fresh.columns).agg(F.sum("_w").alias("_w")).where("_w <> 0").select(*by).distinct())
+        mail = fresh
+        if changed.isEmpty():
+            break
+        todo, inbox = rows.join(changed, by, "left_semi"), mail.join(changed, by, "left_semi")
+    log.info("%s: %d rounds over chunks", rule, len(parts))
+    result = parts[0]
+    if len(parts) > 1:
+        for part in parts[1:]:
+            result = result.unionByName(part)
+        last = result.groupBy(*by).agg(F.max("_round").alias("_last"))
+        result = result.join(last, by, "left").where(F.col("_round") == F.coalesce("_last", F.lit(0)))
+    untimed = events.where(F.col("truth_t").isNull()).select(
+        *keys, "truth_ord", "truth_t", F.lit(None).cast(types["alert_ord"]).alias("alert_ord"),
+        F.lit(None).cast("double").alias("alert_t"))
+    return result.select(*keys, "truth_ord", "truth_t", "alert_ord", "alert_t").unionByName(untimed).withColumn(
+        "delay", F.col("alert_t") - F.col("truth_t"))
 
 
 def unmatched_instants(alerts: DataFrame, matches: DataFrame, keys: list[str]) -> DataFrame:

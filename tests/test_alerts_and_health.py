@@ -179,3 +179,11 @@ def test_site_from_config():
     assert s.overlaps == [("r1", "cam_02", "cam_03")]
     assert [(c.cam_id, c.room_id, bool(c.matrix), c.mean_error_cm) for c in s.cameras] == [
         ("cam_02", "r1", True, 2.0), ("cam_03", "r1", False, None)]
+
+
+def test_long_silence_is_resampled_in_stretches(spark, monkeypatch):
+    monkeypatch.setattr(health, "TICK_STRETCH", 7)
+    obs = spark.createDataFrame([("r", "c", 0.0, 0), ("r", "c", 0.9, 1), ("r", "c", 50.0, 2)],
+                                "run_id string, cam_id string, ts_s double, det_ord bigint")
+    got = sorted((r.tick, r.det_ord, r.duplicated) for r in health.resample_fixed_rate(obs, ["run_id", "cam_id"], 1.0).collect())
+    assert got == [(0, 0, False), (1, 1, False), *[(t, 1, True) for t in range(2, 50)], (50, 2, False)]

@@ -84,17 +84,26 @@ def test_matchers_equal_brute_force(spark, rule):
     assert {(r.cam_id, r.truth_ord): r.alert_t for r in m if r.alert_t is not None} == want
 
 
-@pytest.mark.parametrize("rule", ["truth_order", "distance_order"])
-def test_dense_truth_falls_apart_into_small_islands(spark, rule):
+@pytest.mark.parametrize("rule", ["truth_order", "distance_order", "first_free"])
+def test_crowded_stretches_are_cut_anywhere(spark, rule, caplog):
+    """Every chunk border falls into one stretch in which all events compete; file order runs against time."""
     rng = random.Random(3)
-    truth = [round(rng.uniform(0, 60), 2) for _ in range(30)]  # two events per second against a tolerance of 10 s
-    alerts = [i / 25 for i in range(1500)]
-    t = spark.createDataFrame([("c", i, x) for i, x in enumerate(truth)], "cam_id string, truth_ord bigint, truth_t double")
-    a = spark.createDataFrame([("c", j, x) for j, x in enumerate(alerts)], "cam_id string, alert_ord bigint, alert_t double")
-    got = {r.truth_ord: r.alert_t for r in matching.match_events(t, a, ["cam_id"], rule, 10.0, width=20.0).collect()}
-    assert got == brute_match(truth, alerts, 10.0, rule)
-    reach = matching._reach(t, a.withColumn("copies", F.lit(1)), ["cam_id"], 10.0, 20.0).collect()
-    assert len(reach) == 30 and max(r["_r"] for r in reach) < 1.5
+    truth = [round(rng.uniform(0, 90), 1) for _ in range(120)]  # 120 events for some 70 alerts, a tolerance of 10 s, ties
+    alerts = sorted({round(rng.uniform(0, 90), 1) for _ in range(70)})
+    t = spark.createDataFrame([("c", i, x) for i, x in enumerate(truth)] + [("c", 999, None), ("quiet", 0, 5.0)],
+                              "cam_id string, truth_ord bigint, truth_t double")
+    a = spark.createDataFrame([("c", j, x) for j, x in enumerate(alerts)] + [("c", 998, None), ("other", 0, 5.0)],
+                              "cam_id string, alert_ord bigint, alert_t double")
+    with caplog.at_level("INFO", logger="sightgrid.operators.matching"):
+        got = matching.match_events(t, a, ["cam_id"], rule, 10.0, width=20.0, chunk_rows=25).collect()
+    assert len(got) == 122 and "rounds over chunks" in caplog.text
+    assert {r.truth_ord: r.alert_t for r in got if r.alert_t is not None} == brute_match(truth, alerts, 10.0, rule)
+
+
+def test_matching_of_empty_tables(spark):
+    t = spark.createDataFrame([], "cam_id string, truth_ord bigint, truth_t double")
+    a = spark.createDataFrame([], "cam_id string, alert_ord bigint, alert_t double")
+    assert matching.match_events(t, a, ["cam_id"]).collect() == []
 
 
 def test_scores_and_object_rules(spark):
