@@ -42,25 +42,30 @@ def alert_doc() -> Column:
     )
 
 
-def build_envelopes(frames: DataFrame, dets: DataFrame, alerts: DataFrame, every_n: int = 1) -> DataFrame:
+def build_envelopes(frames: DataFrame, dets: DataFrame, alerts: DataFrame, every_n: int = 1,
+                    timing: DataFrame | None = None) -> DataFrame:
     """One document per published frame with its detections and alerts in order.
 
     ``frames`` has ``run_id, frame, created_epoch_ms`` and the model columns; only every ``every_n``-th frame is kept,
-    and that filter is applied to all three inputs before anything is grouped.
+    and that filter is applied to all inputs before anything is grouped. ``timing`` (``run_id, frame, timing``) adds the timing
+    block; a frame without one has none in its document.
     """
     kept = (F.col("frame") % max(1, every_n)) == 0
     d = dets.where(kept).groupBy("run_id", "frame").agg(F.array_sort(F.collect_list(
         F.struct("det_ord", detection_doc().alias("doc")))).alias("_d"))
     a = alerts.where(kept).groupBy("run_id", "frame").agg(F.array_sort(F.collect_list(
         F.struct("alert_id", alert_doc().alias("doc")))).alias("_a"))
+    work, block = frames.where(kept).join(d, ["run_id", "frame"], "left").join(a, ["run_id", "frame"], "left"), []
+    if timing is not None:
+        work, block = work.join(timing.where(kept).select("run_id", "frame", "timing"), ["run_id", "frame"], "left"), ["timing"]
     return (
-        frames.where(kept).join(d, ["run_id", "frame"], "left").join(a, ["run_id", "frame"], "left")
+        work
         .select(
             F.lit(SCHEMA_NAME).alias("schema"), "created_epoch_ms",
             F.bround(F.col("created_epoch_ms") / 1000.0, 6).alias("created_epoch_s"), "frame",
             F.col("run_id").alias("run_label"), "model_version", "model", "format",
             F.coalesce(F.transform("_d", lambda x: x["doc"]), F.array()).alias("detections"),
-            F.coalesce(F.transform("_a", lambda x: x["doc"]), F.array()).alias("alerts"),
+            F.coalesce(F.transform("_a", lambda x: x["doc"]), F.array()).alias("alerts"), *block,
         )
     )
 
@@ -158,3 +163,26 @@ def first_example(facts: DataFrame) -> DataFrame:
     return facts.groupBy("file").agg(
         F.min(F.when(F.col("detections") > 0, F.col("line_no"))).alias("with_detection"),
         F.min(F.when(F.col("alerts") > 0, F.col("line_no"))).alias("with_alert"))
+
+
+def first_example_envelopes(facts: DataFrame) -> DataFrame:
+    """First envelope of a file with a detection and first one with an alert, as written (``facts`` with their ``value``)."""
+    def first(count: str) -> Column:
+        return F.min_by("value", F.when(F.col(count) > 0, F.col("line_no")))
+
+    return facts.groupBy("file").agg(first("detections").alias("example_with_detection"), first("alerts").alias("example_with_alert"))
+
+
+def _broken() -> Column:
+    return (F.trim("value") != "") & F.try_parse_json("value").isNull()
+
+
+def broken_lines(lines: DataFrame) -> DataFrame:
+    """``file, line_no, value`` of lines that are neither blank nor JSON (strict JSON: no NaN or Infinity)."""
+    return lines.where(_broken()).select("file", "line_no", "value")
+
+
+def require_json_lines(lines: DataFrame) -> DataFrame:
+    """``lines`` as they are; a job that meets a line that is not JSON fails and names file and line number."""
+    fault = F.raise_error(F.concat(F.lit("invalid JSON in "), "file", F.lit(", line "), F.col("line_no").cast("string")))
+    return lines.withColumn("value", F.when(_broken(), fault).otherwise(F.col("value")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sightgrid import schemas
 from sightgrid.functions import names
 from sightgrid.operators.matching import latest_not_after
 from sightgrid.operators.ordered import split_lag, time_bucket
@@ -60,6 +61,22 @@ def frame_timing(trace: DataFrame) -> DataFrame:
     )
 
 
+def timing_block(trace: DataFrame) -> DataFrame:
+    """``run_id, frame, timing``: the envelope's timing fields as one struct.
+
+    On top of ``frame_timing``: when the batch was ready, first start and last end of inference (NULL where none is known) and the
+    durations of fusion and alerts, which are the frame's and stand in each of its rows.
+    """
+    marks = trace.groupBy("run_id", "frame").agg(
+        F.bround(F.max("batch_ready_epoch"), 6).alias("batch_ready_epoch"),
+        F.bround(F.min("inference_start_epoch"), 6).alias("inference_start_epoch_min"),
+        F.bround(F.max("inference_end_epoch"), 6).alias("inference_end_epoch_max"),
+        *[F.bround(F.coalesce(F.max(c), F.lit(0.0)), 3).alias(c) for c in ("fusion_ms", "alerts_ms")])
+    both = frame_timing(trace).withColumnsRenamed({
+        "inference_ms_mean": "inference_tracking_ms_mean", "inference_ms_max": "inference_tracking_ms_max"}).join(marks, ["run_id", "frame"])
+    return both.select("run_id", "frame", F.struct(*[n for n, _ in schemas.fields(schemas.TIMING_DOC)]).alias("timing"))
+
+
 def stage_latency(trace: DataFrame, keys: list[str]) -> DataFrame:
     """Mean and p95 of each stage duration."""
     long = trace.unpivot(keys, [F.col(c).alias(c) for c in STAGES.values()], "stage_column", "ms")

@@ -67,6 +67,20 @@ def image_sequence(frames: DataFrame, width: int = 4096) -> DataFrame:
         "stem", F.format_string("%s_obj_%04d", "cam_id", "seq"))
 
 
+def image_names(frames: DataFrame, images: DataFrame) -> DataFrame:
+    """The image of every distinct (``cam_id, frame``): ``<cam>_frame<n>`` if ``images`` (``stem``) has it, else the legacy name.
+
+    Only frames that miss the primary name take a running number of their camera, in frame order, whether or not an image of that
+    number exists; where none does, ``stem`` is NULL.
+    """
+    known = images.select("stem").distinct()
+    spine = frames.select("cam_id", "frame").distinct().withColumn("stem", F.format_string("%s_frame%d", "cam_id", "frame"))
+    marked = spine.join(known.withColumn("_has", F.lit(True)), "stem", "left")
+    named = marked.where("_has").select("cam_id", "frame", "stem")
+    legacy = image_sequence(marked.where(F.col("_has").isNull())).join(known.withColumn("_has", F.lit(True)), "stem", "left")
+    return named.unionByName(legacy.select("cam_id", "frame", F.when(F.col("_has"), F.col("stem")).alias("stem")))
+
+
 def unique_stems(incoming: DataFrame, existing: DataFrame, width: int = 4096) -> DataFrame:
     """Stem each incoming file gets: its own if free, else the first free ``__rfN``.
 

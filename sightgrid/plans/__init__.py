@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("alerting", "scalars", "fusion", "evaluation", "health", "reporting", "streams")
+MODULES = ("alerting", "scalars", "fusion", "evaluation", "health", "reporting", "streams", "calibration")
 
 
 def registry() -> dict:

@@ -32,6 +32,9 @@ CAMERA_SCHEMA = T.StructType([
     T.StructField("max_error_cm", T.DoubleType()), T.StructField("calib_w", T.DoubleType()),
     T.StructField("calib_h", T.DoubleType()),
 ])
+MATRIX_SCHEMA = T.StructType([T.StructField("cam_id", T.StringType())] + [
+    T.StructField(side + part, kind) for side in ("sub", "hd")
+    for part, kind in (("", HOMOGRAPHY), ("_w", T.DoubleType()), ("_h", T.DoubleType()))])
 OVERLAP_SCHEMA = T.StructType([
     T.StructField("room_id", T.StringType()), T.StructField("pair_ord", T.LongType()),
     T.StructField("cam_a", T.StringType()), T.StructField("cam_b", T.StringType()),
@@ -54,6 +57,8 @@ class Camera:
     mean_error_cm: float | None = None
     max_error_cm: float | None = None
     resolution: tuple[float, float] | None = None
+    matrix_hd: list[float] | None = None
+    hd_resolution: tuple[float, float] | None = None
 
 
 @dataclass(frozen=True)
@@ -76,6 +81,15 @@ class Site:
         ]
         return self.hint(spark.createDataFrame(rows, CAMERA_SCHEMA), len(rows))
 
+    def matrix_dim(self, spark: SparkSession) -> DataFrame:
+        """Both calibrations of every camera: substream and HD matrix with the resolutions they were made at."""
+        rows = [
+            (c.cam_id, *[v for m, r in ((c.matrix, c.resolution), (c.matrix_hd, c.hd_resolution))
+                         for v in (tuple(map(float, m)) if m else None, *(map(float, r) if r else (None, None)))])
+            for c in self.cameras
+        ]
+        return self.hint(spark.createDataFrame(rows, MATRIX_SCHEMA), len(rows))
+
     def overlap_dim(self, spark: SparkSession) -> DataFrame:
         rows = [(room, i, a, b) for i, (room, a, b) in enumerate(self.overlaps)]
         return self.hint(spark.createDataFrame(rows, OVERLAP_SCHEMA), len(rows))
@@ -142,11 +156,11 @@ def site_from_config(config: dict) -> Site:
         nested = homographies.get(cam)
         nested = nested if isinstance(nested, dict) else {}
         matrix = nested.get("matrix") or homographies.get(f"{cam}_matrix")
-        res = nested.get("substream_resolution")
-        cameras.append(Camera(
-            cam, rooms.get(cam), [float(v) for row in matrix for v in row] if matrix else None,
-            nested.get("mean_error_cm"), nested.get("max_error_cm"), tuple(map(float, res)) if res else None,
-        ))
+        sizes = [nested.get(k) for k in ("substream_resolution", "hd_resolution")]
+        sub_size, hd_size = [tuple(map(float, r)) if r and len(r) == 2 else None for r in sizes]
+        flat, flat_hd = [[float(v) for row in m for v in row] if m else None for m in (matrix, nested.get("matrix_hd"))]
+        cameras.append(Camera(cam, rooms.get(cam), flat, nested.get("mean_error_cm"), nested.get("max_error_cm"), sub_size,
+                              flat_hd, hd_size))
     overlaps = [
         (room, pair[0], pair[1])
         for room, pairs in (config.get("camera_overlaps") or {}).items() for pair in pairs or [] if len(pair) == 2
