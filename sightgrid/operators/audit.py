@@ -2,36 +2,90 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import math
 
-from sightgrid.functions.geometry import apply_homography, distance, distance_to_polygon, point_in_polygon
-from sightgrid.sources.site import Site
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from sightgrid.functions.geometry import apply_homography, distance, distance_to_polygon, is_finite, point_in_polygon
+from sightgrid.functions.zone_tree import ZoneTree
+from sightgrid.sources.site import BROADCAST_ROWS, Site, Zone
 
-def zone_literals(site: Site, min_points: int = 3) -> Column:
-    """The configured zones with their edges as one literal array: an alert is compared with all of them, without a join."""
-    zones = [z for z in site.zones if len(z.polygon) >= min_points]
 
-    def edges(polygon) -> Column:
-        return F.array(*[
-            F.struct(F.lit(float(ax)).alias("ax"), F.lit(float(ay)).alias("ay"), F.lit(float(bx)).alias("bx"),
-                     F.lit(float(by)).alias("by"))
-            for (ax, ay), (bx, by) in zip(polygon, polygon[1:] + polygon[:1])])
+def _cell_size(zones: list[Zone]) -> float:
+    """Side of the floor cells: about four of them to a zone of an evenly filled floor."""
+    xs, ys = [p[0] for z in zones for p in z.polygon], [p[1] for z in zones for p in z.polygon]
+    wide, high = max(xs) - min(xs), max(ys) - min(ys)
+    return max(math.sqrt(wide * high / len(zones)) / 2, max(wide, high) / 4096, 1e-6)
 
-    return F.array(*[
-        F.struct(F.lit(i).cast("bigint").alias("zone_ord"), F.lit(z.zone_id).alias("zone_id"), edges(list(z.polygon)).alias("e"))
-        for i, z in enumerate(zones)
-    ])
 
+def near_zones(df: DataFrame, site: Site, min_points: int = 3, block_points: int = BROADCAST_ROWS) -> DataFrame:
+    """``zones``: of each row's ``x_m, y_m`` the zones that contain it or may be its nearest, with their edges.
 
-def nearest_zone(df: DataFrame, site: Site) -> DataFrame:
-    """``nearest_zone`` and its distance (0 inside); the first declared zone on equal distance."""
-    best = F.array_min(F.transform(zone_literals(site), lambda z: F.struct(
+    Points are gathered into floor cells, and only the distinct cells look into the zones: a packed tree gives each cell those that no
+    other zone keeps from being nearest to some point of it. Rows then meet their cell's few zones in an equi-join, so neither the
+    plan nor the work of a row grows with the number of zones. A tree travels to the tasks with at most ``block_points`` corners (larger
+    sites are cut into blocks, whose answers are merged by their bounds). NULL for rows without a finite position and where there is no zone.
+    """
+    zones = [(i, z) for i, z in enumerate([z for z in site.zones if len(z.polygon) >= min_points])]
+    ddl = "zones array<struct<zone_ord:bigint,zone_id:string,e:array<struct<ax:double,ay:double,bx:double,by:double>>>>"
+    if not zones:
+        return df.withColumn("zones", F.lit(None).cast(ddl.split(" ", 1)[1]))
+    cell = _cell_size([z for _, z in zones])
+    placed = df.withColumns({f"_cell_{a}": F.when(is_finite(F.col("x_m")) & is_finite(F.col("y_m")), F.rint(F.col(f"{a}_m") / cell))
+                             for a in "xy"})
+    cells = placed.where(F.col("_cell_x").isNotNull()).select("_cell_x", "_cell_y").distinct()
+
+    blocks, points = [[]], 0
+    for entry in zones:
+        if blocks[-1] and points + len(entry[1].polygon) > block_points:
+            blocks.append([])
+            points = 0
+        blocks[-1].append(entry)
+        points += len(entry[1].polygon)
+
+    def looked_up(block: list[tuple[int, Zone]]) -> DataFrame:
+        rings = [[(float(x), float(y)) for x, y in z.polygon] for _, z in block]
+        heads = [(i, z.zone_id) for i, z in block]
+
+        def run(batches):
+            tree = ZoneTree(rings)
+            for batch in batches:
+                rows = []
+                for cx, cy in zip(batch["_cell_x"], batch["_cell_y"]):
+                    # a cell reaches half a side around its middle, and a hair more for rounding
+                    rx, ry = (cell * 0.500001 + abs(v) * cell * 1e-12 for v in (cx, cy))
+                    found, bound = tree.candidates((cx * cell - rx, cy * cell - ry, cx * cell + rx, cy * cell + ry))
+                    for low, k in found:
+                        edges = [(*p, *q) for p, q in zip(rings[k], rings[k][1:] + rings[k][:1])]
+                        rows.append((cx, cy, low, bound, *heads[k], [dict(zip(("ax", "ay", "bx", "by"), e)) for e in edges]))
+                yield pd.DataFrame(rows, columns=["_cell_x", "_cell_y", "low", "bound", "zone_ord", "zone_id", "e"])
+
+        return cells.mapInPandas(run, "_cell_x double, _cell_y double, low double, bound double, zone_ord bigint, zone_id string, "
+                                      "e array<struct<ax:double,ay:double,bx:double,by:double>>")
+
+    found = looked_up(blocks[0])
+    for block in blocks[1:]:
+        found = found.unionByName(looked_up(block))
+    met = found.groupBy("_cell_x", "_cell_y").agg(
+        F.min("bound").alias("_bound"), F.array_sort(F.collect_list(F.struct("zone_ord", "zone_id", "e", "low"))).alias("_all"))
+    kept = F.transform(F.filter("_all", lambda z: z["low"] <= F.col("_bound")), lambda z: F.struct(
+        z["zone_ord"].alias("zone_ord"), z["zone_id"].alias("zone_id"), z["e"].alias("e")))
+    return placed.join(met.select("_cell_x", "_cell_y", kept.alias("zones")), ["_cell_x", "_cell_y"], "left").select(*df.columns, "zones")
+
+
+def _with_nearest(df: DataFrame) -> DataFrame:
+    best = F.array_min(F.transform("zones", lambda z: F.struct(
         distance_to_polygon(z["e"], F.col("x_m"), F.col("y_m")).alias("d"), z["zone_ord"].alias("o"),
         z["zone_id"].alias("zone_id"))))
     return df.withColumn("_best", best).withColumns({
-        "nearest_zone": F.col("_best.zone_id"), "distance_to_nearest_zone_m": F.bround("_best.d", 4)}).drop("_best")
+        "nearest_zone": F.col("_best.zone_id"), "distance_to_nearest_zone_m": F.bround("_best.d", 4)}).drop("_best", "zones")
+
+
+def nearest_zone(df: DataFrame, site: Site) -> DataFrame:
+    """``nearest_zone`` and its distance (0 inside); the first declared zone on equal distance, NULL without a position."""
+    return _with_nearest(near_zones(df, site))
 
 
 def worst_calibration_error(alerts: DataFrame, site: Site) -> DataFrame:
@@ -51,14 +105,15 @@ def audit_alerts(alerts: DataFrame, site: Site, dedupe: bool = False) -> DataFra
     if dedupe:
         first = alerts.groupBy("alert_id").agg(F.min("alert_key").alias("alert_key"))
         alerts = alerts.join(first, ["alert_id", "alert_key"], "left_semi")
-    inside = F.filter(zone_literals(site), lambda z: point_in_polygon(z["e"], F.col("x_m"), F.col("y_m")))
-    checked = alerts.withColumn("_in", F.transform(inside, lambda z: z["zone_id"])).withColumns({
+    inside = F.filter("zones", lambda z: point_in_polygon(z["e"], F.col("x_m"), F.col("y_m")))
+    named = F.coalesce(F.transform(inside, lambda z: z["zone_id"]), F.array().cast("array<string>"))
+    checked = near_zones(alerts, site).withColumn("_in", named).withColumns({
         "inside_zones": F.concat_ws("+", F.col("_in")), "inside_any_zone": F.size("_in") > 0,
         "expected_zone_ok": F.when(
             F.col("alert_type") == "zone_violation_person",
             F.coalesce(F.array_contains("_in", F.nullif("declared_zone", F.lit(""))), F.lit(False))).otherwise(True),
     }).drop("_in")
-    return worst_calibration_error(nearest_zone(checked, site), site)
+    return worst_calibration_error(_with_nearest(checked), site)
 
 
 def audit_by_camera(audited: DataFrame, site: Site) -> DataFrame:

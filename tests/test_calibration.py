@@ -1,11 +1,15 @@
 """Choice of matrices, moved polygons, timing blocks, broken envelope lines, image names."""
 
+import math
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from sightgrid.operators import calibration, health, labels
+from sightgrid.operators import audit, calibration, health, labels
 from sightgrid.operators import envelopes as E
-from sightgrid.sources.site import Camera, Site, site_from_config
+from sightgrid.sources.site import Camera, Site, Zone, site_from_config
 
 UNIT = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
 DOUBLE = [2.0, 0.0, 0.0, 0.0, 2.0, 0.0, 0.0, 0.0, 1.0]
@@ -77,3 +81,50 @@ def test_only_frames_without_a_primary_image_are_numbered(spark):
     images = spark.createDataFrame([("a_frame9",), ("a_obj_0002",), ("a_obj_0002",), ("b_frame1",)], "stem string")
     got = {(r.cam_id, r.frame): r.stem for r in labels.image_names(frames, images).collect()}
     assert got == {("a", 5): None, ("a", 9): "a_frame9", ("a", 20): "a_obj_0002", ("b", 1): "b_frame1"}
+
+
+def _brute_nearest(zones, x, y):
+    def far(a, b):
+        dx, dy = b[0] - a[0], b[1] - a[1]
+        t = max(0.0, min(1.0, ((x - a[0]) * dx + (y - a[1]) * dy) / (dx * dx + dy * dy)))
+        return math.hypot(x - a[0] - t * dx, y - a[1] - t * dy)
+
+    def distance(p):  # axis-parallel boxes
+        inside = p[0][0] <= x <= p[2][0] and p[0][1] <= y <= p[2][1]
+        return 0.0 if inside else min(far(a, b) for a, b in zip(p, p[1:] + p[:1]))
+
+    return min((distance(z.polygon), i) for i, z in enumerate(zones))
+
+
+@pytest.mark.parametrize("block_points", [100_000, 50])
+def test_nearest_zone_by_tree_equals_brute_force(spark, block_points, monkeypatch):
+    rng = random.Random(9)
+    zones = []
+    for i in range(60):  # small and very large boxes, some of them one on the other
+        x, y, w, h = rng.uniform(0, 50), rng.uniform(0, 20), rng.choice([0.2, 1, 30]), rng.choice([0.3, 2, 9])
+        zones.append(Zone(f"z{i}", "", [], [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]))
+    zones.insert(20, Zone("twin", "", [], list(zones[3].polygon)))
+    zones.insert(0, Zone("line", "", [], [(0, 0), (1, 1)]))
+    points = [(i, rng.uniform(-40, 120), rng.uniform(-60, 60)) for i in range(300)] + [
+        (300, 1e9, -1e9), (301, None, 1.0), (302, float("nan"), 1.0), (303, *zones[4].polygon[0])]
+    df = spark.createDataFrame(points, "id bigint, x_m double, y_m double")
+    got = audit._with_nearest(audit.near_zones(df, Site([], [], zones), block_points=block_points)).collect()
+    assert len(got) == 304
+    for r in got:
+        if r.id in (301, 302):
+            assert r.nearest_zone is None and r.distance_to_nearest_zone_m is None
+            continue
+        d, i = _brute_nearest(zones[1:], r.x_m, r.y_m)
+        assert r.distance_to_nearest_zone_m == pytest.approx(d, abs=1e-4)
+        if r.id != 300:
+            assert r.nearest_zone == zones[1:][i].zone_id
+    assert audit.nearest_zone(df, Site([], [], [])).where("nearest_zone is not null").count() == 0
+
+
+def test_ten_thousand_zones_are_few_for_each_row(spark):
+    zones = [Zone(f"z{i}", "", [], [(x, y), (x + 2, y), (x + 2, y + 2), (x, y + 2)])
+             for i, (x, y) in enumerate((5 * (k % 100), 5 * (k // 100)) for k in range(10_000))]
+    df = spark.range(20_000).select((F.rand(4) * 520 - 10).alias("x_m"), (F.rand(5) * 520 - 10).alias("y_m"))
+    start = time.time()
+    most, mean = audit.near_zones(df, Site([], [], zones)).agg(F.max(F.size("zones")), F.avg(F.size("zones"))).collect()[0]
+    assert most <= 16 and mean < 8 and time.time() - start < 90
