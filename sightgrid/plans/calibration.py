@@ -14,8 +14,11 @@ from sightgrid.operators import envelopes as E
 from sightgrid.operators.ordered import frame_ordinals
 from sightgrid.plans.alerting import ALERTS_SQL, RULES
 from sightgrid.plans.fusion import numbered
-from sightgrid.plans.health import ENVELOPE_SQL, TRACE_SQL, _lines, _trace
+from sightgrid.plans.health import ENVELOPE_SQL, P95_NEAREST, SYNC_SQL, TRACE_SQL, _lines, _sync, _trace
 from sightgrid.plans.scalars import INV_SQL
+from sightgrid.session import fresh_folder
+from sightgrid.sources import run_directories
+from sightgrid.sources.sinks import write_fixed_csv
 from sightgrid.sources.tables import CAM_SQL, DEMO_SITE, DET_SQL, OVERLAP_SQL, RAW_SQL, _quoted, detections, raw_detections
 
 c = F.col
@@ -177,7 +180,42 @@ def image_names(spark, sf):
     return labels.image_names(frames, primary.union(legacy))
 
 
+def compared_run_directories(spark, sf):
+    """Runs of the view written out as directories and compared: deliveries of two cameras, campaigns of two models."""
+    root = fresh_folder(spark, "runs")
+    d = raw_detections(spark, sf)
+    for cam in ("cam_02", "cam_03"):
+        d.where(c("cam_id") == cam).select(
+            c("det_id").alias("event_id"), F.lit("").alias("transport"),
+            F.when(c("det_id") % 10 == 0, "n/a").otherwise(c("value").cast("string")).alias("latency_ms")).write.csv(
+            f"{root}/{cam}/{run_directories.DELIVERY}", header=True, emptyValue="")
+    sync = _sync(spark, sf).withColumns({n: F.lit(None).cast("string") for n in ("model_version", "model", "format")})
+    frames = detections(spark, sf).groupBy("model").agg(F.countDistinct("frame").alias("frames"), F.count(F.lit(1)).alias("detections"),
+                                                        F.bround(F.max("value"), 3).alias("latency_max_ms"))
+    for model in ("model_1", "model_2"):
+        for name, kind, rows in ((run_directories.SUMMARY, "run_summary", frames.where(c("model") == model)),
+                                 (run_directories.SYNC, "sync_events", sync.where(c("run_id") == model))):
+            write_fixed_csv(rows, [n for n, _ in schemas.fields(schemas.RUN_FILES[kind])], f"{root}/{model}/{name}")
+    got = run_directories.compare_run_directories(spark, f"{root}/*")
+    return got.select(F.regexp_extract("run_dir", "([^/]+)$", 1).alias("run"), "summary_type", "transport", "events", "latency_mean_ms",
+                      "latency_median_ms", "latency_p95_ms", "latency_max_ms", "frames", "duration_s", "effective_fps", "detections",
+                      "dropped_cameras", "camera_count", "fusion_camera_pairs")
+
+
+RUNS_SQL = f"""WITH {SYNC_SQL}, dl AS (SELECT cam_id AS run, value AS v FROM raw_det WHERE cam_id IN ('cam_02', 'cam_03') AND det_id % 10 <> 0)
+ SELECT run, 'alert_delivery' AS summary_type, run AS transport, count(*) AS events, round_even(avg(v), 6) AS latency_mean_ms,
+  round_even(quantile_cont(v, 0.5), 6) AS latency_median_ms, round_even({P95_NEAREST.format('v')}, 6) AS latency_p95_ms,
+  round_even(max(v), 6) AS latency_max_ms, CAST(NULL AS BIGINT) AS frames, CAST(NULL AS DOUBLE) AS duration_s,
+  CAST(NULL AS DOUBLE) AS effective_fps, CAST(NULL AS BIGINT) AS detections, NULL AS dropped_cameras, CAST(NULL AS BIGINT) AS camera_count,
+  CAST(NULL AS BIGINT) AS fusion_camera_pairs FROM dl GROUP BY run UNION ALL
+ SELECT run_id, 'phase3_campaign', NULL, NULL, 0.0E0, NULL, 0.0E0, hi, nf, round_even(dur, 3), round_even(nf / dur, 3), n, dropped, cams, 0
+ FROM (SELECT model AS run_id, count(DISTINCT frame) AS nf, count(*) AS n, round_even(max(value), 3) AS hi FROM det GROUP BY model) f
+ JOIN (SELECT run_id, max(last_elapsed_s) - min(first_elapsed_s) AS dur, count(*) AS cams, coalesce(string_agg(CASE WHEN dropped_early THEN
+  cam_id END, ',' ORDER BY cam_id), '') AS dropped FROM cs GROUP BY run_id) k USING (run_id) WHERE run_id IN ('model_1', 'model_2')"""
+
+
 QUERIES = {
+    "compared_run_directories": (compared_run_directories, RUNS_SQL),
     "chosen_homography": (chosen_homography, CHOICE_SQL),
     "transferred_boxes": (transferred_boxes, MOVED_SQL),
     "thinned_frames": (thinned_frames, f"WITH {DET_SQL} " + " UNION ALL ".join(

@@ -26,16 +26,18 @@ def _typed(c: Column, kind: str) -> Column:
 
 
 def read_run_csv(spark: SparkSession, kind: str, path: str | list[str], columns: list[str] | None = None,
-                 defaults: bool = False) -> DataFrame:
+                 defaults: bool = False, run_id: Column | None = None, at: Column | None = None) -> DataFrame:
     """A run file by its kind. ``columns`` names the header when a file carries fewer columns.
 
     Columns are pruned and typed in the scan's projection; ``defaults`` puts 0 for missing numbers.
+    ``run_id`` and ``at`` add the run a row belongs to and its place (``_at``), told from the file's metadata.
     """
     types = dict(schemas.fields(schemas.RUN_FILES[kind]))
     header = columns or list(types)
     raw = spark.read.csv(path, header=True, schema=", ".join(f"`{n}` string" for n in header), enforceSchema=False,
                          nullValue="", multiLine=False)
-    df = raw.select(*[_typed(F.col(n), types.get(n, "string")).alias(n) for n in header])
+    extra = [v.alias(n) for v, n in ((run_id, "run_id"), (at, "_at")) if v is not None]
+    df = raw.select(*[_typed(F.col(n), types.get(n, "string")).alias(n) for n in header], *extra)
     return df.fillna(0) if defaults else df
 
 

@@ -10,6 +10,7 @@ from sightgrid.functions import names
 from sightgrid.operators import audit
 from sightgrid.operators import envelopes as E
 from sightgrid.operators import health
+from sightgrid.sources import run_directories
 from sightgrid.sources import run_files as R
 from sightgrid.sources import sinks
 from sightgrid.sources.tables import DEMO_SITE
@@ -126,3 +127,33 @@ def test_envelope_validation_counts(spark):
     assert (r.metadata_lag_mean_ms, r.metadata_lag_p95_ms) == (750.0, 1000.0)
     ex = E.first_example(facts).collect()[0]
     assert (ex.with_detection, ex.with_alert) == (1, 2)
+
+
+def test_run_directories_of_both_kinds(spark, tmp_path):
+    def put(path, text):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+
+    put("a/alert_latency.csv", "event_id,transport,latency_ms\n1,mqtt,2\n2,,oops\n3,http,4\n")
+    put("a/phase3/summary.csv", "model_version\n")
+    put("silent/alert_latency.csv", "event_id,transport,latency_ms\n")
+    summary = "model_version,model,format,frames,detections,alerts,fusion_links,unique_global_ids,global_id_switches,latency_mean_ms," \
+        "latency_median_ms,latency_p95_ms,latency_max_ms\n"
+    sync = "model_version,model,format,campaign_frame,cam_id,video_frame,timestamp_epoch,timestamp_iso,elapsed_s,recorded_video,capture_backend\n"
+    links = "model_version,model,format,frame,timestamp,global_id,cam_a,track_a,class_a,cam_b,track_b,class_b,time_delta_ms,distance_m\n"
+    put("b/phase3/summary.csv", summary + "V,m,pt,10,40,3,6,2,0,5,5,6,7\nV,m,pt,99,99,9,9,9,9,9,9,9,9\n")
+    put("b/phase3/sync_events.csv", sync + "".join(f"V,m,pt,{i},{cam},0,0,,{i / 2},,\n" for cam in ("c1", "c2") for i in range(10)))
+    put("b/phase3/fusion_links.csv", links + "V,m,pt,1,0.5,7,c2,1,x,c1,2,x,0,0.1\nV,m,pt,1,0.5,8,c1,1,x,c2,2,x,0,0.1\n")
+    put("b/manifest.json", json.dumps({"mode": "live"}))
+    put("c/phase3/summary.csv", summary)
+    put("notes.txt", "no run")
+    got = run_directories.compare_run_directories(spark, str(tmp_path / "*"), ["c1", "c2", "c3"])
+    assert got.columns[0] == "run_dir" and got.columns[1:] == sorted(got.columns[1:])
+    rows = {r.run_dir.rsplit("/", 1)[1]: r for r in got.collect()}
+    assert set(rows) == {"a", "b", "silent"}
+    assert (rows["a"].transport, rows["a"].events, rows["a"].latency_mean_ms, rows["a"].latency_max_ms) == ("http", 2, 3.0, 4.0)
+    assert (rows["silent"].transport, rows["silent"].events, rows["silent"].latency_p95_ms) == ("silent", 0, 0.0)
+    b = rows["b"]
+    assert (b.frames, b.detections, b.duration_s, b.fusion_links, b.top_fusion_pair, b.fusion_camera_pairs) == (10, 40, 4.5, 6, "c1+c2", 1)
+    assert (b.dropped_cameras, b.camera_count, b.mode, b.frames_with_fusion) == ("c3", 3, "live", 1)
+    assert run_directories.compare_run_directories(spark, str(tmp_path / "none" / "*")) is None
