@@ -103,7 +103,8 @@ def pixel_zone_hits(spark, sf):
     zones = DEMO_SITE.zone_dim(spark).select("zone_id", "polygon", F.explode("zone_cameras").alias("cam_id"))
     inverse = DEMO_SITE.camera_dim(spark).select("cam_id", G.invert_homography(c("h")).alias("inv"))
     px = zones.join(inverse, "cam_id").withColumn("px", G.project_polygon(c("inv"), c("polygon"))).where(F.size("px") >= 3)
-    px = DEMO_SITE.hint(px.select("cam_id", "zone_id", G.edges_of(c("px")).alias("e")), len(DEMO_SITE.zones) * len(DEMO_SITE.cameras))
+    px = DEMO_SITE.hint(px.select("cam_id", "zone_id", G.edges_of(c("px")).alias("e")),
+                        sum(1 + len(z.polygon) for z in DEMO_SITE.zones) * len(DEMO_SITE.cameras))
     return detections(spark, sf).join(px, "cam_id").where(
         G.point_in_polygon(c("e"), (c("x1") + c("x2")) / 2, c("y2"))).select("det_id", "cam_id", "zone_id")
 

@@ -71,6 +71,7 @@ class Site:
 
     @staticmethod
     def hint(df: DataFrame, rows: int) -> DataFrame:
+        """Broadcast a dimension of known size: rows of bounded width, or corners where rows carry polygons (some 50 bytes each)."""
         return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
     def camera_dim(self, spark: SparkSession) -> DataFrame:
@@ -123,7 +124,8 @@ class Site:
     def zone_dim(self, spark: SparkSession, min_points: int = 1) -> DataFrame:
         rows = self._zone_rows(min_points)
         return self.hint(
-            spark.createDataFrame(rows, ZONE_SCHEMA).withColumn("edges", edges_of(F.col("polygon"))), len(rows)
+            spark.createDataFrame(rows, ZONE_SCHEMA).withColumn("edges", edges_of(F.col("polygon"))),
+            sum(1 + len(r[4]) for r in rows)
         )
 
     def zone_cells(self, spark: SparkSession, cell: float, min_points: int = 1) -> DataFrame:
@@ -138,7 +140,7 @@ class Site:
             *ZONE_SCHEMA.fields, T.StructField("cell_x", T.LongType()), T.StructField("cell_y", T.LongType())
         ])
         df = spark.createDataFrame(rows, schema).withColumn("edges", edges_of(F.col("polygon")))
-        return self.hint(df, len(rows))
+        return self.hint(df, sum(1 + len(r[4]) for r in rows))
 
 
 def site_from_config(config: dict) -> Site:
