@@ -171,6 +171,8 @@ def match_events(
         sent = picks.where(F.col("viewers").isNotNull()).select(
             *keys, F.explode("viewers").alias("_to"), F.col("chunk").alias("sender"), "truth_ord", "truth_t", "alert_t").where(
             "_to <> sender").withColumnRenamed("_to", "chunk").select(*mail.columns)
+        if len(parts) == 1 and sent.isEmpty():  # no pair lies on an alert that two chunks see
+            break
         matched_now = todo.select(*keys, F.col("chunk").alias("sender")).distinct()
         fresh = cut_lineage(sent.unionByName(mail.join(matched_now, [*keys, "sender"], "left_anti")))
         changed = cut_lineage(fresh.withColumn("_w", F.lit(1)).unionByName(mail.withColumn("_w", F.lit(-1))).groupBy(
