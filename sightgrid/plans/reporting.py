@@ -166,8 +166,9 @@ STEMS_SQL = f"""WITH {RAW_SQL}, inc AS (SELECT det_id AS file_ord, cam_id || '_'
   cam_id, track_id ORDER BY det_id) AS k FROM raw_det WHERE event_type <> 'error'),
  ex AS (SELECT DISTINCT cam_id || '_' || track_id AS stem, CASE WHEN det_id % 2 = 0 THEN 0 ELSE det_id % 4 + 1 END AS n FROM raw_det
   WHERE event_type = 'error'),
- free AS (SELECT stem, n, row_number() OVER (PARTITION BY stem ORDER BY n) AS k FROM (SELECT DISTINCT stem, unnest(range(0, 4000)) AS n
-  FROM inc) r WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.stem = r.stem AND ex.n = r.n))
+ most AS (SELECT stem, max(k) + (SELECT count(*) FROM ex WHERE ex.stem = inc.stem) AS numbers FROM inc GROUP BY stem),
+ free AS (SELECT stem, n, row_number() OVER (PARTITION BY stem ORDER BY n) AS k FROM (SELECT stem, unnest(range(0, numbers)) AS n
+  FROM most) r WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.stem = r.stem AND ex.n = r.n))
  SELECT file_ord, inc.stem, CASE WHEN n = 0 THEN inc.stem ELSE inc.stem || '__rf' || n END AS final_stem
  FROM inc JOIN free ON free.stem = inc.stem AND free.k = inc.k"""
 

@@ -2,7 +2,10 @@
 
 import random
 
+import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -11,6 +14,7 @@ from sightgrid.operators import labels, matching, replay, reports
 from sightgrid.operators import alerts as A
 from sightgrid.operators.ordered import gap_sessions, split_lag, split_ordinal, split_running
 from sightgrid.operators.quantiles import exact_percentiles
+from sightgrid.plans import reporting
 
 
 @pytest.mark.parametrize("width", [1, 3, 50])
@@ -187,6 +191,19 @@ def test_unique_stems_take_the_first_free_number(spark):
     assert got == {1: "a__rf1", 2: "a__rf3", 3: "b", 4: "b__rf2", 5: "c"}
 
 
+def test_unique_stems_sql_numbers_every_file_of_a_long_stem(spark, tmp_path):
+    kinds = ["error" if i % 10 == 0 else "click" for i in range(5000)]
+    pq.write_table(pa.table({"event_id": [4 * i for i in range(5000)], "ts": pa.array([1_700_000_000_000_000 + i for i in range(5000)],
+                                                                                     pa.timestamp("us")),
+                             "user_id": [7] * 5000, "event_type": kinds, "value": [1.0] * 5000, "props": ["{}"] * 5000}),
+                   f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet')")
+    want = con.execute(reporting.STEMS_SQL).fetchall()
+    assert len(want) == kinds.count("click") > 4000
+    assert sorted(map(tuple, reporting.unique_stems(spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_tolerant_link_join_takes_the_first_prediction(spark):
     truth = spark.createDataFrame([(0, 10, "p", True), (1, 30, "p", True), (2, 10, "q", False)],
                                   "truth_ord bigint, frame bigint, pair string, expected_same boolean")
