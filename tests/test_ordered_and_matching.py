@@ -173,6 +173,29 @@ def test_replay_hands_states_on_over_empty_gaps_and_keys(spark):
     assert {(r.k, r.i): r.total for r in got} == want
 
 
+def test_states_that_outlive_their_chunks_are_handed_on_once_a_stretch(spark, caplog):
+    rng = random.Random(3)
+    rows = [("ab"[i % 3 == 0], i, rng.randint(0, 9)) for i in range(240)]
+    want, last = {}, {}
+    for k, i, v in rows:
+        last[k] = last.get(k, 0) + v
+        want[k, i] = last[k]
+
+    def step(chunk, before):
+        chunk = chunk.sort_values("i")
+        totals = int(before or 0) + chunk["v"].cumsum()
+        return chunk.assign(total=totals), str(int(totals.iloc[-1]))
+
+    df = spark.createDataFrame(rows, "k string, i bigint, v bigint").withColumn("b", F.floor(F.col("i") / 25))
+    cut = replay.in_chunks(df, ["k"], ["i"], "b", 10)
+    caplog.set_level("INFO")
+    for width, most in ((8, 2), (3, 6)):  # 16 chunks of the longer key: 2 and 6 stretches
+        caplog.clear()
+        got = replay.replay_chunks(cut, ["k"], step, "k string, i bigint, total bigint", width).collect()
+        assert {(r.k, r.i): r.total for r in got} == want and len(got) == len(rows)
+        assert [r.args[0] <= most for r in caplog.records if "rounds of replay" in r.msg] == [True]
+
+
 def test_persistence_and_trail_across_buckets(spark):
     flags = [1, 1, 1, 1, 0, 1, 1, 0, 1, 1, 1]
     pos = spark.createDataFrame([("r", "c", i) for i, f in enumerate(flags) if f], "run_id string, cam_id string, ord bigint")
