@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from sightgrid.llm import queries, toxicity
 from tests.llm.helpers import SCHEMA, documents, given
@@ -17,6 +18,18 @@ def test_model_separates_what_a_word_separates():
     assert chain[1][0].dense[0] < 0  # the later model reads the earlier category
 
 
+def test_features_hash_each_distinct_word_and_beginning_once(monkeypatch):
+    words = [f"unter{k:03d}" for k in range(200)] + ["(Unter000)", "ähnlich", "ab", "--", "abc", "abcd"]
+    texts = pa.array([" ".join(words[k:] + words[:k]) for k in range(3)] + ["", "ab --"], pa.large_string())
+    digest, calls = xxhash.xxh3_64_intdigest, []
+    monkeypatch.setattr(xxhash, "xxh3_64_intdigest", lambda w: calls.append(w) or digest(w))
+    places, bounds = toxicity.features(texts)
+    assert len(calls) == len(set(calls))
+    plain = [{w.lower().strip(toxicity.SIGNS) for w in t.split()} - {""} for t in texts.to_pylist()]
+    want = [sorted({digest(s) % toxicity.DIMS for w in t for s in [w, *[w[:n] + "*" for n in toxicity.STEMS if len(w) > n]]}) for t in plain]
+    assert [places[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
+
+
 def test_held_out_accuracy(spark):
     docs, labels = given(spark, sf="0.1"), given(spark, "labels", "0.1")
     fitted, held = labels.where("doc_id % 3 <> 0"), labels.where("doc_id % 3 = 0")
