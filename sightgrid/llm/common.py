@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import os
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,27 @@ def ready(df: DataFrame) -> DataFrame:
     return df
 
 
+def lean(make: Callable) -> Callable:
+    """``make`` (a generator over Arrow batches) as a task that leaves little in its Python worker.
+
+    Spark keeps workers for later tasks of any operator, beside an executor's heap. Token tables that another operator has
+    left are dropped before the task; what it has freed goes back to the system after it, where the C library can do so.
+    """
+
+    @functools.wraps(make)
+    def run(batches):
+        import ctypes
+
+        tokens = sys.modules.get("sightgrid.llm.tokens")
+        if tokens:
+            tokens.forget()
+        yield from make(batches)
+        pa.default_memory_pool().release_unused()
+        getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)(0)
+
+    return run
+
+
 def file_system(uri: str):
     """(pyarrow file system, path) of a folder that driver and executors share."""
     from pyarrow import fs

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightgrid.llm.common import components, mix, ready, stored, text_slices, words_of
+from sightgrid.llm.common import components, lean, mix, ready, stored, text_slices, words_of
 
 WIDTH, NEED, OF = 5, 80, 100  # NEED / OF: the least similarity
 HEAVY, HEAVY_HERE = 1 << 19, 3  # hashes put last in the order (an order only; any order is exact), and the least count in a batch
@@ -278,7 +278,7 @@ def compared(pairs: DataFrame, sets: DataFrame, slack="0D") -> DataFrame:
     right = sets.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("members").alias("mb"))
     both = pairs.withColumn("slack", F.expr(slack)).join(left, "a").join(right, "b").where(
         F.least("na", "nb") >= F.greatest("na", "nb") * (F.lit(1 - LIMIT) - F.col("slack")))
-    out = both.mapInArrow(_compare, "a long, b long, na long, nb long, slack double, common long")
+    out = both.mapInArrow(lean(_compare), "a long, b long, na long, nb long, slack double, common long")
     union = F.col("na") + F.col("nb") - F.col("common")
     return stored(out.select("a", "b", "slack", (F.lit(1.0) - F.col("common") / union).alias("distance"), (F.col("common") * OF >= union * NEED).alias("link")), "compared")
 
@@ -353,9 +353,9 @@ def _lists(batches, columns=("hash", "pivot", "component", "low", "high", "rest"
 def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with class and n_shingles, sets of the candidate classes)."""
     texts = ready(docs).select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    rows = stored(texts.mapInArrow(_classes, "doc_id long, text_key long, class long, n_shingles long"), "classes")
+    rows = stored(texts.mapInArrow(lean(_classes), "doc_id long, text_key long, class long, n_shingles long"), "classes")
     buckets = 1 << max(6, min(18, (rows.count() >> 12).bit_length()))  # some thousand documents' hashes each
-    packed = docs.select("text").mapInArrow(_prefix_hashes(buckets), "bucket int, hashes binary, owners binary, shared binary")
+    packed = docs.select("text").mapInArrow(lean(_prefix_hashes(buckets)), "bucket int, hashes binary, owners binary, shared binary")
     shared = packed.groupBy("bucket").applyInArrow(_shared_hashes, "class long, shared long")
     shared = shared.groupBy("class").agg(F.sum("shared").alias("shared"))
     one = rows.where("class is not null").groupBy("class").agg(
@@ -365,21 +365,21 @@ def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     left = stored(one.join(shared, "class").where(F.col("shared") >= need).select("class", "text_key"), "candidates")
     # the texts are not shuffled: a bit field finds those of candidates, and their sets are joined with the candidates
     held = text_filter(docs.sparkSession, left.select("text_key"), left.count())
-    sets = texts.select("text", "text_key").mapInArrow(_sets(held), "class long, n long, members binary")
+    sets = texts.select("text", "text_key").mapInArrow(lean(_sets(held)), "class long, n long, members binary")
     sets = sets.join(left.select("class"), "class", "left_semi").dropDuplicates(["class"])
     return rows, stored(sets, "sets")
 
 
 def links(sets: DataFrame) -> DataFrame:
     """(a, b) of linked classes: all that connect the classes, by pivots and what their distances leave open."""
-    often = sets.mapInArrow(_frequent, "hash long, count long").groupBy("hash").agg(F.sum("count").alias("count"))
+    often = sets.mapInArrow(lean(_frequent), "hash long, count long").groupBy("hash").agg(F.sum("count").alias("count"))
     top = often.orderBy(F.desc("count"), "hash").limit(HEAVY).toArrow()  # HEAVY rows at most
     heavy, count = np.asarray(top["hash"], dtype=np.int64).view(np.uint64), np.asarray(top["count"], dtype=np.int64)
     order = np.argsort(heavy)
     heavy, count = heavy[order], count[order]
     rank = np.argsort(np.lexsort((heavy, count)))
     held = sets.sparkSession.sparkContext.broadcast((heavy, count, rank))
-    heads = stored(sets.mapInArrow(_keys(held), "order int, key long, class long, n long, weight double"), "keys")
+    heads = stored(sets.mapInArrow(lean(_keys(held)), "order int, key long, class long, n long, weight double"), "keys")
     lead = heads.groupBy("order", "key").agg(F.max(F.struct("weight", "n", "class")).alias("lead"))
     tries = heads.join(lead, ["order", "key"]).select(F.col("class").alias("a"), F.col("lead.class").alias("b"), "n", F.col("lead.n").alias("m"))
     tries = tries.where((F.col("a") != F.col("b")) & (F.col("n") * OF >= F.col("m") * NEED) & (F.col("m") * OF >= F.col("n") * NEED))
@@ -387,13 +387,13 @@ def links(sets: DataFrame) -> DataFrame:
     cluster = stored(to_pivot.groupBy(F.col("a").alias("class")).agg(F.min(F.struct("distance", "b")).alias("near")).select(
         "class", F.col("near.b").alias("pivot"), "near.distance"), "clusters")
     joint = components(to_pivot.select("a", "b")).withColumnRenamed("node", "class")
-    index = sets.mapInArrow(_joined_batches(_index_entries(held)), "hash long, class long, n long, rest long")
+    index = sets.mapInArrow(lean(_joined_batches(_index_entries(held))), "hash long, class long, n long, rest long")
     placed = stored(index.join(cluster, "class", "left").join(joint, "class", "left").withColumns({
         "pivot": F.coalesce("pivot", "class"), "distance": F.coalesce("distance", F.lit(0.0)),
         "component": F.coalesce("component", "class")}), "index")
     lists = placed.groupBy("hash", "pivot", "component").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"))
     ordered = lists.repartition("hash").sortWithinPartitions("hash", "low")
-    pairs = ordered.mapInArrow(_cluster_pairs, "a long, b long").distinct()
+    pairs = ordered.mapInArrow(lean(_cluster_pairs), "a long, b long").distinct()
     # how far from its pivot a cluster's members are: pivots of any sizes may be as far apart as that and LIMIT together
     reach = stored(cluster.groupBy(F.col("pivot").alias("p")).agg(F.max("distance").alias("reach")), "reach")
     for c in ("a", "b"):
@@ -413,7 +413,7 @@ def links(sets: DataFrame) -> DataFrame:
     members = placed.drop("component").join(wanted, "pivot", "left_semi").join(label.withColumnRenamed("node", "class"), "class", "left").withColumn(
         "component", F.coalesce("component", "class"))
     near = members.repartition("hash").sortWithinPartitions("hash", "n").mapInArrow(
-        _member_pairs, "x long, y long, a long, b long, apart double").distinct()
+        lean(_member_pairs), "x long, y long, a long, b long, apart double").distinct()
     near = near.join(open_pairs, ["a", "b"]).where(F.col("distance") <= LIMIT + F.col("apart"))
     rest = compared(near.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), sets)
     return found.union(rest.where("link").select("a", "b"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sightgrid.llm.common import ready, text_slices
+from sightgrid.llm.common import lean, ready, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -314,7 +314,7 @@ def personal_data(docs: DataFrame, keep: list[str]) -> DataFrame:
                            *[T.StructField(f"n_{k}", T.LongType()) for k in KINDS],
                            *[T.StructField(c, T.StringType()) for c in ("base_sha256", "spans", "redacted")]])
     need = list(dict.fromkeys([*keep, "text"]))
-    return ready(docs).select(F.struct(*need).alias("row")).mapInArrow(_finder(keep), schema)
+    return ready(docs).select(F.struct(*need).alias("row")).mapInArrow(lean(_finder(keep)), schema)
 
 
 def redacted_documents(docs: DataFrame) -> DataFrame:

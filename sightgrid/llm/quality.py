@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sightgrid.llm.common import hinted, map_file, mix, per_row, ready, stored, text_slices, words_of, write_file
+from sightgrid.llm.common import hinted, lean, map_file, mix, per_row, ready, stored, text_slices, words_of, write_file
 from sightgrid.operators.quantiles import exact_percentiles
 from sightgrid.session import fresh_folder
 
@@ -161,12 +161,12 @@ def _array_writer(folder: str):
 def train(docs: DataFrame) -> tuple[str, list[int]]:
     """Count the n-grams of every text and store the model; returns its folder and shard numbers."""
     spark = ready(docs).sparkSession
-    counts = (docs.select("lang", "text").mapInArrow(_count, "lang string, gram long, count long")
+    counts = (docs.select("lang", "text").mapInArrow(lean(_count), "lang string, gram long, count long")
               .groupBy("lang", "gram").agg(F.sum("count").alias("count")))
-    hashed = entries(stored(counts, "grams")).mapInArrow(_hash_entries, "slot long, value float")
+    hashed = entries(stored(counts, "grams")).mapInArrow(lean(_hash_entries), "slot long, value float")
     folder = fresh_folder(spark, "perplexity")
     ordered = hashed.groupBy("slot").agg(F.max("value").alias("value")).repartitionByRange("slot").sortWithinPartitions("slot")
-    shards = stored(ordered.mapInArrow(_array_writer(folder), "shard int"), "model")
+    shards = stored(ordered.mapInArrow(lean(_array_writer(folder)), "shard int"), "model")
     return folder, sorted(r.shard for r in shards.collect())  # one number for each file
 
 
@@ -278,7 +278,7 @@ def assess(docs: DataFrame, keep: list[str], below: float = LOW, above: float =
     fields = [docs.schema[c] for c in keep]
     schema = T.StructType([T.StructField("row", T.StructType(fields)), T.StructField("lang", T.StringType()), *[T.StructField(n, t) for n, t in SCORES]])
     need = list(dict.fromkeys([*keep, "text", "lang"]))
-    scored = docs.select(F.struct(*need).alias("row")).mapInArrow(_scorer(folder, shards, keep), schema)
+    scored = docs.select(F.struct(*need).alias("row")).mapInArrow(lean(_scorer(folder, shards, keep)), schema)
     scored = stored(scored, "scored")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     mean = -F.col("log_prob") / F.col("chars")

@@ -26,6 +26,11 @@ def encoder(path: str) -> "Encoder":
     return _encoders[path]
 
 
+def forget() -> None:
+    """Drop this worker's encoders with the parts they remember; results do not depend on these."""
+    _encoders.clear()
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism

@@ -8,8 +8,8 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sightgrid.llm import pii, queries
-from sightgrid.llm.common import stored
+from sightgrid.llm import packing, pii, queries
+from sightgrid.llm.common import lean, stored
 from tests.llm.helpers import SCHEMA, WORD, documents, given
 from tests.llm.test_jaccard_join import brute as brute_components
 from tests.llm.test_mixing import water_fill
@@ -108,3 +108,38 @@ def test_awkward_and_empty_tables(spark):
         for name, stage in corpus_pipeline.STAGES:
             docs = stored(stage(spark, docs, SF), "step")
         assert docs.count() >= 0
+
+
+def test_a_stage_keeps_little_in_its_workers(spark):
+    """Workers are used again: what packing remembers and what a task has freed is not held while other stages run."""
+
+    def tables(batches):
+        import sys
+
+        import pyarrow as pa
+
+        known = sys.modules.get("sightgrid.llm.tokens")
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_pydict({"kept": [len(known._encoders) if known else 0]})
+
+    one = given(spark).coalesce(1)
+    assert packing.pack(one, queries.vocabulary("word_bpe_49k.json"), queries.END_ID).count()
+    before = one.mapInArrow(tables, "kept long").first().kept
+    assert pii.redacted_documents(one).agg({"text": "max"}).first()
+    assert before == 1 and one.mapInArrow(tables, "kept long").first().kept == 0
+
+
+def test_a_task_hands_back_what_it_has_freed():
+    held = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+    top = []
+
+    def busy(batches):
+        for batch in batches:
+            blocks = [np.ones(20_000, np.uint8) for _ in range(10_000)]
+            top.append(blocks[-1])  # what lies below a block in use is not given back by freeing it
+            yield batch
+
+    before = held()
+    assert list(lean(busy)(iter([1]))) == [1]
+    assert held() - before < 100_000_000
