@@ -15,7 +15,7 @@ scores of equal length once, so a large group of copies does not narrow the band
 regular (signs strung together), above as not of its language. ``LOW``, ``HIGH`` and ``CHANCE`` were set on labelled rows: of
 those that the base rules pass they reject 40 % of the poor and 1 % of the good (README).
 
-Defined results: a null or empty text has no words and fails the base rules; a null language is a language of its own; equal
+Defined results: a null, empty or blank text has no words, fails the base rules and has no perplexity and no band; a null language is a language of its own; equal
 rows have equal results; very long texts are read whole, as slices of their own; an empty table gives no row. Characters are
 held in 16 bits: all of the supplementary planes are one character of the model. ``row`` is a struct, so no column can clash.
 """
@@ -293,7 +293,7 @@ def assess(docs: DataFrame, keep: list[str], below: float = LOW, above: float =
     away = distinct.join(middle.withColumnRenamed("l", "m"), F.col("l") == F.col("m")).select("l", F.abs(F.col("score") - F.col("median")).alias("off"))
     off = exact_percentiles(away, ["l"], F.col("off"), {"mad": (0.5, "linear")}).select("l", "mad")
     band = hinted(stored(middle.join(off, "l").withColumnRenamed("l", "m"), "bands"))
-    wide, chance = 1.4826 * F.col("mad"), CHANCE * F.col("spread") / F.sqrt("chars")
+    wide, chance = 1.4826 * F.col("mad"), F.try_divide(CHANCE * F.col("spread"), F.sqrt("chars"))  # null for a text without words
     low, high = F.exp(F.col("median") - below * wide - chance), F.exp(F.col("median") + above * wide + chance)
     out = rows.join(band, lang == F.col("m"), "left").withColumns({"perplexity": F.exp("score"), "low": low, "high": high})
     inside = F.coalesce((F.col("perplexity") >= F.col("low")) & (F.col("perplexity") <= F.col("high")), F.lit(False))

@@ -126,3 +126,17 @@ def test_kept_documents(spark):
     out = quality.kept_documents(docs)
     assert out.columns == docs.columns and out.count() <= docs.count()
     assert quality.kept_documents(docs.where("false")).count() == 0
+
+
+def test_texts_without_words_beside_prose(spark):
+    """A language with a band also has null, empty and blank texts: they fail the base rules, all others stay as they are."""
+    docs = given(spark)
+    blank = spark.createDataFrame([(10**6 + k, text, "en", "n", 0) for k, text in enumerate([None, "", " \n\t\r\x0b\x0c", "\n" * 3])], SCHEMA)
+    alone = quality.assess(docs, ["doc_id"]).select("row.doc_id", "kept", "perplexity", "low", "high")
+    got = {r.doc_id: r for r in quality.assess(docs.unionByName(blank), ["doc_id"]).select("row.doc_id", "*").collect()}
+    for k in range(4):
+        r = got.pop(10**6 + k)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) == (0, 0, 0, 0, 0, True, False)
+        assert r.perplexity is None and r.low is None and r.high is None
+    assert {d: (r.kept, r.perplexity, r.low, r.high) for d, r in got.items()} == {r[0]: pytest.approx(tuple(r)[1:]) for r in alone.collect()}
+    assert {r.doc_id for r in quality.kept_documents(docs.unionByName(blank)).collect()} == {d for d, r in got.items() if r.kept}
